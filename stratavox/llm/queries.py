@@ -9,6 +9,7 @@ _OPS = {
     "op1_secret_scan": "secrets",
     "op4_pii": "pii",
     "op6_quality_rules": "quality",
+    "op9_packing": "packing",
     "op10_exact_dedup": "exact_dedup",
 }
 
