@@ -8,6 +8,7 @@ import importlib
 _OPS = {
     "op1_secret_scan": "secrets",
     "op4_pii": "pii",
+    "op5_byte_bpe": "bpe",
     "op6_quality_rules": "quality",
     "op9_packing": "packing",
     "op10_exact_dedup": "exact_dedup",
