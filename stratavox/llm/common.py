@@ -49,6 +49,22 @@ def texts(docs: DataFrame, id_col: str, text_col: str, binary: bool = False) ->
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast(kind).alias("text"))
 
 
+def written_by_key(df: DataFrame, name: str, key: str, n: int) -> DataFrame:
+    """`df` as a table of the warehouse in n buckets of `key`: joins and groups on `key` read it without a shuffle."""
+    spark = df.sparkSession
+    table = f"stratavox_{name}_{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").bucketBy(n, key).format("parquet").saveAsTable(table)
+    atexit.register(_drop, spark, table)
+    return spark.table(table)
+
+
+def _drop(spark: SparkSession, table: str) -> None:
+    try:
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
+    except Exception:  # the session may have ended before the interpreter
+        pass
+
+
 def partitions(df: DataFrame) -> int:
     """Reducers for exchanges with an explicit count: those of the session, which grow with the input it was sized for."""
     return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))

@@ -11,6 +11,7 @@ _OPS = {
     "op4_pii": "pii",
     "op5_byte_bpe": "bpe",
     "op6_quality_rules": "quality",
+    "op7_substring_dedup": "substring_dedup",
     "op9_packing": "packing",
     "op10_exact_dedup": "exact_dedup",
 }
