@@ -6,10 +6,11 @@ import atexit
 import tempfile
 import uuid
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 #: ASCII white space of the contracts, `[\x20\x09-\x0D]`; bytes.split() and bytes.strip() use the same set.
 SPACE = b" \t\n\x0b\x0c\r"
 
@@ -45,6 +46,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def texts(docs: DataFrame, id_col: str, text_col: str, binary: bool = False) -> DataFrame:
     """Two columns `doc_id` long and `text`; a null text counts as empty."""
+    ship(docs.sparkSession)
     kind = "binary" if binary else "string"
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast(kind).alias("text"))
 
@@ -68,7 +70,3 @@ def _drop(spark: SparkSession, table: str) -> None:
 def partitions(df: DataFrame) -> int:
     """Reducers for exchanges with an explicit count: those of the session, which grow with the input it was sized for."""
     return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-
-
-def column(values, kind: pa.DataType) -> pa.Array:
-    return pa.array(values, kind)

@@ -21,6 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship
 from .common import partitions, texts, written
 
 #: Runs of white space that are not a single space already.
@@ -97,6 +98,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 16) -> DataFrame:
     """The rows of `docs` that exact_dedup keeps, with all their columns."""
     both = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("_text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    ship(docs.sparkSession)
     kind = both.schema["row"].dataType.simpleString()
     local = written(both.mapInArrow(_locally(sha256, True), f"{_LOCAL}, row {kind}"), "exact")
     winners = _classes(local, salts).select(F.col("keep_tag").alias("tag"))

@@ -14,6 +14,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ..session import ship
 from .common import texts
 
 BASE = ("email", "ip", "card", "phone")
@@ -171,6 +172,7 @@ def redact_documents(docs: DataFrame, text_col: str = "text", chars_col: str | N
                 batch = batch.set_column(i, chars_col, pa.array([len(x or "") for x in out], batch.schema.field(i).type))
             yield batch
 
+    ship(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)
 
 

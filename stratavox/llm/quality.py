@@ -12,6 +12,7 @@ from collections import Counter
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ..session import ship
 from .common import SPACE, texts
 
 #: Phrases of page furniture, matched in any case within a line of at most 40 words.
@@ -116,6 +117,7 @@ def clean_documents(docs: DataFrame, text_col: str = "text", chars_col: str | No
             yield left
 
     docs_columns = list(docs.columns)
+    ship(docs.sparkSession)
     return docs.mapInArrow(run, schema)
 
 

@@ -12,6 +12,7 @@ _OPS = {
     "op5_byte_bpe": "bpe",
     "op6_quality_rules": "quality",
     "op7_substring_dedup": "substring_dedup",
+    "op8_suffix_dedup": "suffix_dedup",
     "op9_packing": "packing",
     "op10_exact_dedup": "exact_dedup",
 }
