@@ -7,6 +7,7 @@ import importlib
 #: Query name, module and function.
 _OPS = {
     "op1_secret_scan": "secrets",
+    "op2_ngram_join": "ngram_join",
     "op3_token_shards": "token_shards",
     "op4_pii": "pii",
     "op5_byte_bpe": "bpe",
