@@ -225,9 +225,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of `docs` with the smallest doc_id of their component, and rows without an id; all columns."""
+    """The rows of `docs` with the smallest doc_id of their component, and rows without an id; all columns.
+
+    An id that several rows have stays with all of them if any of them stays.
+    """
     found = jaccard_components(docs, id_col, text_col, k, percent)
-    gone = found.filter("doc_id != component_id").select(F.col("doc_id").alias(id_col)).distinct()
+    gone = found.groupBy("doc_id").agg(F.min(F.col("doc_id") != F.col("component_id")).alias("gone")).filter("gone").select(F.col("doc_id").alias(id_col))
     return docs.join(gone, id_col, "left_anti").select(*docs.columns)
 
 
