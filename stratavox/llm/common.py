@@ -2,48 +2,18 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
+from ..storage import shared_dir, written, written_by_key
+
+__all__ = ["SPACE", "partitions", "shared_dir", "texts", "written", "written_by_key"]
 
 #: ASCII white space of the contracts, `[\x20\x09-\x0D]`; bytes.split() and bytes.strip() use the same set.
 SPACE = b" \t\n\x0b\x0c\r"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: `spark.checkpoint.dir`, which is set here only in local mode."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        at = "file://" + tempfile.mkdtemp(prefix="stratavox-")
-        spark.conf.set("spark.checkpoint.dir", at)
-        atexit.register(_remove, spark, at)
-    return at.rstrip("/")
-
-
-def _remove(spark: SparkSession, at: str) -> None:
-    try:
-        path = spark._jvm.org.apache.hadoop.fs.Path(at)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    except Exception:  # the session may have ended before the interpreter
-        pass
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """`df` as a Parquet table in the shared folder: cuts the lineage and outlives executors."""
-    spark = df.sparkSession
-    at = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(at)
-    atexit.register(_remove, spark, at)
-    return spark.read.schema(df.schema).parquet(at)
-
-
 def texts(docs: DataFrame, id_col: str, text_col: str, binary: bool = False) -> DataFrame:
     """Two columns `doc_id` long and `text`; a null text counts as empty."""
     ship(docs.sparkSession)
@@ -51,22 +21,6 @@ def texts(docs: DataFrame, id_col: str, text_col: str, binary: bool = False) ->
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast(kind).alias("text"))
 
 
-def written_by_key(df: DataFrame, name: str, key: str, n: int) -> DataFrame:
-    """`df` as a table of the warehouse in n buckets of `key`: joins and groups on `key` read it without a shuffle."""
-    spark = df.sparkSession
-    table = f"stratavox_{name}_{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").bucketBy(n, key).format("parquet").saveAsTable(table)
-    atexit.register(_drop, spark, table)
-    return spark.table(table)
-
-
-def _drop(spark: SparkSession, table: str) -> None:
-    try:
-        spark.sql(f"DROP TABLE IF EXISTS {table}")
-    except Exception:  # the session may have ended before the interpreter
-        pass
-
-
 def partitions(df: DataFrame) -> int:
     """Reducers for exchanges with an explicit count: those of the session, which grow with the input it was sized for."""
     return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))

@@ -7,9 +7,10 @@ allows; columns with a single row can't meet anything and are left out. Overlaps
 over what remains, and pairs below the bounds that sizes and positions set are discarded before
 their sets are compared.
 
-Within a column, rows are first compared along a chain of neighbours, which joins the copies of a
-document in linear time. What the chain has not joined is compared across the components found so
-far, so that no pair is lost and copies are never expanded into all pairs.
+Within a column, rows are measured against one leader. Rows near it are known by the few shingles
+that set them apart from it; two of them can only link, beyond what the leader joins, if they share
+some of these, so near copies are never expanded into all pairs. Rows far from it are compared
+with those that the triangle inequality allows, and choose a leader of their own.
 """
 
 from __future__ import annotations
@@ -21,12 +22,11 @@ import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..operators.components import components
 from . import blocks as B
 from .common import written
-from .components import components
 
 #: Bits of a shingle's hash that are dropped where columns are counted; a clash only alters the order.
 _DROP = 20
@@ -110,8 +110,8 @@ def _weights(rows: pa.Table) -> pa.Table:
 
 
 #: Rows of sets have `n` and `members` (and `body` if they meet anything); rows of the matrix have `column`.
-_PARTS = "digest binary, n int, members array<long>, body binary, column long, position int, least long"
-_KINDS = [pa.binary(), pa.int32(), pa.list_(pa.int64()), pa.binary(), pa.int64(), pa.int32(), pa.int64()]
+_PARTS = "digest binary, n int, members array<long>, body binary, column long, position int"
+_KINDS = [pa.binary(), pa.int32(), pa.list_(pa.int64()), pa.binary(), pa.int64(), pa.int32()]
 
 
 def _rows(k: int, percent: int):
@@ -132,21 +132,23 @@ def _rows(k: int, percent: int):
             meets = np.flatnonzero((position < prefix[row]) & (weights[order] > 0))
             some = np.zeros(len(mine.sizes), bool)
             some[row[meets]] = True
-            least = np.minimum.reduceat(mine.key, ends - mine.sizes).view(np.int64).tolist() if len(ends) else []
             sizes = mine.sizes.tolist()
             for i, (digest, members) in enumerate(mine.members.items()):
-                out.append((digest, sizes[i], members, pack.compress(mine.texts[i]) if some[i] else None, None, None, None))
-            out += [(None, 0, [x], None, None, None, None) for x in mine.empty]
+                out.append((digest, sizes[i], members, pack.compress(mine.texts[i]) if some[i] else None, None, None))
+            out += [(None, 0, [x], None, None, None) for x in mine.empty]
             for r, c, p in zip(row[meets].tolist(), mine.key[order][meets].view(np.int64).tolist(), position[meets].tolist(), strict=True):
-                out.append((mine.digests[r], sizes[r], None, None, c, p, least[r]))
-        cols = list(zip(*out, strict=True)) or [()] * 7
+                out.append((mine.digests[r], sizes[r], None, None, c, p))
+        cols = list(zip(*out, strict=True)) or [()] * 6
         return pa.table([pa.array(c, kind) for c, kind in zip(cols, _KINDS, strict=True)], names=[x.split()[0] for x in _PARTS.split(", ")])
 
     return run
 
 
-def _verified(k: int, percent: int):
-    """Of pairs with both texts: those similar enough, with their intersection."""
+_MEASURED = "u binary, v binary, nu int, nv int, dist int, linked boolean, near boolean, apart array<long>"
+
+
+def _measure(k: int, percent: int):
+    """Of pairs with both texts: sizes, symmetric difference, whether they link, and if they are near what sets them apart."""
 
     def shingles(body: bytes, unpack) -> np.ndarray:
         return _Sets([0], [unpack.decompress(body)], k).key
@@ -155,25 +157,76 @@ def _verified(k: int, percent: int):
         gc.disable()
         unpack = zstandard.ZstdDecompressor()
         for batch in batches:
-            keep, last, set_a = [], None, None
+            out, last, set_a = [], None, None
             for a, b, body_a, body_b in zip(*(batch.column(c).to_pylist() for c in ("u", "v", "body_u", "body_v")), strict=True):
                 if a != last:
                     last, set_a = a, shingles(body_a, unpack)
                 set_b = shingles(body_b, unpack)
-                both = len(np.intersect1d(set_a, set_b, assume_unique=True))
-                keep.append(100 * both >= percent * (len(set_a) + len(set_b) - both))
-            yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+                apart = np.setxor1d(set_a, set_b, assume_unique=True)
+                total, dist = len(set_a) + len(set_b), len(apart)
+                linked = 100 * (total - dist) >= percent * (total + dist)
+                near = dist * (100 + percent) <= 2 * (100 - percent) * total
+                out.append((a, b, len(set_a), len(set_b), dist, linked, near, apart.view(np.int64) if near else None))
+            cols = list(zip(*out, strict=True)) or [()] * 8
+            kinds = [pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_(), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(cols, kinds, strict=True)], [x.split()[0] for x in _MEASURED.split(", ")])
 
     return run
 
 
-def _compared(pairs: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFrame:
+def _measured(pairs: DataFrame, sets: DataFrame, k: int, percent: int, name: str) -> DataFrame:
     bodies = sets.filter("body is not null").select("digest", "body")
     both = pairs.join(bodies.select(F.col("digest").alias("u"), F.col("body").alias("body_u")), "u").join(bodies.select(F.col("digest").alias("v"), F.col("body").alias("body_v")), "v")
-    return both.mapInArrow(_verified(k, percent), "u binary, v binary")
+    return written(both.mapInArrow(_measure(k, percent), _MEASURED), name)
+
+
+def _bound(a: str, b: str, percent: int):
+    """Sizes, and what can still overlap from the common column on, allow the similarity."""
+    na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
+    rest = F.least(na - F.col(f"{a}.position"), nb - F.col(f"{b}.position"))
+    return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & ((100 + percent) * rest >= percent * (na + nb))
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 85, block_bytes: int = 4 << 20) -> DataFrame:
+def _rooted(rows: DataFrame, roots: DataFrame, key: str) -> DataFrame:
+    return rows.join(roots.select(F.col("node").alias(key), "root"), key, "left").withColumn("root", F.coalesce("root", key))
+
+
+def _near_links(measured: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """Links between rows near one leader that no link joins yet, from what sets them apart from the leader.
+
+    Two rows differ by their distances less twice what they share of these. Rows that share nothing
+    and still link are both linked to the leader, so only rows that share some are paired.
+    """
+    near = measured.filter("near").select(F.col("u").alias("lead"), F.col("v").alias("digest"), F.col("nv").alias("n"), "dist", "apart")
+    parts = near.select("lead", "digest", F.explode("apart").alias("part"))
+    common = parts.groupBy("lead", "part").agg(F.count("*").alias("c")).filter("c > 1").select("lead", "part")
+    parts = parts.join(common, ["lead", "part"])
+    shareable = parts.groupBy("lead", "digest").agg(F.count("*").alias("s"))
+    rows = _rooted(near.select("lead", "digest", "n", "dist").join(shareable, ["lead", "digest"]), roots, "digest")
+    # a row whose shareable parts can't make up for its own distance meets nobody
+    rows = rows.filter((100 + percent) * (F.col("dist") - F.col("s")) <= (100 - percent) * (F.col("n") + F.col("n") * 100 / percent))
+    cells = parts.join(rows, ["lead", "digest"])
+    a, b = cells.alias("a"), cells.alias("b")
+    reach = (100 + percent) * (F.col("a.dist") + F.col("b.dist") - 2 * F.least("a.s", "b.s")) <= (100 - percent) * (F.col("a.n") + F.col("b.n"))
+    met = a.join(b, (F.col("a.lead") == F.col("b.lead")) & (F.col("a.part") == F.col("b.part")) & (F.col("a.root") > F.col("b.root")) & reach)
+    apart = F.col("d") - 2 * F.col("shared")
+    counted = met.groupBy(F.col("a.lead").alias("lead"), F.col("a.digest").alias("u"), F.col("b.digest").alias("v")).agg(F.count("*").alias("shared"), F.first(F.col("a.dist") + F.col("b.dist")).alias("d"), F.first(F.col("a.n") + F.col("b.n")).alias("n"))
+    return counted.filter(100 * (F.col("n") - apart) >= percent * (F.col("n") + apart)).select("u", "v")
+
+
+def _joined_pairs(a: DataFrame, b: DataFrame, percent: int, triangle: bool) -> DataFrame:
+    """Pairs of rows of one column that no link joins yet, within the bounds; with distances to the column's leader, those they allow."""
+    a, b = a.alias("a"), b.alias("b")
+    on = (F.col("a.column") == F.col("b.column")) & (F.col("a.root") != F.col("b.root")) & _bound("a", "b", percent)
+    if triangle:
+        far = (100 + percent) * F.abs(F.col("a.dist") - F.col("b.dist")) > (100 - percent) * (F.col("a.n") + F.col("b.n"))
+        on &= ~F.coalesce(far, F.lit(False))
+    else:
+        on &= F.col("a.digest") > F.col("b.digest")
+    return a.join(b, on).select(F.greatest("a.digest", "b.digest").alias("u"), F.least("a.digest", "b.digest").alias("v"))
+
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 85, block_bytes: int = 4 << 20, rounds: int = 2) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id and n_set_links.
 
     Documents link when 100 * intersection >= percent * union of their sets of k-word shingles; A-Z
@@ -189,33 +242,44 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     parts = written(table.groupBy("block").cogroup(weights.groupBy("block")).applyInArrow(_rows(k, percent), _PARTS), "rows")
     local = parts.filter("column is null").select("digest", "n", "members", "body")
     nonempty = local.filter("digest is not null")
-    sets = nonempty.groupBy("digest").agg(F.min(F.array_min("members")).alias("least_id"), F.first("body", ignorenulls=True).alias("body"))
-    cells = written(parts.filter("column is not null").select("column", "digest", "n", "position", "least").distinct(), "cells")
-
-    def bound(a: str, b: str):
-        """Sizes, and what can still overlap after the first common column, allow the similarity."""
-        na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
-        rest = F.least(na - F.col(f"{a}.position"), nb - F.col(f"{b}.position"))
-        return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & ((100 + percent) * rest >= percent * (na + nb))
-
-    chain = W.partitionBy("column").orderBy("least", "n", "digest")
-    me = F.struct("digest", "n", "position")
-    next_to = cells.select(me.alias("a"), F.lead(me).over(chain).alias("b")).filter(F.col("b").isNotNull()).filter(bound("a", "b"))
-    ordered = [F.greatest("a.digest", "b.digest").alias("u"), F.least("a.digest", "b.digest").alias("v")]
-    pairs = written(next_to.select(*ordered).distinct(), "pairs")
-    links = written(_compared(pairs, sets, k, percent), "links")
-    roots = components(links)
-
-    named = cells.join(roots.withColumnRenamed("node", "digest"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
-    mixed = named.groupBy("column").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi").select("column")
-    open_cells = named.join(mixed, "column")
-    a, b = open_cells.alias("a"), open_cells.alias("b")
-    across = a.join(b, (F.col("a.column") == F.col("b.column")) & (F.col("a.root") > F.col("b.root")) & bound("a", "b")).select(*ordered).distinct()
-    more = written(_compared(across.join(pairs, ["u", "v"], "left_anti"), sets, k, percent), "links")
-    every = links.union(more)
+    sets = written(nonempty.groupBy("digest").agg(F.min(F.array_min("members")).alias("least_id"), F.first("body", ignorenulls=True).alias("body")), "sets")
+    left = written(parts.filter("column is not null").select("column", "digest", "n", "position").distinct(), "cells")
+
+    links, direct = None, []
+    for _ in range(rounds):
+        # each column's leader is the row with the fewest rarer columns; all rows are measured against it
+        lead = left.groupBy("column").agg(F.min(F.struct("position", "digest", "n")).alias("lead"), F.count("*").alias("rows")).filter("rows > 1")
+        cells = left.join(lead.select("column", "lead"), "column")
+        asked = cells.select(F.struct("digest", "n", "position").alias("me"), "lead").filter("me.digest != lead.digest").filter(_bound("me", "lead", percent))
+        measured = _measured(asked.select(F.col("lead.digest").alias("u"), F.col("me.digest").alias("v")).distinct(), sets, k, percent, "measured")
+        new = measured.filter("linked").select("u", "v")
+        links = new if links is None else links.union(new)
+        roots = components(links)
+        links = links.union(written(_near_links(measured, roots, percent), "links"))
+        dist = measured.select(F.col("u").alias("lead_digest"), F.col("v").alias("digest"), "dist", "near")
+        placed = _rooted(cells.withColumn("lead_digest", F.col("lead.digest")).join(dist, ["lead_digest", "digest"], "left"), roots, "digest")
+        own = F.col("digest") == F.col("lead_digest")
+        placed = placed.select("column", "digest", "n", "position", "root", F.when(own, 0).otherwise(F.col("dist")).alias("dist"), (own | F.coalesce("near", F.lit(False))).alias("near"))
+        far = placed.filter("not near")
+        if far.isEmpty():
+            left = None
+            break
+        placed = written(placed, "placed")
+        far = placed.filter("not near")
+        direct.append(_joined_pairs(placed.filter("near"), far, percent, True))
+        left = far.select("column", "digest", "n", "position")
+    if left is not None:
+        left = _rooted(left, roots, "digest")
+        direct.append(_joined_pairs(left, left, percent, False))
+    if direct:
+        pairs = direct[0]
+        for more in direct[1:]:
+            pairs = pairs.union(more)
+        links = links.union(_measured(pairs.distinct(), sets, k, percent, "measured").filter("linked").select("u", "v"))
+    every = written(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
     final = components(every)
 
-    root_of = sets.select("digest", "least_id").join(final.withColumnRenamed("node", "digest"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
+    root_of = _rooted(sets.select("digest", "least_id"), final, "digest")
     least = root_of.groupBy("root").agg(F.min("least_id").alias("component_id"))
     degree = every.select(F.col("u").alias("digest")).union(every.select(F.col("v").alias("digest"))).groupBy("digest").agg(F.count("*").alias("n_set_links"))
     named = root_of.join(least, "root").join(degree, "digest", "left").select("digest", "component_id", F.coalesce("n_set_links", F.lit(0)).alias("n_set_links"))
