@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import gc
 import hashlib
+from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
@@ -38,68 +39,76 @@ def suffix_array(text: list[int]) -> list[int]:
     front of their groups.
     """
     n = len(text)
-    order = sorted(range(n), key=text.__getitem__)
-    place, head, size = [0] * n, [0] * n, [0] * n
-    start, last = 0, -1
-    for i, s in enumerate(order):
-        if text[s] != last:
-            start, last = i, text[s]
-        place[s] = i
-        head[s] = start
-        size[start] += 1
+    values = np.array(text, np.int64)
+    first = np.argsort(values, kind="stable")
+    new = np.ones(n, bool)
+    new[1:] = values[first[1:]] != values[first[:-1]]
+    heads = np.flatnonzero(new)
+    counts = np.diff(heads, append=n)
+    by_suffix = np.empty(n, np.int64)
+    by_suffix[first] = np.repeat(heads, counts)
+    sizes = np.zeros(n, np.int64)
+    sizes[heads] = counts
+    places = np.empty(n, np.int64)
+    places[first] = np.arange(n)
+    order, place, head, size = first.tolist(), places.tolist(), by_suffix.tolist(), sizes.tolist()
     before = [-2] * n
     end = n - 1
     while end > 0:
-        start = head[order[end]]
+        s = order[end]
+        start = head[s]
         if start == end:
-            s = order[end]
             j = s - 1
-            while j >= 0 and head[j] > start:
+            while j >= 0:
+                g = head[j]
+                if g < start:
+                    k = size[g] - 1
+                    if k:
+                        e, p = g + k, place[j]
+                        if e != p:
+                            other = order[e]
+                            order[e], order[p] = j, other
+                            place[j], place[other] = e, p
+                        size[g], size[e], head[j] = k, 1, e
+                    break
                 j = before[j]
             before[s] = j
-            if j >= 0:
-                g = head[j]
-                k = size[g]
-                if k > 1:
-                    e, p = g + k - 1, place[j]
-                    other = order[e]
-                    order[e], order[p] = j, other
-                    place[j], place[other] = e, p
-                    size[g], size[e], head[j] = k - 1, 1, e
-            end = start - 1
+            end -= 1
             continue
-        members = sorted(order[start : end + 1])
+        members = order[start : end + 1]
+        members.sort()
         pointed: dict[int, int] = {}
         for s in members:
             j = s - 1
             while j >= 0:
-                h = head[j]
-                if h < start:
+                if head[j] < start:
                     pointed[j] = pointed.get(j, 0) + 1
                     break
                 j = before[j]
             before[s] = j
         if pointed:
             most = max(pointed.values())
-            levels: list[list[int]] = [[] for _ in range(most + 1)]
+            levels: list = [[] for _ in range(most + 1)]
             for j, times in pointed.items():
                 levels[times].append(j)
             for level in range(most, 0, -1):
                 touched: dict[int, int] = {}
                 for j in levels[level]:
                     g = head[j]
-                    size[g] -= 1
-                    e, p = g + size[g], place[j]
-                    other = order[e]
-                    order[e], order[p] = j, other
-                    place[j], place[other] = e, p
+                    k = size[g] - 1
+                    size[g] = k
+                    e, p = g + k, place[j]
+                    if e != p:
+                        other = order[e]
+                        order[e], order[p] = j, other
+                        place[j], place[other] = e, p
                     touched[g] = touched.get(g, 0) + 1
                 for g, moved in touched.items():
                     at = g + size[g]
                     size[at] = moved
                     if at != g:
-                        for i in range(at, at + moved):
-                            head[order[i]] = at
+                        for x in order[at : at + moved]:
+                            head[x] = at
         end = start - 1
     out = [-1] * n
     out[0] = n - 1
@@ -117,36 +126,55 @@ def suffix_array(text: list[int]) -> list[int]:
     return out
 
 
-def repeated_windows(contexts: list[bytes], firsts: list[tuple[int, int]], window: int = WINDOW) -> list[bytearray]:
+def repeated_windows(contexts: list[bytes], firsts: list[tuple[int, int]], grams: list[int], window: int = WINDOW) -> list[bytearray]:
     """For each context, by start of a window in it: 1 if an equal window starts earlier in any of them.
 
-    `firsts` has each context's document and its place there.
+    `firsts` has each context's document and its place there, `grams` where the gram first stands that
+    all windows hold. If it stands once in each context, what all contexts share around it is one
+    symbol of the sorted text: equal windows have it at the same place.
     """
+    out = [bytearray(len(c) - window + 1) for c in contexts]
     if len(contexts) == 1:
-        one = contexts[0]
-        n = len(one) - window + 1
+        one, n = contexts[0], len(out[0])
         if n <= SPAN and len({one[i : i + window] for i in range(n)}) == n:
-            return [bytearray(n)]
+            return out
+    gram = contexts[0][grams[0] : grams[0] + GRAM]
+    core = None
+    if all(c.find(gram, a + 1) < 0 for c, a in zip(contexts, grams, strict=True)):
+        before = len(commonprefix([c[:a][::-1] for c, a in zip(contexts, grams, strict=True)]))
+        after = len(commonprefix([c[a + GRAM :] for c, a in zip(contexts, grams, strict=True)]))
+        core = before + GRAM + after
     text: list[int] = []
     owner, at = [], []
     for c, context in enumerate(contexts):
-        n = len(context) - window + 1
-        owner += [c] * n + [-1] * window
-        at += range(n)
-        at += [0] * window
-        text += [b + 2 for b in context]
+        if core is None:
+            left, n = context, len(out[c])
+            right = b""
+        else:
+            left, right = context[: grams[c] - before], context[grams[c] + GRAM + after :]
+            n = min(len(left), len(out[c]))
+        text += [b + 2 for b in left]
+        owner += [c] * n + [-1] * (len(left) - n)
+        at += [*range(n), *[0] * (len(left) - n)]
+        if core is not None:
+            text.append(258)
+            owner.append(c)
+            at.append(-1)
+            text += [b + 2 for b in right]
         text.append(1)
+        owner += [-1] * (len(text) - len(owner))
+        at += [0] * (len(text) - len(at))
     text.append(0)
-    out = [bytearray(len(c) - window + 1) for c in contexts]
     run: list[tuple[int, int, int, int]] = []
-    value = None
-    for s in suffix_array(text):
-        if s >= len(owner):
-            continue
+    value, centre = None, []
+    for s in suffix_array(text)[1:]:
         c = owner[s]
         if c < 0:
             continue
         i = at[s]
+        if i < 0:
+            centre.append(c)
+            continue
         now = contexts[c][i : i + window]
         if now != value:
             if len(run) > 1:
@@ -156,9 +184,32 @@ def repeated_windows(contexts: list[bytes], firsts: list[tuple[int, int]], windo
         run.append((doc, start + i, c, i))
     if len(run) > 1:
         _mark(run, out)
+    if core is not None:
+        _centre_windows(contexts, firsts, [a - before for a in grams], core, centre, out, window)
     return out
 
 
+def _centre_windows(contexts, firsts, begins: list[int], core: int, order: list[int], out: list[bytearray], window: int) -> None:
+    """Windows that start in the shared middle: `order` sorts contexts by what follows it, so equal windows are neighbours there."""
+    for j in range(max(len(o) - b for o, b in zip(out, begins, strict=True))):
+        run: list[tuple[int, int, int, int]] = []
+        value, need = None, window - core + j
+        for c in order:
+            i = begins[c] + j
+            if i >= len(out[c]):
+                continue
+            tail = begins[c] + core
+            now = contexts[c][tail : tail + need] if need > 0 else b""
+            if now != value:
+                if len(run) > 1:
+                    _mark(run, out)
+                value, run = now, []
+            doc, start = firsts[c]
+            run.append((doc, start + i, c, i))
+        if len(run) > 1:
+            _mark(run, out)
+
+
 def _mark(run: list[tuple[int, int, int, int]], out: list[bytearray]) -> None:
     doc, start, _, _ = min(run)
     for d, s, c, i in run:
@@ -178,7 +229,7 @@ class _Block:
         self.counts = np.array([len(texts[i]) for i in order.tolist()], np.int64)
         self.ends = np.cumsum(self.counts)
         keys, starts, lengths = [], [], []
-        selected = []
+        selected, places = [], []
         # long blocks go in pieces, so that the arrays of hashes stay small
         step, n = 1 << 22, len(self.raw)
         good = B.starts_in(self.counts, WINDOW)
@@ -201,12 +252,14 @@ class _Block:
             low = np.where(valid, least, np.uint64(0))
             edge = np.zeros(SPAN - 1, np.uint64)
             most = B.sliding(np.concatenate([edge, low, edge]), SPAN, np.maximum)[: len(hashes)]
-            mine = hashes[hashes == most]
-            selected.append(mine)
+            mine = np.flatnonzero(hashes == most)
+            selected.append(hashes[mine])
+            places.append(mine + a)
         cat = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
         self.key = B.mix(cat(keys, np.uint64))
         self.start, self.length = cat(starts, np.int64), cat(lengths, np.int64)
-        self.distinct, times = np.unique(B.mix(cat(selected, np.uint64)), return_counts=True)
+        self.distinct, self.which, times = np.unique(B.mix(cat(selected, np.uint64)), return_inverse=True, return_counts=True)
+        self.place = cat(places, np.int64)
         self.twice = times > 1
 
     @staticmethod
@@ -220,19 +273,23 @@ class _Block:
             out, have, base = higher, have * 2, base * base & 0xFFFFFFFFFFFFFFFF
         return np.maximum(B.mix(out), np.uint64(1))
 
-    def occurrences(self, shared: np.ndarray) -> dict[bytes, list[int]]:
-        """Runs of windows of a shared gram, by their bytes; first the earliest."""
-        out: dict[bytes, list[int]] = {}
+    def grams(self, runs: np.ndarray) -> np.ndarray:
+        """Where in each run's surroundings its gram first stands."""
+        shift = np.uint64(32)
+        known = np.sort((self.which.astype(np.uint64) << shift) | self.place.astype(np.uint64))
+        asked = (np.searchsorted(self.distinct, self.key[runs]).astype(np.uint64) << shift) | self.start[runs].astype(np.uint64)
+        found = known[np.searchsorted(known, asked)] & np.uint64(0xFFFFFFFF)
+        return found.astype(np.int64) - self.start[runs]
+
+    def asked(self, shared: np.ndarray, buckets: int) -> list[tuple[int, list[tuple[bytes, list[int]]]]]:
+        """Distinct surroundings of shared grams, by bucket, each with the runs of windows that have them, the earliest first."""
+        contexts: dict[bytes, list[int]] = {}
         if len(self.key):
             mine = np.flatnonzero(shared[np.searchsorted(self.distinct, self.key)])
             for i, a, n in zip(mine.tolist(), self.start[mine].tolist(), self.length[mine].tolist(), strict=True):
-                out.setdefault(self.raw[a : a + n + WINDOW - 1], []).append(i)
-        return out
-
-    def asked(self, shared: np.ndarray, buckets: int) -> list[tuple[int, list[tuple[bytes, list[int]]]]]:
-        """Distinct surroundings with their runs, by bucket."""
+                contexts.setdefault(self.raw[a : a + n + WINDOW - 1], []).append(i)
         by: dict[int, list] = {}
-        for context, runs in self.occurrences(shared).items():
+        for context, runs in contexts.items():
             by.setdefault(int(self.key[runs[0]]) * buckets >> 64, []).append((context, runs))
         return sorted(by.items())
 
@@ -250,6 +307,10 @@ def _ask_grams(buckets: int):
     return run
 
 
+#: The bucket of a block's note to itself: its runs in the order asked.
+OWN = -1
+
+
 def _ask_windows(buckets: int):
     def run(blocks: pa.Table, answers: pa.Table) -> pa.Table:
         gc.disable()
@@ -258,11 +319,19 @@ def _ask_windows(buckets: int):
             mine = _Block(names, texts)
             doc_of = np.searchsorted(mine.ends, mine.start, side="right")
             begin = mine.ends - mine.counts
+            counts, order, notes = [], [], []
             for bucket, asked in mine.asked(B.answers_of(answers), buckets):
                 first = np.array([runs[0] for _, runs in asked], np.int64)
                 doc = doc_of[first]
-                head = np.stack([mine.key[first].view(np.int64), mine.ids[doc], mine.start[first] - begin[doc], np.array([len(c) for c, _ in asked], np.int64)])
+                head = np.stack([mine.key[first].view(np.int64), mine.ids[doc], mine.start[first] - begin[doc], mine.grams(first), np.array([len(c) for c, _ in asked], np.int64)])
                 out.append((block, bucket, pack.compress(len(asked).to_bytes(8, "little") + head.astype("<i8").tobytes() + b"".join(c for c, _ in asked))))
+                notes += [bucket, len(asked)]
+                for _, runs in asked:
+                    counts.append(len(runs))
+                    order += runs
+            at = np.array(order, np.int64)
+            note = (np.array(notes, "<i8"), np.array(counts, "<i4"), mine.start[at].astype("<i8"), mine.length[at].astype("<i4"))
+            out.append((block, OWN, B.joined_body(*(pack.compress(x.tobytes()) for x in note))))
         return B.table_of(out, B.MESSAGES)
 
     return run
@@ -277,23 +346,23 @@ def _find_repeats(rows: pa.Table) -> pa.Table:
     for r, body in enumerate(rows.column("body").to_pylist()):
         raw = unpack.decompress(body)
         n = int.from_bytes(raw[:8], "little")
-        key, doc, start, size = np.frombuffer(raw, "<i8", 4 * n, 8).reshape(4, n).tolist()
-        at = 8 + 32 * n
+        key, doc, start, gram, size = np.frombuffer(raw, "<i8", 5 * n, 8).reshape(5, n).tolist()
+        at = 8 + 40 * n
         counts.append(n)
         for i in range(n):
             context = raw[at : at + size[i]]
             at += size[i]
-            groups.setdefault(key[i], {}).setdefault(context, []).append((doc[i], start[i], r, i))
+            groups.setdefault(key[i], {}).setdefault(context, []).append((doc[i], start[i], r, i, gram[i]))
     answers: list[list[bytes]] = [[b""] * n for n in counts]
     for group in groups.values():
         firsts = [min(places) for places in group.values()]
-        found = repeated_windows(list(group), [f[:2] for f in firsts])
+        found = repeated_windows(list(group), [f[:2] for f in firsts], [f[4] for f in firsts])
         for places, first, marks in zip(group.values(), firsts, found, strict=True):
-            for doc, start, r, i in places:
+            for doc, start, r, i, _ in places:
                 if (doc, start) != first[:2]:
                     answers[r][i] = b"\1"
                 else:
-                    answers[r][i] = b"\0" + np.packbits(np.frombuffer(marks, np.uint8)).tobytes()
+                    answers[r][i] = b"\0" + np.packbits(np.frombuffer(marks, np.uint8)).tobytes() if any(marks) else b"\0"
     pack = zstandard.ZstdCompressor(level=1)
     return pa.table([rows.column("block"), rows.column("bucket"), pa.array([pack.compress(B.joined_body(*a)) for a in answers], pa.binary())], names=["block", "bucket", "body"])
 
@@ -301,41 +370,39 @@ def _find_repeats(rows: pa.Table) -> pa.Table:
 _OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_bytes binary"
 
 
-def _cut(buckets: int, with_bytes: bool):
+def _cut(with_bytes: bool):
     def run(blocks: pa.Table, answers: pa.Table) -> pa.Table:
         gc.disable()
         unpack, out = zstandard.ZstdDecompressor(), []
-        kind = np.array(answers.column("bucket").to_pylist(), np.int64) >= buckets
-        grams = answers.filter(pa.array(kind))
-        windows = answers.filter(pa.array(~kind))
-        bodies = dict(zip(windows.column("bucket").to_pylist(), windows.column("body").to_pylist(), strict=True))
+        bodies = dict(zip(answers.column("bucket").to_pylist(), answers.column("body").to_pylist(), strict=True))
+        note = [unpack.decompress(x) for x in B.split_body(bodies[OWN])]
+        asked, counts, starts, lengths = (np.frombuffer(x, k) for x, k in zip(note, ("<i8", "<i4", "<i8", "<i4"), strict=True))
+        marks = [body for bucket in asked[::2].tolist() for body in B.split_body(unpack.decompress(bodies[bucket]))]
         for _, names, texts in B.opened(blocks):
-            mine = _Block(names, texts)
-            change = np.zeros(len(mine.raw) + 1, np.int32)
-            whole, single = [], []
-            for bucket, asked in mine.asked(B.answers_of(grams), buckets):
-                for (_, runs), body in zip(asked, B.split_body(unpack.decompress(bodies[bucket])), strict=True):
-                    whole += runs[1:]
-                    if body[0]:
-                        whole.append(runs[0])
-                    elif any(body[1:]):
-                        marks = np.unpackbits(np.frombuffer(body, np.uint8, offset=1))
-                        single.append(np.flatnonzero(marks) + mine.start[runs[0]])
-            at = np.array(whole, np.int64)
-            np.add.at(change, mine.start[at], 1)
-            np.add.at(change, mine.start[at] + mine.length[at] + WINDOW - 1, -1)
-            if single:
-                start = np.concatenate(single)
-                np.add.at(change, start, 1)
-                np.add.at(change, start + WINDOW, -1)
+            ids = B.ids_of(names)
+            order = np.argsort(ids, kind="stable").tolist()
+            raw = b"".join(texts[i] for i in order)
+            change = np.zeros(len(raw) + 1, np.int32)
+            first = np.cumsum(counts) - counts
+            # later runs of the same surroundings go whole, the first where an earlier one is known or by its windows
+            whole = np.ones(len(starts), bool)
+            whole[first] = [m[0] == 1 for m in marks]
+            np.add.at(change, starts[whole], 1)
+            np.add.at(change, starts[whole] + lengths[whole] + WINDOW - 1, -1)
+            for m, a in zip(marks, starts[first].tolist(), strict=True):
+                if len(m) > 1:
+                    at = np.flatnonzero(np.unpackbits(np.frombuffer(m, np.uint8, offset=1))) + a
+                    np.add.at(change, at, 1)
+                    np.add.at(change, at + WINDOW, -1)
             removed = np.cumsum(change[:-1]) > 0
-            raw = np.frombuffer(mine.raw, np.uint8)
-            for name, a, b in zip(mine.names, (mine.ends - mine.counts).tolist(), mine.ends.tolist(), strict=True):
+            view, b = np.frombuffer(raw, np.uint8), 0
+            for i in order:
+                a, b = b, b + len(texts[i])
                 off = removed[a:b]
                 n = int(off.sum())
-                kept = raw[a:b][~off].tobytes() if n else mine.raw[a:b]
+                kept = view[a:b][~off].tobytes() if n else texts[i]
                 spans = int((off[1:] & ~off[:-1]).sum() + off[0]) if n else 0
-                out.append((name, b - a, n, spans, hashlib.sha256(kept).hexdigest(), kept if with_bytes else None))
+                out.append((names[i], b - a, n, spans, hashlib.sha256(kept).hexdigest(), kept if with_bytes else None))
         return B.table_of(out, _OUT)
 
     return run
@@ -352,10 +419,9 @@ def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str
     table = B.pack_blocks(docs, id_col, text_col, block_bytes, "suffix")
     buckets = B.bucket_count(table, 8 << 20)
     grams = written(B.shared_keys(table.mapInArrow(_ask_grams(buckets), B.MESSAGES)), "grams")
-    asked = table.groupBy("block").cogroup(grams.groupBy("block")).applyInArrow(_ask_windows(buckets), B.MESSAGES)
-    found = asked.groupBy("bucket").applyInArrow(_find_repeats, B.MESSAGES)
-    both = found.union(grams.selectExpr("block", f"bucket + {buckets} as bucket", "body"))
-    out = table.groupBy("block").cogroup(both.groupBy("block")).applyInArrow(_cut(buckets, with_bytes), _OUT)
+    asked = written(table.groupBy("block").cogroup(grams.groupBy("block")).applyInArrow(_ask_windows(buckets), B.MESSAGES), "windows")
+    found = asked.filter(f"bucket <> {OWN}").groupBy("bucket").applyInArrow(_find_repeats, B.MESSAGES)
+    out = table.groupBy("block").cogroup(found.union(asked.filter(f"bucket = {OWN}")).groupBy("block")).applyInArrow(_cut(with_bytes), _OUT)
     return out if with_bytes else out.drop("kept_bytes")
 
 
