@@ -48,9 +48,9 @@ def _let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def _dot_gradient(h: Column, x: Column, y: Column, z: Column) -> Column:
-    table = F.array(*[F.struct(*[F.lit(float(c)).alias(n) for c, n in zip(g, "xyz", strict=True)]) for g in GRADIENTS])
-    return _let(F.element_at(table, (h.bitwiseAND(F.lit(15).cast("long")) + 1).cast("int")), lambda g: g["x"] * x + g["y"] * y + g["z"] * z)
+def _gradient(axis: int, h: Column) -> Column:
+    """One component of the direction that a hash chooses."""
+    return F.element_at(F.array(*[F.lit(float(g[axis])) for g in GRADIENTS]), (h.bitwiseAND(F.lit(15).cast("long")) + 1).cast("int"))
 
 
 def _cell(x, y, z) -> Column:
@@ -62,24 +62,22 @@ def _cell(x, y, z) -> Column:
 
 
 def perlin(x, y, z) -> Column:
-    """Gradient noise around 0.5."""
+    """Gradient noise around 0.5: the eight corners of the cell, weighted by a quintic fade along each axis.
 
-    def at(c):
-        def fade(t):
-            return t * t * t * (t * (t * 6.0 - 15.0) + 10.0)
-
-        def corner(dx, dy, dz):
-            return _dot_gradient(hash3(c["ix"] + dx, c["iy"] + dy, c["iz"] + dz), c["fx"] - float(dx), c["fy"] - float(dy), c["fz"] - float(dz))
+    Corners are elements of one array, so that the expression holds one corner, not eight.
+    """
 
-        corners = [corner(dx, dy, dz) for dz in (0, 1) for dy in (0, 1) for dx in (0, 1)]
+    def weight(t: Column, d: Column) -> Column:
+        fade = t * t * t * (t * (t * 6.0 - 15.0) + 10.0)
+        return F.when(d == 1, fade).otherwise(1.0 - fade)
 
-        def blend(n):
-            u, v, w = fade(c["fx"]), fade(c["fy"]), fade(c["fz"])
-            rows = [n[i] + u * (n[i + 1] - n[i]) for i in (0, 2, 4, 6)]
-            sides = [rows[i] + v * (rows[i + 1] - rows[i]) for i in (0, 2)]
-            return 0.5 + 0.5 * (sides[0] + w * (sides[1] - sides[0]))
+    def at(c):
+        def corner(i):
+            d = [i.bitwiseAND(F.lit(1)), F.shiftright(i, 1).bitwiseAND(F.lit(1)), F.shiftright(i, 2)]
+            share = weight(c["fx"], d[0]) * weight(c["fy"], d[1]) * weight(c["fz"], d[2])
+            return _let(hash3(c["ix"] + d[0], c["iy"] + d[1], c["iz"] + d[2]), lambda h: share * (_gradient(0, h) * (c["fx"] - d[0]) + _gradient(1, h) * (c["fy"] - d[1]) + _gradient(2, h) * (c["fz"] - d[2])))
 
-        return _let(F.array(*corners), blend)
+        return 0.5 + 0.5 * F.aggregate(F.transform(F.sequence(F.lit(0), F.lit(7)), corner), F.lit(0.0), lambda total, v: total + v)
 
     return _let(_cell(x, y, z), at)
 
@@ -118,23 +116,27 @@ def worley_squared(x, y, z) -> Column:
     return 1.0 - nearest_squared(x, y, z)
 
 
-def fbm(noise, x, y, z, octaves: int, centre: float = 0.5) -> Column:
-    """Octaves of a noise around 0.5: each halves the amplitude and doubles the frequency."""
-    total = F.lit(centre)
-    for i in range(octaves):
-        k = float(1 << i)
-        total = total + (noise(col(x) * k, col(y) * k, col(z) * k) - 0.5) * (0.5 / k)
-    return total
+def _octaves(noise, x, y, z, octaves: int, shift: float) -> Column:
+    """Sum of octaves of a noise less a shift: each halves the amplitude and doubles the frequency."""
+
+    def add(p):
+        def one(total, i):
+            k = F.pow(F.lit(2.0), i)
+            return total + (noise(p["x"] * k, p["y"] * k, p["z"] * k) - shift) * (0.5 / k)
+
+        return F.aggregate(F.sequence(F.lit(0), F.lit(octaves - 1)), F.lit(0.0), one)
+
+    return _let(F.struct(col(x).alias("x"), col(y).alias("y"), col(z).alias("z")), add)
+
+
+def fbm(noise, x, y, z, octaves: int) -> Column:
+    """Octaves of a noise around 0.5."""
+    return _octaves(noise, x, y, z, octaves, 0.5) + 0.5
 
 
 def fbm_normal(noise, x, y, z, octaves: int) -> Column:
     """The older form: octaves of the noise itself, divided by the sum of amplitudes."""
-    total, amplitudes = F.lit(0.0), 0.0
-    for i in range(octaves):
-        k = float(1 << i)
-        total = total + noise(col(x) * k, col(y) * k, col(z) * k) * (0.5 / k)
-        amplitudes += 0.5 / k
-    return total / amplitudes
+    return _octaves(noise, x, y, z, octaves, 0.0) / (1.0 - 0.5**octaves)
 
 
 def worley_saturating(x, y, z) -> Column:

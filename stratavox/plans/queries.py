@@ -1,11 +1,13 @@
-"""Queries over the driver tables, by name, with their SQL."""
+"""All queries over the driver tables, by name, with their SQL, and the flagship."""
 
 from __future__ import annotations
 
+from . import base, q_functions  # noqa: F401
+
 
 def queries() -> dict:
-    return {}
+    return dict(base.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(base.SQL)
