@@ -21,7 +21,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import partitions, texts, written
+from .common import partitions, texts, written_by_key
 from .tokens import engine, ranks_of, word_chunks
 
 _BLOCKS = "block long, doc_ids array<long>, counts array<int>, words binary, buckets binary, bucket int, asked binary"
@@ -177,7 +177,7 @@ def encode_decode(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "do
     """
     data = docs.sparkSession.sparkContext.broadcast(ranks)
     n = partitions(docs)
-    blocks = written(texts(docs, id_col, text_col).mapInArrow(_blocks(pattern, n, block_chars), _BLOCKS), "bpe")
+    blocks = written_by_key(texts(docs, id_col, text_col).mapInArrow(_blocks(pattern, n, block_chars), _BLOCKS), "bpe", "block", n)
     asked = blocks.filter("bucket is not null").select("block", "bucket", "asked")
     answers = asked.repartition(n, "bucket").mapInArrow(_answers(data, pattern), "block long, bucket int, ids binary")
     whole = blocks.filter("bucket is null").select("block", "doc_ids", "counts", "words", "buckets")
