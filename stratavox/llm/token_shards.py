@@ -10,7 +10,6 @@ that are missing.
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import struct
 import zlib
@@ -22,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts, written
+from .common import lean, texts, written
 from .tokens import token_stream
 
 ROUNDS = 6
@@ -75,7 +74,6 @@ _SEQUENCES = "part int, local long, n_tokens int, width int, ids binary"
 
 def _sequences(data, pattern: str, eos: int, length: int):
     def run(batches):
-        gc.disable()
         pack, part, made = zstandard.ZstdCompressor(level=1), TaskContext.get().partitionId(), 0
         left = np.zeros(0, np.uint32)
 
@@ -97,7 +95,7 @@ def _sequences(data, pattern: str, eos: int, length: int):
         if len(left):
             yield table([left])
 
-    return run
+    return lean(run)
 
 
 def token_sequences(docs: DataFrame, ranks: bytes, pattern: str, eos: int, length: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -112,7 +110,8 @@ def token_sequences(docs: DataFrame, ranks: bytes, pattern: str, eos: int, lengt
         total += n
     spark = docs.sparkSession
     offsets = spark.createDataFrame(before, "part int, before long")
-    return cut.join(offsets, "part").select((F.col("before") + F.col("local")).alias("index"), "n_tokens", "width", "ids", F.lit(total).cast("long").alias("n"))
+    # as many rows as the input has partitions: a few bytes each, whatever the texts
+    return cut.join(F.broadcast(offsets), "part").select((F.col("before") + F.col("local")).alias("index"), "n_tokens", "width", "ids", F.lit(total).cast("long").alias("n"))
 
 
 _SHARDS = "shard_id long, first_slot long, n_slots int, stride int, payload_crc32 long, payload binary"
