@@ -41,8 +41,9 @@ def bspline_weights(t) -> list[Column]:
     return [u * u * u / 6.0, (4.0 - 6.0 * t * t + 3.0 * t * t * t) / 6.0, (4.0 - 6.0 * u * u + 3.0 * u * u * u) / 6.0, t * t * t / 6.0]
 
 
-def _slope(rise: Column, run: Column, least: float = 1e-3) -> Column:
-    return F.when(run > least, F.try_divide(rise, run)).otherwise(0.0)
+def let(value: Column, body) -> Column:
+    """body(value), with the value computed once: it is the only element of an array."""
+    return F.transform(F.array(value), body)[0]
 
 
 def monotone_tangent(h_left, h_right, s_left, s_right) -> Column:
@@ -55,19 +56,29 @@ def pchip(z: list, v: list, at) -> Column:
     """Monotone cubic through the middle two of four nodes, heights descending; the outer two give the slopes.
 
     Nodes that coincide give the upper value. Tangents that would overshoot are scaled back
-    (Fritsch and Carlson 1980).
+    (Fritsch and Carlson 1980). Each step is named, so that the expression doesn't grow with its uses.
     """
-    z, v, at = [col(x) for x in z], [col(x) for x in v], col(at)
-    h = [z[i] - z[i + 1] for i in range(3)]
-    s1 = F.try_divide(v[1] - v[2], h[1])
-    s0, s2 = _slope(v[0] - v[1], h[0]), _slope(v[2] - v[3], h[2])
-    up, down = monotone_tangent(h[0], h[1], s0, s1), monotone_tangent(h[1], h[2], s1, s2)
-    steep = F.sqrt(up * up + down * down)
-    limit = F.when((F.abs(s1) > 1e-10) & (steep > 3.0 * F.abs(s1)), F.try_divide(3.0 * F.abs(s1), steep)).otherwise(1.0)
-    t = F.try_divide(z[1] - at, h[1])
-    u = 1.0 - t
-    value = u * u * (1.0 + 2.0 * t) * v[1] + t * t * (3.0 - 2.0 * t) * v[2] - h[1] * limit * (t * u * u * up - t * t * u * down)
-    return F.when(F.abs(h[1]) < 1e-3, v[1]).otherwise(value)
+    names = {f"z{i}": col(x) for i, x in enumerate(z)} | {f"v{i}": col(x) for i, x in enumerate(v)} | {"at": col(at)}
+    nodes = F.struct(*[x.cast("double").alias(k) for k, x in names.items()])
+
+    def slopes(n):
+        h = [n[f"z{i}"] - n[f"z{i + 1}"] for i in range(3)]
+        outer = lambda i: F.when(h[i] > 1e-3, F.try_divide(n[f"v{i}"] - n[f"v{i + 1}"], h[i])).otherwise(0.0)
+        parts = {"h0": h[0], "h1": h[1], "h2": h[2], "s0": outer(0), "s1": F.try_divide(n["v1"] - n["v2"], h[1]), "s2": outer(2), "t": F.try_divide(n["z1"] - n["at"], h[1]), "v1": n["v1"], "v2": n["v2"]}
+        return let(F.struct(*[x.alias(k) for k, x in parts.items()]), tangents)
+
+    def tangents(p):
+        ends = F.struct(monotone_tangent(p["h0"], p["h1"], p["s0"], p["s1"]).alias("up"), monotone_tangent(p["h1"], p["h2"], p["s1"], p["s2"]).alias("down"))
+        return let(ends, lambda m: _hermite(p, m))
+
+    def _hermite(p, m):
+        steep = F.sqrt(m["up"] * m["up"] + m["down"] * m["down"])
+        limit = F.when((F.abs(p["s1"]) > 1e-10) & (steep > 3.0 * F.abs(p["s1"])), F.try_divide(3.0 * F.abs(p["s1"]), steep)).otherwise(1.0)
+        t, u = p["t"], 1.0 - p["t"]
+        value = u * u * (1.0 + 2.0 * t) * p["v1"] + t * t * (3.0 - 2.0 * t) * p["v2"] - p["h1"] * limit * (t * u * u * m["up"] - t * t * u * m["down"])
+        return F.when(F.abs(p["h1"]) < 1e-3, p["v1"]).otherwise(value)
+
+    return let(nodes, slopes)
 
 
 def pchip_plain(z: list, v: list, at) -> Column:

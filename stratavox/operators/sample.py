@@ -60,9 +60,9 @@ def sample_material(points: DataFrame, columns: DataFrame, nx: int, ny: int, key
     """
     near = stencil_16(points, nx, ny).join(columns.select("iy", "ix", "hhl", *FIELDS), ["iy", "ix"])
     h, hhl = F.col("height"), F.col("hhl")
-    near = near.withColumn("k", full_level(hhl, h))
+    near = near.withColumn("_level", full_level(hhl, h))
     # centres beyond either end come from half levels that repeat, as clamped reads do
-    k = F.col("k")
+    k = F.col("_level")
     centre = lambda i: (_at(hhl, k + i) + _at(hhl, k + i + 1)) / 2
     near = near.withColumn("centres", F.array(*[centre(i) for i in (-1, 0, 1, 2)]))
     valid = (h < _at(hhl, F.lit(0))) & (h >= _at(hhl, F.size(hhl) - 1))
@@ -83,9 +83,9 @@ def sample_turbulence(points: DataFrame, columns: DataFrame, nx: int, ny: int, k
     """tke at points from half levels, the height held above the ground; columns whose top is below are left out."""
     near = stencil_16(points, nx, ny).join(columns.select("iy", "ix", "hhl", "tke"), ["iy", "ix"])
     h, hhl = F.col("height"), F.col("hhl")
-    near = near.withColumn("k", half_level(hhl, h)).withColumn("asked", F.greatest(h, _at(hhl, F.size(hhl) - 1)))
+    near = near.withColumn("_level", half_level(hhl, h)).withColumn("asked", F.greatest(h, _at(hhl, F.size(hhl) - 1)))
     valid = h < _at(hhl, F.lit(0))
-    value = _interpolated(F.col("tke"), hhl, F.col("k"), F.col("asked"))
+    value = _interpolated(F.col("tke"), hhl, F.col("_level"), F.col("asked"))
     sums = near.groupBy(*keys).agg(F.sum(F.when(valid, value * F.col("weight")).otherwise(0.0)).alias("tke"), F.sum(F.when(valid, F.col("weight")).otherwise(0.0)).alias("w"))
     return sums.select(*keys, F.greatest(F.when(F.col("w") > 1e-5, F.col("tke") / F.col("w")).otherwise(F.col("tke")), F.lit(0.0)).alias("tke"))
 

@@ -7,6 +7,7 @@ import math
 import struct
 
 import numpy as np
+import pandas as pd
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -179,8 +180,6 @@ _CONTENT = "path string, format string, width int, height int, depth int, levels
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """Containers under a path, one row each. Files are dealt by Spark; each is parsed where it is read."""
-    import pandas as pd
-
     ship(spark)
     columns = [x.split()[0] for x in _CONTENT.split(", ")]
 
@@ -197,8 +196,6 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 def containers(tiles: DataFrame, name: str, width: int, height: int, depth: int, compress: bool = True, flat: bool = False) -> DataFrame:
     """Rows (key columns, mips array<binary>, metadata map) with their container as `content`; block payloads or texels as bytes."""
-    import pandas as pd
-
     ship(tiles.sparkSession)
     f = FORMATS[name]
 
