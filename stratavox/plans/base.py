@@ -179,7 +179,7 @@ TILESETS_SQL = """tilesets AS (
   SELECT o_orderkey AS seq, strftime(run_ts, '%Y%m%d%H') || '_' || lpad(CAST(step AS VARCHAR), 3, '0') AS folder, strftime(run_ts, '%Y%m%d%H') AS run_str,
     step, strftime(run_ts + step * INTERVAL 1 HOUR, '%Y%m%d%H') AS target_str, run_ts, run_ts + step * INTERVAL 1 HOUR AS target_ts,
     CASE o_orderkey % 5 WHEN 0 THEN 'pending' WHEN 1 THEN 'fetching' WHEN 2 THEN 'failed' ELSE 'ready' END AS status,
-    CAST(o_totalprice AS BIGINT) AS size, CASE WHEN o_custkey % 3 > 0 THEN o_custkey % 10 END AS maintenance_id, o_orderkey % 7 > 2 AS timed
+    CAST(floor(o_totalprice) AS BIGINT) AS size, CASE WHEN o_custkey % 3 > 0 THEN o_custkey % 10 END AS maintenance_id, o_orderkey % 7 > 2 AS timed
   FROM (SELECT *, CAST(o_custkey % 16 * 3 AS INT) AS step,
     TIMESTAMP '1995-06-13 00:00:00' + ((o_orderkey % 24) * 3) * INTERVAL 1 HOUR AS run_ts FROM orders))"""
 
@@ -213,7 +213,7 @@ def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Folders on disk, one per event user and hour.
 DISK_SQL = """disk AS (
-  SELECT strftime(run_ts, '%Y%m%d%H') || '_' || lpad(CAST(step AS VARCHAR), 3, '0') AS folder, run_ts, step, bool_or(event_id % 4 > 0) AS ready
+  SELECT strftime(run_ts, '%Y%m%d%H') || '_' || lpad(CAST(step AS VARCHAR), 3, '0') AS folder, run_ts, step, bool_and(event_id % 10 > 0) AS ready
   FROM (SELECT event_id, CAST(user_id % 16 * 3 AS INT) AS step, TIMESTAMP '1995-06-13 00:00:00' + ((event_id % 24) * 3) * INTERVAL 1 HOUR AS run_ts FROM events WHERE event_id % 3 = 0)
   GROUP BY ALL)"""
 
@@ -224,7 +224,7 @@ def disk(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").filter("event_id % 3 = 0")
     run = F.lit("1995-06-13 00:00:00").cast("timestamp") + F.make_dt_interval(hours=((F.col("event_id") % 24) * 3).cast("int"))
     named = e.select("event_id", run.alias("run_ts"), (F.col("user_id") % 16 * 3).cast("int").alias("step"))
-    folders = named.groupBy("run_ts", "step").agg(F.bool_or(F.col("event_id") % 4 > 0).alias("ready"))
+    folders = named.groupBy("run_ts", "step").agg(F.bool_and(F.col("event_id") % 10 > 0).alias("ready"))
     return folders.select(text.folder(text.run_text("run_ts"), "step").alias("folder"), "run_ts", "step", "ready")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import base, q_functions, q_volume  # noqa: F401
+from . import base, q_catalog, q_functions, q_volume  # noqa: F401
 from .q_volume import flagship  # noqa: F401
 
 
