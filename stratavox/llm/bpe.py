@@ -10,7 +10,6 @@
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import zlib
 
@@ -21,7 +20,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import partitions, texts, written_by_key
+from .common import lean, lean_cogroup, partitions, texts, written_by_key
 from .tokens import engine, ranks_of, word_chunks
 
 _BLOCKS = "block long, doc_ids array<long>, counts array<int>, words binary, buckets binary, bucket int, asked binary"
@@ -39,7 +38,6 @@ def _from_planes(blob: bytes, unpack) -> np.ndarray:
 
 def _blocks(pattern: str, buckets: int, block_chars: int):
     def run(batches):
-        gc.disable()
         pack, block = zstandard.ZstdCompressor(level=3), TaskContext.get().partitionId() << 32
         for names, words, counts in word_chunks(batches, pattern, block_chars):
             coded = words.dictionary_encode()
@@ -63,14 +61,13 @@ def _blocks(pattern: str, buckets: int, block_chars: int):
             kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.int32(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], [x.split()[0] for x in _BLOCKS.split(", ")])
 
-    return run
+    return lean(run)
 
 
 def _answers(data, pattern: str):
     """For each (block, bucket, asked words): the ids of the words, in the order asked; a word is encoded once per bucket."""
 
     def run(batches):
-        gc.disable()
         pack, unpack = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
         encode = engine(data.value, pattern)._core_bpe.encode_single_piece
         known: dict[bytes, bytes] = {}
@@ -96,7 +93,7 @@ def _answers(data, pattern: str):
                 out.append(n.to_bytes(4, "little") + _planes(np.concatenate([lengths, np.frombuffer(b"".join(ids), "<u4")]), pack))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["block", "bucket", "ids"])
 
-    return run
+    return lean(run)
 
 
 _OUT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -152,7 +149,7 @@ def _assemble(data):
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.string()]
         return pa.table([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=[x.split()[0] for x in _OUT.split(", ")])
 
-    return run
+    return lean_cogroup(run)
 
 
 def _bytes_of(values: pa.Array) -> memoryview:

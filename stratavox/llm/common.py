@@ -1,14 +1,16 @@
-"""What the corpus operators share: written intermediate tables and input columns."""
+"""What the corpus operators share: written intermediate tables, input columns, and task functions without cycle collection."""
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
 from ..storage import shared_dir, written, written_by_key
 
-__all__ = ["SPACE", "partitions", "shared_dir", "texts", "written", "written_by_key"]
+__all__ = ["SPACE", "lean", "lean_cogroup", "lean_group", "partitions", "shared_dir", "texts", "written", "written_by_key"]
 
 #: ASCII white space of the contracts, `[\x20\x09-\x0D]`; bytes.split() and bytes.strip() use the same set.
 SPACE = b" \t\n\x0b\x0c\r"
@@ -24,3 +26,46 @@ def texts(docs: DataFrame, id_col: str, text_col: str, binary: bool = False) ->
 def partitions(df: DataFrame) -> int:
     """Reducers for exchanges with an explicit count: those of the session, which grow with the input it was sized for."""
     return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def lean(f):
+    """A function of batches that runs without cycle collection, which scans the many small objects of a task again and again.
+
+    Workers are reused, so collection is on again, and done once, when the task ends.
+    """
+
+    def run(batches):
+        gc.disable()
+        try:
+            yield from f(batches)
+        finally:
+            gc.enable()
+            gc.collect()
+
+    return run
+
+
+def lean_group(f):
+    """The same for a function of one group."""
+
+    def run(rows):
+        gc.disable()
+        try:
+            return f(rows)
+        finally:
+            gc.enable()
+
+    return run
+
+
+def lean_cogroup(f):
+    """The same for a function of two groups."""
+
+    def run(left, right):
+        gc.disable()
+        try:
+            return f(left, right)
+        finally:
+            gc.enable()
+
+    return run

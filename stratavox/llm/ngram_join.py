@@ -15,7 +15,6 @@ with those that the triangle inequality allows, and choose a leader of their own
 
 from __future__ import annotations
 
-import gc
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +25,7 @@ from pyspark.sql import functions as F
 
 from ..operators.components import components
 from . import blocks as B
-from .common import written
+from .common import lean, lean_cogroup, written
 
 #: Bits of a shingle's hash that are dropped where columns are counted; a clash only alters the order.
 _DROP = 20
@@ -78,7 +77,6 @@ class _Sets:
 
 def _ask_weights(k: int, buckets: int):
     def run(batches):
-        gc.disable()
         pack = zstandard.ZstdCompressor(level=1)
         for batch in batches:
             for i in range(batch.num_rows):
@@ -88,7 +86,7 @@ def _ask_weights(k: int, buckets: int):
                     edges = B.by_bucket(mine.column << np.uint64(_DROP), buckets)
                     yield B.batch_of([(block, q, B.joined_body(B.coded(mine.column[a:b], pack), pack.compress(times[a:b].tobytes()))) for q, a, b in edges], B.MESSAGES)
 
-    return run
+    return lean(run)
 
 
 def _weights(rows: pa.Table) -> pa.Table:
@@ -116,7 +114,6 @@ _KINDS = [pa.binary(), pa.int32(), pa.list_(pa.int64()), pa.binary(), pa.int64()
 
 def _rows(k: int, percent: int):
     def run(blocks: pa.Table, answers: pa.Table) -> pa.Table:
-        gc.disable()
         unpack, pack = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=3)
         parts = sorted(zip(answers.column("bucket").to_pylist(), answers.column("body").to_pylist(), strict=True))
         weight = np.frombuffer(b"".join(unpack.decompress(b) for _, b in parts), np.uint8)
@@ -141,7 +138,7 @@ def _rows(k: int, percent: int):
         cols = list(zip(*out, strict=True)) or [()] * 6
         return pa.table([pa.array(c, kind) for c, kind in zip(cols, _KINDS, strict=True)], names=[x.split()[0] for x in _PARTS.split(", ")])
 
-    return run
+    return lean_cogroup(run)
 
 
 _MEASURED = "u binary, v binary, nu int, nv int, dist int, linked boolean, near boolean, apart array<long>"
@@ -154,7 +151,6 @@ def _measure(k: int, percent: int):
         return _Sets([0], [unpack.decompress(body)], k).key
 
     def run(batches):
-        gc.disable()
         unpack = zstandard.ZstdDecompressor()
         for batch in batches:
             out, last, set_a = [], None, None
@@ -171,7 +167,7 @@ def _measure(k: int, percent: int):
             kinds = [pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_(), pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(cols, kinds, strict=True)], [x.split()[0] for x in _MEASURED.split(", ")])
 
-    return run
+    return lean(run)
 
 
 def _measured(pairs: DataFrame, sets: DataFrame, k: int, percent: int, name: str) -> DataFrame:

@@ -8,7 +8,6 @@ left at a range's end is cut at powers of two, which need no padding.
 
 from __future__ import annotations
 
-import gc
 import zlib
 
 import numpy as np
@@ -18,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, texts, written
+from .common import lean, partitions, texts, written
 from .tokens import sums_of, token_stream
 
 DIMS, BITS = 4, 8
@@ -66,7 +65,6 @@ def places(words: pa.Array, counts: np.ndarray) -> np.ndarray:
 
 def _tokens(data, pattern: str, eos: int):
     def run(batches):
-        gc.disable()
         pack = zstandard.ZstdCompressor(level=1)
         for names, words, counts, ids, lengths in token_stream(batches, data.value, pattern):
             key = hilbert_key(places(words, counts) if len(words) else np.zeros((len(counts), DIMS), np.int64))
@@ -76,12 +74,11 @@ def _tokens(data, pattern: str, eos: int):
             cols = [pa.array(names, pa.int64()), pa.array(key), pa.array(lengths + 1), pa.array([small.itemsize] * len(names), pa.int32()), pa.array(blobs, pa.binary())]
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "key", "n", "width", "ids"])
 
-    return run
+    return lean(run)
 
 
 def _packs(max_tokens: int, eos: int):
     def run(batches):
-        gc.disable()
         unpack, first = zstandard.ZstdDecompressor(), TaskContext.get().partitionId() << 32
         made, room, held = 0, max_tokens, []
 
@@ -131,7 +128,7 @@ def _packs(max_tokens: int, eos: int):
         if out:
             yield table(out)
 
-    return run
+    return lean(run)
 
 
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"

@@ -12,7 +12,6 @@ hash within a bucket that an independent hash chooses, so it gains a bit wheneve
 
 from __future__ import annotations
 
-import gc
 import hashlib
 
 import numpy as np
@@ -21,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame
 
 from . import blocks as B
-from .common import written
+from .common import lean, lean_cogroup, written
 
 WINDOW = 13
 ANCHOR = 5
@@ -76,7 +75,6 @@ def _firsts(bucket: np.ndarray, key: np.ndarray) -> np.ndarray:
 
 def _ask_anchors(buckets: int):
     def run(batches):
-        gc.disable()
         pack = zstandard.ZstdCompressor(level=1)
         for batch in batches:
             for i in range(batch.num_rows):
@@ -84,12 +82,11 @@ def _ask_anchors(buckets: int):
                     keys, several = _Block(names, texts).anchors()
                     yield B.batch_of([(block, q, B.joined_body(B.coded(keys[a:b], pack), B.bits(several[a:b]))) for q, a, b in B.by_bucket(keys, buckets)], B.MESSAGES)
 
-    return run
+    return lean(run)
 
 
 def _ask_windows(buckets: int):
     def run(blocks: pa.Table, answers: pa.Table) -> pa.Table:
-        gc.disable()
         pack, out = zstandard.ZstdCompressor(level=1), []
         for block, names, texts in B.opened(blocks):
             mine = _Block(names, texts)
@@ -102,7 +99,7 @@ def _ask_windows(buckets: int):
                 out.append((block, int(bucket[a]), B.joined_body(B.coded(key[a:b], pack), pack.compress(planes))))
         return B.table_of(out, B.MESSAGES)
 
-    return run
+    return lean_cogroup(run)
 
 
 def _first_documents(rows: pa.Table) -> pa.Table:
@@ -131,7 +128,6 @@ _OUT = "doc_id long, n_words long, n_removed long, n_spans long, kept_sha256 str
 
 def _cut(buckets: int, with_text: bool):
     def run(blocks: pa.Table, answers: pa.Table) -> pa.Table:
-        gc.disable()
         out = []
         kind = np.array(answers.column("bucket").to_pylist(), np.int64) >= buckets
         seeds = answers.filter(pa.array(kind))
@@ -158,7 +154,7 @@ def _cut(buckets: int, with_text: bool):
                 out.append((name, b - a, n, spans, hashlib.sha256(kept).hexdigest(), kept if with_text else None))
         return B.table_of(out, _OUT)
 
-    return run
+    return lean_cogroup(run)
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, block_bytes: int = 4 << 20) -> DataFrame:

@@ -11,7 +11,6 @@ recursion. Equal windows stand side by side in that order, and the earliest one
 
 from __future__ import annotations
 
-import gc
 import hashlib
 from os.path import commonprefix
 
@@ -21,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame
 
 from . import blocks as B
-from .common import written
+from .common import lean, lean_cogroup, lean_group, written
 
 WINDOW = 100
 GRAM = 32
@@ -296,7 +295,6 @@ class _Block:
 
 def _ask_grams(buckets: int):
     def run(batches):
-        gc.disable()
         pack = zstandard.ZstdCompressor(level=1)
         for batch in batches:
             for i in range(batch.num_rows):
@@ -304,7 +302,7 @@ def _ask_grams(buckets: int):
                     mine = _Block(names, texts)
                     yield B.batch_of([(block, q, B.joined_body(B.coded(mine.distinct[a:b], pack), B.bits(mine.twice[a:b]))) for q, a, b in B.by_bucket(mine.distinct, buckets)], B.MESSAGES)
 
-    return run
+    return lean(run)
 
 
 #: The bucket of a block's note to itself: its runs in the order asked.
@@ -313,7 +311,6 @@ OWN = -1
 
 def _ask_windows(buckets: int):
     def run(blocks: pa.Table, answers: pa.Table) -> pa.Table:
-        gc.disable()
         pack, out = zstandard.ZstdCompressor(level=3), []
         for block, names, texts in B.opened(blocks):
             mine = _Block(names, texts)
@@ -334,12 +331,11 @@ def _ask_windows(buckets: int):
             out.append((block, OWN, B.joined_body(*(pack.compress(x.tobytes()) for x in note))))
         return B.table_of(out, B.MESSAGES)
 
-    return run
+    return lean_cogroup(run)
 
 
 def _find_repeats(rows: pa.Table) -> pa.Table:
     """For each surroundings asked: one byte, 1 if all its windows repeat earlier ones, else the windows as bits."""
-    gc.disable()
     unpack = zstandard.ZstdDecompressor()
     groups: dict[int, dict[bytes, list]] = {}
     counts = []
@@ -372,7 +368,6 @@ _OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 str
 
 def _cut(with_bytes: bool):
     def run(blocks: pa.Table, answers: pa.Table) -> pa.Table:
-        gc.disable()
         unpack, out = zstandard.ZstdDecompressor(), []
         bodies = dict(zip(answers.column("bucket").to_pylist(), answers.column("body").to_pylist(), strict=True))
         note = [unpack.decompress(x) for x in B.split_body(bodies[OWN])]
@@ -405,7 +400,7 @@ def _cut(with_bytes: bool):
                 out.append((names[i], b - a, n, spans, hashlib.sha256(kept).hexdigest(), kept if with_bytes else None))
         return B.table_of(out, _OUT)
 
-    return run
+    return lean_cogroup(run)
 
 
 def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_bytes: bool = False, block_bytes: int = 4 << 20) -> DataFrame:
@@ -420,7 +415,7 @@ def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str
     buckets = B.bucket_count(table, 8 << 20)
     grams = written(B.shared_keys(table.mapInArrow(_ask_grams(buckets), B.MESSAGES)), "grams")
     asked = written(table.groupBy("block").cogroup(grams.groupBy("block")).applyInArrow(_ask_windows(buckets), B.MESSAGES), "windows")
-    found = asked.filter(f"bucket <> {OWN}").groupBy("bucket").applyInArrow(_find_repeats, B.MESSAGES)
+    found = asked.filter(f"bucket <> {OWN}").groupBy("bucket").applyInArrow(lean_group(_find_repeats), B.MESSAGES)
     out = table.groupBy("block").cogroup(found.union(asked.filter(f"bucket = {OWN}")).groupBy("block")).applyInArrow(_cut(with_bytes), _OUT)
     return out if with_bytes else out.drop("kept_bytes")
 
