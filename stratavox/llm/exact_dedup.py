@@ -109,13 +109,3 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def op10_exact_dedup(spark, sf_dir: str) -> DataFrame:
     return exact_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
-
-OP10_SQL = r"""
-WITH d AS (
-  SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256
-  FROM documents)
-SELECT doc_id, min(doc_id) OVER (PARTITION BY text_sha256) AS keep_id,
-  count(*) OVER (PARTITION BY text_sha256) AS group_size,
-  doc_id = min(doc_id) OVER (PARTITION BY text_sha256) AS kept, text_sha256
-FROM d
-"""
