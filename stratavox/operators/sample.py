@@ -9,9 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import physics
-from ..functions.interp import clamp_index, pchip
-from ..functions.noise import _let
+from ..functions import kernels, physics
+from ..functions.interp import clamp_index, let, pchip
+from ..session import ship
 from .stencil import stencil_16
 
 FIELDS = ("clc", "qc", "qi", "qv", "t", "p")
@@ -115,15 +115,16 @@ def synthesise(points: DataFrame, columns: DataFrame, nx: int, ny: int, keys: li
 
     Points carry keys, src_x, src_y, height, world_x, world_y and to_src_x, to_src_y (texels a metre).
     """
+    ship(points.sparkSession)
     calm = points.join(sample_turbulence(points, columns, nx, ny, keys), keys)
-    moved = calm.withColumn("d", physics.displacement("world_x", "world_y", "height", "tke"))
+    moved = calm.withColumn("d", kernels.displacement("world_x", "world_y", "height", "tke"))
     at = moved.select(*keys, (F.col("src_x") + F.col("d.dx") * F.col("to_src_x")).alias("src_x"), (F.col("src_y") - F.col("d.dy") * F.col("to_src_y")).alias("src_y"), (F.col("height") + F.col("d.dz")).alias("height"))
     where = moved.select(*keys, "tke", "height", (F.col("world_x") + F.col("d.dx")).alias("wx"), (F.col("world_y") + F.col("d.dy")).alias("wy"), (F.col("height") + F.col("d.dz")).alias("wz"))
     state = _state(sample_material(at, columns, nx, ny, keys)).join(where, keys).join(ground_height(points, columns, nx, ny, keys), keys)
     beta = physics.extinction("qc", "qi", "qv", "t", "p", "cover")
-    factor = physics.density_factor("wx", "wy", "wz", "cover", "tke")
-    value = _let(factor, lambda f: F.when(f > 0, physics.voxel(beta, f, "height", "ground")).otherwise(0.0))
-    return state.select(*keys, F.when(F.col("cover") > 0, value).otherwise(0.0).alias("density"))
+    factor = kernels.density_factor("wx", "wy", "wz", "cover", "tke")
+    value = let(F.col("factor"), lambda f: F.when(f > 0, physics.voxel(beta, f, "height", "ground")).otherwise(0.0))
+    return state.withColumn("factor", factor).select(*keys, F.when(F.col("cover") > 0, value).otherwise(0.0).alias("density"))
 
 
 def slice_at_altitude(cube: DataFrame, altitude: float, staggered: bool = False) -> DataFrame:

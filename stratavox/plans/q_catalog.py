@@ -126,7 +126,7 @@ def retention_purge(spark, sf):
     return p.select(stamp("target_ts").alias("target"))
 
 
-_PURGE = f"""{_NEWEST.replace('WITH ', f'WITH {TILESETS_SQL}, {POLICY_SQL}, ', 1)}, busy AS (SELECT DISTINCT folder FROM tilesets WHERE status = 'fetching' AND seq % 97 = 0),
+_PURGE = f"""{_NEWEST.replace('WITH ', f'WITH {TILESETS_SQL}, {POLICY_SQL}, ', 1)}, busy AS (SELECT DISTINCT folder FROM tilesets WHERE status = 'fetching' AND size > 300000),
 idle AS (SELECT * FROM newest ANTI JOIN busy USING (folder)),
 r AS (SELECT i.folder, i.ready, i.target_ts, min_by(p.mode, p.prio) AS mode, min_by(p.hours, p.prio) AS hours FROM idle i LEFT JOIN policy p ON date_diff('day', DATE '{TODAY}', CAST(i.target_ts AS DATE)) < p.before GROUP BY ALL)
 SELECT folder, CASE WHEN NOT ready THEN 'incomplete' ELSE 'policy' END AS reason FROM r WHERE NOT ready OR (mode IS NOT NULL AND mode <> 'fetch_only' AND NOT list_contains(hours, hour(target_ts)))"""
@@ -134,7 +134,7 @@ SELECT folder, CASE WHEN NOT ready THEN 'incomplete' ELSE 'policy' END AS reason
 
 @query("purge", "folder:s reason:s", _PURGE)
 def purge(spark, sf):
-    busy = tilesets(spark, sf).filter("status = 'fetching' and seq % 97 = 0").select("folder").distinct()
+    busy = tilesets(spark, sf).filter("status = 'fetching' and size > 300000").select("folder").distinct()
     return C.purge(disk(spark, sf), policy(spark), busy, F.lit(TODAY))
 
 

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import geo, half, interp, noise, physics, text
+from ..functions import geo, half, interp, kernels, noise, physics, text
+from ..session import ship
 from ..functions.noise import GRADIENTS, PRIMES
 from .base import CELLS_SQL, NOW, POINTS_SQL, cells, points, query, table
 
@@ -273,7 +274,8 @@ SELECT k, (nx.v - 0.5) * amp AS dx, (ny.v - 0.5) * amp AS dy, (nz.v - 0.5) * amp
 
 @query("displacement", "k:i dx:d dy:d dz:d", _DISPLACE)
 def displacement(spark, sf):
-    return _turbulent(spark, sf).select("k", physics.displacement("x", "y", "z", "tke").alias("d")).select("k", "d.*")
+    ship(spark)
+    return _turbulent(spark, sf).select("k", kernels.displacement("x", "y", "z", "tke").alias("d")).select("k", "d.*")
 
 
 _ss = lambda a, b, x: f"(least(greatest(({x} - {a}) / ({b} - {a}), 0.0), 1.0) ** 2 * (3 - 2 * least(greatest(({x} - {a}) / ({b} - {a}), 0.0), 1.0)))"
@@ -290,6 +292,13 @@ SELECT k, shaped * ((inside * 0.4 + 0.6) + cv * ((bumps + core * (1 - bumps)) -
 
 @query("density_factor", "k:i factor:d", _FACTOR)
 def density_factor(spark, sf):
+    ship(spark)
+    return _turbulent(spark, sf).select("k", kernels.density_factor("x", "y", "z", "clc", "tke").alias("factor"))
+
+
+@query("density_factor_native", "k:i factor:d", _FACTOR)
+def density_factor_native(spark, sf):
+    """The same as native columns."""
     return _turbulent(spark, sf).select("k", physics.density_factor("x", "y", "z", "clc", "tke").alias("factor"))
 
 

@@ -495,7 +495,7 @@ def ktx2_roundtrip(spark, sf):
 # --- components ------------------------------------------------------------------------------------------
 
 
-_COMP = """WITH RECURSIVE c AS (SELECT DISTINCT CAST(l_partkey % 12 AS INT) AS x, CAST(l_suppkey % 10 AS INT) AS y, CAST(l_orderkey % 6 AS INT) AS z FROM lineitem WHERE l_quantity <= 6 AND l_discount < 0.03 AND l_orderkey % 3 = 0),
+_COMP = """WITH RECURSIVE c AS (SELECT DISTINCT CAST(l_partkey % 12 AS INT) AS x, CAST(l_suppkey % 10 AS INT) AS y, CAST(l_orderkey % 6 AS INT) AS z FROM lineitem WHERE l_quantity <= 2 AND l_discount < 0.02),
 n AS (SELECT (z * 10 + y) * 12 + x AS i, x, y, z FROM c),
 e AS (SELECT a.i AS u, b.i AS v FROM n a JOIN n b ON abs(a.x - b.x) + abs(a.y - b.y) + abs(a.z - b.z) = 1),
 r(i, root) AS (SELECT i, i FROM n UNION SELECT e.v, r.root FROM r JOIN e ON e.u = r.i)
@@ -504,7 +504,7 @@ SELECT i AS idx, min(root) AS root FROM r GROUP BY i"""
 
 @query("components", "idx:i root:i", _COMP)
 def grid_components(spark, sf):
-    li = table(spark, sf, "lineitem").filter("l_quantity <= 6 and l_discount < 0.03 and l_orderkey % 3 = 0")
+    li = table(spark, sf, "lineitem").filter("l_quantity <= 2 and l_discount < 0.02")
     c = li.select((F.col("l_partkey") % 12).cast("int").alias("x"), (F.col("l_suppkey") % 10).cast("int").alias("y"), (F.col("l_orderkey") % 6).cast("int").alias("z")).distinct()
     return components.grid_components(c, 12, 10).select(F.col("index").alias("idx"), "root")
 

@@ -131,3 +131,18 @@ def test_empty_inputs(spark):
     empty = spark.createDataFrame([], "zoom int, tx int, ty int, vz int, vy int, vx int, density double")
     for out in (volume.pool_mean(empty), volume.shadow_map(empty, 8), volume.column_sum(empty, 0, 4), volume.pyramid(empty, 8, 10)):
         assert out.count() == 0
+
+
+def test_kernels_agree_with_native_columns(spark):
+    from stratavox.functions import kernels
+    from stratavox.session import ship
+
+    ship(spark)
+    rng = np.random.default_rng(5)
+    rows = [tuple(map(float, (*rng.uniform(-9000, 9000, 2), rng.uniform(0, 12000), rng.uniform(0, 1), rng.uniform(0, 3)))) for _ in range(60)]
+    df = spark.createDataFrame(rows, "x double, y double, z double, clc double, tke double")
+    a, b = physics.displacement("x", "y", "z", "tke"), kernels.displacement("x", "y", "z", "tke")
+    got = df.select(physics.density_factor("x", "y", "z", "clc", "tke").alias("f"), kernels.density_factor("x", "y", "z", "clc", "tke").alias("g"), a.alias("d"), b.alias("e"), noise.fbm(noise.worley_saturating, F.col("x") / 900, F.col("y") / 900, F.col("z") / 900, 2).alias("n"), kernels.noise_value("worley_saturating", F.col("x") / 900, F.col("y") / 900, F.col("z") / 900, 2).alias("m"))
+    for r in got.collect():
+        assert r.f == pytest.approx(r.g, abs=1e-9) and r.n == pytest.approx(r.m, abs=1e-9)
+        assert [r.d[k] for k in ("dx", "dy", "dz")] == pytest.approx([r.e[k] for k in ("dx", "dy", "dz")], abs=1e-6)
