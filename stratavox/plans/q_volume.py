@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions import physics
 from ..operators import bc4, components, sample, stats, stencil, volume
 from ..schemas import VARIABLES, variables
+from ..session import ship
+from ..sources import ktx2, raw_tiles
 from .base import CELLS_SQL, COLUMNS_SQL, GRID_SQL, LEVELS, PIXELS, POINTS_SQL, SAMPLES_SQL, VOXELS_SQL, ZOOM, cells, columns, full_levels, grid, half_levels, points, query, samples, table, voxels
 from .q_functions import PCHIP_SQL
 
@@ -467,29 +471,49 @@ def bc4_decode(spark, sf):
     return packed.select("vz", "by", "bx", F.posexplode(bc4.decode("b.r0", "b.r1", "b.bits")).alias("i", "v"))
 
 
-@query("ktx2_roundtrip", "tx:i ty:i levels:i scheme:i bytes:i")
-def ktx2_roundtrip(spark, sf):
-    """No SQL: containers of half-float tiles, written, and read from their bytes."""
-    from ..sources import ktx2
+_HALF = """half AS (SELECT tx, ty, vz, vy, vx, CASE WHEN density = 0 THEN 0 ELSE round_even(density / u, 0) * u END AS density FROM (SELECT *, greatest(pow(2.0, floor(log2(nullif(density, 0))) - 10), pow(2.0, -24)) AS u FROM voxels))"""
+
+
+def _dense_tiles(spark, sf):
+    """One row per tile with its 8 x 16 x 16 values in order; absent ones are 0."""
+    cell = F.struct(((F.col("vz") * PIXELS + F.col("vy")) * PIXELS + F.col("vx")).alias("i"), "density")
+    tiles = voxels(spark, sf).groupBy("tx", "ty").agg(F.map_from_entries(F.collect_list(cell)).alias("m"))
+    return tiles.select("tx", "ty", F.transform(F.sequence(F.lit(0), F.lit(LEVELS * PIXELS * PIXELS - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0))).alias("values"))
+
+
+@query("raw_tile_roundtrip", "tx:i ty:i i:i density:d zoom:i", f"{V}, {_HALF} SELECT tx, ty, (vz * 16 + vy) * 16 + vx AS i, density, 10 AS zoom FROM half WHERE density > 0")
+def raw_tile_roundtrip(spark, sf):
+    """Raw tiles made and read again: half floats behind a JSON header in a zstd stream."""
+    ship(spark)
 
-    tiles = voxels(spark, sf).groupBy("tx", "ty").agg(F.sort_array(F.collect_list(F.struct("vz", "vy", "vx", "density"))).alias("v"))
+    @F.pandas_udf("zoom int, density array<double>")
+    def again(values: pd.Series) -> pd.DataFrame:
+        out = [raw_tiles.decode(raw_tiles.encode(dict.fromkeys(raw_tiles.FIELDS, 1.0) | {"tile_z": ZOOM}, np.asarray(v))) for v in values]
+        return pd.DataFrame({"zoom": [h["tile_z"] for h, _ in out], "density": [v.astype(np.float64) for _, v in out]})
+
+    tiles = _dense_tiles(spark, sf).select("tx", "ty", again("values").alias("t"))
+    return tiles.select("tx", "ty", "t.zoom", F.posexplode("t.density").alias("i", "density")).filter("density > 0")
+
+
+@query("ktx2_roundtrip", "tx:i ty:i format:s levels:i scheme:i depth:i res:s total:d", f"{V}, {_HALF} SELECT tx, ty, 'R16_SFLOAT' AS format, 1 AS levels, 2 AS scheme, 8 AS depth, '218.75' AS res, sum(density) AS total FROM half GROUP BY ALL")
+def ktx2_roundtrip(spark, sf):
+    """Containers of half-float tiles made and read again."""
+    ship(spark)
 
     @F.pandas_udf("array<binary>")
-    def mips(rows):
-        import numpy as np
-        import pandas as pd
-
-        out = []
-        for one in rows:
-            cube = np.zeros((LEVELS, PIXELS, PIXELS, 1), "<f2")
-            for r in one:
-                cube[r["vz"], r["vy"], r["vx"], 0] = r["density"]
-            out.append([cube.tobytes()])
-        return pd.Series(out)
-
-    packed = ktx2.containers(tiles.select("tx", "ty", mips("v").alias("mips"), F.create_map(F.lit("phys_res_z"), F.lit("218.75")).alias("metadata")), "R16_SFLOAT", PIXELS, PIXELS, LEVELS)
-    level_count = F.conv(F.hex(F.substring("content", 41, 1)), 16, 10)
-    return packed.select("tx", "ty", level_count.alias("levels"), F.conv(F.hex(F.substring("content", 45, 1)), 16, 10).alias("scheme"), F.length("content").alias("bytes"))
+    def mips(values: pd.Series) -> pd.Series:
+        return pd.Series([[np.asarray(v).astype("<f2").tobytes()] for v in values])
+
+    @F.pandas_udf("format string, levels int, scheme int, depth int, res string, total double")
+    def again(content: pd.Series) -> pd.DataFrame:
+        rows = []
+        for c in content:
+            head, levels, pairs = ktx2.decode(bytes(c))
+            rows.append((head["format"], head["levels"], head["scheme"], head["depth"], pairs["phys_res_z"], float(np.frombuffer(levels[0], "<f2").astype(np.float64).sum())))
+        return pd.DataFrame(rows, columns=["format", "levels", "scheme", "depth", "res", "total"])
+
+    tiles = _dense_tiles(spark, sf).select("tx", "ty", mips("values").alias("mips"), F.create_map(F.lit("phys_res_z"), F.lit("218.75")).alias("metadata"))
+    return ktx2.containers(tiles, "R16_SFLOAT", PIXELS, PIXELS, LEVELS).select("tx", "ty", again("content").alias("c")).select("tx", "ty", "c.*")
 
 
 # --- components ------------------------------------------------------------------------------------------
