@@ -25,6 +25,7 @@ from .common import lean, lean_cogroup, lean_group, written
 WINDOW = 100
 GRAM = 32
 SPAN = WINDOW - GRAM + 1
+PIECE = 1 << 16
 
 
 def suffix_array(text: list[int]) -> list[int]:
@@ -229,9 +230,11 @@ class _Block:
         self.ends = np.cumsum(self.counts)
         keys, starts, lengths = [], [], []
         selected, places = [], []
-        # long blocks go in pieces, so that the arrays of hashes stay small
-        step, n = 1 << 22, len(self.raw)
-        good = B.starts_in(self.counts, WINDOW)
+        # pieces, so that the arrays of hashes stay in the processor's cache, however long a text is
+        step, n = PIECE, len(self.raw)
+        good = np.ones(n, bool)
+        for end, size in zip(self.ends.tolist(), self.counts.tolist(), strict=True):
+            good[end - min(WINDOW - 1, size) : end] = False
         for a in range(0, max(n - WINDOW + 1, 0), step):
             part = np.frombuffer(self.raw, np.uint8, min(n - a, step + WINDOW - 1), a)
             hashes = self._hashes(part)
