@@ -49,15 +49,13 @@ def hilbert_key(points: np.ndarray, bits: int = BITS) -> np.ndarray:
     return key.astype(np.int64)
 
 
-def places(words: pa.Array, counts: np.ndarray) -> np.ndarray:
+def places(words: pa.DictionaryArray, counts: np.ndarray) -> np.ndarray:
     """Coordinates of each document: its words' hashed directions, averaged and squeezed into a byte."""
-    coded = words.dictionary_encode()
-    hashes = np.fromiter(map(zlib.crc32, coded.dictionary.cast(pa.binary()).to_pylist()), np.uint32, len(coded.dictionary))
+    hashes = np.fromiter(map(zlib.crc32, words.dictionary.cast(pa.binary()).to_pylist()), np.uint32, len(words.dictionary))
     hashes ^= hashes >> np.uint32(15)
-    at = coded.indices.to_numpy()
-    out = np.empty((len(counts), DIMS), np.int64)
+    at, out = words.indices.to_numpy(), np.empty((len(counts), DIMS), np.int64)
     for d in range(DIMS):
-        direction = ((hashes >> np.uint32(8 * d)) & np.uint32(255)).astype(np.int32) - 128
+        direction = ((hashes >> np.uint32(8 * d)) & np.uint32(255)).astype(np.int16) - np.int16(128)
         mean = sums_of(direction[at], counts) / np.maximum(counts, 1)
         out[:, d] = np.clip((np.tanh(mean / 24.0) + 1.0) * (1 << (BITS - 1)), 0, (1 << BITS) - 1)
     return out

@@ -10,6 +10,7 @@ import base64
 import json
 import re
 from array import array
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -63,19 +64,18 @@ class Words(dict):
         self.encode = encoding._core_bpe.encode_single_piece
         self.flat, self.start, self.length = array("I"), array("q"), array("i")
 
-    def __missing__(self, word: bytes) -> int:
-        ids = self.encode(word)
-        n = self[word] = len(self.start)
-        self.start.append(len(self.flat))
-        self.length.append(len(ids))
-        self.flat.extend(ids)
-        return n
-
-    def numbers(self, words: pa.Array) -> np.ndarray:
-        """The number of each word; a word is looked up once for the whole array."""
-        coded = words.dictionary_encode()
-        distinct = coded.dictionary.cast(pa.binary()).to_pylist()
-        return np.fromiter(map(self.__getitem__, distinct), np.int64, len(distinct))[coded.indices.to_numpy()]
+    def numbers(self, words: pa.DictionaryArray) -> np.ndarray:
+        """The number of each word; a word is looked up once for the whole array, and new words are encoded together."""
+        distinct = words.dictionary.cast(pa.binary()).to_pylist()
+        new = [w for w in distinct if w not in self]
+        if new:
+            first, ids = len(self.start), [*map(self.encode, new)]
+            length = np.fromiter(map(len, ids), np.int32, len(ids))
+            self.start.frombytes((len(self.flat) + np.cumsum(length, dtype=np.int64) - length).tobytes())
+            self.length.frombytes(length.tobytes())
+            self.flat.extend(chain.from_iterable(ids))
+            self.update(zip(new, range(first, first + len(new)), strict=True))
+        return np.fromiter(map(self.__getitem__, distinct), np.int64, len(distinct))[words.indices.to_numpy()]
 
     def gather(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """ids of the words numbered `at`, and how many each has."""
@@ -111,13 +111,14 @@ def word_chunks(batches, pattern: str, chunk_chars: int):
 def token_stream(batches, data: bytes, pattern: str, chunk_chars: int = 5 << 20, most_words: int = 300_000):
     """For chunks of Arrow batches (doc_id, text): (doc_ids, words, word counts by document, ids, id counts by document).
 
-    `words` is an Arrow array. The word table is dropped once it holds `most_words`, which bounds memory.
+    `words` is a dictionary-coded Arrow array. The word table is dropped once it holds `most_words`, which bounds memory.
     """
     encoding = engine(data, pattern)
     table = Words(encoding)
     for names, words, counts in word_chunks(batches, pattern, chunk_chars):
         if len(table) > most_words:
             table = Words(encoding)
+        words = words.dictionary_encode()
         if not len(words):
             yield names, words, counts, np.zeros(0, np.uint32), counts
             continue
