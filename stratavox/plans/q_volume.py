@@ -364,10 +364,20 @@ def file_map(spark, sf):
     return cube.levels_by_variable(files).select("var", F.array_join(F.map_keys("files").cast("array<string>"), ",").alias("levels"))
 
 
+def _inventory(parts):
+    m = parts.select(F.col("p_brand").alias("short_name"), F.lit("hybrid").alias("type_of_level"), F.col("p_size").alias("level"))
+    return stats.messages_by_variable(m).withColumn("levels", F.array_join(F.array_sort(F.col("levels").cast("array<string>")), ","))
+
+
 @query("message_inventory", "short_name:s n:i least:i most:i levels:s", "SELECT p_brand AS short_name, count(*) AS n, min(p_size) AS least, max(p_size) AS most, string_agg(DISTINCT CAST(p_size AS VARCHAR), ',' ORDER BY CAST(p_size AS VARCHAR)) AS levels FROM part WHERE p_size % 2 = 0 GROUP BY p_brand")
 def message_inventory(spark, sf):
-    m = table(spark, sf, "part").filter("p_size % 2 = 0").select(F.col("p_brand").alias("short_name"), F.lit("hybrid").alias("type_of_level"), F.col("p_size").alias("level"))
-    return stats.messages_by_variable(m).withColumn("levels", F.array_join(F.array_sort(F.col("levels").cast("array<string>")), ","))
+    return _inventory(table(spark, sf, "part").filter("p_size % 2 = 0"))
+
+
+@query("message_inventory_all", "short_name:s n:i least:i most:i levels:s", "SELECT p_brand AS short_name, count(*) AS n, min(p_size) AS least, max(p_size) AS most, string_agg(DISTINCT CAST(p_size AS VARCHAR), ',' ORDER BY CAST(p_size AS VARCHAR)) AS levels FROM part GROUP BY p_brand")
+def message_inventory_all(spark, sf):
+    """The inventory of every row of part; `message_inventory` is bound to even levels by its SQL."""
+    return _inventory(table(spark, sf, "part"))
 
 
 _VARS = ", ".join(f"('{n}', '{k}', {len(v) if v else 1}, {str(v is not None).lower()})" for n, k, v, _ in VARIABLES)
