@@ -543,14 +543,32 @@ def grid_components(spark, sf):
     return components.grid_components(c, 12, 10).select(F.col("index").alias("idx"), "root")
 
 
+@query("components_all", "idx:i root:i")
+def grid_components_all(spark, sf):
+    """Every line item as a cell: lines along x, orders in rows of 128 along y and z, so z grows with the table. The index is orderkey * 8 + linenumber."""
+    order = F.col("l_orderkey")
+    c = table(spark, sf, "lineitem").select(F.col("l_linenumber").alias("x"), (order % 128).alias("y"), F.floor(order / 128).alias("z")).distinct()
+    return components.grid_components(c, 8, 128).select(F.col("index").alias("idx"), "root")
+
+
 _CIRRUS = f"""WITH {CELLS_SQL}, u AS (SELECT k % 50 AS root, CAST(k % 6 AS INT) AS z, CAST(k % 5 AS INT) AS y, CAST(k % 7 AS INT) AS x, clc, qc, qi, height FROM cells WHERE clc > 0.9),
 f AS (SELECT root, sum(clc) AS mt, sum(CASE WHEN height > 7000 THEN clc ELSE 0 END) AS mh, avg(height) AS mean_height, count(*) AS n_cells, max(z) AS deepest FROM u GROUP BY root) SELECT root, mt, mh, mean_height, n_cells, deepest, CASE WHEN mean_height > 11000 THEN 2 WHEN mean_height > 9000 THEN 1 ELSE 0 END AS layer, mh / mt > 0.9 AS high FROM f"""
 
 
 @query("cloud_figures", "root:i mt:d mh:d mean_height:d n_cells:i deepest:i layer:i high:b", _CIRRUS)
 def cloud_figures(spark, sf):
+    return _cloud_figures(cells(spark, sf).filter("clc > 0.9"))
+
+
+@query("cloud_figures_all", "root:i mt:d mh:d mean_height:d n_cells:i deepest:i layer:i high:b", _CIRRUS.replace("clc > 0.9", "clc > 0"))
+def cloud_figures_all(spark, sf):
+    """The figures of all cloudy cells, as the reference takes them; `cloud_figures` is bound to clc > 0.9 by its SQL."""
+    return _cloud_figures(cells(spark, sf).filter("clc > 0"))
+
+
+def _cloud_figures(cloudy):
     k = F.col("k")
-    u = cells(spark, sf).filter("clc > 0.9").select((k % 50).alias("root"), (k % 6).cast("int").alias("z"), "clc", F.col("height").alias("h_mid"))
+    u = cloudy.select((k % 50).alias("root"), (k % 6).cast("int").alias("z"), "clc", F.col("height").alias("h_mid"))
     f = components.cloud_figures(u)
     return f.select("root", F.col("mass_total").alias("mt"), F.col("mass_high").alias("mh"), "mean_height", "n_cells", "deepest", physics.cirrus_layer("mean_height").alias("layer"), physics.is_cirrus(F.lit(0.0), "mass_high", "mass_total").alias("high"))
 
