@@ -3,11 +3,12 @@
 Candidate strings are maximal runs of key-like characters. A window slides over each run; its
 character counts change by one character in and one out, and the sum of c*log2(c) is kept along
 with them, so each step costs two table look-ups. Runs whose best window passes the threshold of
-their character class become spans, unless the allow list knows them as harmless.
+its alphabet become spans; windows that touch something on the allow list don't count.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import math
 import re
@@ -25,16 +26,19 @@ _CUES = ("passw", "secret", "token", "api")
 
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 WINDOW = 20
-#: Bits per character that a window must reach, by class.
-THRESHOLDS = {"hex": 3.0, "alnum": 3.9, "base64": 4.0}
+#: Bits per character that a window of hex digits must reach, and how many standard deviations
+#: below the mean of random strings other alphabets may stay.
+HEX_BITS, SPREAD = 3.0, 2.5
 KINDS = ("assign", "access", "hex", "entropy_hex", "entropy_alnum", "entropy_base64")
 
 _UUID = re.compile(r"[0-9A-Fa-f]{8}-(?:[0-9A-Fa-f]{4}-){3}[0-9A-Fa-f]{12}")
 _HEX_ONLY = re.compile(r"[0-9A-Fa-f]+")
 _WORDY = re.compile(r"(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,4})(?:[-_/=+](?:[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,4}))*")
-_RUNS = re.compile(r"abcdefgh|ABCDEFGH|12345678|01234567|qwertyui|(.)\1{5}", re.S)
+_RUNS = re.compile(r"abcdefgh|ABCDEFGH|12345678|01234567|qwertyui|(.)\1{5,}", re.S)
 #: Strings of documentation that look like secrets.
 ALLOWED = ("example", "changeme", "placeholder", "your_key", "dummy", "xxxxxx")
+_ALLOWED = re.compile("|".join(ALLOWED), re.I | re.A)
+_BASE32 = re.compile(r"(?:[A-Z2-7]+|[a-z2-7]+)=*")
 
 _CLOG = [0.0] + [c * math.log2(c) for c in range(1, WINDOW + 1)]
 _LOG_WINDOW = math.log2(WINDOW)
@@ -46,6 +50,28 @@ def char_class(run: str) -> str:
     return "alnum" if run.isalnum() else "base64"
 
 
+@functools.cache
+def random_bits(size: int) -> float:
+    """What nearly all random windows over an alphabet of `size` characters reach: the mean less SPREAD standard deviations, exactly."""
+    n, p, f = WINDOW, 1 / size, _CLOG
+    one = [math.comb(n, c) * p**c * (1 - p) ** (n - c) for c in range(n + 1)]
+    mean = sum(w * x for w, x in zip(one, f, strict=True))
+    square = sum(w * x * x for w, x in zip(one, f, strict=True))
+    both = sum(math.comb(n, a) * math.comb(n - a, b) * p ** (a + b) * (1 - 2 * p) ** (n - a - b) * f[a] * f[b] for a in range(n + 1) for b in range(n - a + 1))
+    variance = size * square + size * (size - 1) * both - (size * mean) ** 2
+    return _LOG_WINDOW - (size * mean + SPREAD * math.sqrt(max(variance, 0.0))) / n
+
+
+def threshold(part: str) -> float:
+    """Bits per character that a window of `part` must reach, by the smallest usual alphabet that holds it."""
+    if _HEX_ONLY.fullmatch(part):
+        return HEX_BITS
+    if _BASE32.fullmatch(part):
+        return random_bits(32)
+    lower, upper, digit = part.upper() != part, part.lower() != part, any(c.isdigit() for c in part)
+    return random_bits(26 * lower + 26 * upper + 10 * digit + 2 * (not part.rstrip("=").isalnum()))
+
+
 def best_entropy(run: str, window: int = WINDOW) -> float:
     """Largest Shannon entropy, in bits per character, of any window of the run, by incremental counts."""
     clog = _CLOG if window == WINDOW else [0.0] + [c * math.log2(c) for c in range(1, window + 1)]
@@ -71,24 +97,34 @@ def best_entropy(run: str, window: int = WINDOW) -> float:
     return math.log2(window) - least / window
 
 
+def free_parts(run: str) -> list[str]:
+    """What the allow list leaves of a run, in pieces of a window at least: the list knows identifiers, counters,
+    documentation strings, and plain words joined by separators."""
+    if _WORDY.fullmatch(run):
+        return []
+    out, at = [], 0
+    hits = sorted(m.span() for known in (_UUID, _RUNS, _ALLOWED) for m in known.finditer(run))
+    for a, b in [*hits, (len(run), len(run))]:
+        if a - at >= WINDOW and not (hits and _WORDY.fullmatch(run[at:a].strip("-_/=+"))):
+            out.append(run[at:a])
+        at = max(at, b)
+    return out
+
+
 def allowed(run: str) -> bool:
-    """The allow list: identifiers, plain words joined by separators, counters and documentation strings."""
-    if _UUID.search(run) or _RUNS.search(run) or _WORDY.fullmatch(run):
-        return True
-    low = run.lower()
-    return any(x in low for x in ALLOWED)
+    """Whether the allow list leaves no window of a run."""
+    return not free_parts(run)
 
 
 def entropy_spans(text: str) -> list[tuple[int, int, str]]:
-    """(start, end, kind) of candidate runs over their class threshold; runs need letters and digits."""
+    """(start, end, kind) of candidate runs with a window over its alphabet's threshold; runs need letters and digits."""
     out = []
     for m in CANDIDATE.finditer(text):
         run = m[0]
         if run.isalpha() or run.isdigit() or not any(c.isdigit() for c in run):
             continue
-        kind = char_class(run)
-        if best_entropy(run) >= THRESHOLDS[kind] and not allowed(run):
-            out.append((m.start(), m.end(), f"entropy_{kind}"))
+        if any(best_entropy(part) >= threshold(part) for part in free_parts(run)):
+            out.append((m.start(), m.end(), f"entropy_{char_class(run)}"))
     return out
 
 
