@@ -29,6 +29,8 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _URL = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*://[^\s/@:]+(?::[^\s/@]*)?@[A-Za-z0-9.-]+")
 _SCHEME = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+.-")
 _NUMBER = re.compile(r"""(?:\x20?(?:number|no\.?|id|#))?["']?\x20?[:=#]?\x20?["']?([A-Za-z]{0,2}[0-9][A-Za-z0-9]*(?:[ -][A-Za-z0-9]*[0-9][A-Za-z0-9]*)*)""", re.I)
+_IBAN = re.compile(r"""(?:\x20?(?:number|no\.?|id|#))?["']?\x20?[:=#]?\x20?["']?([A-Za-z]{2}[0-9]{2}[A-Za-z0-9]*(?:[ -][A-Za-z0-9]+){0,30})""", re.I | re.A)
+_GROUP = re.compile(r"[A-Za-z0-9]+")
 #: Cues of identifiers, in lower case, with the least number of digits that follow.
 CUES = {"iban": 10, "account": 6, "acct": 6, "passport": 6, "ssn": 9, "social security": 9, "tax id": 8}
 
@@ -49,6 +51,17 @@ def iban_valid(text: str) -> bool:
     return bool(re.fullmatch(r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}", s)) and int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
 
 
+def iban_end(text: str, start: int, end: int) -> int:
+    """The furthest end of a group at which text[start:end] is a valid IBAN, or 0. Groups of letters only have four
+    at most, in the case of the country."""
+    upper, ends = text[start : start + 2].isupper(), []
+    for m in _GROUP.finditer(text, start, end):
+        if m[0].isalpha() and (len(m[0]) > 4 or m[0].isupper() != upper):
+            break
+        ends.append(m.end())
+    return next((e for e in reversed(ends) if iban_valid(text[start:e])), 0)
+
+
 def automaton() -> ahocorasick.Automaton:
     found = ahocorasick.Automaton()
     for d in "0123456789":
@@ -100,16 +113,18 @@ def spans_of(text: str, anchors: ahocorasick.Automaton) -> list[tuple[int, int,
             start = at - 2
             while start > url_end and text[start - 1] in _SCHEME:
                 start -= 1
+            while start < at - 2 and not (text[start].isascii() and text[start].isalpha()):
+                start += 1
             m = _URL.match(text, start)
             if m:
                 url_end = m.end()
                 out.append((start, url_end, "url"))
         else:
-            m = _NUMBER.match(text, at + 1)
+            m = (_IBAN if kind == "iban" else _NUMBER).match(text, at + 1)
             if m and m.start(1) >= account_end:
-                value = m[1]
-                if sum("0" <= c <= "9" for c in value) >= CUES[kind] and (kind != "iban" or iban_valid(value)):
-                    account_end = m.end(1)
+                end = iban_end(text, m.start(1), m.end(1)) if kind == "iban" else m.end(1)
+                if sum("0" <= c <= "9" for c in text[m.start(1) : end]) >= CUES[kind]:
+                    account_end = end
                     out.append((m.start(1), account_end, "account"))
     return out
 
