@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import lean, partitions, texts, written
-from .tokens import sums_of, token_stream
+from .tokens import added_of, sums_of, token_stream
 
 DIMS, BITS = 4, 8
 
@@ -64,7 +64,7 @@ def places(words: pa.DictionaryArray, counts: np.ndarray) -> np.ndarray:
 def _tokens(data, pattern: str, eos: int):
     def run(batches):
         pack = zstandard.ZstdCompressor(level=1)
-        for names, words, counts, ids, lengths in token_stream(batches, data.value, pattern):
+        for names, words, counts, ids, lengths in token_stream(batches, data.value, pattern, added=added_of(data.value)):
             key = hilbert_key(places(words, counts) if len(words) else np.zeros((len(counts), DIMS), np.int64))
             ends = np.cumsum(lengths)
             small = ids.astype(np.uint16) if not len(ids) or ids.max() < 65536 else ids
@@ -135,7 +135,8 @@ _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long
 def pack_documents(docs: DataFrame, ranks: bytes, pattern: str, eos: int = 1, max_tokens: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece of a document: where it starts, how long it is, its ids' CRC-32, and its place in a sequence.
 
-    `ranks` is the content of a rank or vocabulary file (of fixed size; it is broadcast). A null text
+    `ranks` is the content of a rank or vocabulary file (of fixed size; it is broadcast). The added
+    tokens of a vocabulary file are one id each where a text holds them. A null text
     counts as empty: its only id is `eos`. Repeated rows are packed one by one and a null id stays
     null; other columns are ignored; an empty table gives no rows.
     """

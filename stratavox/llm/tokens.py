@@ -47,6 +47,22 @@ def ranks_of(data: bytes) -> dict[bytes, int]:
     return {bytes(to_byte[c] for c in word): i for word, i in spec["model"]["vocab"].items() if word not in special}
 
 
+def added_of(data: bytes) -> dict[str, int]:
+    """The added tokens of a .json file and their ids; rank files have none."""
+    return {t["content"]: t["id"] for t in json.loads(data).get("added_tokens", ())} if data[:1] == b"{" else {}
+
+
+def added_splitter(split, added: dict[str, int]):
+    """`split` between the added tokens of a text, each of which stays one word."""
+    literal = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")")
+
+    def run(text):
+        pieces = literal.split(text)
+        return split(text) if len(pieces) == 1 else [w for i, x in enumerate(pieces) for w in ([x] if i % 2 else split(x))]
+
+    return run if added else split
+
+
 def engine(data: bytes, pattern: str) -> tiktoken.Encoding:
     """The encoder of a rank file's content; one per worker process."""
     key = (len(data), hash(data), pattern)
@@ -59,9 +75,10 @@ def engine(data: bytes, pattern: str) -> tiktoken.Encoding:
 class Words(dict):
     """Word bytes to its number; the ids of all numbers lie one after another in `flat`."""
 
-    def __init__(self, encoding: tiktoken.Encoding):
+    def __init__(self, encoding: tiktoken.Encoding, added: dict[str, int]):
         super().__init__()
-        self.encode = encoding._core_bpe.encode_single_piece
+        known, piece = {w.encode(): [i] for w, i in added.items()}, encoding._core_bpe.encode_single_piece
+        self.encode = (lambda w: known.get(w) or piece(w)) if known else piece
         self.flat, self.start, self.length = array("I"), array("q"), array("i")
 
     def numbers(self, words: pa.DictionaryArray) -> np.ndarray:
@@ -87,9 +104,9 @@ class Words(dict):
         return np.frombuffer(self.flat, np.uint32)[where], length
 
 
-def word_chunks(batches, pattern: str, chunk_chars: int):
+def word_chunks(batches, pattern: str, chunk_chars: int, added: dict[str, int] | None = None):
     """For runs of documents of Arrow batches (doc_id, text): (doc_ids, all their words as an Arrow array, word counts)."""
-    split = splitter(pattern)
+    split = added_splitter(splitter(pattern), added or {})
     for batch in batches:
         names, column = batch.column(0).to_pylist(), batch.column(1)
         size = np.diff(np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, 4 * column.offset)) if len(column) else []
@@ -108,16 +125,17 @@ def word_chunks(batches, pattern: str, chunk_chars: int):
             at = end
 
 
-def token_stream(batches, data: bytes, pattern: str, chunk_chars: int = 5 << 20, most_words: int = 300_000):
+def token_stream(batches, data: bytes, pattern: str, chunk_chars: int = 5 << 20, most_words: int = 300_000, added: dict[str, int] | None = None):
     """For chunks of Arrow batches (doc_id, text): (doc_ids, words, word counts by document, ids, id counts by document).
 
     `words` is a dictionary-coded Arrow array. The word table is dropped once it holds `most_words`, which bounds memory.
+    `added` has strings that are one id wherever they stand in a text; without it they are ordinary text.
     """
-    encoding = engine(data, pattern)
-    table = Words(encoding)
-    for names, words, counts in word_chunks(batches, pattern, chunk_chars):
+    encoding, added = engine(data, pattern), added or {}
+    table = Words(encoding, added)
+    for names, words, counts in word_chunks(batches, pattern, chunk_chars, added):
         if len(table) > most_words:
-            table = Words(encoding)
+            table = Words(encoding, added)
         words = words.dictionary_encode()
         if not len(words):
             yield names, words, counts, np.zeros(0, np.uint32), counts

@@ -1,8 +1,14 @@
 """What the corpus operators left out before."""
 
 import random
+import zlib
 
-from stratavox.llm import pii, secrets
+import numpy as np
+import pytest
+
+from stratavox.llm import packing, pii, secrets
+
+tokenizers_files = pytest.importorskip("public_tokenizers")
 
 
 def test_random_tokens_of_every_alphabet_are_found():
@@ -37,3 +43,19 @@ def test_addresses_glued_to_other_characters():
     for before in ("", "1", ".", "-", "2.-"):
         text = f"{before}ftp://me:pw@host.org x"
         assert (len(before), len(text) - 2, "url") in pii.spans_of(text, anchors), text
+
+
+def test_packing_takes_added_tokens_as_the_library_does(spark):
+    import tokenizers
+
+    path = tokenizers_files.path("byte_bpe_50k.json")
+    texts = ["one <|endoftext|> two", "<|endoftext|><|endoftext|>\n\n x", "a  <|endoftext|>", "<|endoftext|", "plain", "né<|endoftext|>数字"]
+    with open(path, "rb") as f:
+        rows = packing.pack_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), f.read(), tokenizers_files.PATTERN, max_tokens=5).collect()
+    library = tokenizers.Tokenizer.from_file(str(path))
+    for i, text in enumerate(texts):
+        ids = [*library.encode(text, add_special_tokens=False).ids, 1]
+        mine = sorted((r.start, r.length, r.ids_crc32, r.doc_tokens) for r in rows if r.doc_id == i)
+        assert sum(n for _, n, _, _ in mine) == len(ids)
+        for start, n, crc, total in mine:
+            assert (crc, total) == (zlib.crc32(np.array(ids[start : start + n], "<u4").tobytes()), len(ids)), text
