@@ -1,9 +1,9 @@
 """Byte-level BPE encoding and decoding by a global distinct-word shuffle.
 
 1. Each task splits its texts into pre-tokens. A block of documents keeps, for every position, the
-   number of its word in the block's own word list, so hot words leave one row per block.
-2. The word lists are dealt by word: every distinct word meets itself in one bucket, is encoded once,
-   and its ids go back to the blocks that asked.
+   number of its word in the block's own word list, so a hot word is sent once per block.
+2. The word lists are dealt by word in the block exchange: every distinct word meets itself in one
+   group, is encoded once, and its ids go back to the blocks that asked.
 3. Each block joins ids back to its positions and reassembles documents in order. Decoding joins
    the table of token bytes.
 """
@@ -11,19 +11,20 @@
 from __future__ import annotations
 
 import hashlib
-import zlib
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import lean, lean_cogroup, partitions, texts, written_by_key
+from . import blocks as B
+from .common import lean, lean_cogroup, lean_group, partitions, texts, written_by_key
 from .tokens import engine, ranks_of, word_chunks
 
-_BLOCKS = "block long, doc_ids array<long>, counts array<int>, words binary, buckets binary, bucket int, asked binary"
+_BLOCKS = "block long, doc_ids array<long>, counts array<int>, words binary, digits binary, bucket int, asked binary"
 
 
 def _planes(values: np.ndarray, pack) -> bytes:
@@ -36,11 +37,37 @@ def _from_planes(blob: bytes, unpack) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(4, -1).T).view("<u4").ravel()
 
 
-def _blocks(pattern: str, buckets: int, block_chars: int):
+def _listed(words: list[bytes], pack) -> bytes:
+    """Words as one body."""
+    sizes = np.fromiter(map(len, words), np.uint32, len(words))
+    wide = bool(len(sizes)) and int(sizes.max()) > 65535
+    return len(words).to_bytes(4, "little") + bytes([4 if wide else 2]) + pack.compress(sizes.astype("<u4" if wide else "<u2").tobytes() + b"".join(words))
+
+
+def _words(body: bytes, unpack) -> list[bytes]:
+    n, width = int.from_bytes(body[:4], "little"), body[4]
+    raw = unpack.decompress(body[5:])
+    sizes = np.frombuffer(raw, f"<u{width}", n).astype(np.int64)
+    ends = width * n + np.cumsum(sizes)
+    return [raw[a:b] for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True)]
+
+
+def _digits(words: list[bytes], level: int, digit: int) -> np.ndarray:
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    return ((hashes >> np.uint64(64 - digit * (level + 1))) & np.uint64((1 << digit) - 1)).astype(np.uint32)
+
+
+def _by_digit(words: list[bytes], of: np.ndarray, pack) -> list[tuple[int, bytes]]:
+    by = np.argsort(of, kind="stable")
+    edges = np.flatnonzero(np.diff(of[by].astype(np.int64), prepend=-1)).tolist() + [len(by)]
+    return [(int(of[by[a]]), _listed([words[i] for i in by[a:b].tolist()], pack)) for a, b in zip(edges, edges[1:], strict=False)]
+
+
+def _blocks(pattern: str, n: int, block_chars: int, digit: int):
     def run(batches):
-        pack, block = zstandard.ZstdCompressor(level=3), TaskContext.get().partitionId() << 32
+        pack, numbers = zstandard.ZstdCompressor(level=3), B.block_numbers(TaskContext.get().partitionId(), n)
         for names, words, counts in word_chunks(batches, pattern, block_chars):
-            coded = words.dictionary_encode()
+            coded, block = words.dictionary_encode(), next(numbers)
             distinct = coded.dictionary.cast(pa.binary()).to_pylist()
             # numbers by falling frequency keep the planes small
             used = np.bincount(coded.indices.to_numpy(), minlength=len(distinct)) if distinct else np.zeros(0, np.int64)
@@ -48,52 +75,58 @@ def _blocks(pattern: str, buckets: int, block_chars: int):
             rank = np.empty(len(order), np.uint32)
             rank[order] = np.arange(len(order), dtype=np.uint32)
             distinct = [distinct[i] for i in order.tolist()]
-            at = np.fromiter(map(zlib.crc32, distinct), np.uint32, len(distinct)) % np.uint32(buckets)
+            at = _digits(distinct, 0, digit)
             rows = [(block, names, counts.astype(np.int32).tolist(), _planes(rank[coded.indices.to_numpy()] if distinct else np.zeros(0, np.uint32), pack), _planes(at, pack), None, None)]
-            by = np.argsort(at, kind="stable")
-            edges = np.flatnonzero(np.diff(at[by], prepend=-1)).tolist() + [len(by)]
-            for a, b in zip(edges, edges[1:], strict=False):
-                mine = [distinct[i] for i in by[a:b].tolist()]
-                sizes = np.fromiter(map(len, mine), np.uint32, len(mine))
-                head = len(mine).to_bytes(4, "little")
-                rows.append((block, None, None, None, None, int(at[by[a]]), head + pack.compress(sizes.astype("<u2" if sizes.max() < 65536 else "<u4").tobytes() + b"".join(mine))))
-            block += 1
+            rows += [(block, None, None, None, None, q, body) for q, body in _by_digit(distinct, at, pack)]
             kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.int32(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], [x.split()[0] for x in _BLOCKS.split(", ")])
 
     return lean(run)
 
 
-def _answers(data, pattern: str):
-    """For each (block, bucket, asked words): the ids of the words, in the order asked; a word is encoded once per bucket."""
+def _answer(asked: list[list[bytes]], known: dict[bytes, bytes]) -> list[bytes]:
+    """For each list of words: the number of ids of each word, and all ids."""
+    pack, out = zstandard.ZstdCompressor(level=3), []
+    for words in asked:
+        ids = [*map(known.__getitem__, words)]
+        lengths = np.fromiter(map(len, ids), np.uint32, len(ids)) // 4
+        out.append(len(words).to_bytes(4, "little") + _planes(np.concatenate([lengths, np.frombuffer(b"".join(ids), "<u4")]), pack))
+    return out
 
-    def run(batches):
-        pack, unpack = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
-        encode = engine(data.value, pattern)._core_bpe.encode_single_piece
-        known: dict[bytes, bytes] = {}
-        for batch in batches:
-            out = []
-            for blob in batch.column(2).to_pylist():
-                n = int.from_bytes(blob[:4], "little")
-                raw = unpack.decompress(blob[4:])
-                sizes = np.frombuffer(raw, "<u2", n)
-                wide = int(sizes.sum()) + 2 * n != len(raw)
-                if wide:
-                    sizes = np.frombuffer(raw, "<u4", n)
-                ends = ((4 if wide else 2) * n + np.cumsum(sizes, dtype=np.int64)).tolist()
-                start, ids = (4 if wide else 2) * n, []
-                for end in ends:
-                    word = raw[start:end]
-                    start = end
-                    got = known.get(word)
-                    if got is None:
-                        got = known[word] = np.array(encode(word), "<u4").tobytes()
-                    ids.append(got)
-                lengths = np.fromiter(map(len, ids), np.uint32, n) // 4
-                out.append(n.to_bytes(4, "little") + _planes(np.concatenate([lengths, np.frombuffer(b"".join(ids), "<u4")]), pack))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["block", "bucket", "ids"])
 
-    return lean(run)
+def _ids(blob: bytes, unpack) -> list[bytes]:
+    """The ids of each word of an answer, as 32-bit values."""
+    n, got = int.from_bytes(blob[:4], "little"), _from_planes(blob[4:], unpack)
+    raw, ends = got[n:].tobytes(), np.cumsum(got[:n], dtype=np.int64) * 4
+    return [raw[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+
+
+def _encoding(data, pattern: str, digit: int) -> B.Exchange:
+    """The exchange of words for ids; a word is encoded once."""
+
+    def lists(bodies):
+        unpack = zstandard.ZstdDecompressor()
+        return [_words(b, unpack) for b in bodies]
+
+    def merged(asked, level):
+        words = [*dict.fromkeys(w for x in asked for w in x)]
+        return words, _digits(words, level, digit)
+
+    def answer(bodies):
+        asked, encode = lists(bodies), engine(data.value, pattern)._core_bpe.encode_single_piece
+        return _answer(asked, {w: np.array(encode(w), "<u4").tobytes() for w in {w for x in asked for w in x}})
+
+    def merge(bodies, level):
+        return _by_digit(*merged(lists(bodies), level), zstandard.ZstdCompressor(level=3))
+
+    def passed(bodies, answers, level):
+        asked, unpack = lists(bodies), zstandard.ZstdDecompressor()
+        words, at = merged(asked, level)
+        ids = [x for blob in answers for x in _ids(blob, unpack)]
+        by = np.argsort(at, kind="stable").tolist()
+        return _answer(asked, dict(zip([words[i] for i in by], ids, strict=True)))
+
+    return B.Exchange(answer, merge, passed)
 
 
 _OUT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -108,11 +141,11 @@ def _assemble(data):
             token_bytes[i] = word
         decoding = pa.array(token_bytes, pa.binary())
         out = ([], [], [], [])
-        for doc_ids, counts, words, at in zip(*(blocks.column(c).to_pylist() for c in ("doc_ids", "counts", "words", "buckets")), strict=True):
+        for doc_ids, counts, words, at in zip(*(blocks.column(c).to_pylist() for c in ("doc_ids", "counts", "words", "digits")), strict=True):
             at = _from_planes(at, unpack)
             by = np.argsort(at, kind="stable")
             lengths, ids = [], []
-            for _, blob in sorted(zip(answers.column("bucket").to_pylist(), answers.column("ids").to_pylist(), strict=True)):
+            for blob in B.in_order(answers):
                 n = int.from_bytes(blob[:4], "little")
                 got = _from_planes(blob[4:], unpack)
                 lengths.append(got[:n])
@@ -166,18 +199,19 @@ def _joined(values: pa.Array) -> memoryview:
     return _bytes_of(pc.binary_join(pa.ListArray.from_arrays(offsets, values), " "))
 
 
-def encode_decode(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id", text_col: str = "text", block_chars: int = 8 << 20) -> DataFrame:
+def encode_decode(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id", text_col: str = "text", block_chars: int = 8 << 20, digit: int = B.DIGIT, most: int = 256) -> DataFrame:
     """One row per input row: number of ids, SHA-256 of the ids in decimal, and of the bytes decoded from them.
 
     A null text counts as empty: no ids and digests of nothing. Ids of rows may repeat or be null;
-    other columns are ignored; an empty table gives no rows. `ranks` is the content of a rank file.
+    other columns are ignored; an empty table gives no rows. `ranks` is the content of a rank file, of
+    fixed size. `digit` and `most` are those of the block exchange.
     """
     data = docs.sparkSession.sparkContext.broadcast(ranks)
     n = partitions(docs)
-    blocks = written_by_key(texts(docs, id_col, text_col).mapInArrow(_blocks(pattern, n, block_chars), _BLOCKS), "bpe", "block", n)
-    asked = blocks.filter("bucket is not null").select("block", "bucket", "asked")
-    answers = asked.repartition(n, "bucket").mapInArrow(_answers(data, pattern), "block long, bucket int, ids binary")
-    whole = blocks.filter("bucket is null").select("block", "doc_ids", "counts", "words", "buckets")
+    blocks = written_by_key(texts(docs, id_col, text_col).mapInArrow(_blocks(pattern, n, block_chars, digit), _BLOCKS), "bpe", "block", n)
+    whole = blocks.filter("bucket is null").select("block", "doc_ids", "counts", "words", "digits")
+    asked = blocks.filter("bucket is not null").selectExpr("0L as prefix", "block", "bucket", "asked as body")
+    answers = B.exchanged(asked, _encoding(data, pattern, digit), whole.count(), digit, most, wrap=lean_group, wrap_two=lean_cogroup)
     return whole.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_assemble(data), _OUT)
 
 

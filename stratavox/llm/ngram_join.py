@@ -9,8 +9,10 @@ their sets are compared.
 
 Within a column, rows are measured against one leader. Rows near it are known by the few shingles
 that set them apart from it; two of them can only link, beyond what the leader joins, if they share
-some of these, so near copies are never expanded into all pairs. Rows far from it are compared
-with those that the triangle inequality allows, and choose a leader of their own.
+some of these, so near copies are never expanded into all pairs. Rows far from it are compared with
+those that the triangle inequality allows where they are few. Where they are many, a second leader
+is chosen, and then the column is split by a further column: rows that link and share a first column
+share a second one among one column more, and so on.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 
 from ..operators.components import components
 from . import blocks as B
-from .common import lean, lean_cogroup, written
+from .common import dropped, lean, lean_cogroup, written
 
 #: Bits of a shingle's hash that are dropped where columns are counted; a clash only alters the order.
 _DROP = 20
@@ -75,50 +77,37 @@ class _Sets:
         self.column, self.at, self.times = np.unique(self.key >> np.uint64(_DROP), return_inverse=True, return_counts=True)
 
 
-def _ask_weights(k: int, buckets: int):
+def _ask_weights(k: int, digit: int):
     def run(batches):
-        pack = zstandard.ZstdCompressor(level=1)
         for batch in batches:
             for i in range(batch.num_rows):
                 for block, names, texts in B.opened(batch.slice(i, 1)):
                     mine = _Sets(names, texts, k)
-                    times = np.minimum(mine.times, 255).astype(np.uint8)
-                    edges = B.by_bucket(mine.column << np.uint64(_DROP), buckets)
-                    yield B.batch_of([(block, q, B.joined_body(B.coded(mine.column[a:b], pack), pack.compress(times[a:b].tobytes()))) for q, a, b in edges], B.MESSAGES)
+                    yield B.batch_of([(0, block, q, body) for q, body in B.keyed_messages(mine.column << np.uint64(_DROP), mine.times, digit=digit)], B.MESSAGES)
 
     return lean(run)
 
 
-def _weights(rows: pa.Table) -> pa.Table:
-    """For each column asked: 0 if it has one row in all, else the bit length of its number of rows."""
-    unpack, pack = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=1)
-    keys, times = [], []
-    for body in rows.column("body").to_pylist():
-        a, b = B.split_body(body)
-        keys.append(B.decoded(a, unpack))
-        times.append(np.frombuffer(unpack.decompress(b), np.uint8))
-    distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
-    total = np.bincount(at, weights=np.concatenate(times), minlength=len(distinct))
-    weight = np.where(total < 2, 0, np.floor(np.log2(np.maximum(total, 1))) + 1).astype(np.uint8)[at]
-    out, start = [], 0
-    for k in keys:
-        out.append(pack.compress(weight[start : start + len(k)].tobytes()))
-        start += len(k)
-    return pa.table([rows.column("block"), rows.column("bucket"), pa.array(out, pa.binary())], names=["block", "bucket", "body"])
+def _bit_length(total: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """0 for a column that has one row in all, else the bit length of its number of rows."""
+    return np.where(total < 2, 0, np.floor(np.log2(np.maximum(total, 1))) + 1)
 
 
+#: Columns that a row lists beyond its first ones, by which full columns are split.
+MORE = 3
+#: So many rows far from a column's leader are compared directly, and so often a new leader is chosen before a column is split.
+FEW, TURNS = 256, 2
+
 #: Rows of sets have `n` and `members` (and `body` if they meet anything); rows of the matrix have `column`.
-_PARTS = "digest binary, n int, members array<long>, body binary, column long, position int"
-_KINDS = [pa.binary(), pa.int32(), pa.list_(pa.int64()), pa.binary(), pa.int64(), pa.int32()]
+_PARTS = "block long, digest binary, n int, members array<long>, body binary, column long, position int, extra int"
+_KINDS = [pa.int64(), pa.binary(), pa.int32(), pa.list_(pa.int64()), pa.binary(), pa.int64(), pa.int32(), pa.int32()]
 
 
 def _rows(k: int, percent: int):
     def run(blocks: pa.Table, answers: pa.Table) -> pa.Table:
-        unpack, pack = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=3)
-        parts = sorted(zip(answers.column("bucket").to_pylist(), answers.column("body").to_pylist(), strict=True))
-        weight = np.frombuffer(b"".join(unpack.decompress(b) for _, b in parts), np.uint8)
-        out = []
-        for _, names, texts in B.opened(blocks):
+        pack, out = zstandard.ZstdCompressor(level=3), []
+        weight = B.answers_of(answers)
+        for block, names, texts in B.opened(blocks):
             mine = _Sets(names, texts, k)
             weights = weight[mine.at] if len(mine.at) else np.zeros(0, np.uint8)
             order = np.lexsort((mine.key, weights, mine.row))
@@ -126,16 +115,17 @@ def _rows(k: int, percent: int):
             position = np.arange(len(order)) - np.repeat(ends - mine.sizes, mine.sizes)
             prefix = mine.sizes - (percent * mine.sizes + 99) // 100 + 1
             row = mine.row[order]
-            meets = np.flatnonzero((position < prefix[row]) & (weights[order] > 0))
+            extra = np.maximum(position - prefix[row] + 1, 0)
+            meets = np.flatnonzero((extra <= MORE) & (weights[order] > 0))
             some = np.zeros(len(mine.sizes), bool)
             some[row[meets]] = True
             sizes = mine.sizes.tolist()
             for i, (digest, members) in enumerate(mine.members.items()):
-                out.append((digest, sizes[i], members, pack.compress(mine.texts[i]) if some[i] else None, None, None))
-            out += [(None, 0, [x], None, None, None) for x in mine.empty]
-            for r, c, p in zip(row[meets].tolist(), mine.key[order][meets].view(np.int64).tolist(), position[meets].tolist(), strict=True):
-                out.append((mine.digests[r], sizes[r], None, None, c, p))
-        cols = list(zip(*out, strict=True)) or [()] * 6
+                out.append((block, digest, sizes[i], members, pack.compress(mine.texts[i]) if some[i] else None, None, None, None))
+            out += [(block, None, 0, [x], None, None, None, None) for x in mine.empty]
+            for r, c, p, e in zip(row[meets].tolist(), mine.key[order][meets].view(np.int64).tolist(), position[meets].tolist(), extra[meets].tolist(), strict=True):
+                out.append((block, mine.digests[r], sizes[r], None, None, c, p, e))
+        cols = list(zip(*out, strict=True)) or [()] * 8
         return pa.table([pa.array(c, kind) for c, kind in zip(cols, _KINDS, strict=True)], names=[x.split()[0] for x in _PARTS.split(", ")])
 
     return lean_cogroup(run)
@@ -177,9 +167,9 @@ def _measured(pairs: DataFrame, sets: DataFrame, k: int, percent: int, name: str
 
 
 def _bound(a: str, b: str, percent: int):
-    """Sizes, and what can still overlap from the common column on, allow the similarity."""
+    """Sizes, and what can still overlap from the last common column on, allow the similarity."""
     na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
-    rest = F.least(na - F.col(f"{a}.position"), nb - F.col(f"{b}.position"))
+    rest = F.least(na - F.col(f"{a}.position"), nb - F.col(f"{b}.position")) + F.col(f"{a}.level")
     return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & ((100 + percent) * rest >= percent * (na + nb))
 
 
@@ -210,19 +200,43 @@ def _near_links(measured: DataFrame, roots: DataFrame, percent: int) -> DataFram
     return counted.filter(100 * (F.col("n") - apart) >= percent * (F.col("n") + apart)).select("u", "v")
 
 
-def _joined_pairs(a: DataFrame, b: DataFrame, percent: int, triangle: bool) -> DataFrame:
-    """Pairs of rows of one column that no link joins yet, within the bounds; with distances to the column's leader, those they allow."""
+def _joined_pairs(a: DataFrame, b: DataFrame, percent: int) -> DataFrame:
+    """Pairs of rows of one column that no link joins yet, within the bounds and those that distances to the column's leader set."""
     a, b = a.alias("a"), b.alias("b")
-    on = (F.col("a.column") == F.col("b.column")) & (F.col("a.root") != F.col("b.root")) & _bound("a", "b", percent)
-    if triangle:
-        far = (100 + percent) * F.abs(F.col("a.dist") - F.col("b.dist")) > (100 - percent) * (F.col("a.n") + F.col("b.n"))
-        on &= ~F.coalesce(far, F.lit(False))
-    else:
-        on &= F.col("a.digest") > F.col("b.digest")
+    far = (100 + percent) * F.abs(F.col("a.dist") - F.col("b.dist")) > (100 - percent) * (F.col("a.n") + F.col("b.n"))
+    on = (F.col("a.column") == F.col("b.column")) & (F.col("a.root") != F.col("b.root")) & _bound("a", "b", percent) & ~F.coalesce(far, F.lit(False))
     return a.join(b, on).select(F.greatest("a.digest", "b.digest").alias("u"), F.least("a.digest", "b.digest").alias("v"))
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 85, block_bytes: int = 4 << 20, rounds: int = 2) -> DataFrame:
+def _split(full: DataFrame, cells: DataFrame) -> DataFrame:
+    """Rows of columns that are too full, by each further column behind the last common one that one level more allows."""
+    more = cells.select("digest", F.col("column").alias("then"), F.col("position").alias("at"), "extra")
+    both = full.join(more, "digest").filter("at > position and extra <= level + 1")
+    return both.select(F.xxhash64("column", "then").alias("column"), "digest", "n", F.col("at").alias("position"), (F.col("level") + 1).alias("level"), F.lit(0).alias("turn"))
+
+
+_LEAST = -(1 << 63)
+
+
+def _name(least_id, digest):
+    """A set's name: its smallest id so that names are in order of ids, null last, then its digest."""
+    flipped = F.unhex(F.lpad(F.hex(least_id.bitwiseXOR(F.lit(_LEAST))), 16, "0"))
+    return F.concat(F.coalesce(F.concat(F.lit(b"\x00"), flipped), F.lit(b"\x01" + b"\xff" * 8)), digest)
+
+
+def _id_of(name):
+    """The id in a set's name."""
+    flipped = F.conv(F.hex(F.substring(name, 2, 8)), 16, -10).cast("long")
+    return F.when(F.substring(name, 1, 1) == F.lit(b"\x00"), flipped.bitwiseXOR(F.lit(_LEAST)))
+
+
+#: Parts that a set's rows, one per block that has it, are dealt into where they get their component.
+_SALTS = 32
+
+
+def jaccard_components(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 85, block_bytes: int = 4 << 20, few: int = FEW, digit: int = B.DIGIT, most: int = B.MOST
+) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id and n_set_links.
 
     Documents link when 100 * intersection >= percent * union of their sets of k-word shingles; A-Z
@@ -230,56 +244,78 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     smallest doc_id that links reach. A null or empty text has no shingle and is its own component.
     n_set_links is the number of comparisons with other sets that passed (0 if there were none; a lower
     bound of a set's links). Rows without an id keep a null component unless linked to one; repeated
-    rows each count. Other columns are ignored; an empty table gives no rows.
+    rows each count. Other columns are ignored; an empty table gives no rows. `few` only chooses how
+    pairs are found; `digit` and `most` are those of the block exchange.
     """
     table = B.pack_blocks(docs, id_col, text_col, block_bytes, "ngrams")
-    buckets = B.bucket_count(table, 8 << 20)
-    weights = table.mapInArrow(_ask_weights(k, buckets), B.MESSAGES).groupBy("bucket").applyInArrow(_weights, B.MESSAGES)
+    weights = B.exchanged(table.mapInArrow(_ask_weights(k, digit), B.MESSAGES), B.tally(np.add, _bit_length, digit=digit), table.count(), digit, most)
     parts = written(table.groupBy("block").cogroup(weights.groupBy("block")).applyInArrow(_rows(k, percent), _PARTS), "rows")
-    local = parts.filter("column is null").select("digest", "n", "members", "body")
+    local = parts.filter("column is null").select("block", "digest", "n", "members", "body")
     nonempty = local.filter("digest is not null")
-    sets = written(nonempty.groupBy("digest").agg(F.min(F.array_min("members")).alias("least_id"), F.first("body", ignorenulls=True).alias("body")), "sets")
-    left = written(parts.filter("column is not null").select("column", "digest", "n", "position").distinct(), "cells")
-
-    links, direct = None, []
-    for _ in range(rounds):
+    known = nonempty.groupBy("digest").agg(F.min(F.array_min("members")).alias("least_id"), F.first("body", ignorenulls=True).alias("body"), F.min("block").alias("home"), F.count("*").alias("homes"))
+    named = written(known.select("digest", _name(F.col("least_id"), F.col("digest")).alias("name"), "body", "home", "homes"), "sets")
+    sets = named.select(F.col("name").alias("digest"), "body")
+    # from here on sets go by their names; one block speaks for the sets that several have
+    cells = parts.filter("column is not null").join(named.select("digest", "name", "home"), "digest").filter("block = home")
+    cells = written(cells.select("column", F.col("name").alias("digest"), "n", "position", "extra"), "cells")
+
+    left = cells.filter("extra = 0").select("column", "digest", "n", "position", F.lit(0).alias("level"), F.lit(0).alias("turn"))
+    links, direct, used = None, [], None
+    share = (100 - percent) / (100 + percent)
+    while True:
         # each column's leader is the row with the fewest rarer columns; all rows are measured against it
-        lead = left.groupBy("column").agg(F.min(F.struct("position", "digest", "n")).alias("lead"), F.count("*").alias("rows")).filter("rows > 1")
-        cells = left.join(lead.select("column", "lead"), "column")
-        asked = cells.select(F.struct("digest", "n", "position").alias("me"), "lead").filter("me.digest != lead.digest").filter(_bound("me", "lead", percent))
+        lead = left.groupBy("column").agg(F.min(F.struct("position", "digest", "n", "level")).alias("lead"), F.count("*").alias("rows")).filter("rows > 1")
+        led = left.join(lead.select("column", "lead"), "column")
+        asked = led.select(F.struct("digest", "n", "position", "level").alias("me"), "lead").filter("me.digest != lead.digest").filter(_bound("me", "lead", percent))
         measured = _measured(asked.select(F.col("lead.digest").alias("u"), F.col("me.digest").alias("v")).distinct(), sets, k, percent, "measured")
         new = measured.filter("linked").select("u", "v")
         links = new if links is None else links.union(new)
         roots = components(links)
         links = links.union(written(_near_links(measured, roots, percent), "links"))
         dist = measured.select(F.col("u").alias("lead_digest"), F.col("v").alias("digest"), "dist", "near")
-        placed = _rooted(cells.withColumn("lead_digest", F.col("lead.digest")).join(dist, ["lead_digest", "digest"], "left"), roots, "digest")
+        placed = _rooted(led.withColumn("lead_digest", F.col("lead.digest")).join(dist, ["lead_digest", "digest"], "left"), roots, "digest")
         own = F.col("digest") == F.col("lead_digest")
-        placed = placed.select("column", "digest", "n", "position", "root", F.when(own, 0).otherwise(F.col("dist")).alias("dist"), (own | F.coalesce("near", F.lit(False))).alias("near"))
+        placed = placed.select("column", "digest", "n", "position", "level", "turn", "root", F.when(own, 0).otherwise(F.col("dist")).alias("dist"), (own | F.coalesce("near", F.lit(False))).alias("near"))
+        placed = written(placed, "placed")
+        dropped(used)
+        used = None
         far = placed.filter("not near")
         if far.isEmpty():
-            left = None
             break
-        placed = written(placed, "placed")
-        far = placed.filter("not near")
-        direct.append(_joined_pairs(placed.filter("near"), far, percent, True))
-        left = far.select("column", "digest", "n", "position")
-    if left is not None:
-        left = _rooted(left, roots, "digest")
-        direct.append(_joined_pairs(left, left, percent, False))
+        # of the rows near the leader, those within reach of a far one; a far one without a distance may reach all
+        reach = far.groupBy("column").agg(F.min(F.coalesce(F.col("dist") - share * F.col("n"), F.lit(-1e18))).alias("reach"), F.count("*").alias("n_far"))
+        ring = placed.filter("near").join(reach, "column").filter(F.col("dist") + share * F.col("n") >= F.col("reach") - 1e-6)
+        counts = ring.groupBy("column").agg(F.count("*").alias("n_ring"))
+        fate = reach.select("column", "n_far").join(counts, "column", "left").select("column", "n_far", F.coalesce("n_ring", F.lit(0)).alias("n_ring"))
+        fate = written(fate.filter("n_far + n_ring > 1"), "fate")
+        far = far.join(fate, "column")
+        ring = ring.drop("reach", "n_far").join(fate, "column")
+        last = F.col("level") >= MORE
+        direct.append(_joined_pairs(ring.filter((F.col("n_far") <= few) | (F.col("n_ring") <= few) | last), far, percent))
+        direct.append(_joined_pairs(*[far.filter(F.col("n_far") <= few)] * 2, percent).filter("u != v"))
+        many = F.col("n_far") > few
+        open_ring = (F.col("n_ring") > few) & ~last
+        # the last level chooses leaders until few rows are left
+        again = far.filter(many & ~open_ring & ((F.col("turn") + 1 < TURNS) | last)).select("column", "digest", "n", "position", "level", (F.col("turn") + 1).alias("turn"))
+        full = far.filter(many & ~last & (open_ring | (F.col("turn") + 1 >= TURNS))).unionByName(ring.filter(many & open_ring))
+        left = again.unionByName(_split(full.select("column", "digest", "n", "position", "level"), cells))
+        left = used = written(left, "left")
+        if left.isEmpty():
+            break
     if direct:
         pairs = direct[0]
         for more in direct[1:]:
             pairs = pairs.union(more)
         links = links.union(_measured(pairs.distinct(), sets, k, percent, "measured").filter("linked").select("u", "v"))
     every = written(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
-    final = components(every)
 
-    root_of = _rooted(sets.select("digest", "least_id"), final, "digest")
-    least = root_of.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    degree = every.select(F.col("u").alias("digest")).union(every.select(F.col("v").alias("digest"))).groupBy("digest").agg(F.count("*").alias("n_set_links"))
-    named = root_of.join(least, "root").join(degree, "digest", "left").select("digest", "component_id", F.coalesce("n_set_links", F.lit(0)).alias("n_set_links"))
-    full = nonempty.select("digest", "n", "members").join(named, "digest").select(F.explode("members").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), "component_id", "n_set_links")
+    degree = every.select(F.col("u").alias("name")).union(every.select(F.col("v").alias("name"))).groupBy("name").agg(F.count("*").alias("n_set_links"))
+    # names are in order of ids, so a component's least name has its least id
+    classes = named.select("digest", "name", "home", "homes").join(components(every).withColumnRenamed("node", "name"), "name", "left").join(degree, "name", "left")
+    salts = F.when(F.col("homes") == 1, F.array(F.pmod(F.hash("home"), F.lit(_SALTS)))).otherwise(F.sequence(F.lit(0), F.lit(_SALTS - 1)))
+    classes = classes.select("digest", _id_of(F.coalesce("root", "name")).alias("component_id"), F.coalesce("n_set_links", F.lit(0)).alias("n_set_links"), F.explode(salts).alias("salt"))
+    rows = nonempty.select("digest", "n", "members", F.pmod(F.hash("block"), F.lit(_SALTS)).alias("salt")).join(classes, ["digest", "salt"])
+    full = rows.select(F.explode("members").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), "component_id", "n_set_links")
     none = local.filter("digest is null").select(F.explode("members").alias("doc_id"), F.lit(0).cast("long").alias("n_shingles"))
     return full.unionByName(none.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_set_links")))
 
@@ -290,8 +326,11 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     An id that several rows have stays with all of them if any of them stays.
     """
     found = jaccard_components(docs, id_col, text_col, k, percent)
-    gone = found.groupBy("doc_id").agg(F.min(F.col("doc_id") != F.col("component_id")).alias("gone")).filter("gone").select(F.col("doc_id").alias(id_col))
-    return docs.join(gone, id_col, "left_anti").select(*docs.columns)
+    gone = found.groupBy("doc_id").agg(F.min(F.col("doc_id") != F.col("component_id")).alias("gone")).filter("gone").select("doc_id")
+    plain = [f"c{i}" for i in range(len(docs.columns))]
+    rows = docs.toDF(*plain)
+    at = plain[docs.columns.index(id_col)]
+    return rows.join(gone, rows[at].cast("long") == gone["doc_id"], "left_anti").toDF(*docs.columns)
 
 
 def op2_ngram_join(spark, sf_dir: str) -> DataFrame:

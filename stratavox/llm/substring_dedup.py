@@ -6,8 +6,8 @@ anchor that two documents share, the match is extended both ways over the window
 their word sequences are compared across documents, the smallest doc_id of each wins, and matched
 windows that follow each other make the maximal repeats that are cut.
 
-Anchors and windows are exchanged between blocks as sorted hashes; a window's identity is a 64-bit
-hash within a bucket that an independent hash chooses, so it gains a bit whenever the buckets double.
+Anchors and windows are exchanged between blocks as sorted hashes; a window's identity is two
+independent hashes of 64 and 32 bits.
 """
 
 from __future__ import annotations
@@ -16,7 +16,6 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 
 from . import blocks as B
@@ -55,93 +54,76 @@ class _Block:
         at = np.flatnonzero(first)
         return key[at], np.add.reduceat(several, at) > 0 if len(at) else np.zeros(0, bool)
 
-    def extended(self, shared: np.ndarray, anchors: np.ndarray, buckets: int):
-        """Windows that chose a shared anchor: positions in `starts`, bucket, hash and doc_id, sorted by the first three."""
+    def extended(self, shared: np.ndarray, anchors: np.ndarray):
+        """Windows that chose a shared anchor: positions in `starts`, both hashes and doc_id, sorted by the last three."""
         at = np.flatnonzero(shared[np.searchsorted(anchors, self.anchor)]) if len(anchors) else np.zeros(0, np.int64)
         if not len(at):
-            return at, np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+            return at, np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         start = self.starts[at]
-        bucket = (B.grams(self.hashes, WINDOW, _SECOND)[start] % np.uint64(buckets)).astype(np.int64)
+        check = (B.grams(self.hashes, WINDOW, _SECOND)[start] >> np.uint64(32)).astype(np.int64)
         key, doc = B.grams(self.hashes, WINDOW)[start], self.ids[self.doc[at]]
-        order = np.lexsort((doc, key, bucket))
-        return at[order], bucket[order], key[order], doc[order]
+        order = np.lexsort((doc, check, key))
+        return at[order], key[order], check[order], doc[order]
 
 
-def _firsts(bucket: np.ndarray, key: np.ndarray) -> np.ndarray:
+def _firsts(key: np.ndarray, check: np.ndarray) -> np.ndarray:
     new = np.ones(len(key), bool)
-    new[1:] = (key[1:] != key[:-1]) | (bucket[1:] != bucket[:-1])
+    new[1:] = (key[1:] != key[:-1]) | (check[1:] != check[:-1])
     return np.flatnonzero(new)
 
 
-def _ask_anchors(buckets: int):
+def _first_documents(digit: int) -> B.Exchange:
+    """For each window asked: whether a smaller doc_id than the asker's own smallest has it."""
+    return B.tally(np.minimum, lambda total, own: total < own, lambda answer, total, own: answer.astype(bool) | (total < own), checked=True, digit=digit)
+
+
+def _ask_anchors(digit: int):
     def run(batches):
-        pack = zstandard.ZstdCompressor(level=1)
         for batch in batches:
             for i in range(batch.num_rows):
                 for block, names, texts in B.opened(batch.slice(i, 1)):
                     keys, several = _Block(names, texts).anchors()
-                    yield B.batch_of([(block, q, B.joined_body(B.coded(keys[a:b], pack), B.bits(several[a:b]))) for q, a, b in B.by_bucket(keys, buckets)], B.MESSAGES)
+                    yield B.batch_of([(0, block, q, body) for q, body in B.keyed_messages(keys, several + 1, digit=digit)], B.MESSAGES)
 
     return lean(run)
 
 
-def _ask_windows(buckets: int):
+def _ask_windows(digit: int):
     def run(blocks: pa.Table, answers: pa.Table) -> pa.Table:
-        pack, out = zstandard.ZstdCompressor(level=1), []
+        out = []
         for block, names, texts in B.opened(blocks):
             mine = _Block(names, texts)
-            _, bucket, key, doc = mine.extended(B.answers_of(answers), mine.anchors()[0], buckets)
-            at = _firsts(bucket, key)
-            bucket, key, doc = bucket[at], key[at], doc[at]
-            edges = np.flatnonzero(np.diff(bucket, prepend=-1)).tolist() + [len(bucket)]
-            for a, b in zip(edges, edges[1:], strict=False):
-                planes = doc[a:b].astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes()
-                out.append((block, int(bucket[a]), B.joined_body(B.coded(key[a:b], pack), pack.compress(planes))))
+            _, key, check, doc = mine.extended(B.answers_of(answers).astype(bool), mine.anchors()[0])
+            at = _firsts(key, check)
+            out += [(0, block, q, body) for q, body in B.keyed_messages(key[at], doc[at], 0, check[at], digit)]
         return B.table_of(out, B.MESSAGES)
 
     return lean_cogroup(run)
 
 
-def _first_documents(rows: pa.Table) -> pa.Table:
-    """For each window asked: whether a smaller doc_id than the block's own smallest has it."""
-    unpack = zstandard.ZstdDecompressor()
-    keys, docs = [], []
-    for body in rows.column("body").to_pylist():
-        a, b = B.split_body(body)
-        keys.append(B.decoded(a, unpack))
-        docs.append(np.ascontiguousarray(np.frombuffer(unpack.decompress(b), np.uint8).reshape(8, -1).T).view("<i8").ravel())
-    key, doc = np.concatenate(keys), np.concatenate(docs)
-    order = np.lexsort((doc, key))
-    new = np.ones(len(key), bool)
-    new[1:] = key[order][1:] != key[order][:-1]
-    least = np.empty(len(key), np.int64)
-    least[order] = doc[order][np.flatnonzero(new)][np.cumsum(new) - 1]
-    smaller, out, start = least < doc, [], 0
-    for k in keys:
-        out.append(B.bits(smaller[start : start + len(k)]))
-        start += len(k)
-    return pa.table([rows.column("block"), rows.column("bucket"), pa.array(out, pa.binary())], names=["block", "bucket", "body"])
+_OUT = "doc_id long, n_words long, n_removed long, n_spans long, kept_sha256 string, kept_text binary"
 
 
-_OUT = "doc_id long, n_words long, n_removed long, n_spans long, kept_sha256 string, kept_text binary"
+#: Added to the digits of anchors' answers where they travel with those of windows.
+_SEEDS = 1 << 20
 
 
-def _cut(buckets: int, with_text: bool):
+def _cut(with_text: bool):
     def run(blocks: pa.Table, answers: pa.Table) -> pa.Table:
         out = []
-        kind = np.array(answers.column("bucket").to_pylist(), np.int64) >= buckets
+        kind = np.array(answers.column("bucket").to_pylist(), np.int64) >= _SEEDS
         seeds = answers.filter(pa.array(kind))
         windows = answers.filter(pa.array(~kind))
         for _, names, texts in B.opened(blocks):
             mine = _Block(names, texts)
-            at, bucket, key, doc = mine.extended(B.answers_of(seeds), mine.anchors()[0], buckets)
+            at, key, check, doc = mine.extended(B.answers_of(seeds).astype(bool), mine.anchors()[0])
             change = np.zeros(len(mine.words) + 1, np.int32)
             if len(at):
-                new = _firsts(bucket, key)
+                new = _firsts(key, check)
                 which = np.zeros(len(at), np.int64)
                 which[new[1:]] = 1
                 which = np.cumsum(which)
-                gone = B.answers_of(windows)[which] | (doc > doc[new][which])
+                gone = B.answers_of(windows)[which].astype(bool) | (doc > doc[new][which])
                 start = mine.starts[at[gone]]
                 np.add.at(change, start, 1)
                 np.add.at(change, start + WINDOW, -1)
@@ -157,21 +139,21 @@ def _cut(buckets: int, with_text: bool):
     return lean_cogroup(run)
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, block_bytes: int = 4 << 20) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, block_bytes: int = 4 << 20, digit: int = B.DIGIT, most: int = B.MOST) -> DataFrame:
     """One row per input row: n_words, n_removed, n_spans (maximal removed runs), SHA-256 of the kept words joined by one space.
 
     A word goes when a window of 13 words that covers it also starts in a document with a smaller
     doc_id. A null or empty text has no words. Rows that repeat an id don't remove each other; rows
     without an id come last and don't either. Other columns are ignored; an empty table gives no rows.
-    `with_text` adds the kept words as kept_text.
+    `with_text` adds the kept words as kept_text. `digit` and `most` are those of the block exchange.
     """
     table = B.pack_blocks(docs, id_col, text_col, block_bytes, "substring")
-    buckets = B.bucket_count(table, 16 << 20)
-    seeds = written(B.shared_keys(table.mapInArrow(_ask_anchors(buckets), B.MESSAGES)), "seeds")
-    asked = table.groupBy("block").cogroup(seeds.groupBy("block")).applyInArrow(_ask_windows(buckets), B.MESSAGES)
-    found = asked.groupBy("bucket").applyInArrow(_first_documents, B.MESSAGES)
-    both = found.union(seeds.selectExpr("block", f"bucket + {buckets} as bucket", "body"))
-    out = table.groupBy("block").cogroup(both.groupBy("block")).applyInArrow(_cut(buckets, with_text), _OUT)
+    n = table.count()
+    seeds = written(B.exchanged(table.mapInArrow(_ask_anchors(digit), B.MESSAGES), B.shared(digit), n, digit, most), "seeds")
+    asked = table.groupBy("block").cogroup(seeds.groupBy("block")).applyInArrow(_ask_windows(digit), B.MESSAGES)
+    found = B.exchanged(asked, _first_documents(digit), n, digit, most)
+    both = found.union(seeds.selectExpr("prefix", "block", f"bucket + {_SEEDS} as bucket", "body"))
+    out = table.groupBy("block").cogroup(both.groupBy("block")).applyInArrow(_cut(with_text), _OUT)
     return out if with_text else out.drop("kept_text")
 
 

@@ -2,8 +2,8 @@
 
 Blocks find the windows of 100 bytes that can repeat: winnowing picks in every window the 32-byte
 gram of least hash, and only windows whose gram occurs twice in the corpus go on. They travel with
-their surroundings to a bucket chosen by the gram, where every window that could equal them arrives
-too. There the surroundings are laid end to end and sorted by linear grouping: suffixes with one
+their surroundings to a group chosen by the gram, where every window that could equal them arrives
+too, equal surroundings merged on the way. There the surroundings are laid end to end and sorted by linear grouping: suffixes with one
 Lyndon prefix form a group, groups are processed in descending order, previous-smaller pointers
 extend the groups that stand before them, and a last pass emits each group's order; no names, no
 recursion. Equal windows stand side by side in that order, and the earliest one stays.
@@ -16,11 +16,12 @@ from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import zstandard
 from pyspark.sql import DataFrame
 
 from . import blocks as B
-from .common import lean, lean_cogroup, lean_group, written
+from .common import dropped, lean, lean_cogroup, lean_group, written
 
 WINDOW = 100
 GRAM = 32
@@ -283,115 +284,148 @@ class _Block:
         found = known[np.searchsorted(known, asked)] & np.uint64(0xFFFFFFFF)
         return found.astype(np.int64) - self.start[runs]
 
-    def asked(self, shared: np.ndarray, buckets: int) -> list[tuple[int, list[tuple[bytes, list[int]]]]]:
-        """Distinct surroundings of shared grams, by bucket, each with the runs of windows that have them, the earliest first."""
+    def asked(self, shared: np.ndarray) -> list[tuple[int, bytes, list[int]]]:
+        """(gram, surroundings, runs of windows that have them, the earliest first) of shared grams, in order of grams."""
         contexts: dict[bytes, list[int]] = {}
         if len(self.key):
             mine = np.flatnonzero(shared[np.searchsorted(self.distinct, self.key)])
             for i, a, n in zip(mine.tolist(), self.start[mine].tolist(), self.length[mine].tolist(), strict=True):
                 contexts.setdefault(self.raw[a : a + n + WINDOW - 1], []).append(i)
-        by: dict[int, list] = {}
-        for context, runs in contexts.items():
-            by.setdefault(int(self.key[runs[0]]) * buckets >> 64, []).append((context, runs))
-        return sorted(by.items())
+        return sorted((int(self.key[runs[0]]), context, runs) for context, runs in contexts.items())
 
 
-def _ask_grams(buckets: int):
+def _ask_grams(digit: int):
     def run(batches):
-        pack = zstandard.ZstdCompressor(level=1)
         for batch in batches:
             for i in range(batch.num_rows):
                 for block, names, texts in B.opened(batch.slice(i, 1)):
                     mine = _Block(names, texts)
-                    yield B.batch_of([(block, q, B.joined_body(B.coded(mine.distinct[a:b], pack), B.bits(mine.twice[a:b]))) for q, a, b in B.by_bucket(mine.distinct, buckets)], B.MESSAGES)
+                    yield B.batch_of([(0, block, q, body) for q, body in B.keyed_messages(mine.distinct, mine.twice + 1, digit=digit)], B.MESSAGES)
 
     return lean(run)
 
 
-#: The bucket of a block's note to itself: its runs in the order asked.
+def _messages(entries: list[tuple], level: int, digit: int) -> list[tuple[int, bytes]]:
+    """(digit, body) of (gram, surroundings, doc, start, place of the gram), sorted by gram."""
+    pack, out = zstandard.ZstdCompressor(level=3), []
+    for q, a, b in B.by_digit(np.array([e[0] for e in entries], np.uint64), level, digit):
+        key, contexts, *rest = zip(*entries[a:b], strict=True)
+        head = np.stack([np.array(key, np.uint64).view(np.int64), *(np.array(x, np.int64) for x in rest), np.array([len(c) for c in contexts], np.int64)])
+        out.append((q, pack.compress(len(key).to_bytes(8, "little") + head.astype("<i8").tobytes() + b"".join(contexts))))
+    return out
+
+
+def _entries(body: bytes, unpack) -> list[tuple]:
+    """What `_messages` put into a body."""
+    raw = unpack.decompress(body)
+    n = int.from_bytes(raw[:8], "little")
+    head = np.frombuffer(raw, "<i8", 5 * n, 8).reshape(5, n)
+    ends = np.cumsum(head[4]) + 8 + 40 * n
+    contexts = [raw[e - size : e] for e, size in zip(ends.tolist(), head[4].tolist(), strict=True)]
+    return list(zip(np.ascontiguousarray(head[0]).view(np.uint64).tolist(), contexts, *(head[i].tolist() for i in (1, 2, 3)), strict=True))
+
+
+def _distinct(bodies: list[bytes]) -> tuple[list[list[tuple]], dict[tuple[int, bytes], tuple]]:
+    """The entries of each body, and the first (doc, start, place of the gram) of each gram and surroundings, in order."""
+    unpack = zstandard.ZstdDecompressor()
+    every, first = [_entries(b, unpack) for b in bodies], {}
+    for entries in every:
+        for key, context, *place in entries:
+            known = first.get((key, context))
+            if known is None or place < known:
+                first[key, context] = place
+    return every, dict(sorted(first.items()))
+
+
+def _marks(every: list[list[tuple]], first: dict, marks: dict) -> list[bytes]:
+    """For each surroundings asked: the byte 1 if all its windows repeat earlier ones, else what is known of the first."""
+    pack = zstandard.ZstdCompressor(level=1)
+    return [pack.compress(B.joined_body(*(marks[e[:2]] if list(e[2:4]) == first[e[:2]][:2] else b"\1" for e in entries))) for entries in every]
+
+
+def _repeats(bodies: list[bytes]) -> list[bytes]:
+    """For each surroundings asked: the byte 1 if all its windows repeat earlier ones, else 0 and the windows that do as bits."""
+    every, first = _distinct(bodies)
+    groups: dict[int, list[bytes]] = {}
+    for key, context in first:
+        groups.setdefault(key, []).append(context)
+    marks = {}
+    for key, contexts in groups.items():
+        places = [first[key, c] for c in contexts]
+        found = repeated_windows(contexts, [(p[0], p[1]) for p in places], [p[2] for p in places])
+        for c, m in zip(contexts, found, strict=True):
+            marks[key, c] = b"\0" + np.packbits(np.frombuffer(m, np.uint8)).tobytes() if any(m) else b"\0"
+    return _marks(every, first, marks)
+
+
+def _surroundings(digit: int) -> B.Exchange:
+    def merge(bodies, level):
+        return _messages([(*k, *v) for k, v in _distinct(bodies)[1].items()], level, digit)
+
+    def passed(bodies, answers, _):
+        every, first = _distinct(bodies)
+        return _marks(every, first, dict(zip(first, _split(answers), strict=True)))
+
+    return B.Exchange(_repeats, merge, passed)
+
+
+def _split(answers: list[bytes]) -> list[bytes]:
+    unpack = zstandard.ZstdDecompressor()
+    return [m for body in answers for m in B.split_body(unpack.decompress(body))]
+
+
+#: The digit of a block's note to itself: its runs in the order asked.
 OWN = -1
 
 
-def _ask_windows(buckets: int):
+def _ask_windows(digit: int):
     def run(blocks: pa.Table, answers: pa.Table) -> pa.Table:
         pack, out = zstandard.ZstdCompressor(level=3), []
         for block, names, texts in B.opened(blocks):
             mine = _Block(names, texts)
-            doc_of = np.searchsorted(mine.ends, mine.start, side="right")
-            begin = mine.ends - mine.counts
-            counts, order, notes = [], [], []
-            for bucket, asked in mine.asked(B.answers_of(answers), buckets):
-                first = np.array([runs[0] for _, runs in asked], np.int64)
-                doc = doc_of[first]
-                head = np.stack([mine.key[first].view(np.int64), mine.ids[doc], mine.start[first] - begin[doc], mine.grams(first), np.array([len(c) for c, _ in asked], np.int64)])
-                out.append((block, bucket, pack.compress(len(asked).to_bytes(8, "little") + head.astype("<i8").tobytes() + b"".join(c for c, _ in asked))))
-                notes += [bucket, len(asked)]
-                for _, runs in asked:
-                    counts.append(len(runs))
-                    order += runs
-            at = np.array(order, np.int64)
-            note = (np.array(notes, "<i8"), np.array(counts, "<i4"), mine.start[at].astype("<i8"), mine.length[at].astype("<i4"))
-            out.append((block, OWN, B.joined_body(*(pack.compress(x.tobytes()) for x in note))))
+            asked = mine.asked(B.answers_of(answers).astype(bool))
+            counts = np.array([len(runs) for _, _, runs in asked], np.int64)
+            at = np.array([i for _, _, runs in asked for i in runs], np.int64)
+            doc = np.searchsorted(mine.ends, mine.start[at], side="right")
+            place = mine.start[at] - (mine.ends - mine.counts)[doc]
+            first = np.cumsum(counts) - counts
+            # rows that repeat an id are one document: a run at the place of the first one is the first one
+            head = np.repeat(first, counts)
+            same = (mine.ids[doc] == mine.ids[doc[head]]) & (place == place[head])
+            entries = [(key, c, d, p, g) for (key, c, _), d, p, g in zip(asked, mine.ids[doc[first]].tolist(), place[first].tolist(), mine.grams(at[first]).tolist() if len(at) else [], strict=True)]
+            out += [(0, block, q, body) for q, body in _messages(entries, 0, digit)]
+            note = (counts.astype("<i4"), mine.start[at].astype("<i8"), mine.length[at].astype("<i4"), same.astype("<i1"))
+            out.append((0, block, OWN, B.joined_body(*(pack.compress(x.tobytes()) for x in note))))
         return B.table_of(out, B.MESSAGES)
 
     return lean_cogroup(run)
 
 
-def _find_repeats(rows: pa.Table) -> pa.Table:
-    """For each surroundings asked: one byte, 1 if all its windows repeat earlier ones, else the windows as bits."""
-    unpack = zstandard.ZstdDecompressor()
-    groups: dict[int, dict[bytes, list]] = {}
-    counts = []
-    for r, body in enumerate(rows.column("body").to_pylist()):
-        raw = unpack.decompress(body)
-        n = int.from_bytes(raw[:8], "little")
-        key, doc, start, gram, size = np.frombuffer(raw, "<i8", 5 * n, 8).reshape(5, n).tolist()
-        at = 8 + 40 * n
-        counts.append(n)
-        for i in range(n):
-            context = raw[at : at + size[i]]
-            at += size[i]
-            groups.setdefault(key[i], {}).setdefault(context, []).append((doc[i], start[i], r, i, gram[i]))
-    answers: list[list[bytes]] = [[b""] * n for n in counts]
-    for group in groups.values():
-        firsts = [min(places) for places in group.values()]
-        found = repeated_windows(list(group), [f[:2] for f in firsts], [f[4] for f in firsts])
-        for places, first, marks in zip(group.values(), firsts, found, strict=True):
-            for doc, start, r, i, _ in places:
-                if (doc, start) != first[:2]:
-                    answers[r][i] = b"\1"
-                else:
-                    answers[r][i] = b"\0" + np.packbits(np.frombuffer(marks, np.uint8)).tobytes() if any(marks) else b"\0"
-    pack = zstandard.ZstdCompressor(level=1)
-    return pa.table([rows.column("block"), rows.column("bucket"), pa.array([pack.compress(B.joined_body(*a)) for a in answers], pa.binary())], names=["block", "bucket", "body"])
-
-
 _OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_bytes binary"
 
 
 def _cut(with_bytes: bool):
     def run(blocks: pa.Table, answers: pa.Table) -> pa.Table:
         unpack, out = zstandard.ZstdDecompressor(), []
-        bodies = dict(zip(answers.column("bucket").to_pylist(), answers.column("body").to_pylist(), strict=True))
-        note = [unpack.decompress(x) for x in B.split_body(bodies[OWN])]
-        asked, counts, starts, lengths = (np.frombuffer(x, k) for x, k in zip(note, ("<i8", "<i4", "<i8", "<i4"), strict=True))
-        marks = [body for bucket in asked[::2].tolist() for body in B.split_body(unpack.decompress(bodies[bucket]))]
+        own = pa.compute.equal(answers.column("bucket"), OWN)
+        note = [unpack.decompress(x) for x in B.split_body(answers.filter(own).column("body")[0].as_py())]
+        counts, starts, lengths, same = (np.frombuffer(x, k) for x, k in zip(note, ("<i4", "<i8", "<i4", "<i1"), strict=True))
+        marks = _split(B.in_order(answers.filter(pa.compute.invert(own))))
         for _, names, texts in B.opened(blocks):
             ids = B.ids_of(names)
             order = np.argsort(ids, kind="stable").tolist()
             raw = b"".join(texts[i] for i in order)
             change = np.zeros(len(raw) + 1, np.int32)
-            first = np.cumsum(counts) - counts
             # later runs of the same surroundings go whole, the first where an earlier one is known or by its windows
-            whole = np.ones(len(starts), bool)
-            whole[first] = [m[0] == 1 for m in marks]
+            of = np.repeat(np.arange(len(counts)), counts)
+            whole = (same == 0) | np.array([m[0] == 1 for m in marks], bool)[of]
             np.add.at(change, starts[whole], 1)
             np.add.at(change, starts[whole] + lengths[whole] + WINDOW - 1, -1)
-            for m, a in zip(marks, starts[first].tolist(), strict=True):
-                if len(m) > 1:
-                    at = np.flatnonzero(np.unpackbits(np.frombuffer(m, np.uint8, offset=1))) + a
-                    np.add.at(change, at, 1)
-                    np.add.at(change, at + WINDOW, -1)
+            some = np.array([len(m) > 1 for m in marks], bool)[of]
+            for i in np.flatnonzero(some & (same == 1)).tolist():
+                at = np.flatnonzero(np.unpackbits(np.frombuffer(marks[of[i]], np.uint8, offset=1))) + starts[i]
+                np.add.at(change, at, 1)
+                np.add.at(change, at + WINDOW, -1)
             removed = np.cumsum(change[:-1]) > 0
             view, b = np.frombuffer(raw, np.uint8), 0
             for i in order:
@@ -406,19 +440,21 @@ def _cut(with_bytes: bool):
     return lean_cogroup(run)
 
 
-def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_bytes: bool = False, block_bytes: int = 4 << 20) -> DataFrame:
+def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_bytes: bool = False, block_bytes: int = 4 << 20, digit: int = B.DIGIT, most: int = 256) -> DataFrame:
     """One row per input row: n_bytes, n_removed, n_spans (maximal removed runs), SHA-256 of the bytes that stay.
 
     A byte goes when a 100-byte string that covers it also starts earlier: in a smaller doc_id, or in
     the same document before. A null text counts as empty. Rows that repeat an id count as one
     document: equal strings at equal places both stay. Rows without an id come last. Other columns are
-    ignored; an empty table gives no rows. `with_bytes` adds what stays as kept_bytes.
+    ignored; an empty table gives no rows. `with_bytes` adds what stays as kept_bytes. `digit` and
+    `most` are those of the block exchange.
     """
     table = B.pack_blocks(docs, id_col, text_col, block_bytes, "suffix")
-    buckets = B.bucket_count(table, 8 << 20)
-    grams = written(B.shared_keys(table.mapInArrow(_ask_grams(buckets), B.MESSAGES)), "grams")
-    asked = written(table.groupBy("block").cogroup(grams.groupBy("block")).applyInArrow(_ask_windows(buckets), B.MESSAGES), "windows")
-    found = asked.filter(f"bucket <> {OWN}").groupBy("bucket").applyInArrow(lean_group(_find_repeats), B.MESSAGES)
+    n = table.count()
+    grams = written(B.exchanged(table.mapInArrow(_ask_grams(digit), B.MESSAGES), B.shared(digit), n, digit, most), "grams")
+    asked = written(table.groupBy("block").cogroup(grams.groupBy("block")).applyInArrow(_ask_windows(digit), B.MESSAGES), "windows")
+    dropped(grams)
+    found = B.exchanged(asked.filter(f"bucket <> {OWN}"), _surroundings(digit), n, digit, most, wrap=lean_group, wrap_two=lean_cogroup)
     out = table.groupBy("block").cogroup(found.union(asked.filter(f"bucket = {OWN}")).groupBy("block")).applyInArrow(_cut(with_bytes), _OUT)
     return out if with_bytes else out.drop("kept_bytes")
 

@@ -8,13 +8,22 @@ from pyspark.sql import functions as F
 
 from ..functions import physics
 from ..session import ship
-from ..storage import written
+from ..storage import dropped, written
+
+
+#: Parts that the edges of one node are dealt into where its least neighbour is joined to them.
+SALTS = 16
 
 
 def _large(edges: DataFrame) -> DataFrame:
-    both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v").distinct()
+    """Every larger neighbour of a node with the least neighbour of it; edges have u > v.
+
+    Minima combine before the shuffle, and a hub's edges meet its minimum in SALTS parts.
+    """
+    least = edges.groupBy(F.col("v").alias("c")).agg(F.min("v").alias("m")).union(edges.groupBy(F.col("u").alias("c")).agg(F.min("v").alias("m"))).groupBy("c").agg(F.min("m").alias("m"))
+    salted = edges.select(F.col("v").alias("c"), "u", F.pmod(F.hash("u"), F.lit(SALTS)).alias("salt"))
+    parts = salted.select("c", "salt").distinct().join(least, "c")
+    return salted.join(parts, ["c", "salt"]).select("u", F.col("m").alias("v")).distinct()
 
 
 def _small(edges: DataFrame) -> DataFrame:
@@ -52,15 +61,16 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round first contracts what lies in one partition, then points nodes at their least
     neighbour across partitions; rounds grow with the logarithm of a component's size at most.
-    Minima combine before the shuffle, so that hubs don't gather in one task. It ends when all edges
-    point from a node to a root.
+    A hub's edges don't gather in one task. It ends when all edges point from a node to a root; nodes
+    may be of any ordered type.
     """
     ship(edges.sparkSession)
     now = written(edges.filter("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), "edges")
     kind = now.schema
     while True:
-        now = written(_small(_large(now.mapInArrow(_forest, kind))), "edges")
-        more = now.select("u").join(now.select(F.col("v").alias("u")), "u", "left_semi").union(now.groupBy("u").count().filter("count > 1").select("u"))
+        last, now = now, written(_small(_large(now.mapInArrow(_forest, kind))), "edges")
+        dropped(last)
+        more = now.select("u").join(now.select(F.col("v").alias("u")).distinct(), "u", "left_semi").union(now.groupBy("u").count().filter("count > 1").select("u"))
         if more.isEmpty():
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
 

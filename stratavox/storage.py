@@ -35,27 +35,31 @@ def written(df: DataFrame, name: str) -> DataFrame:
     at = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(at)
     atexit.register(_remove, spark, at)
-    return spark.read.schema(df.schema).parquet(at)
+    out = spark.read.schema(df.schema).parquet(at)
+    out._stored_at = at
+    return out
 
 
-def texts(docs: DataFrame, id_col: str, text_col: str, binary: bool = False) -> DataFrame:
-    """Two columns `doc_id` long and `text`; a null text counts as empty."""
-    ship(docs.sparkSession)
-    kind = "binary" if binary else "string"
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast(kind).alias("text"))
+def dropped(*tables: DataFrame | None) -> None:
+    """Deletes tables that `written` made and that nothing will read again."""
+    for df in tables:
+        if at := getattr(df, "_stored_at", None):
+            _remove(df.sparkSession, at)
 
 
 def written_by_key(df: DataFrame, name: str, key: str, n: int) -> DataFrame:
-    """`df` as a table of the warehouse in n buckets of `key`: joins and groups on `key` read it without a shuffle."""
+    """`df` as a table in the shared folder, in n buckets of `key`: joins and groups on `key` read it without a shuffle."""
     spark = df.sparkSession
     table = f"stratavox_{name}_{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").bucketBy(n, key).format("parquet").saveAsTable(table)
-    atexit.register(_drop, spark, table)
+    at = f"{shared_dir(spark)}/{table}"
+    df.write.option("compression", "zstd").option("path", at).bucketBy(n, key).format("parquet").saveAsTable(table)
+    atexit.register(_drop, spark, table, at)
     return spark.table(table)
 
 
-def _drop(spark: SparkSession, table: str) -> None:
+def _drop(spark: SparkSession, table: str, at: str) -> None:
     try:
         spark.sql(f"DROP TABLE IF EXISTS {table}")
     except Exception:  # the session may have ended before the interpreter
         pass
+    _remove(spark, at)
