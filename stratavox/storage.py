@@ -29,12 +29,18 @@ def _remove(spark: SparkSession, at: str) -> None:
         pass
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; what lies there goes when the interpreter ends."""
+    at = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, at)
+    return at
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """`df` as a Parquet table in the shared folder: cuts the lineage and outlives executors."""
     spark = df.sparkSession
-    at = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    at = scratch(spark, name)
     df.write.option("compression", "zstd").parquet(at)
-    atexit.register(_remove, spark, at)
     out = spark.read.schema(df.schema).parquet(at)
     out._stored_at = at
     return out
