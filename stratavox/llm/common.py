@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 from ..session import ship
-from ..storage import dropped, shared_dir, written, written_by_key
+from ..storage import dropped, scratch, shared_dir, written, written_by_key
 
-__all__ = ["SPACE", "col", "dropped", "lean", "lean_cogroup", "lean_group", "mapped", "partitions", "shared_dir", "texts", "written", "written_by_key"]
+__all__ = ["SPACE", "col", "dropped", "lean", "lean_cogroup", "lean_group", "mapped", "partitions", "scratch", "shared_dir", "texts", "written", "written_by_key"]
 
 #: ASCII white space of the contracts, `[\x20\x09-\x0D]`; bytes.split() and bytes.strip() use the same set.
 SPACE = b" \t\n\x0b\x0c\r"

@@ -3,9 +3,10 @@
 Rows of the matrix are distinct shingle sets, columns are shingles. Blocks of rows learn the weight
 of their columns (in how many sets a shingle occurs) and order each row from rare to frequent. Two
 rows that are similar enough must meet in the first columns of both, as many as the size of the row
-allows; columns with a single row can't meet anything and are left out. Overlaps are accumulated
-over what remains, and pairs below the bounds that sizes and positions set are discarded before
-their sets are compared.
+allows; columns with a single row can't meet anything and are left out. These columns are the mask of
+the product: its entries are computed where two rows meet and sizes and positions allow the
+similarity. Entries are computed by blocks of rows; their overlaps are accumulated over blocks of
+columns, and an entry is discarded as soon as it can't reach the bound that both sizes set.
 
 Within a column, rows are measured against one leader. Rows near it are known by the few shingles
 that set them apart from it; two of them can only link, beyond what the leader joins, if they share
@@ -74,7 +75,10 @@ class _Sets:
         mine = first[doc]
         self.key = key[mine]
         self.row = np.repeat(np.arange(len(kept)), self.sizes)
-        self.column, self.at, self.times = np.unique(self.key >> np.uint64(_DROP), return_inverse=True, return_counts=True)
+
+    def columns(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Columns by which shingles are counted, the column of each, and how many rows have it."""
+        return np.unique(self.key >> np.uint64(_DROP), return_inverse=True, return_counts=True)
 
 
 def _ask_weights(k: int, digit: int):
@@ -82,8 +86,8 @@ def _ask_weights(k: int, digit: int):
         for batch in batches:
             for i in range(batch.num_rows):
                 for block, names, texts in B.opened(batch.slice(i, 1)):
-                    mine = _Sets(names, texts, k)
-                    yield B.batch_of([(0, block, q, body) for q, body in B.keyed_messages(mine.column << np.uint64(_DROP), mine.times, digit=digit)], B.MESSAGES)
+                    column, _, times = _Sets(names, texts, k).columns()
+                    yield B.batch_of([(0, block, q, body) for q, body in B.keyed_messages(column << np.uint64(_DROP), times, digit=digit)], B.MESSAGES)
 
     return lean(run)
 
@@ -109,7 +113,7 @@ def _rows(k: int, percent: int):
         weight = B.answers_of(answers)
         for block, names, texts in B.opened(blocks):
             mine = _Sets(names, texts, k)
-            weights = weight[mine.at] if len(mine.at) else np.zeros(0, np.uint8)
+            weights = weight[mine.columns()[1]] if len(mine.key) else np.zeros(0, np.uint8)
             order = np.lexsort((mine.key, weights, mine.row))
             ends = np.cumsum(mine.sizes)
             position = np.arange(len(order)) - np.repeat(ends - mine.sizes, mine.sizes)
@@ -132,38 +136,89 @@ def _rows(k: int, percent: int):
 
 
 _MEASURED = "u binary, v binary, nu int, nv int, dist int, linked boolean, near boolean, apart array<long>"
+#: Blocks of columns in which overlaps are accumulated, and about how many compressed bytes of rows make one block of the matrix.
+COLUMN_BLOCKS, ROW_BLOCK = 4, 1 << 20
 
 
-def _measure(k: int, percent: int):
-    """Of pairs with both texts: sizes, symmetric difference, whether they link, and if they are near what sets them apart."""
+def overlaps(sets: _Sets, u: np.ndarray, v: np.ndarray, need: np.ndarray | None) -> np.ndarray:
+    """Entries of the product of the incidence matrix with its transpose, at the rows u and columns v.
 
-    def shingles(body: bytes, unpack) -> np.ndarray:
-        return _Sets([0], [unpack.decompress(body)], k).key
+    Overlaps are accumulated over blocks of columns; with `need`, an entry is discarded (-1) as soon as
+    what both rows have in later blocks can't bring it to that bound.
+    """
+    columns, rank = np.unique(sets.key, return_inverse=True)
+    n, ends = len(columns), np.cumsum(sets.sizes)
+    edges = np.linspace(0, n, COLUMN_BLOCKS + 1).astype(np.int64)
+    cuts = np.searchsorted(sets.row * n + rank, np.arange(len(ends))[:, None] * n + edges)
+    if len(np.unique(u)) < len(np.unique(v)):
+        u, v = v, u
+    total, flag = np.zeros(len(u), np.int64), np.zeros(n, bool)
+    alive = np.argsort(v, kind="stable")
+    for block in range(COLUMN_BLOCKS):
+        runs = np.flatnonzero(np.diff(v[alive], prepend=-1)).tolist() + [len(alive)]
+        for a, b in zip(runs, runs[1:], strict=False):
+            mine = alive[a:b]
+            lo, hi = cuts[v[mine[0]], block : block + 2]
+            flag[rank[lo:hi]] = True
+            first = cuts[u[mine], block]
+            length = cuts[u[mine], block + 1] - first
+            bounds = np.zeros(len(mine) + 1, np.int64)
+            np.cumsum(length, out=bounds[1:])
+            hits = np.zeros(bounds[-1] + 1, np.int64)
+            np.cumsum(flag[rank[np.repeat(first - bounds[:-1], length) + np.arange(bounds[-1])]], out=hits[1:])
+            total[mine] += np.diff(hits[bounds])
+            flag[rank[lo:hi]] = False
+        if need is not None:
+            rest = np.minimum(ends[u[alive]] - cuts[u[alive], block + 1], ends[v[alive]] - cuts[v[alive], block + 1])
+            reaches = total[alive] + rest >= need[alive]
+            total[alive[~reaches]] = -1
+            alive = alive[reaches]
+    return total
+
+
+def _measure(k: int, percent: int, distances: bool):
+    """Of pairs with both texts: sizes and whether they link; with `distances` also the symmetric difference, and if they are near what sets them apart."""
+
+    def part(u: list, v: list, bodies: list, unpack):
+        at = {x: i for i, x in enumerate(dict.fromkeys([*u, *v]))}
+        raw = dict(zip([*u, *v], bodies, strict=True))
+        sets = _Sets([*range(len(at))], [unpack.decompress(raw[x]) for x in at], k)
+        left, right = np.array([at[x] for x in u]), np.array([at[x] for x in v])
+        size = sets.sizes
+        total = size[left] + size[right]
+        common = overlaps(sets, left, right, None if distances else -(-percent * total // (100 + percent)))
+        linked = (common >= 0) & (100 * common >= percent * (total - common))
+        if not distances:
+            return [u, v, size[left], size[right], [None] * len(u), linked, np.zeros(len(u), bool), [None] * len(u)]
+        dist = total - 2 * common
+        near = dist * (100 + percent) <= 2 * (100 - percent) * total
+        ends = np.cumsum(size)
+        row = lambda i: sets.key[ends[i] - size[i] : ends[i]]
+        apart = [np.setxor1d(row(a), row(b), assume_unique=True).view(np.int64) if x else None for a, b, x in zip(left.tolist(), right.tolist(), near.tolist(), strict=True)]
+        return [u, v, size[left], size[right], dist, linked, near, apart]
 
     def run(batches):
         unpack = zstandard.ZstdDecompressor()
+        kinds = [pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_(), pa.list_(pa.int64())]
         for batch in batches:
-            out, last, set_a = [], None, None
-            for a, b, body_a, body_b in zip(*(batch.column(c).to_pylist() for c in ("u", "v", "body_u", "body_v")), strict=True):
-                if a != last:
-                    last, set_a = a, shingles(body_a, unpack)
-                set_b = shingles(body_b, unpack)
-                apart = np.setxor1d(set_a, set_b, assume_unique=True)
-                total, dist = len(set_a) + len(set_b), len(apart)
-                linked = 100 * (total - dist) >= percent * (total + dist)
-                near = dist * (100 + percent) <= 2 * (100 - percent) * total
-                out.append((a, b, len(set_a), len(set_b), dist, linked, near, apart.view(np.int64) if near else None))
-            cols = list(zip(*out, strict=True)) or [()] * 8
-            kinds = [pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_(), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(cols, kinds, strict=True)], [x.split()[0] for x in _MEASURED.split(", ")])
+            u, v, body_u, body_v = (batch.column(c).to_pylist() for c in ("u", "v", "body_u", "body_v"))
+            a = 0
+            while a < len(u):
+                b, held = a, 0
+                while b < len(u) and held < ROW_BLOCK:
+                    held += len(body_u[b]) + len(body_v[b])
+                    b += 1
+                cols = part(u[a:b], v[a:b], [*body_u[a:b], *body_v[a:b]], unpack)
+                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(cols, kinds, strict=True)], [x.split()[0] for x in _MEASURED.split(", ")])
+                a = b
 
     return lean(run)
 
 
-def _measured(pairs: DataFrame, sets: DataFrame, k: int, percent: int, name: str) -> DataFrame:
+def _measured(pairs: DataFrame, sets: DataFrame, k: int, percent: int, name: str, distances: bool = True) -> DataFrame:
     bodies = sets.filter("body is not null").select("digest", "body")
     both = pairs.join(bodies.select(F.col("digest").alias("u"), F.col("body").alias("body_u")), "u").join(bodies.select(F.col("digest").alias("v"), F.col("body").alias("body_v")), "v")
-    return written(both.mapInArrow(_measure(k, percent), _MEASURED), name)
+    return written(both.mapInArrow(_measure(k, percent, distances), _MEASURED), name)
 
 
 def _bound(a: str, b: str, percent: int):
@@ -306,7 +361,7 @@ def jaccard_components(
         pairs = direct[0]
         for more in direct[1:]:
             pairs = pairs.union(more)
-        links = links.union(_measured(pairs.distinct(), sets, k, percent, "measured").filter("linked").select("u", "v"))
+        links = links.union(_measured(pairs.distinct(), sets, k, percent, "measured", distances=False).filter("linked").select("u", "v"))
     every = written(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
 
     degree = every.select(F.col("u").alias("name")).union(every.select(F.col("v").alias("name"))).groupBy("name").agg(F.count("*").alias("n_set_links"))

@@ -14,8 +14,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ..session import ship
-from .common import texts
+from .common import mapped, texts
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "url", "account")
@@ -29,8 +28,10 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _URL = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*://[^\s/@:]+(?::[^\s/@]*)?@[A-Za-z0-9.-]+")
 _SCHEME = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+.-")
 _NUMBER = re.compile(r"""(?:\x20?(?:number|no\.?|id|#))?["']?\x20?[:=#]?\x20?["']?([A-Za-z]{0,2}[0-9][A-Za-z0-9]*(?:[ -][A-Za-z0-9]*[0-9][A-Za-z0-9]*)*)""", re.I)
-_IBAN = re.compile(r"""(?:\x20?(?:number|no\.?|id|#))?["']?\x20?[:=#]?\x20?["']?([A-Za-z]{2}[0-9]{2}[A-Za-z0-9]*(?:[ -][A-Za-z0-9]+){0,30})""", re.I | re.A)
-_GROUP = re.compile(r"[A-Za-z0-9]+")
+_IBAN = re.compile(r"""(?:\x20?(?:number|no\.?|id|#))?["']?\x20?[:=#]?\x20?["']?([A-Za-z]{2}[0-9]{2})""", re.I | re.A)
+_GROUP = re.compile(r"[ -]?([A-Za-z0-9]{1,35})")
+#: The longest IBAN.
+IBAN_CHARS = 34
 #: Cues of identifiers, in lower case, with the least number of digits that follow.
 CUES = {"iban": 10, "account": 6, "acct": 6, "passport": 6, "ssn": 9, "social security": 9, "tax id": 8}
 
@@ -51,14 +52,16 @@ def iban_valid(text: str) -> bool:
     return bool(re.fullmatch(r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}", s)) and int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
 
 
-def iban_end(text: str, start: int, end: int) -> int:
-    """The furthest end of a group at which text[start:end] is a valid IBAN, or 0. Groups of letters only have four
-    at most, in the case of the country."""
-    upper, ends = text[start : start + 2].isupper(), []
-    for m in _GROUP.finditer(text, start, end):
-        if m[0].isalpha() and (len(m[0]) > 4 or m[0].isupper() != upper):
+def iban_end(text: str, start: int) -> int:
+    """The furthest end of a group at which what starts there is a valid IBAN, or 0. Groups of letters only have four
+    at most, in the case of the country; nothing beyond the longest IBAN is looked at."""
+    upper, ends, total, at = text[start : start + 2].isupper(), [], 0, start
+    while m := _GROUP.match(text, at):
+        group, at = m[1], m.end()
+        total += len(group)
+        if total > IBAN_CHARS or (group.isalpha() and (len(group) > 4 or group.isupper() != upper)):
             break
-        ends.append(m.end())
+        ends.append(at)
     return next((e for e in reversed(ends) if iban_valid(text[start:e])), 0)
 
 
@@ -69,17 +72,23 @@ def automaton() -> ahocorasick.Automaton:
     for word, kind in (("@", "at"), ("+", "plus"), ("://", "scheme")):
         found.add_word(word, kind)
     for cue in CUES:
-        for form in {cue, cue.upper(), cue.capitalize(), cue.title()}:
-            found.add_word(form, cue)
+        found.add_word(cue, cue)
     found.make_automaton()
     return found
 
 
+def lowered(text: str) -> str:
+    """The text in lower case, every character at its place."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+
+
 def spans_of(text: str, anchors: ahocorasick.Automaton) -> list[tuple[int, int, str]]:
-    """(start, end, kind) of everything that validates; each kind's spans don't overlap."""
+    """(start, end, kind) of everything that validates; each kind's spans don't overlap. Time grows with the text only:
+    anchors within what was parsed already are skipped."""
     out = []
     email_end = ip_end = card_end = url_end = account_end = 0
-    for at, kind in anchors.iter(text):
+    for at, kind in anchors.iter(lowered(text)):
         if kind == "digit":
             if at >= ip_end:
                 # a digit run starts here, or goes on where the last address ended
@@ -119,13 +128,14 @@ def spans_of(text: str, anchors: ahocorasick.Automaton) -> list[tuple[int, int,
             if m:
                 url_end = m.end()
                 out.append((start, url_end, "url"))
-        else:
+        elif at + 1 >= account_end:
             m = (_IBAN if kind == "iban" else _NUMBER).match(text, at + 1)
-            if m and m.start(1) >= account_end:
-                end = iban_end(text, m.start(1), m.end(1)) if kind == "iban" else m.end(1)
-                if sum("0" <= c <= "9" for c in text[m.start(1) : end]) >= CUES[kind]:
+            if m:
+                start = m.start(1)
+                end = iban_end(text, start) if kind == "iban" else m.end(1)
+                if sum("0" <= c <= "9" for c in text[start:end]) >= CUES[kind]:
                     account_end = end
-                    out.append((m.start(1), account_end, "account"))
+                    out.append((start, end, "account"))
     return out
 
 
@@ -174,21 +184,24 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def redact_documents(docs: DataFrame, text_col: str = "text", chars_col: str | None = "n_chars") -> DataFrame:
-    """All rows of `docs` with personal data replaced in `text_col`; null texts stay null, `chars_col` follows the text."""
-    columns, at = list(docs.columns), docs.columns.index(text_col)
+    """All rows of `docs`, repeated ones and those without an id too, with personal data replaced in `text_col`.
+
+    Null texts stay null, empty ones empty; `chars_col`, if there, follows the text (0 for a null).
+    Other columns, of any name, are left as they are; an empty table gives no rows.
+    """
+    at, chars = docs.columns.index(text_col), docs.columns.index(chars_col) if chars_col in docs.columns else None
 
     def run(batches):
         anchors = automaton()
         for batch in batches:
             out = [None if x is None else redact(x, anchors) for x in batch.column(at).to_pylist()]
-            batch = batch.set_column(at, text_col, pa.array(out, pa.string()))
-            if chars_col in columns:
-                i = columns.index(chars_col)
-                batch = batch.set_column(i, chars_col, pa.array([len(x or "") for x in out], batch.schema.field(i).type))
+            batch = batch.set_column(at, batch.schema.field(at), pa.array(out, batch.schema.field(at).type))
+            if chars is not None:
+                field = batch.schema.field(chars)
+                batch = batch.set_column(chars, field, pa.array([len(x or "") for x in out], field.type))
             yield batch
 
-    ship(docs.sparkSession)
-    return docs.mapInArrow(run, docs.schema)
+    return mapped(docs, run)
 
 
 def op4_pii(spark, sf_dir: str) -> DataFrame:

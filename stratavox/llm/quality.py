@@ -12,8 +12,7 @@ from collections import Counter
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ..session import ship
-from .common import SPACE, texts
+from .common import SPACE, mapped, texts
 
 #: Phrases of page furniture, matched in any case within a line of at most 40 words.
 BOILERPLATE = re.compile(
@@ -97,8 +96,12 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def clean_documents(docs: DataFrame, text_col: str = "text", chars_col: str | None = "n_chars") -> DataFrame:
-    """The rows of `docs` that the rules keep, all columns; texts lose their failing lines, `chars_col` follows."""
-    schema, at = docs.schema, docs.columns.index(text_col)
+    """The rows of `docs` that the rules keep, all columns; texts lose their failing lines, `chars_col`, if there, follows.
+
+    Null and empty texts have no words and go. Repeated rows and rows without an id are judged like
+    any other; other columns may have any names. An empty table gives no rows.
+    """
+    at, chars = docs.columns.index(text_col), docs.columns.index(chars_col) if chars_col in docs.columns else None
 
     def run(batches):
         for batch in batches:
@@ -110,15 +113,13 @@ def clean_documents(docs: DataFrame, text_col: str = "text", chars_col: str | No
                 if good:
                     out.append(clean_lines(raw)[0].decode())
             left = batch.filter(pa.array(keep, pa.bool_()))
-            left = left.set_column(at, text_col, pa.array(out, pa.string()))
-            if chars_col in docs_columns:
-                i = docs_columns.index(chars_col)
-                left = left.set_column(i, chars_col, pa.array([len(x) for x in out], left.schema.field(i).type))
+            left = left.set_column(at, left.schema.field(at), pa.array(out, left.schema.field(at).type))
+            if chars is not None:
+                field = left.schema.field(chars)
+                left = left.set_column(chars, field, pa.array([len(x) for x in out], field.type))
             yield left
 
-    docs_columns = list(docs.columns)
-    ship(docs.sparkSession)
-    return docs.mapInArrow(run, schema)
+    return mapped(docs, run)
 
 
 def op6_quality_rules(spark, sf_dir: str) -> DataFrame:

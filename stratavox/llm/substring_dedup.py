@@ -1,13 +1,15 @@
 """Substring deduplication over words: seed and extend.
 
 Seeds are winnowed anchors: of the 5-grams in every 13 consecutive words, the one with the least
-hash. Two equal windows choose equal anchors, so documents join on anchors alone. Around each
-anchor that two documents share, the match is extended both ways over the windows that chose it:
-their word sequences are compared across documents, the smallest doc_id of each wins, and matched
-windows that follow each other make the maximal repeats that are cut.
-
-Anchors and windows are exchanged between blocks as sorted hashes; a window's identity is two
-independent hashes of 64 and 32 bits.
+hash. Two equal windows choose equal anchors at equal places, so documents join on anchors alone.
+Every occurrence of an anchor that two documents share brings the 8 words to its left and to its
+right. In the anchor's group all occurrences are extended at once, a word at a time and both ways:
+those that agree so far stay in one class, so a match is never written as a pair, however many
+documents share it. Where a class has reached 13 words, its smallest doc_id stays and the others lose
+the window; windows that follow each other make the maximal repeats that are cut.
+
+Anchors and flanks are exchanged between blocks as hashes: 64 bits of an anchor, 48 of each word
+beside it.
 """
 
 from __future__ import annotations
@@ -16,15 +18,19 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 
 from . import blocks as B
-from .common import lean, lean_cogroup, written
+from .common import lean, lean_cogroup, lean_group, written
 
 WINDOW = 13
 ANCHOR = 5
+#: Words that a match is extended by, to the left and to the right.
+REACH = WINDOW - ANCHOR
 _BASE = 0xD6E8FEB86659FD93
-_SECOND = 0xA3EC647659359ACD
+#: Bits of a word beside an anchor that are dropped; 0 stands for a place outside the document.
+_DROP = 16
 
 
 class _Block:
@@ -34,11 +40,17 @@ class _Block:
         self.names, self.ids = names, B.ids_of(names)
         self.words, self.hashes, self.counts = B.hashed_words(texts)
         self.ends = np.cumsum(self.counts)
-        starts = B.starts_in(self.counts, WINDOW)
-        self.starts = np.flatnonzero(starts)
-        self.doc = np.repeat(np.arange(len(names)), self.counts)[self.starts]
-        least = B.sliding(B.grams(self.hashes, ANCHOR, _BASE), WINDOW - ANCHOR + 1) if len(self.starts) else np.zeros(0, np.uint64)
-        self.anchor = B.mix(least[self.starts])
+        whole = B.starts_in(self.counts, WINDOW)[: max(len(self.words) - WINDOW + 1, 0)]
+        at = np.zeros(0, np.int64)
+        if whole.any():
+            gram = np.maximum(B.grams(self.hashes, ANCHOR, _BASE), np.uint64(1))
+            least = np.where(whole, B.sliding(gram, REACH + 1), np.uint64(0))
+            # an anchor is what some window chose: the highest of the least hashes of the windows around it
+            edge = np.zeros(REACH, np.uint64)
+            at = np.flatnonzero(gram == B.sliding(np.concatenate([edge, least, edge]), REACH + 1, np.maximum))
+        self.at = at
+        self.anchor = B.mix(gram[at]) if len(at) else np.zeros(0, np.uint64)
+        self.doc = np.repeat(np.arange(len(names)), self.counts)[at]
 
     def anchors(self) -> tuple[np.ndarray, np.ndarray]:
         """Distinct anchors, sorted, and whether two documents of the block have them."""
@@ -54,27 +66,124 @@ class _Block:
         at = np.flatnonzero(first)
         return key[at], np.add.reduceat(several, at) > 0 if len(at) else np.zeros(0, bool)
 
-    def extended(self, shared: np.ndarray, anchors: np.ndarray):
-        """Windows that chose a shared anchor: positions in `starts`, both hashes and doc_id, sorted by the last three."""
-        at = np.flatnonzero(shared[np.searchsorted(anchors, self.anchor)]) if len(anchors) else np.zeros(0, np.int64)
+    def seeds(self, shared: np.ndarray, anchors: np.ndarray):
+        """Occurrences of shared anchors: their places, documents, and `Seeds` with the number of each occurrence there."""
+        mine = np.flatnonzero(shared[np.searchsorted(anchors, self.anchor)]) if len(anchors) else np.zeros(0, np.int64)
+        at, of = self.at[mine], self.doc[mine]
+        low, high = (self.ends - self.counts)[of], self.ends[of]
+        word = np.maximum(self.hashes >> np.uint64(_DROP), np.uint64(1))
+        flank = np.zeros((2 * REACH, len(at)), np.uint64)
+        for j in range(REACH):
+            left, right = at - 1 - j, at + ANCHOR + j
+            flank[j] = np.where(left >= low, word[np.maximum(left, 0)], np.uint64(0)) if len(at) else 0
+            flank[REACH + j] = np.where(right < high, word[np.minimum(right, len(word) - 1)], np.uint64(0)) if len(at) else 0
+        doc = self.ids[of]
+        return at, doc, *distinct(self.anchor[mine], flank, doc)
+
+
+def chained(key: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Classes of matches extended by 0, 1, ... words: a row each; equal values agree so far."""
+    out = np.empty((len(words) + 1, len(key)), np.uint64)
+    out[0] = key
+    for j, w in enumerate(words):
+        out[j + 1] = B.mix(out[j] ^ (w * np.uint64(0x9E3779B97F4A7C15)), j)
+    return out
+
+
+def distinct(key: np.ndarray, flank: np.ndarray, doc: np.ndarray):
+    """Seeds with equal flanks as one, with their smallest doc_id: number of each there, and sorted keys, flanks, documents."""
+    order = np.lexsort((doc, chained(key, flank)[-1], key))
+    ranked, beside = key[order], flank[:, order]
+    new = np.ones(len(key), bool)
+    new[1:] = (ranked[1:] != ranked[:-1]) | (beside[:, 1:] != beside[:, :-1]).any(0)
+    first = np.flatnonzero(new)
+    at = np.empty(len(key), np.int64)
+    at[order] = np.cumsum(new) - 1
+    return at, ranked[first], beside[:, first], doc[order][first]
+
+
+def inside(flank: np.ndarray) -> np.ndarray:
+    """For each seed the windows that lie in its document: bit i is the one with i words before the anchor."""
+    left, right = (flank[:REACH] > 0).sum(0), (flank[REACH:] > 0).sum(0)
+    out = np.zeros(flank.shape[1], np.int64)
+    for i in range(REACH + 1):
+        out |= ((left >= i) & (right >= REACH - i)).astype(np.int64) << i
+    return out
+
+
+def extended(key: np.ndarray, flank: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """For each seed the windows, as in `inside`, that a smaller doc_id has too."""
+    left, right, valid = chained(key, flank[:REACH]), chained(key, flank[REACH:]), inside(flank)
+    out = np.zeros(len(key), np.int64)
+    for i in range(REACH + 1):
+        at = np.flatnonzero(valid >> i & 1)
         if not len(at):
-            return at, np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        start = self.starts[at]
-        check = (B.grams(self.hashes, WINDOW, _SECOND)[start] >> np.uint64(32)).astype(np.int64)
-        key, doc = B.grams(self.hashes, WINDOW)[start], self.ids[self.doc[at]]
-        order = np.lexsort((doc, check, key))
-        return at[order], key[order], check[order], doc[order]
+            continue
+        match = B.mix(left[i, at] ^ B.mix(right[REACH - i, at], 1))
+        order = np.argsort(match, kind="stable")
+        new = np.ones(len(at), bool)
+        new[1:] = match[order][1:] != match[order][:-1]
+        first, mine = np.flatnonzero(new), doc[at[order]]
+        least = np.repeat(np.minimum.reduceat(mine, first), np.diff(first, append=len(at)))
+        out[at[order]] |= (least < mine).astype(np.int64) << i
+    return out
 
 
-def _firsts(key: np.ndarray, check: np.ndarray) -> np.ndarray:
-    new = np.ones(len(key), bool)
-    new[1:] = (key[1:] != key[:-1]) | (check[1:] != check[:-1])
-    return np.flatnonzero(new)
+def _bodies(key: np.ndarray, flank: np.ndarray, doc: np.ndarray, level: int, digit: int) -> list[tuple[int, bytes]]:
+    """(digit, body) of sorted seeds."""
+    pack, narrow = zstandard.ZstdCompressor(level=1), (64 - _DROP) // 8
+    out = []
+    for q, a, b in B.by_digit(key, level, digit):
+        beside = np.ascontiguousarray(flank[:, a:b]).astype("<u8").view(np.uint8).reshape(2 * REACH, b - a, 8)[:, :, :narrow]
+        out.append((q, B.joined_body(B.coded(key[a:b], pack), B.planes(doc[a:b], pack), pack.compress(beside.tobytes()))))
+    return out
+
+
+def _read(bodies: list[bytes]):
+    """Keys, flanks and documents of all bodies, and the number in each."""
+    unpack, narrow = zstandard.ZstdDecompressor(), (64 - _DROP) // 8
+    keys, flanks, docs = [], [], []
+    for body in bodies:
+        key, doc, beside = B.split_body(body)
+        keys.append(B.decoded(key, unpack))
+        docs.append(B.from_planes(doc, unpack))
+        wide = np.zeros((2 * REACH, len(keys[-1]), 8), np.uint8)
+        wide[:, :, :narrow] = np.frombuffer(unpack.decompress(beside), np.uint8).reshape(2 * REACH, -1, narrow)
+        flanks.append(wide.view("<u8")[:, :, 0])
+    return np.concatenate(keys), np.concatenate(flanks, 1), np.concatenate(docs), [len(k) for k in keys]
+
+
+def _masks(values: np.ndarray, counts: list[int]) -> list[bytes]:
+    pack, ends = zstandard.ZstdCompressor(level=1), np.cumsum(counts).tolist()
+    return [pack.compress(values[b - n : b].astype("<u2").tobytes()) for b, n in zip(ends, counts, strict=True)]
+
+
+def _mask_of(bodies: list[bytes]) -> np.ndarray:
+    unpack = zstandard.ZstdDecompressor()
+    return np.frombuffer(b"".join(unpack.decompress(b) for b in bodies), "<u2").astype(np.int64)
+
+
+def _extension(digit: int) -> B.Exchange:
+    """For each seed asked: its windows that a smaller doc_id has too."""
+
+    def spread(mask, at, least, flank, doc, counts):
+        # a seed that a smaller document has with the same flanks loses all windows
+        return _masks(np.where(doc > least[at], inside(flank), mask[at]), counts)
+
+    def answer(bodies):
+        key, flank, doc, counts = _read(bodies)
+        at, one, beside, least = distinct(key, flank, doc)
+        return spread(extended(one, beside, least), at, least, flank, doc, counts)
+
+    def merge(bodies, level):
+        return _bodies(*distinct(*_read(bodies)[:3])[1:], level, digit)
 
+    def passed(bodies, answers, _):
+        key, flank, doc, counts = _read(bodies)
+        at, _, _, least = distinct(key, flank, doc)
+        return spread(_mask_of(answers), at, least, flank, doc, counts)
 
-def _first_documents(digit: int) -> B.Exchange:
-    """For each window asked: whether a smaller doc_id than the asker's own smallest has it."""
-    return B.tally(np.minimum, lambda total, own: total < own, lambda answer, total, own: answer.astype(bool) | (total < own), checked=True, digit=digit)
+    return B.Exchange(answer, merge, passed)
 
 
 def _ask_anchors(digit: int):
@@ -88,14 +197,13 @@ def _ask_anchors(digit: int):
     return lean(run)
 
 
-def _ask_windows(digit: int):
+def _ask_seeds(digit: int):
     def run(blocks: pa.Table, answers: pa.Table) -> pa.Table:
         out = []
         for block, names, texts in B.opened(blocks):
             mine = _Block(names, texts)
-            _, key, check, doc = mine.extended(B.answers_of(answers).astype(bool), mine.anchors()[0])
-            at = _firsts(key, check)
-            out += [(0, block, q, body) for q, body in B.keyed_messages(key[at], doc[at], 0, check[at], digit)]
+            _, _, _, key, flank, doc = mine.seeds(B.answers_of(answers).astype(bool), mine.anchors()[0])
+            out += [(0, block, q, body) for q, body in _bodies(key, flank, doc, 0, digit)]
         return B.table_of(out, B.MESSAGES)
 
     return lean_cogroup(run)
@@ -104,29 +212,26 @@ def _ask_windows(digit: int):
 _OUT = "doc_id long, n_words long, n_removed long, n_spans long, kept_sha256 string, kept_text binary"
 
 
-#: Added to the digits of anchors' answers where they travel with those of windows.
-_SEEDS = 1 << 20
+#: Added to the digits of anchors' answers where they travel with those of seeds.
+_SHARED = 1 << 20
 
 
 def _cut(with_text: bool):
     def run(blocks: pa.Table, answers: pa.Table) -> pa.Table:
         out = []
-        kind = np.array(answers.column("bucket").to_pylist(), np.int64) >= _SEEDS
-        seeds = answers.filter(pa.array(kind))
-        windows = answers.filter(pa.array(~kind))
+        kind = np.array(answers.column("bucket").to_pylist(), np.int64) >= _SHARED
+        shared = answers.filter(pa.array(kind))
+        masks = answers.filter(pa.array(~kind))
         for _, names, texts in B.opened(blocks):
             mine = _Block(names, texts)
-            at, key, check, doc = mine.extended(B.answers_of(seeds).astype(bool), mine.anchors()[0])
+            at, doc, of, _, flank, least = mine.seeds(B.answers_of(shared).astype(bool), mine.anchors()[0])
             change = np.zeros(len(mine.words) + 1, np.int32)
             if len(at):
-                new = _firsts(key, check)
-                which = np.zeros(len(at), np.int64)
-                which[new[1:]] = 1
-                which = np.cumsum(which)
-                gone = B.answers_of(windows)[which].astype(bool) | (doc > doc[new][which])
-                start = mine.starts[at[gone]]
-                np.add.at(change, start, 1)
-                np.add.at(change, start + WINDOW, -1)
+                gone = np.where(doc > least[of], inside(flank)[of], _mask_of(B.in_order(masks))[of])
+                for i in range(REACH + 1):
+                    start = at[gone >> i & 1 > 0] - i
+                    np.add.at(change, start, 1)
+                    np.add.at(change, start + WINDOW, -1)
             removed = np.cumsum(change[:-1]) > 0
             for name, a, b in zip(names, (mine.ends - mine.counts).tolist(), mine.ends.tolist(), strict=True):
                 off = removed[a:b]
@@ -149,10 +254,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     table = B.pack_blocks(docs, id_col, text_col, block_bytes, "substring")
     n = table.count()
-    seeds = written(B.exchanged(table.mapInArrow(_ask_anchors(digit), B.MESSAGES), B.shared(digit), n, digit, most), "seeds")
-    asked = table.groupBy("block").cogroup(seeds.groupBy("block")).applyInArrow(_ask_windows(digit), B.MESSAGES)
-    found = B.exchanged(asked, _first_documents(digit), n, digit, most)
-    both = found.union(seeds.selectExpr("prefix", "block", f"bucket + {_SEEDS} as bucket", "body"))
+    shared = written(B.exchanged(table.mapInArrow(_ask_anchors(digit), B.MESSAGES), B.shared(digit), n, digit, most), "shared")
+    asked = table.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(_ask_seeds(digit), B.MESSAGES)
+    found = B.exchanged(asked, _extension(digit), n, digit, most, wrap=lean_group, wrap_two=lean_cogroup)
+    both = found.union(shared.selectExpr("prefix", "block", f"bucket + {_SHARED} as bucket", "body"))
     out = table.groupBy("block").cogroup(both.groupBy("block")).applyInArrow(_cut(with_text), _OUT)
     return out if with_text else out.drop("kept_text")
 

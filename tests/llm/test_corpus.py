@@ -257,21 +257,42 @@ def test_permutation(n, key):
     assert sorted(slots.tolist()) == index.tolist() and (token_shards.permute(slots, n, key, back=True) == index).all()
 
 
+def shards_by_force(rows, ranks, key, length, plan):
+    """(sequence number, ids) in training order: each partition's documents end to end, cut, and ordered by slot."""
+    encoding, streams = tokens.engine(ranks, tokenizers_files.PATTERN), {}
+    for r in rows:
+        streams.setdefault(r.part, []).extend([*encoding.encode_ordinary(r.text or ""), 50256])
+    out = [(p * plan["most"] + i // length, ids[i : i + length]) for p, ids in streams.items() for i in range(0, len(ids), length)]
+    slots = token_shards.permute(np.array([i for i, _ in out]), plan["slots"], key).tolist()
+    return [x for _, x in sorted(zip(slots, out, strict=True))]
+
+
 def test_token_shards(docs, empty, ranks, spark, tmp_path):
-    encoding = tokens.engine(ranks, tokenizers_files.PATTERN)
-    total = sum(len(encoding.encode_ordinary(t or "")) + 1 for _, t in DOCS)
-    sequences = token_shards.token_sequences(docs, ranks, tokenizers_files.PATTERN, 50256, 64)
-    path = f"file://{tmp_path}/shards"
-    table = token_shards.write_shards(sequences, path, "k", length=64, slots_per_shard=10)
-    index = token_shards.shard_index(table).collect()
-    assert sum(r.n_tokens for r in index) == total and all(r.intact for r in index)
-    assert sorted(r.slot for r in index) == sorted(r.sequence_index for r in index) == list(range(len(index)))
-    # a writer that was stopped goes on with the shards that are missing
-    part = f"file://{tmp_path}/part"
-    table.filter("shard_id % 2 = 0").write.parquet(part)
-    again = token_shards.write_shards(sequences, part, "k", length=64, slots_per_shard=10)
-    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, table.collect()))
-    assert token_shards.token_shards(empty, ranks, tokenizers_files.PATTERN, "k", 0, f"file://{tmp_path}/none").count() == 0
+    make = lambda uri, rows=docs, key="k", **more: token_shards.token_shards(rows, ranks, tokenizers_files.PATTERN, key, 50256, uri, length=64, shard_text_bytes=9000, **more)
+    uri = f"file://{tmp_path}/shards"
+    make(uri)
+    plan = token_shards.read_manifest(uri)
+    want = shards_by_force(token_shards.texts(docs, "doc_id", "text").withColumn("part", F.spark_partition_id()).collect(), ranks, "k", 64, plan)
+    got = sorted(token_shards.shard_index(spark, uri, with_ids=True).collect(), key=lambda r: r.slot)
+    assert plan["n_shards"] > 5 and [(r.sequence_index, r.ids) for r in got] == want
+    assert [r.slot for r in got] == list(range(len(got))) and all(r.intact and r.n_tokens == len(r.ids) for r in got)
+    # the files, one after another, are the training order; a record is one seek away
+    files = sorted(tmp_path.joinpath("shards").glob("shard-*.bin"))
+    assert sum(f.stat().st_size for f in files) == len(got) * plan["stride"] and len(list(tmp_path.joinpath("shards").iterdir())) == len(files) + 1
+    for r in got[::17]:
+        assert token_shards.read_record(uri, r.shard_id, r.byte_offset // plan["stride"]).tolist() == r.ids
+    # a writer that was stopped goes on with the shards that are missing, and leaves the others alone
+    kept = {f: f.stat().st_mtime_ns for f in files[::2]}
+    content = {f: f.read_bytes() for f in files}
+    for f in files[1::2]:
+        f.unlink()
+    make(uri)
+    assert {f: f.read_bytes() for f in files} == content and {f: f.stat().st_mtime_ns for f in kept} == kept
+    # other rows, another split of them, or another key are refused
+    for other in ({"rows": docs.repartition(5)}, {"rows": docs.limit(9)}, {"key": "l"}):
+        with pytest.raises(ValueError):
+            make(uri, **other)
+    assert make(f"file://{tmp_path}/none", rows=empty).count() == 0
 
 
 def test_pipeline_stage_by_stage(spark, small, ranks):
