@@ -13,7 +13,8 @@ that set them apart from it; two of them can only link, beyond what the leader j
 some of these, so near copies are never expanded into all pairs. Rows far from it are compared with
 those that the triangle inequality allows where they are few. Where they are many, a second leader
 is chosen, and then the column is split by a further column: rows that link and share a first column
-share a second one among one column more, and so on.
+share a second one among one column more, and so on; only rows that share all of these columns are
+compared however many they are.
 """
 
 from __future__ import annotations
@@ -99,8 +100,8 @@ def _bit_length(total: np.ndarray, own: np.ndarray) -> np.ndarray:
 
 #: Columns that a row lists beyond its first ones, by which full columns are split.
 MORE = 3
-#: So many rows far from a column's leader are compared directly, and so often a new leader is chosen before a column is split.
-FEW, TURNS = 256, 2
+#: Up to so many rows far from a column's leader, or near it within reach of them, are compared directly; so often a new leader is chosen before a column is split.
+FEW, TURNS = 2048, 2
 
 #: Rows of sets have `n` and `members` (and `body` if they meet anything); rows of the matrix have `column`.
 _PARTS = "block long, digest binary, n int, members array<long>, body binary, column long, position int, extra int"
@@ -345,14 +346,13 @@ def jaccard_components(
         fate = written(fate.filter("n_far + n_ring > 1"), "fate")
         far = far.join(fate, "column")
         ring = ring.drop("reach", "n_far").join(fate, "column")
+        # rows that share columns up to the last level are compared, however many they are
         last = F.col("level") >= MORE
-        direct.append(_joined_pairs(ring.filter((F.col("n_far") <= few) | (F.col("n_ring") <= few) | last), far, percent))
-        direct.append(_joined_pairs(*[far.filter(F.col("n_far") <= few)] * 2, percent).filter("u != v"))
-        many = F.col("n_far") > few
-        open_ring = (F.col("n_ring") > few) & ~last
-        # the last level chooses leaders until few rows are left
-        again = far.filter(many & ~open_ring & ((F.col("turn") + 1 < TURNS) | last)).select("column", "digest", "n", "position", "level", (F.col("turn") + 1).alias("turn"))
-        full = far.filter(many & ~last & (open_ring | (F.col("turn") + 1 >= TURNS))).unionByName(ring.filter(many & open_ring))
+        many, open_ring = (F.col("n_far") > few) & ~last, F.col("n_ring") > few
+        direct.append(_joined_pairs(ring.filter(~(many & open_ring)), far.filter(~(many & open_ring)), percent))
+        direct.append(_joined_pairs(*[far.filter(~many)] * 2, percent).filter("u != v"))
+        again = far.filter(many & ~open_ring & (F.col("turn") + 1 < TURNS)).select("column", "digest", "n", "position", "level", (F.col("turn") + 1).alias("turn"))
+        full = far.filter(many & (open_ring | (F.col("turn") + 1 >= TURNS))).unionByName(ring.filter(many & open_ring))
         left = again.unionByName(_split(full.select("column", "digest", "n", "position", "level"), cells))
         left = used = written(left, "left")
         if left.isEmpty():
