@@ -7,9 +7,13 @@ a volume of any size is dealt by tile.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import written
+
 KEYS = ["zoom", "tx", "ty", "vz", "vy", "vx"]
 
 
@@ -38,14 +42,12 @@ def pool_min(voxels: DataFrame, pixels: int = 256) -> DataFrame:
 
 
 def pyramid(leaves: DataFrame, to_zoom: int, from_zoom: int, pixels: int = 256) -> DataFrame:
-    """Leaves and all coarser zooms. Means of means of equal blocks are block means, so each zoom is one aggregation of the leaves."""
-    out = leaves.select(*KEYS, "density")
+    """Leaves and all coarser zooms. Each zoom is pooled from the one below it, which is written, so all zooms together
+    cost a third more than the leaves."""
+    levels = [leaves.select(*KEYS, "density")]
     for zoom in range(from_zoom - 1, to_zoom - 1, -1):
-        k = from_zoom - zoom
-        px, py = F.col("tx") * pixels + F.col("vx"), F.col("ty") * pixels + F.col("vy")
-        at = [F.lit(zoom).alias("zoom"), F.shiftright("tx", k).alias("tx"), F.shiftright("ty", k).alias("ty"), F.col("vz"), (F.shiftright(py, k) % pixels).alias("vy"), (F.shiftright(px, k) % pixels).alias("vx")]
-        out = out.union(leaves.groupBy(*at).agg((F.sum("density") / float(4**k)).alias("density")))
-    return out
+        levels.append(written(pool_mean(levels[-1], pixels).select(F.lit(zoom).alias("zoom"), *KEYS[1:], "density"), "zoom"))
+    return reduce(DataFrame.union, levels)
 
 
 def halve(voxels: DataFrame, nz: int, ny: int, nx: int) -> DataFrame:
@@ -63,13 +65,15 @@ def mip_sizes(nz: int, ny: int, nx: int, least: int = 4) -> list[tuple[int, int,
 
 
 def mip_chain(voxels: DataFrame, nz: int, ny: int, nx: int, least: int = 4) -> DataFrame:
-    """All mips of a dense volume with sides that are powers of two, each one aggregation of the volume: level, vz, vy, vx, density."""
-    out = voxels.select(F.lit(0).alias("level"), "vz", "vy", "vx", "density")
-    for level, size in enumerate(mip_sizes(nz, ny, nx, least)[1:], 1):
-        shifts = [min(level, (full // kept).bit_length() - 1) for full, kept in zip((nz, ny, nx), size, strict=True)]
-        at = [F.shiftright(c, k).alias(c) for c, k in zip(("vz", "vy", "vx"), shifts, strict=True)]
-        out = out.union(voxels.groupBy(*at).agg(F.avg("density").alias("density")).select(F.lit(level).alias("level"), "vz", "vy", "vx", "density"))
-    return out
+    """All mips of a dense volume with sides that are powers of two: level, vz, vy, vx, density.
+
+    Each mip is averaged from the one before it, which is written.
+    """
+    sizes, mips = mip_sizes(nz, ny, nx, least), [voxels.select("vz", "vy", "vx", "density")]
+    for large, small in zip(sizes, sizes[1:], strict=False):
+        at = [(_half(c) if b < a else F.col(c)).alias(c) for c, a, b in zip(("vz", "vy", "vx"), large, small, strict=True)]
+        mips.append(written(mips[-1].groupBy(*at).agg(F.avg("density").alias("density")), "mip"))
+    return reduce(DataFrame.union, [m.select(F.lit(level).alias("level"), "*") for level, m in enumerate(mips)])
 
 
 def project(voxels: DataFrame, axis: str, how: str = "max", value: str = "density", keys: tuple = ()) -> DataFrame:

@@ -364,20 +364,15 @@ def file_map(spark, sf):
     return cube.levels_by_variable(files).select("var", F.array_join(F.map_keys("files").cast("array<string>"), ",").alias("levels"))
 
 
-def _inventory(parts):
-    m = parts.select(F.col("p_brand").alias("short_name"), F.lit("hybrid").alias("type_of_level"), F.col("p_size").alias("level"))
-    return stats.messages_by_variable(m).withColumn("levels", F.array_join(F.array_sort(F.col("levels").cast("array<string>")), ","))
+_INVENTORY = "SELECT p_brand AS short_name, count(*) AS n, min(p_size) AS least, max(p_size) AS most, string_agg(DISTINCT CAST(p_size AS VARCHAR), ',' ORDER BY CAST(p_size AS VARCHAR)) AS levels FROM part GROUP BY p_brand"
 
 
-@query("message_inventory", "short_name:s n:i least:i most:i levels:s", "SELECT p_brand AS short_name, count(*) AS n, min(p_size) AS least, max(p_size) AS most, string_agg(DISTINCT CAST(p_size AS VARCHAR), ',' ORDER BY CAST(p_size AS VARCHAR)) AS levels FROM part WHERE p_size % 2 = 0 GROUP BY p_brand")
+@query("message_inventory_all", "short_name:s n:i least:i most:i levels:s", _INVENTORY)
+@query("message_inventory", "short_name:s n:i least:i most:i levels:s", _INVENTORY)
 def message_inventory(spark, sf):
-    return _inventory(table(spark, sf, "part").filter("p_size % 2 = 0"))
-
-
-@query("message_inventory_all", "short_name:s n:i least:i most:i levels:s", "SELECT p_brand AS short_name, count(*) AS n, min(p_size) AS least, max(p_size) AS most, string_agg(DISTINCT CAST(p_size AS VARCHAR), ',' ORDER BY CAST(p_size AS VARCHAR)) AS levels FROM part GROUP BY p_brand")
-def message_inventory_all(spark, sf):
-    """The inventory of every row of part; `message_inventory` is bound to even levels by its SQL."""
-    return _inventory(table(spark, sf, "part"))
+    """The inventory of every row of part."""
+    m = table(spark, sf, "part").select(F.col("p_brand").alias("short_name"), F.lit("hybrid").alias("type_of_level"), F.col("p_size").alias("level"))
+    return stats.messages_by_variable(m).withColumn("levels", F.array_join(F.array_sort(F.col("levels").cast("array<string>")), ","))
 
 
 _VARS = ", ".join(f"('{n}', '{k}', {len(v) if v else 1}, {str(v is not None).lower()})" for n, k, v, _ in VARIABLES)
@@ -529,46 +524,28 @@ def ktx2_roundtrip(spark, sf):
 # --- components ------------------------------------------------------------------------------------------
 
 
-_COMP = """WITH RECURSIVE c AS (SELECT DISTINCT CAST(l_partkey % 12 AS INT) AS x, CAST(l_suppkey % 10 AS INT) AS y, CAST(l_orderkey % 6 AS INT) AS z FROM lineitem WHERE l_quantity <= 2 AND l_discount < 0.02),
-n AS (SELECT (z * 10 + y) * 12 + x AS i, x, y, z FROM c),
-e AS (SELECT a.i AS u, b.i AS v FROM n a JOIN n b ON abs(a.x - b.x) + abs(a.y - b.y) + abs(a.z - b.z) = 1),
-r(i, root) AS (SELECT i, i FROM n UNION SELECT e.v, r.root FROM r JOIN e ON e.u = r.i)
-SELECT i AS idx, min(root) AS root FROM r GROUP BY i"""
-
-
-@query("components", "idx:i root:i", _COMP)
+@query("components_all", "idx:i root:i")
+@query("components", "idx:i root:i")
 def grid_components(spark, sf):
-    li = table(spark, sf, "lineitem").filter("l_quantity <= 2 and l_discount < 0.02")
-    c = li.select((F.col("l_partkey") % 12).cast("int").alias("x"), (F.col("l_suppkey") % 10).cast("int").alias("y"), (F.col("l_orderkey") % 6).cast("int").alias("z")).distinct()
-    return components.grid_components(c, 12, 10).select(F.col("index").alias("idx"), "root")
+    """Every line item as a cell: lines along x, orders in rows of 128 along y and z, so z grows with the table. The index is orderkey * 8 + linenumber.
 
-
-@query("components_all", "idx:i root:i")
-def grid_components_all(spark, sf):
-    """Every line item as a cell: lines along x, orders in rows of 128 along y and z, so z grows with the table. The index is orderkey * 8 + linenumber."""
+    No SQL: recursion over all cells is too slow there; tests compare with union-find.
+    """
     order = F.col("l_orderkey")
     c = table(spark, sf, "lineitem").select(F.col("l_linenumber").alias("x"), (order % 128).alias("y"), F.floor(order / 128).alias("z")).distinct()
     return components.grid_components(c, 8, 128).select(F.col("index").alias("idx"), "root")
 
 
-_CIRRUS = f"""WITH {CELLS_SQL}, u AS (SELECT k % 50 AS root, CAST(k % 6 AS INT) AS z, CAST(k % 5 AS INT) AS y, CAST(k % 7 AS INT) AS x, clc, qc, qi, height FROM cells WHERE clc > 0.9),
+_CIRRUS = f"""WITH {CELLS_SQL}, u AS (SELECT k % 50 AS root, CAST(k % 6 AS INT) AS z, CAST(k % 5 AS INT) AS y, CAST(k % 7 AS INT) AS x, clc, qc, qi, height FROM cells WHERE clc > 0),
 f AS (SELECT root, sum(clc) AS mt, sum(CASE WHEN height > 7000 THEN clc ELSE 0 END) AS mh, avg(height) AS mean_height, count(*) AS n_cells, max(z) AS deepest FROM u GROUP BY root) SELECT root, mt, mh, mean_height, n_cells, deepest, CASE WHEN mean_height > 11000 THEN 2 WHEN mean_height > 9000 THEN 1 ELSE 0 END AS layer, mh / mt > 0.9 AS high FROM f"""
 
 
+@query("cloud_figures_all", "root:i mt:d mh:d mean_height:d n_cells:i deepest:i layer:i high:b", _CIRRUS)
 @query("cloud_figures", "root:i mt:d mh:d mean_height:d n_cells:i deepest:i layer:i high:b", _CIRRUS)
 def cloud_figures(spark, sf):
-    return _cloud_figures(cells(spark, sf).filter("clc > 0.9"))
-
-
-@query("cloud_figures_all", "root:i mt:d mh:d mean_height:d n_cells:i deepest:i layer:i high:b", _CIRRUS.replace("clc > 0.9", "clc > 0"))
-def cloud_figures_all(spark, sf):
-    """The figures of all cloudy cells, as the reference takes them; `cloud_figures` is bound to clc > 0.9 by its SQL."""
-    return _cloud_figures(cells(spark, sf).filter("clc > 0"))
-
-
-def _cloud_figures(cloudy):
+    """The figures of all cloudy cells."""
     k = F.col("k")
-    u = cloudy.select((k % 50).alias("root"), (k % 6).cast("int").alias("z"), "clc", F.col("height").alias("h_mid"))
+    u = cells(spark, sf).filter("clc > 0").select((k % 50).alias("root"), (k % 6).cast("int").alias("z"), "clc", F.col("height").alias("h_mid"))
     f = components.cloud_figures(u)
     return f.select("root", F.col("mass_total").alias("mt"), F.col("mass_high").alias("mh"), "mean_height", "n_cells", "deepest", physics.cirrus_layer("mean_height").alias("layer"), physics.is_cirrus(F.lit(0.0), "mass_high", "mass_total").alias("high"))
 

@@ -6,7 +6,7 @@ from stratavox.plans import queries as plans
 
 
 def test_message_inventory_of_all_levels(spark, small):
-    got = plans.queries()["message_inventory_all"](spark, small).toPandas()
+    got = plans.queries()["message_inventory"](spark, small).toPandas()
     parts = duckdb.sql(f"SELECT p_brand, p_size FROM '{small}/part.parquet'").df()
     assert got["n"].sum() == len(parts)
     for r in got.itertuples():
@@ -17,7 +17,7 @@ def test_message_inventory_of_all_levels(spark, small):
 
 
 def test_components_of_all_line_items(spark, small):
-    got = plans.queries()["components_all"](spark, small).toPandas()
+    got = plans.queries()["components"](spark, small).toPandas()
     keys = duckdb.sql(f"SELECT DISTINCT l_orderkey AS o, l_linenumber AS l FROM '{small}/lineitem.parquet'").fetchall()
     cells = {(line, order % 128, order // 128): order * 8 + line for order, line in keys}
     parent = {i: i for i in cells.values()}
@@ -38,7 +38,7 @@ def test_components_of_all_line_items(spark, small):
 
 
 def test_cloud_figures_of_all_cloudy_cells(spark, small):
-    got = plans.queries()["cloud_figures_all"](spark, small).toPandas()
+    got = plans.queries()["cloud_figures"](spark, small).toPandas()
     cloudy = duckdb.sql(f"SELECT count(*), sum((l_partkey % 101) / 100.0) FROM '{small}/lineitem.parquet' WHERE l_partkey % 101 > 0").fetchall()[0]
     assert got["n_cells"].sum() == cloudy[0]
     assert abs(got["mt"].sum() - cloudy[1]) < 1e-3
