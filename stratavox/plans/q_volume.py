@@ -10,7 +10,8 @@ from ..functions import physics
 from ..operators import bc4, components, sample, stats, stencil, volume
 from ..schemas import VARIABLES, variables
 from ..session import ship
-from ..sources import ktx2, raw_tiles
+from ..sources import ktx2, raw_tiles, sinks
+from ..storage import scratch
 from .base import CELLS_SQL, COLUMNS_SQL, GRID_SQL, LEVELS, PIXELS, POINTS_SQL, SAMPLES_SQL, VOXELS_SQL, ZOOM, cells, columns, full_levels, grid, half_levels, points, query, samples, table, voxels
 from .q_functions import PCHIP_SQL
 
@@ -521,6 +522,49 @@ def ktx2_roundtrip(spark, sf):
     return ktx2.containers(tiles, "R16_SFLOAT", PIXELS, PIXELS, LEVELS).select("tx", "ty", again("content").alias("c")).select("tx", "ty", "c.*")
 
 
+@query("raw_tile_files", "tx:i ty:i vz:i vy:i vx:i density:d", f"{V}, {_HALF} SELECT tx, ty, vz, vy, vx, density FROM half WHERE density > 0")
+def raw_tile_files(spark, sf):
+    """Raw tiles written as files and read again."""
+    at = scratch(spark, "tiles")
+    sinks.raw_tile_files(voxels(spark, sf), at, LEVELS, PIXELS, (1.0, 1.0, 1.0)).write.format("noop").mode("overwrite").save()
+    return raw_tiles.voxels(raw_tiles.read(spark, at), PIXELS, PIXELS).filter("density > 0")
+
+
+@query(
+    "lod_tile_files", "zoom:i x:i row:i levels:i scale:s filled:i places:i",
+    f"{V}, t AS (SELECT zoom, tx, ty, vz, vy, vx, density FROM voxels UNION ALL {_TREE}) SELECT zoom, tx AS x, CAST(pow(2, zoom) AS INT) - 1 - ty AS row, 3 AS levels, '32.0' AS scale, count(*) FILTER (density / 32 * 255 > 0.5) AS filled, coalesce(sum(vz * 256 + (15 - vy) * 16 + vx) FILTER (density / 32 * 255 > 0.5), 0) AS places FROM t GROUP BY ALL",
+)
+def lod_tile_files(spark, sf):
+    """Tiles of a pyramid written as containers with mips, rows and lines from the south, and read again."""
+    at = scratch(spark, "lod")
+    sinks.lod_tile_files(volume.pyramid(voxels(spark, sf), ZOOM - 2, ZOOM, PIXELS), at, LEVELS, PIXELS, 218.75).write.format("noop").mode("overwrite").save()
+
+    @F.pandas_udf("filled int, places long")
+    def texels(first: pd.Series) -> pd.DataFrame:
+        found = [np.flatnonzero(np.frombuffer(bytes(x), np.uint8)) for x in first]
+        return pd.DataFrame({"filled": [len(x) for x in found], "places": [int(x.sum()) for x in found]})
+
+    part = lambda i: F.element_at(F.split(F.regexp_replace("path", r"\.ktx2$", ""), "/"), i).cast("int")
+    return ktx2.read(spark, at).select(part(-3).alias("zoom"), part(-2).alias("x"), part(-1).alias("row"), "levels", F.col("metadata")["val_scale"].alias("scale"), texels(F.col("mips")[0]).alias("t")).select("*", "t.*")
+
+
+@query(
+    "shadow_map_file", "px:i py:i steps:i",
+    f"{_shadow_sql('vz')}, c AS (SELECT (tx - (SELECT min(tx) FROM h)) * 16 + vx AS px, (ty - (SELECT min(ty) FROM h)) * 16 + vy AS py, CAST(round(height * 8) AS INT) AS steps FROM h), g AS (SELECT x AS px, y AS py FROM range(8, 40) a(x), range(4, 60) b(y)) SELECT px, py, coalesce(steps, 0) AS steps FROM g LEFT JOIN c USING (px, py)",
+)
+def shadow_map_file(spark, sf):
+    """The shadow canvas cut to a box, written as one container and read again; `steps` are its heights in eighths."""
+    at = scratch(spark, "shadow")
+    sinks.shadow_map_file(voxels(spark, sf), at, "shadow.ktx2", LEVELS, PIXELS, (8, 4, 40, 60)).write.format("noop").mode("overwrite").save()
+
+    @F.pandas_udf("array<float>")
+    def values(first: pd.Series) -> pd.Series:
+        return pd.Series([np.frombuffer(bytes(x), "<f2").astype(np.float32) for x in first])
+
+    texels = ktx2.read(spark, at).select(values(F.col("mips")[0]).alias("v"), "width").select("width", F.posexplode("v").alias("i", "v"))
+    return texels.select((F.col("i") % F.col("width") + 8).alias("px"), (F.floor(F.col("i") / F.col("width")) + 4).alias("py"), F.round(2 * F.log("v")).cast("int").alias("steps"))
+
+
 # --- components ------------------------------------------------------------------------------------------
 
 
