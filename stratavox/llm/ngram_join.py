@@ -10,7 +10,7 @@ columns, and an entry is discarded as soon as it can't reach the bound that both
 
 Within a column, rows are measured against one leader. Rows near it are known by the few shingles
 that set them apart from it; two of them can only link, beyond what the leader joins, if they share
-some of these, so near copies are never expanded into all pairs. Rows far from it are compared with
+some of these, and meet in the rarest, so near copies are never expanded into all pairs. Rows far from it are compared with
 those that the triangle inequality allows where they are few. Where they are many, a second leader
 is chosen, and then the column is split by a further column: rows that link and share a first column
 share a second one among one column more, and so on; only rows that share all of these columns are
@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.components import components
@@ -236,24 +236,31 @@ def _rooted(rows: DataFrame, roots: DataFrame, key: str) -> DataFrame:
 def _near_links(measured: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
     """Links between rows near one leader that no link joins yet, from what sets them apart from the leader.
 
-    Two rows differ by their distances less twice what they share of these. Rows that share nothing
-    and still link are both linked to the leader, so only rows that share some are paired.
+    Two rows differ by their distances less twice what they share of these parts. Of two rows that no
+    link joins, one at least is not linked to the leader, so its distance is above the bound, and the
+    other must share half of its own parts with it, give or take the sizes. So it is enough that a row
+    meets the rows not linked to the leader in its rarest parts, as many as that leaves; parts that most
+    rows have, such as the leader's own edits, are met by few. What two rows share is then counted.
     """
-    near = measured.filter("near").select(F.col("u").alias("lead"), F.col("v").alias("digest"), F.col("nv").alias("n"), "dist", "apart")
+    q = (100 - percent) / (100 + percent)
+    near = measured.filter("near").select(F.col("u").alias("lead"), F.col("v").alias("digest"), F.col("nu").alias("n_lead"), F.col("nv").alias("n"), "dist", "linked", "apart")
     parts = near.select("lead", "digest", F.explode("apart").alias("part"))
-    common = parts.groupBy("lead", "part").agg(F.count("*").alias("c")).filter("c > 1").select("lead", "part")
+    common = parts.groupBy("lead", "part").agg(F.count("*").alias("c")).filter("c > 1")
     parts = parts.join(common, ["lead", "part"])
-    shareable = parts.groupBy("lead", "digest").agg(F.count("*").alias("s"))
-    rows = _rooted(near.select("lead", "digest", "n", "dist").join(shareable, ["lead", "digest"]), roots, "digest")
-    # a row whose shareable parts can't make up for its own distance meets nobody
-    rows = rows.filter((100 + percent) * (F.col("dist") - F.col("s")) <= (100 - percent) * (F.col("n") + F.col("n") * 100 / percent))
-    cells = parts.join(rows, ["lead", "digest"])
-    a, b = cells.alias("a"), cells.alias("b")
-    reach = (100 + percent) * (F.col("a.dist") + F.col("b.dist") - 2 * F.least("a.s", "b.s")) <= (100 - percent) * (F.col("a.n") + F.col("b.n"))
-    met = a.join(b, (F.col("a.lead") == F.col("b.lead")) & (F.col("a.part") == F.col("b.part")) & (F.col("a.root") > F.col("b.root")) & reach)
-    apart = F.col("d") - 2 * F.col("shared")
-    counted = met.groupBy(F.col("a.lead").alias("lead"), F.col("a.digest").alias("u"), F.col("b.digest").alias("v")).agg(F.count("*").alias("shared"), F.first(F.col("a.dist") + F.col("b.dist")).alias("d"), F.first(F.col("a.n") + F.col("b.n")).alias("n"))
-    return counted.filter(100 * (F.col("n") - apart) >= percent * (F.col("n") + apart)).select("u", "v")
+    rarest = Window.partitionBy("lead", "digest").orderBy("c", "part")
+    cells = _rooted(parts.withColumn("rank", F.row_number().over(rarest)), roots, "digest").join(near.drop("apart"), ["lead", "digest"])
+    size = F.count("*").over(Window.partitionBy("lead", "digest"))
+    need = F.greatest(F.ceil((F.col("dist") - q * (F.col("n") - F.col("n_lead"))) / 2 - 1e-6), F.lit(1))
+    first = cells.withColumn("s", size).filter(F.col("rank") <= F.col("s") - need + 1)
+    a, b = first.alias("a"), cells.filter("not linked").alias("b")
+    once = F.col("a.linked") | (F.col("a.digest") > F.col("b.digest"))
+    met = a.join(b, (F.col("a.lead") == F.col("b.lead")) & (F.col("a.part") == F.col("b.part")) & (F.col("a.root") != F.col("b.root")) & once)
+    met = met.select(F.col("a.lead").alias("lead"), F.col("a.digest").alias("u"), F.col("b.digest").alias("v")).distinct()
+    side = lambda as_name, suffix: near.select("lead", F.col("digest").alias(as_name), *[F.col(c).alias(c + suffix) for c in ("n", "dist", "apart")])
+    both = met.join(side("u", "_u"), ["lead", "u"]).join(side("v", "_v"), ["lead", "v"])
+    total = F.col("n_u") + F.col("n_v")
+    apart = F.col("dist_u") + F.col("dist_v") - 2 * F.size(F.array_intersect("apart_u", "apart_v"))
+    return both.filter(100 * (total - apart) >= percent * (total + apart)).select("u", "v")
 
 
 def _joined_pairs(a: DataFrame, b: DataFrame, percent: int) -> DataFrame:
