@@ -373,7 +373,7 @@ SCALES = {"stratus": (2000.0, 1000.0), "small": (1000.0, 600.0), "middle": (2000
 
 @query("shear_density", "k:i density:d beta:d")
 def shear_density(spark, sf):
-    """No SQL: the saturating noise at five scales is checked alone (`worley_saturating`)."""
+    """No SQL, for the noise at six scales; tests compare it with plain arithmetic."""
     t = _turbulent(spark, sf)
     return t.select("k", physics.shear_density("x", "y", "z", "clc", "tke", "w", SCALES).alias("density"), physics.extinction_shear(F.lit(1e-5), F.lit(1e-6), F.lit(1e-3), F.lit(260.0), F.lit(7e4), "clc").alias("beta"))
 

@@ -294,7 +294,7 @@ def sample_cover(spark, sf):
 
 @query("synthesise_plain", "k:i density:d")
 def synthesise_plain(spark, sf):
-    """No SQL: its parts are checked alone (`sample_*`, `effective_cover`, `extinction`)."""
+    """No SQL: tests compare it with plain arithmetic, point by point."""
     return sample.synthesise_plain(samples(spark, sf), columns(spark), 12, 12, ["k"])
 
 
