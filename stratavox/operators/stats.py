@@ -2,10 +2,45 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import physics
+from ..storage import written
+
+
+def quantiles(values: DataFrame, value: str, points: dict[str, float]) -> DataFrame:
+    """One row: `n`, `most` and a column per named point, exact and linear between ranks; nulls are left out.
+
+    Distinct values are counted and range-sorted, and only the ranges that hold an asked rank are
+    opened, so no task keeps all values. Without values, n is 0 and the rest null.
+    """
+    counts = values.select(F.col(value).cast("double").alias("v")).filter("v is not null").groupBy("v").agg(F.count("*").alias("c"))
+    dealt = written(counts.repartitionByRange("v").select("v", "c", F.spark_partition_id().alias("part")), "ranks")
+    parts = dealt.groupBy("part").agg(F.sum("c").alias("held"), F.max("v").alias("most"))
+    summary = parts.agg(F.coalesce(F.sum("held"), F.lit(0)).alias("n"), F.max("most").alias("most"))
+
+    # one row per range: as many as the shuffle has partitions
+    so_far, all_parts = Window.orderBy("part"), Window.partitionBy()
+    starts = parts.select("part", "held", (F.sum("held").over(so_far) - F.col("held")).alias("start"), F.sum("held").over(all_parts).alias("total"))
+    asked = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), F.lit(float(q)).alias("q")) for name, q in points.items()]))
+    ranks = starts.select("*", asked.alias("a")).withColumn("at", F.col("a.q") * (F.col("total") - 1))
+    ranks = ranks.select("part", "held", "start", "a.name", "at", F.explode(F.array_distinct(F.array(F.floor("at"), F.ceil("at")))).alias("rank"))
+    ranks = ranks.filter((F.col("rank") >= F.col("start")) & (F.col("rank") < F.col("start") + F.col("held")))
+
+    opened = dealt.join(ranks.select("part", "start").distinct(), "part")
+    placed = opened.select("part", "v", "c", (F.col("start") + F.sum("c").over(Window.partitionBy("part").orderBy("v")) - F.col("c")).alias("first"))
+    hit = placed.join(ranks.select("part", "name", "at", "rank"), "part").filter((F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("first") + F.col("c")))
+    share = F.col("at") - F.floor("at")
+    found = hit.groupBy("name", "at").agg(F.min("v").alias("low"), F.max("v").alias("high")).select("name", (F.col("low") + (F.col("high") - F.col("low")) * share).alias("p"))
+    named = found.agg(*[F.max(F.when(F.col("name") == name, F.col("p"))).alias(name) for name in points])
+    return _beside(summary, named)
+
+
+def _beside(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Two tables of one row with different columns as one row."""
+    both = left.unionByName(right, allowMissingColumns=True)
+    return both.agg(*[F.max(c).alias(c) for c in both.columns])
 
 
 def error_figures(voxels: DataFrame, keys: list[str], limit: float = 32.0) -> DataFrame:
@@ -64,16 +99,16 @@ def merged(partials: DataFrame) -> DataFrame:
 
 def canvas_figures(canvas: DataFrame, value: str = "value") -> DataFrame:
     v = F.col(value)
-    return canvas.agg(F.min(v).alias("least"), F.max(v).alias("most"), F.avg(v).alias("mean"), F.var_pop(v).alias("variance"), F.count_if(v > 0).alias("nonzero"), F.percentile(F.when(v > 0, v), 0.5).alias("nonzero_median"))
+    whole = canvas.agg(F.min(v).alias("least"), F.max(v).alias("most"), F.avg(v).alias("mean"), F.var_pop(v).alias("variance"), F.count_if(v > 0).alias("nonzero"))
+    return _beside(whole, quantiles(canvas.filter(v > 0), value, {"nonzero_median": 0.5}).select("nonzero_median"))
 
 
 def density_percentiles(cells: DataFrame) -> DataFrame:
     """Percentiles of the analysis extinction over cloudy cells (clc in percent, qc), and the limit they suggest."""
     cloudy = cells.filter(physics.is_cloud("clc", "qc")).select(physics.extinction_analysis("qc", F.col("clc") / 100.0).alias("beta"))
-    points = [0.5, 0.9, 0.95, 0.98, 0.99]
-    row = cloudy.agg(F.count("*").alias("n"), F.percentile("beta", F.array(*map(F.lit, points))).alias("p"), F.max("beta").alias("most"))
-    named = [F.col("p")[i].alias(f"p{int(q * 100)}") for i, q in enumerate(points)]
-    return row.select("n", *named, "most", F.least(F.greatest(F.col("p")[3], F.lit(40.0)), F.lit(80.0)).alias("suggested"))
+    names = {f"p{q}": q / 100 for q in (50, 90, 95, 98, 99)}
+    row = quantiles(cloudy, "beta", names)
+    return row.select("n", *names, "most", F.least(F.greatest("p98", F.lit(40.0)), F.lit(80.0)).alias("suggested"))
 
 
 def messages_by_variable(messages: DataFrame) -> DataFrame:

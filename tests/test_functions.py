@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stratavox.functions import geo, half, interp, noise, physics, text
-from stratavox.operators import bc4, stencil, volume
+from stratavox.operators import bc4, stats, stencil, volume
 
 
 def one(spark, column):
@@ -146,3 +146,16 @@ def test_kernels_agree_with_native_columns(spark):
     for r in got.collect():
         assert r.f == pytest.approx(r.g, abs=1e-9) and r.n == pytest.approx(r.m, abs=1e-9)
         assert [r.d[k] for k in ("dx", "dy", "dz")] == pytest.approx([r.e[k] for k in ("dx", "dy", "dz")], abs=1e-6)
+
+
+@pytest.mark.parametrize("kind", ["spread", "ties", "one", "none"])
+def test_quantiles_match_numpy(spark, kind):
+    rng = np.random.default_rng(6)
+    values = {"spread": rng.lognormal(0, 4, 3001), "ties": rng.integers(0, 3, 2000).astype(float), "one": np.array([2.5]), "none": np.array([])}[kind]
+    points = {"p0": 0.0, "p3": 0.3, "p50": 0.5, "p99": 0.99, "p100": 1.0}
+    df = spark.createDataFrame([(float(v),) for v in values] + [(None,)] * 3, "x double").repartition(7)
+    r = stats.quantiles(df, "x", points).collect()
+    assert len(r) == 1 and r[0].n == len(values)
+    for name, q in points.items():
+        assert r[0][name] == (pytest.approx(float(np.quantile(values, q)), rel=1e-12) if len(values) else None)
+    assert r[0].most == (values.max() if len(values) else None)
