@@ -79,15 +79,26 @@ def sample_material(points: DataFrame, columns: DataFrame, nx: int, ny: int, key
     return sums.select(*keys, *[v.alias(f) for f, v in out.items()])
 
 
-def sample_turbulence(points: DataFrame, columns: DataFrame, nx: int, ny: int, keys: list[str]) -> DataFrame:
-    """tke at points from half levels, the height held above the ground; columns whose top is below are left out."""
+def sample_environment(points: DataFrame, columns: DataFrame, nx: int, ny: int, keys: list[str]) -> DataFrame:
+    """`tke` and `ground` at points, from one stencil.
+
+    tke comes from half levels, the height held above the ground; columns whose top is below are left
+    out. The ground is the weighted height of the lowest half level; its weights are not made up to 1.
+    """
     near = stencil_16(points, nx, ny).join(columns.select("iy", "ix", "hhl", "tke"), ["iy", "ix"])
-    h, hhl = F.col("height"), F.col("hhl")
-    near = near.withColumn("_level", half_level(hhl, h)).withColumn("asked", F.greatest(h, _at(hhl, F.size(hhl) - 1)))
+    h, hhl, w = F.col("height"), F.col("hhl"), F.col("weight")
+    lowest = F.element_at(hhl, -1)
+    near = near.withColumn("_level", half_level(hhl, h)).withColumn("asked", F.greatest(h, lowest))
     valid = h < _at(hhl, F.lit(0))
     value = _interpolated(F.col("tke"), hhl, F.col("_level"), F.col("asked"))
-    sums = near.groupBy(*keys).agg(F.sum(F.when(valid, value * F.col("weight")).otherwise(0.0)).alias("tke"), F.sum(F.when(valid, F.col("weight")).otherwise(0.0)).alias("w"))
-    return sums.select(*keys, F.greatest(F.when(F.col("w") > 1e-5, F.col("tke") / F.col("w")).otherwise(F.col("tke")), F.lit(0.0)).alias("tke"))
+    sums = near.groupBy(*keys).agg(F.sum(F.when(valid, value * w).otherwise(0.0)).alias("tke"), F.sum(F.when(valid, w).otherwise(0.0)).alias("w"), F.sum(w * lowest).alias("ground"))
+    tke = F.greatest(F.when(F.col("w") > 1e-5, F.col("tke") / F.col("w")).otherwise(F.col("tke")), F.lit(0.0))
+    return sums.select(*keys, tke.alias("tke"), "ground")
+
+
+def sample_turbulence(points: DataFrame, columns: DataFrame, nx: int, ny: int, keys: list[str]) -> DataFrame:
+    """The tke of `sample_environment` alone."""
+    return sample_environment(points, columns, nx, ny, keys).drop("ground")
 
 
 def ground_height(points: DataFrame, columns: DataFrame, nx: int, ny: int, keys: list[str]) -> DataFrame:
@@ -116,11 +127,11 @@ def synthesise(points: DataFrame, columns: DataFrame, nx: int, ny: int, keys: li
     Points carry keys, src_x, src_y, height, world_x, world_y and to_src_x, to_src_y (texels a metre).
     """
     ship(points.sparkSession)
-    calm = points.join(sample_turbulence(points, columns, nx, ny, keys), keys)
+    calm = points.join(sample_environment(points, columns, nx, ny, keys), keys)
     moved = calm.withColumn("d", kernels.displacement("world_x", "world_y", "height", "tke"))
     at = moved.select(*keys, (F.col("src_x") + F.col("d.dx") * F.col("to_src_x")).alias("src_x"), (F.col("src_y") - F.col("d.dy") * F.col("to_src_y")).alias("src_y"), (F.col("height") + F.col("d.dz")).alias("height"))
-    where = moved.select(*keys, "tke", "height", (F.col("world_x") + F.col("d.dx")).alias("wx"), (F.col("world_y") + F.col("d.dy")).alias("wy"), (F.col("height") + F.col("d.dz")).alias("wz"))
-    state = _state(sample_material(at, columns, nx, ny, keys)).join(where, keys).join(ground_height(points, columns, nx, ny, keys), keys)
+    where = moved.select(*keys, "tke", "ground", "height", (F.col("world_x") + F.col("d.dx")).alias("wx"), (F.col("world_y") + F.col("d.dy")).alias("wy"), (F.col("height") + F.col("d.dz")).alias("wz"))
+    state = _state(sample_material(at, columns, nx, ny, keys)).join(where, keys)
     beta = physics.extinction("qc", "qi", "qv", "t", "p", "cover")
     factor = kernels.density_factor("wx", "wy", "wz", "cover", "tke")
     value = let(F.col("factor"), lambda f: F.when(f > 0, physics.voxel(beta, f, "height", "ground")).otherwise(0.0))
