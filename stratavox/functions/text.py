@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .geo import col
+from .interp import let
 
 RUN = "yyyyMMddHH"
 ISO = "yyyy-MM-dd'T'HH:mm:ss'Z'"
@@ -83,9 +84,10 @@ def timing_pairs(text) -> Column:
 
 def timing_map(text) -> Column:
     """Timings by name; of repeated names the last counts."""
-    pairs = timing_pairs(text)
-    last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.greatest(F.size(pairs) - i - 1, F.lit(0))), lambda q: q["name"] == p["name"]))
-    return F.map_from_entries(last)
+    pairs = F.reverse(timing_pairs(text))
+    found = F.struct(pairs.alias("pairs"), F.transform(pairs, lambda p: p["name"]).alias("names"))
+    last = lambda f: F.transform(F.array_distinct(f["names"]), lambda n: F.element_at(f["pairs"], F.array_position(f["names"], n).cast("int")))
+    return F.map_from_entries(let(found, last))
 
 
 def timing_total(timings) -> Column:

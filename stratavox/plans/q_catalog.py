@@ -225,8 +225,7 @@ def claim_fifo(spark, sf):
 @query("log_since", "event_id:i", "SELECT event_id FROM events WHERE epoch(ts) >= (SELECT epoch(max(ts)) FROM events) - 7 * 86400")
 def log_since(spark, sf):
     log = table(spark, sf, "events").select("event_id", F.col("event_id").alias("id"), F.col("ts").alias("dt"))
-    last = log.agg(F.max("dt")).first()[0]
-    return C.log_since(log, F.lit(last), "a week")
+    return C.log_since(log, log.agg(F.max("dt")).scalar(), "a week")
 
 
 @query("next_time", "at_seconds:i", "SELECT coalesce(min(s) FILTER (s > 49200), min(s) + 86400) AS at_seconds FROM (VALUES (7200), (28800), (50400), (72000)) v(s)")
@@ -381,14 +380,13 @@ def run_cadence(spark, sf):
 @query("stream_progress", "key:i stage:s detail:s percent:d", f"WITH {_LINES} SELECT key, max_by(stage, seq) AS stage, 'tile ' || max(seq) AS detail, max_by(percent, seq) AS percent FROM lines WHERE good GROUP BY key")
 def stream_progress(spark, sf):
     """The same reports through a stream: lines in files, the last report per key as the stream's state."""
-    import uuid
+    from ..storage import scratch
 
-    from ..storage import shared_dir, written
-
-    source = f"{shared_dir(spark)}/lines-{uuid.uuid4().hex}"
+    source, state, at = (scratch(spark, name) for name in ("lines", "state", "progress"))
     lines(spark, sf).repartition(4).write.parquet(source)
-    name = f"progress_{uuid.uuid4().hex}"
     stream = progress.latest(spark.readStream.schema("key long, seq long, line string").option("maxFilesPerTrigger", 2).parquet(source))
-    q = stream.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{source}-state").trigger(availableNow=True).start()
+    spark.createDataFrame([], stream.schema).write.parquet(at)
+    replace = lambda batch, _: batch.write.mode("overwrite").parquet(at)
+    q = stream.writeStream.outputMode("complete").foreachBatch(replace).option("checkpointLocation", state).trigger(availableNow=True).start()
     q.awaitTermination()
-    return written(spark.table(name), "progress")
+    return spark.read.schema(stream.schema).parquet(at)
