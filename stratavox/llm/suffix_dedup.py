@@ -7,6 +7,10 @@ too, equal surroundings merged on the way. There the surroundings are laid end t
 Lyndon prefix form a group, groups are processed in descending order, previous-smaller pointers
 extend the groups that stand before them, and a last pass emits each group's order; no names, no
 recursion. Equal windows stand side by side in that order, and the earliest one stays.
+
+A gram that stands at very many places (`hot`) would bring all its different surroundings to one
+group. Its windows are dealt one by one instead, by a hash of their bytes: an exchange of hashes finds
+those that occur twice, and only these go on, as 128-bit hashes, so a window is one entry per block.
 """
 
 from __future__ import annotations
@@ -17,8 +21,10 @@ from os.path import commonprefix
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import blocks as B
 from .common import dropped, lean, lean_cogroup, lean_group, written
@@ -27,6 +33,8 @@ WINDOW = 100
 GRAM = 32
 SPAN = WINDOW - GRAM + 1
 PIECE = 1 << 16
+#: Places of a gram beyond which its windows are dealt one by one; the surroundings of so many fit one task.
+HOT = 1 << 14
 
 
 def suffix_array(text: list[int]) -> list[int]:
@@ -261,9 +269,8 @@ class _Block:
         cat = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
         self.key = B.mix(cat(keys, np.uint64))
         self.start, self.length = cat(starts, np.int64), cat(lengths, np.int64)
-        self.distinct, self.which, times = np.unique(B.mix(cat(selected, np.uint64)), return_inverse=True, return_counts=True)
+        self.distinct, self.which, self.times = np.unique(B.mix(cat(selected, np.uint64)), return_inverse=True, return_counts=True)
         self.place = cat(places, np.int64)
-        self.twice = times > 1
 
     @staticmethod
     def _hashes(part: np.ndarray) -> np.ndarray:
@@ -284,14 +291,45 @@ class _Block:
         found = known[np.searchsorted(known, asked)] & np.uint64(0xFFFFFFFF)
         return found.astype(np.int64) - self.start[runs]
 
-    def asked(self, shared: np.ndarray) -> list[tuple[int, bytes, list[int]]]:
-        """(gram, surroundings, runs of windows that have them, the earliest first) of shared grams, in order of grams."""
+    def at(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Document and place in it of places of the block."""
+        doc = np.searchsorted(self.ends, places, side="right")
+        return self.ids[doc], places - (self.ends - self.counts)[doc]
+
+    def _contexts(self, answers: np.ndarray, wanted: int) -> dict[bytes, list[int]]:
+        """The runs of each surroundings whose gram has that answer, the earliest first."""
         contexts: dict[bytes, list[int]] = {}
         if len(self.key):
-            mine = np.flatnonzero(shared[np.searchsorted(self.distinct, self.key)])
+            mine = np.flatnonzero(answers[np.searchsorted(self.distinct, self.key)] == wanted)
+            doc, place = self.at(self.start[mine])
+            mine = mine[np.lexsort((place, doc))]
             for i, a, n in zip(mine.tolist(), self.start[mine].tolist(), self.length[mine].tolist(), strict=True):
                 contexts.setdefault(self.raw[a : a + n + WINDOW - 1], []).append(i)
-        return sorted((int(self.key[runs[0]]), context, runs) for context, runs in contexts.items())
+        return contexts
+
+    def asked(self, answers: np.ndarray) -> list[tuple[int, bytes, list[int]]]:
+        """(gram, surroundings, runs of windows that have them, the earliest first) of shared grams that aren't hot."""
+        return [(int(self.key[runs[0]]), context, runs) for context, runs in self._contexts(answers, 1).items()]
+
+    def windows(self, answers: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Two hashes and the place of each window of hot grams, by hashes, the earliest first; and runs that repeat earlier surroundings of the block."""
+        gone, high, low, places = [], [], [], []
+        for context, runs in self._contexts(answers, 2).items():
+            doc, place = self.at(self.start[runs])
+            first = (doc == doc[0]) & (place == place[0])
+            gone += [i for i, f in zip(runs, first.tolist(), strict=True) if not f]
+            n = len(context) - WINDOW + 1
+            both = np.frombuffer(b"".join(xxhash.xxh3_128_digest(context[j : j + WINDOW]) for j in range(n)), "<u8").reshape(n, 2)
+            for a in self.start[runs][first].tolist():
+                high.append(both[:, 0])
+                low.append(both[:, 1])
+                places.append(np.arange(a, a + n))
+        if not places:
+            return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.array(gone, np.int64)
+        high, low, places = np.concatenate(high), np.concatenate(low), np.concatenate(places)
+        doc, place = self.at(places)
+        order = np.lexsort((place, doc, low, high))
+        return high[order], low[order], places[order], np.array(gone, np.int64)
 
 
 def _ask_grams(digit: int):
@@ -300,11 +338,38 @@ def _ask_grams(digit: int):
             for i in range(batch.num_rows):
                 for block, names, texts in B.opened(batch.slice(i, 1)):
                     mine = _Block(names, texts)
-                    yield B.batch_of([(0, block, q, body) for q, body in B.keyed_messages(mine.distinct, mine.twice + 1, digit=digit)], B.MESSAGES)
+                    yield B.batch_of([(0, block, q, body) for q, body in B.keyed_messages(mine.distinct, mine.times, digit=digit)], B.MESSAGES)
 
     return lean(run)
 
 
+def _frequency(hot: int, digit: int) -> B.Exchange:
+    """0 for a gram that stands at one place, 1 for others, 2 for one at more than `hot`."""
+    return B.tally(np.add, lambda total, own: (total >= 2).astype(np.uint8) + ((total >= 2) & (total > hot)), digit=digit)
+
+
+#: Added to the digits of answers about windows of hot grams, which follow those about grams.
+HOT_DIGITS = 1 << 16
+
+
+def _split_answers(answers: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Answers about the grams of a block, and about the windows of its hot grams."""
+    hot = pa.compute.greater_equal(answers.column("bucket"), HOT_DIGITS)
+    return B.answers_of(answers.filter(pa.compute.invert(hot))), B.answers_of(answers.filter(hot))
+
+
+def _ask_hot(digit: int):
+    def run(blocks: pa.Table, answers: pa.Table) -> pa.Table:
+        out, known = [], B.answers_of(answers)
+        if (known == 2).any():
+            for block, names, texts in B.opened(blocks):
+                keys, counts = np.unique(_Block(names, texts).windows(known)[0], return_counts=True)
+                out += [(0, block, q, body) for q, body in B.keyed_messages(keys, counts, digit=digit)]
+        return B.table_of(out, B.MESSAGES)
+
+    return lean_cogroup(run)
+
+
 def _messages(entries: list[tuple], level: int, digit: int) -> list[tuple[int, bytes]]:
     """(digit, body) of (gram, surroundings, doc, start, place of the gram), sorted by gram."""
     pack, out = zstandard.ZstdCompressor(level=3), []
@@ -347,9 +412,12 @@ def _repeats(bodies: list[bytes]) -> list[bytes]:
     """For each surroundings asked: the byte 1 if all its windows repeat earlier ones, else 0 and the windows that do as bits."""
     every, first = _distinct(bodies)
     groups: dict[int, list[bytes]] = {}
-    for key, context in first:
-        groups.setdefault(key, []).append(context)
     marks = {}
+    for key, context in first:
+        if len(context) < WINDOW:
+            marks[key, context] = b"\0"  # a window of a hot gram, of which the first one stays
+        else:
+            groups.setdefault(key, []).append(context)
     for key, contexts in groups.items():
         places = [first[key, c] for c in contexts]
         found = repeated_windows(contexts, [(p[0], p[1]) for p in places], [p[2] for p in places])
@@ -374,27 +442,47 @@ def _split(answers: list[bytes]) -> list[bytes]:
     return [m for body in answers for m in B.split_body(unpack.decompress(body))]
 
 
-#: The digit of a block's note to itself: its runs in the order asked.
+#: The digit of a block's note to itself: its runs in the order asked, and those that go whole.
 OWN = -1
 
 
 def _ask_windows(digit: int):
     def run(blocks: pa.Table, answers: pa.Table) -> pa.Table:
         pack, out = zstandard.ZstdCompressor(level=3), []
+        known, again = _split_answers(answers)
         for block, names, texts in B.opened(blocks):
             mine = _Block(names, texts)
-            asked = mine.asked(B.answers_of(answers).astype(bool))
-            counts = np.array([len(runs) for _, _, runs in asked], np.int64)
+            asked = mine.asked(known)
             at = np.array([i for _, _, runs in asked for i in runs], np.int64)
-            doc = np.searchsorted(mine.ends, mine.start[at], side="right")
-            place = mine.start[at] - (mine.ends - mine.counts)[doc]
+            first = np.array([runs[0] for _, _, runs in asked], np.int64)
+            heads = [(key, context, g) for (key, context, _), g in zip(asked, mine.grams(first).tolist() if len(first) else [], strict=True)]
+            counts, starts, lengths = [len(runs) for _, _, runs in asked], mine.start[at], mine.length[at]
+            gone = np.zeros(0, np.int64)
+            if len(again):
+                high, low, places, gone = mine.windows(known)
+                twice = again[np.searchsorted(np.unique(high), high)] == 1
+                high, low, places = high[twice], low[twice], places[twice]
+                new = np.ones(len(high), bool)
+                new[1:] = (high[1:] != high[:-1]) | (low[1:] != low[:-1])
+                head = np.flatnonzero(new)
+                heads += [(key, value.to_bytes(8, "little"), 0) for key, value in zip(high[head].tolist(), low[head].tolist(), strict=True)]
+                counts += np.diff(head, append=len(high)).tolist()
+                starts, lengths = np.concatenate([starts, places]), np.concatenate([lengths, np.ones(len(places), np.int64)])
+            # all in order of keys
+            order = np.array(sorted(range(len(heads)), key=lambda i: heads[i][:2]), np.int64)
+            counts = np.array(counts, np.int64)
+            begin = np.cumsum(counts) - counts
+            counts, begin = counts[order], begin[order]
             first = np.cumsum(counts) - counts
+            member = np.arange(counts.sum()) + np.repeat(begin - first, counts)
+            starts, lengths = starts[member], lengths[member]
+            doc, place = mine.at(starts)
             # rows that repeat an id are one document: a run at the place of the first one is the first one
-            head = np.repeat(first, counts)
-            same = (mine.ids[doc] == mine.ids[doc[head]]) & (place == place[head])
-            entries = [(key, c, d, p, g) for (key, c, _), d, p, g in zip(asked, mine.ids[doc[first]].tolist(), place[first].tolist(), mine.grams(at[first]).tolist() if len(at) else [], strict=True)]
+            of = np.repeat(first, counts)
+            same = (doc == doc[of]) & (place == place[of])
+            entries = [(*heads[i][:2], d, p, heads[i][2]) for i, d, p in zip(order.tolist(), doc[first].tolist(), place[first].tolist(), strict=True)]
             out += [(0, block, q, body) for q, body in _messages(entries, 0, digit)]
-            note = (counts.astype("<i4"), mine.start[at].astype("<i8"), mine.length[at].astype("<i4"), same.astype("<i1"))
+            note = (counts.astype("<i4"), starts.astype("<i8"), lengths.astype("<i4"), same.astype("<i1"), mine.start[gone].astype("<i8"), mine.length[gone].astype("<i4"))
             out.append((0, block, OWN, B.joined_body(*(pack.compress(x.tobytes()) for x in note))))
         return B.table_of(out, B.MESSAGES)
 
@@ -409,7 +497,7 @@ def _cut(with_bytes: bool):
         unpack, out = zstandard.ZstdDecompressor(), []
         own = pa.compute.equal(answers.column("bucket"), OWN)
         note = [unpack.decompress(x) for x in B.split_body(answers.filter(own).column("body")[0].as_py())]
-        counts, starts, lengths, same = (np.frombuffer(x, k) for x, k in zip(note, ("<i4", "<i8", "<i4", "<i1"), strict=True))
+        counts, starts, lengths, same, gone, gone_lengths = (np.frombuffer(x, k) for x, k in zip(note, ("<i4", "<i8", "<i4", "<i1", "<i8", "<i4"), strict=True))
         marks = _split(B.in_order(answers.filter(pa.compute.invert(own))))
         for _, names, texts in B.opened(blocks):
             ids = B.ids_of(names)
@@ -421,6 +509,8 @@ def _cut(with_bytes: bool):
             whole = (same == 0) | np.array([m[0] == 1 for m in marks], bool)[of]
             np.add.at(change, starts[whole], 1)
             np.add.at(change, starts[whole] + lengths[whole] + WINDOW - 1, -1)
+            np.add.at(change, gone, 1)
+            np.add.at(change, gone + gone_lengths + WINDOW - 1, -1)
             some = np.array([len(m) > 1 for m in marks], bool)[of]
             for i in np.flatnonzero(some & (same == 1)).tolist():
                 at = np.flatnonzero(np.unpackbits(np.frombuffer(marks[of[i]], np.uint8, offset=1))) + starts[i]
@@ -440,20 +530,25 @@ def _cut(with_bytes: bool):
     return lean_cogroup(run)
 
 
-def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_bytes: bool = False, block_bytes: int = 4 << 20, digit: int = B.DIGIT, most: int = 256) -> DataFrame:
+def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_bytes: bool = False, block_bytes: int = 4 << 20, digit: int = B.DIGIT, most: int = 256, hot: int = HOT) -> DataFrame:
     """One row per input row: n_bytes, n_removed, n_spans (maximal removed runs), SHA-256 of the bytes that stay.
 
     A byte goes when a 100-byte string that covers it also starts earlier: in a smaller doc_id, or in
     the same document before. A null text counts as empty. Rows that repeat an id count as one
     document: equal strings at equal places both stay. Rows without an id come last. Other columns are
     ignored; an empty table gives no rows. `with_bytes` adds what stays as kept_bytes. `digit` and
-    `most` are those of the block exchange.
+    `most` are those of the block exchange. The windows of grams at more than `hot` places are compared
+    by 128-bit hashes, one by one; all others by their bytes.
     """
     table = B.pack_blocks(docs, id_col, text_col, block_bytes, "suffix")
     n = table.count()
-    grams = written(B.exchanged(table.mapInArrow(_ask_grams(digit), B.MESSAGES), B.shared(digit), n, digit, most), "grams")
-    asked = written(table.groupBy("block").cogroup(grams.groupBy("block")).applyInArrow(_ask_windows(digit), B.MESSAGES), "windows")
+    grams = written(B.exchanged(table.mapInArrow(_ask_grams(digit), B.MESSAGES), _frequency(hot, digit), n, digit, most), "grams")
+    hashes = written(table.groupBy("block").cogroup(grams.groupBy("block")).applyInArrow(_ask_hot(digit), B.MESSAGES), "hot")
+    twice = B.exchanged(hashes, B.shared(digit), n, digit, most).withColumn("bucket", F.col("bucket") + HOT_DIGITS)
+    answers = grams.union(twice.select(grams.columns))
+    asked = written(table.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_ask_windows(digit), B.MESSAGES), "windows")
     dropped(grams)
+    dropped(hashes)
     found = B.exchanged(asked.filter(f"bucket <> {OWN}"), _surroundings(digit), n, digit, most, wrap=lean_group, wrap_two=lean_cogroup)
     out = table.groupBy("block").cogroup(found.union(asked.filter(f"bucket = {OWN}")).groupBy("block")).applyInArrow(_cut(with_bytes), _OUT)
     return out if with_bytes else out.drop("kept_bytes")

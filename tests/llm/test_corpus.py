@@ -173,8 +173,8 @@ def test_word_repeats(docs, empty):
 
 
 def test_byte_repeats(docs, empty):
-    for block in (1000, 1 << 20):
-        got = by_id(suffix_dedup.remove_repeated_bytes(docs, block_bytes=block))
+    for block, hot in ((1000, 1 << 14), (1 << 20, 1 << 14), (1000, 0), (1000, 6), (1 << 20, 6)):
+        got = by_id(suffix_dedup.remove_repeated_bytes(docs, block_bytes=block, hot=hot))
         assert {i: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for i, r in got.items()} == ref.byte_repeats(DOCS)
     assert suffix_dedup.remove_repeated_bytes(empty).count() == 0
 

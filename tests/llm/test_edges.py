@@ -60,9 +60,10 @@ def test_operators_on_repeated_rows_and_rows_without_id(spark, ranks):
         # copies of one id don't remove each other; rows without an id come last
         words = sorted((str(x.doc_id), x.n_removed) for x in substring_dedup.remove_repeats(dealt, block_bytes=400).collect())
         assert words == [("1", 0), ("1", 0), ("2", 50), ("3", 0), ("None", 0), ("None", 50), ("None", 50)]
-        gone = sorted((str(x.doc_id), x.n_removed) for x in suffix_dedup.remove_repeated_bytes(dealt, block_bytes=400).collect())
         n = len(text)
-        assert gone == [("1", 0), ("1", 0), ("2", n), ("3", 0), ("None", 0), ("None", n), ("None", n)]
+        for hot in (0, suffix_dedup.HOT):
+            gone = sorted((str(x.doc_id), x.n_removed) for x in suffix_dedup.remove_repeated_bytes(dealt, block_bytes=400, hot=hot).collect())
+            assert gone == [("1", 0), ("1", 0), ("2", n), ("3", 0), ("None", 0), ("None", n), ("None", n)]
         linked = sorted((str(x.doc_id), x.n_shingles, x.component_id) for x in ngram_join.jaccard_components(dealt, block_bytes=400).collect() if x.component_id)
         assert linked[:3] == [("1", 47, 1), ("1", 47, 1), ("2", 51, 1)] and [x[2] for x in linked[-2:]] == [1, 1]
 
@@ -76,8 +77,9 @@ def test_a_text_larger_than_a_block_and_several_levels_of_the_exchange(spark, ra
     small = {"block_bytes": 2000, "digit": 2, "most": 3}
     got = {x.doc_id: (x.n_words, x.n_removed, x.kept_sha256) for x in substring_dedup.remove_repeats(docs, **small).collect()}
     assert got == ref.word_repeats(rows)
-    got = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in suffix_dedup.remove_repeated_bytes(docs, **small).collect()}
-    assert got == ref.byte_repeats(rows)
+    for hot in (30, suffix_dedup.HOT):
+        got = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in suffix_dedup.remove_repeated_bytes(docs, **small, hot=hot).collect()}
+        assert got == ref.byte_repeats(rows)
     got = {x.doc_id: (x.n_shingles, x.component_id) for x in ngram_join.jaccard_components(docs, **small).collect()}
     assert got == ref.linked(rows)
     encoded = encode_decode(docs, ranks, tokenizers_files.PATTERN, block_chars=2000, digit=2, most=3)
@@ -85,6 +87,17 @@ def test_a_text_larger_than_a_block_and_several_levels_of_the_exchange(spark, ra
     assert sorted(map(tuple, encoded.collect())) == sorted(map(tuple, whole.collect()))
 
 
+def test_a_string_at_two_places_of_rows_with_one_id(spark):
+    r = random.Random(10)
+    passage = prose(r, 60)
+    rows = [(7, prose(r, 80) + passage), (7, passage + prose(r, 20)), (9, passage)]
+    for parts, hot in ((1, 0), (1, suffix_dedup.HOT), (3, 0), (3, suffix_dedup.HOT)):
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+        got = {x.n_bytes: x.n_removed for x in suffix_dedup.remove_repeated_bytes(docs, hot=hot).collect()}
+        n = len(passage.encode())
+        assert got == {len(rows[0][1].encode()): n, len(rows[1][1].encode()): 0, n: n}
+
+
 def test_texts_mixed_from_a_few_phrases_that_are_not_alike(spark):
     """Every text shares rare columns with many others, and few link: no leader is near most of them."""
     r = random.Random(8)
