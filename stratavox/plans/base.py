@@ -120,33 +120,47 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-#: 12 x 12 model columns of 11 half levels; heights fall with the level and differ by column.
+#: A model column of 11 half levels for each part, 12 abreast; heights fall with the level and differ by column.
 COLUMNS_SQL = """half_levels AS (
   SELECT iy, ix, CAST(l AS INT) AS level, 11000.0 * (10 - l) * (10 - l) / 100.0 + ((iy * 7 + ix * 13) % 20) * 10.0 AS hhl,
     ((iy + ix + l) % 9) * 0.3 AS tke
-  FROM (SELECT CAST(i // 12 AS INT) AS iy, CAST(i % 12 AS INT) AS ix FROM range(144) t(i)), range(11) u(l)),
+  FROM (SELECT CAST(p_partkey // 12 AS INT) AS iy, CAST(p_partkey % 12 AS INT) AS ix FROM part), range(11) u(l)),
 full_levels AS (
   SELECT iy, ix, CAST(l AS INT) AS level, ((iy * 3 + ix * 5 + l * 7) % 11) / 10.0 AS clc, ((iy + 2 * ix + 3 * l) % 8) * 1e-5 AS qc,
-    ((2 * iy + ix + l) % 5) * 1e-5 AS qi, ((iy + ix + l) % 7) * 1e-3 AS qv, 220.0 + l * 7.0 + iy * 0.1 AS t, 25000.0 + l * 7500.0 + ix AS p
-  FROM (SELECT CAST(i // 12 AS INT) AS iy, CAST(i % 12 AS INT) AS ix FROM range(144) t(i)), range(10) u(l))"""
+    ((2 * iy + ix + l) % 5) * 1e-5 AS qi, ((iy + ix + l) % 7) * 1e-3 AS qv, 220.0 + l * 7.0 + (iy % 12) * 0.1 AS t, 25000.0 + l * 7500.0 + ix AS p
+  FROM (SELECT CAST(p_partkey // 12 AS INT) AS iy, CAST(p_partkey % 12 AS INT) AS ix FROM part), range(10) u(l))"""
 
 
-def half_levels(spark: SparkSession) -> DataFrame:
-    g = spark.range(144 * 11).select(F.floor(F.col("id") / 132).cast("int").alias("iy"), (F.floor(F.col("id") / 11) % 12).cast("int").alias("ix"), (F.col("id") % 11).cast("int").alias("level"))
+#: Columns abreast.
+ABREAST = 12
+
+
+def _levels(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
+    k = F.col("p_partkey")
+    return table(spark, sf_dir, "part").select(F.floor(k / ABREAST).cast("int").alias("iy"), (k % ABREAST).cast("int").alias("ix"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("level"))
+
+
+def shape(spark: SparkSession, sf_dir: str) -> tuple[int, int]:
+    """Width and height of the grid of columns; the count comes from the files' footers."""
+    return ABREAST, -(-table(spark, sf_dir, "part").count() // ABREAST)
+
+
+def half_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = _levels(spark, sf_dir, 11)
     iy, ix, lv = F.col("iy"), F.col("ix"), F.col("level")
     return g.select("iy", "ix", "level", (11000.0 * (10 - lv) * (10 - lv) / 100.0 + ((iy * 7 + ix * 13) % 20) * 10.0).alias("hhl"), (((iy + ix + lv) % 9) * 0.3).alias("tke"))
 
 
-def full_levels(spark: SparkSession) -> DataFrame:
-    g = spark.range(1440).select(F.floor(F.col("id") / 120).cast("int").alias("iy"), (F.floor(F.col("id") / 10) % 12).cast("int").alias("ix"), (F.col("id") % 10).cast("int").alias("level"))
+def full_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = _levels(spark, sf_dir, 10)
     iy, ix, lv = F.col("iy"), F.col("ix"), F.col("level")
     return g.select(
         "iy", "ix", "level", (((iy * 3 + ix * 5 + lv * 7) % 11) / 10.0).alias("clc"), (((iy + 2 * ix + 3 * lv) % 8) * 1e-5).alias("qc"), (((2 * iy + ix + lv) % 5) * 1e-5).alias("qi"),
-        (((iy + ix + lv) % 7) * 1e-3).alias("qv"), (220.0 + lv * 7.0 + iy * 0.1).alias("t"), (25000.0 + lv * 7500.0 + ix).alias("p"),
+        (((iy + ix + lv) % 7) * 1e-3).alias("qv"), (220.0 + lv * 7.0 + (iy % 12) * 0.1).alias("t"), (25000.0 + lv * 7500.0 + ix).alias("p"),
     )
 
 
-def columns(spark: SparkSession) -> DataFrame:
+def columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The columns as arrays by level, fields scaled as stored."""
     from ..functions.physics import scale_stored
     from ..operators.sample import columns_of
@@ -154,7 +168,7 @@ def columns(spark: SparkSession) -> DataFrame:
     def long(df, names):
         return [df.select(F.lit(n).alias("var"), "level", "iy", "ix", scale_stored(n, n).alias("value")) for n in names]
 
-    parts = long(half_levels(spark), ["hhl", "tke"]) + long(full_levels(spark), ["clc", "qc", "qi", "qv", "t", "p"])
+    parts = long(half_levels(spark, sf_dir), ["hhl", "tke"]) + long(full_levels(spark, sf_dir), ["clc", "qc", "qi", "qv", "t", "p"])
     cube = parts[0]
     for p in parts[1:]:
         cube = cube.union(p)
@@ -162,14 +176,14 @@ def columns(spark: SparkSession) -> DataFrame:
 
 
 SAMPLES_SQL = """samples AS (
-  SELECT c_custkey AS k, ((c_custkey * 37) % 1000) / 100.0 + 0.5 AS src_x, ((c_custkey * 91) % 1000) / 100.0 + 0.5 AS src_y,
+  SELECT c_custkey AS k, ((c_custkey * 37) % 1000) / 100.0 + 0.5 AS src_x, ((c_custkey * 91) % 1000) / 1000.0 + c_custkey // 16 AS src_y,
     ((c_custkey * 53) % 1100) * 10.0 + 3.0 AS height FROM customer)"""
 
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Places and heights to sample the columns at."""
     k = F.col("c_custkey")
-    return table(spark, sf_dir, "customer").select(k.alias("k"), (((k * 37) % 1000) / 100.0 + 0.5).alias("src_x"), (((k * 91) % 1000) / 100.0 + 0.5).alias("src_y"), (((k * 53) % 1100) * 10.0 + 3.0).alias("height"))
+    return table(spark, sf_dir, "customer").select(k.alias("k"), (((k * 37) % 1000) / 100.0 + 0.5).alias("src_x"), (((k * 91) % 1000) / 1000.0 + F.floor(k / 16)).alias("src_y"), (((k * 53) % 1100) * 10.0 + 3.0).alias("height"))
 
 
 # --- the catalogue ---------------------------------------------------------------------------------

@@ -12,7 +12,7 @@ from ..schemas import VARIABLES, variables
 from ..session import ship
 from ..sources import ktx2, raw_tiles, sinks
 from ..storage import scratch
-from .base import CELLS_SQL, COLUMNS_SQL, GRID_SQL, LEVELS, PIXELS, POINTS_SQL, SAMPLES_SQL, VOXELS_SQL, ZOOM, cells, columns, full_levels, grid, half_levels, points, query, samples, table, voxels
+from .base import CELLS_SQL, COLUMNS_SQL, GRID_SQL, LEVELS, PIXELS, POINTS_SQL, SAMPLES_SQL, VOXELS_SQL, ZOOM, cells, columns, full_levels, grid, half_levels, points, query, samples, shape, table, voxels
 from .q_functions import PCHIP_SQL
 
 V = f"WITH {VOXELS_SQL}"
@@ -213,7 +213,7 @@ def smooth_27(spark, sf):
 
 @query("layer_geometry", "iy:i ix:i level:i h_mid:d dz:d", f"WITH {COLUMNS_SQL} SELECT iy, ix, level, (hhl + n) / 2 AS h_mid, hhl - n AS dz FROM (SELECT *, lead(hhl) OVER (PARTITION BY iy, ix ORDER BY level) AS n FROM half_levels) WHERE n IS NOT NULL")
 def layer_geometry(spark, sf):
-    return stencil.layer_geometry(half_levels(spark), ["iy", "ix"])
+    return stencil.layer_geometry(half_levels(spark, sf), ["iy", "ix"])
 
 
 @query("wind_shear", "vy:i vx:i vz:i du_dz:d dv_dz:d", f"{G} SELECT vy, vx, vz, coalesce((u - lag(u) OVER w) / greatest(h - lag(h) OVER w, 1.0), 0) AS du_dz, coalesce((v - lag(v) OVER w) / greatest(h - lag(h) OVER w, 1.0), 0) AS dv_dz FROM (SELECT *, density AS u, density * 0.5 + vz AS v, vz * vz * 0.7 AS h FROM grid) WINDOW w AS (PARTITION BY vy, vx ORDER BY vz)")
@@ -224,7 +224,7 @@ def wind_shear(spark, sf):
 
 @query("four_nodes", "iy:i ix:i level:i t_0:d t_1:d t_2:d t_3:d", f"WITH {COLUMNS_SQL} SELECT iy, ix, level, coalesce(lag(t) OVER w, t) AS t_0, t AS t_1, coalesce(lead(t) OVER w, t) AS t_2, coalesce(lead(t, 2) OVER w, lead(t) OVER w, t) AS t_3 FROM full_levels WINDOW w AS (PARTITION BY iy, ix ORDER BY level)")
 def four_nodes(spark, sf):
-    return stencil.four_nodes(full_levels(spark), ["iy", "ix"], ["t"])
+    return stencil.four_nodes(full_levels(spark, sf), ["iy", "ix"], ["t"])
 
 
 # --- samples --------------------------------------------------------------------------------------
@@ -235,15 +235,15 @@ _AT = "places AS (SELECT k, CAST(floor(src_y) AS INT) AS iy, CAST(floor(src_x) A
 @query("asof_level", "k:i full_k:i half_k:i", f"WITH {COLUMNS_SQL}, {SAMPLES_SQL}, {_AT}, c AS (SELECT iy, ix, level, hhl, (hhl + lead(hhl) OVER (PARTITION BY iy, ix ORDER BY level)) / 2 AS mid FROM half_levels) SELECT k, coalesce(max(level) FILTER (mid >= height), 0) AS full_k, least(coalesce(max(level) FILTER (hhl >= height), 0), 9) AS half_k FROM places JOIN c USING (iy, ix) GROUP BY k")
 def asof_level(spark, sf):
     at = samples(spark, sf).select("k", F.floor("src_y").cast("int").alias("iy"), F.floor("src_x").cast("int").alias("ix"), "height")
-    return _levels(at, spark)
+    return _levels(at, spark, sf)
 
 
-def _levels(at, spark):
-    joined = at.join(columns(spark).select("iy", "ix", "hhl"), ["iy", "ix"])
+def _levels(at, spark, sf):
+    joined = at.join(columns(spark, sf).select("iy", "ix", "hhl"), ["iy", "ix"])
     return joined.select("k", sample.full_level(F.col("hhl"), F.col("height")).alias("full_k"), sample.half_level(F.col("hhl"), F.col("height")).alias("half_k"))
 
 
-_STENCIL = """near AS (SELECT k, src_x, src_y, height, least(greatest(CAST(floor(src_x) AS INT) + jx - 1, 0), 11) AS ix, least(greatest(CAST(floor(src_y) AS INT) + jy - 1, 0), 11) AS iy,
+_STENCIL = """near AS (SELECT k, src_x, src_y, height, least(greatest(CAST(floor(src_x) AS INT) + jx - 1, 0), 11) AS ix, least(greatest(CAST(floor(src_y) AS INT) + jy - 1, 0), (SELECT max(iy) FROM half_levels)) AS iy,
   wx[jx + 1] * wy[jy + 1] AS w FROM (SELECT *, src_x - floor(src_x) AS fx, src_y - floor(src_y) AS fy FROM samples) q,
   LATERAL (SELECT [(1 - fx) ** 3 / 6, (3 * fx ** 3 - 6 * fx ** 2 + 4) / 6, (-3 * fx ** 3 + 3 * fx ** 2 + 3 * fx + 1) / 6, fx ** 3 / 6] AS wx, [(1 - fy) ** 3 / 6, (3 * fy ** 3 - 6 * fy ** 2 + 4) / 6, (-3 * fy ** 3 + 3 * fy ** 2 + 3 * fy + 1) / 6, fy ** 3 / 6] AS wy),
   (SELECT CAST(i % 4 AS INT) AS jx, CAST(i // 4 AS INT) AS jy FROM range(16) t(i))),
@@ -268,34 +268,34 @@ SELECT k, greatest(CASE WHEN sum(w) FILTER (height < hhl[1]) > 1e-5 THEN sum(val
 
 @query("sample_turbulence", "k:i tke:d", _TKE)
 def sample_turbulence(spark, sf):
-    return sample.sample_turbulence(samples(spark, sf), columns(spark), 12, 12, ["k"])
+    return sample.sample_turbulence(samples(spark, sf), columns(spark, sf), *shape(spark, sf), ["k"])
 
 
 @query("ground_height", "k:i ground:d", f"WITH {COLUMNS_SQL}, {SAMPLES_SQL}, {_STENCIL} SELECT k, sum(w * hhl[11]) AS ground FROM near JOIN hcol USING (iy, ix) GROUP BY k")
 def ground_height(spark, sf):
-    return sample.ground_height(samples(spark, sf), columns(spark), 12, 12, ["k"])
+    return sample.ground_height(samples(spark, sf), columns(spark, sf), *shape(spark, sf), ["k"])
 
 
 _MATERIAL_ONE = lambda f: f"""WITH {COLUMNS_SQL}, {SAMPLES_SQL}, {_STENCIL},
 j AS (SELECT *, greatest(len(list_filter([(hhl[g] + hhl[g + 1]) / 2 FOR g IN range(1, 11)], lambda c: c >= height)) - 1, 0) AS kk FROM near JOIN hcol USING (iy, ix) JOIN fcol USING (iy, ix)),
 {_nodes_sql([f"({_EDGE('hhl', f'kk + {d}', 11)} + {_EDGE('hhl', f'kk + {d + 1}', 11)}) / 2" for d in (-1, 0, 1, 2)], [_EDGE(f + '_l', f'kk + {d}', 10) for d in (-1, 0, 1, 2)], 'height', 'j')}
-SELECT k, CASE WHEN any_value(src_x) > 11 OR any_value(src_y) > 11 THEN 0 WHEN sum(w) FILTER (height < hhl[1] AND height >= hhl[11]) > 1e-5 THEN sum(value * w) FILTER (height < hhl[1] AND height >= hhl[11]) / sum(w) FILTER (height < hhl[1] AND height >= hhl[11]) ELSE 0 END AS v FROM done GROUP BY k"""
+SELECT k, CASE WHEN any_value(src_x) > 11 OR any_value(src_y) > (SELECT max(iy) FROM half_levels) THEN 0 WHEN sum(w) FILTER (height < hhl[1] AND height >= hhl[11]) > 1e-5 THEN sum(value * w) FILTER (height < hhl[1] AND height >= hhl[11]) / sum(w) FILTER (height < hhl[1] AND height >= hhl[11]) ELSE 0 END AS v FROM done GROUP BY k"""
 
 
 @query("sample_material", "k:i t:d", f"SELECT k, v AS t FROM ({_MATERIAL_ONE('t')})")
 def sample_material(spark, sf):
-    return sample.sample_material(samples(spark, sf), columns(spark), 12, 12, ["k"])
+    return sample.sample_material(samples(spark, sf), columns(spark, sf), *shape(spark, sf), ["k"])
 
 
 @query("sample_cover", "k:i clc:d", f"SELECT k, least(greatest(v, 0.0), 1.0) AS clc FROM ({_MATERIAL_ONE('clc')})")
 def sample_cover(spark, sf):
-    return sample.sample_material(samples(spark, sf), columns(spark), 12, 12, ["k"])
+    return sample.sample_material(samples(spark, sf), columns(spark, sf), *shape(spark, sf), ["k"])
 
 
 @query("synthesise_plain", "k:i density:d")
 def synthesise_plain(spark, sf):
     """No SQL: tests compare it with plain arithmetic, point by point."""
-    return sample.synthesise_plain(samples(spark, sf), columns(spark), 12, 12, ["k"])
+    return sample.synthesise_plain(samples(spark, sf), columns(spark, sf), *shape(spark, sf), ["k"])
 
 
 @query("synthesise", "k:i density:d")
@@ -303,7 +303,7 @@ def synthesise(spark, sf):
     """No SQL: as `synthesise_plain`, with displacement and density factor."""
     k = F.col("k")
     at = samples(spark, sf).select("*", (k * 211.0).alias("world_x"), (k * 97.0).alias("world_y"), F.lit(1 / 2000.0).alias("to_src_x"), F.lit(1 / 2000.0).alias("to_src_y"))
-    return sample.synthesise(at, columns(spark), 12, 12, ["k"])
+    return sample.synthesise(at, columns(spark, sf), *shape(spark, sf), ["k"])
 
 
 _SLICE = f"WITH {COLUMNS_SQL}, h AS (SELECT iy, ix, level, hhl, lead(hhl) OVER (PARTITION BY iy, ix ORDER BY level) AS low FROM half_levels)"
@@ -311,13 +311,13 @@ _SLICE = f"WITH {COLUMNS_SQL}, h AS (SELECT iy, ix, level, hhl, lead(hhl) OVER (
 
 @query("slice_at_altitude", "iy:i ix:i value:d", f"{_SLICE} SELECT iy, ix, min_by(t, level) FILTER (low <= 3000 AND 3000 <= hhl) AS value FROM h JOIN full_levels USING (iy, ix, level) GROUP BY ALL")
 def slice_at_altitude(spark, sf):
-    c = columns(spark).select("iy", "ix", "hhl", F.col("t").alias("values"))
+    c = columns(spark, sf).select("iy", "ix", "hhl", F.col("t").alias("values"))
     return sample.slice_at_altitude(c, 3000.0)
 
 
 @query("slice_half_levels", "iy:i ix:i value:d", f"{_SLICE} SELECT iy, ix, min_by(tke, (abs(hhl - 3000), level)) AS value FROM half_levels GROUP BY ALL")
 def slice_half_levels(spark, sf):
-    return sample.slice_at_altitude(columns(spark).select("iy", "ix", "hhl", F.col("tke").alias("values")), 3000.0, True)
+    return sample.slice_at_altitude(columns(spark, sf).select("iy", "ix", "hhl", F.col("tke").alias("values")), 3000.0, True)
 
 
 _XY = f"WITH {POINTS_SQL}, g AS (SELECT k, CAST(k // 40 AS INT) AS iy, CAST(k % 40 AS INT) AS ix, lat, lon FROM points)"

@@ -136,8 +136,8 @@ def factor(x, y, z, cover, tke):
 
 
 @pytest.fixture(scope="module")
-def model(spark):
-    columns = model_columns(spark).cache()
+def model(spark, small):
+    columns = model_columns(spark, small).filter("iy < 12").cache()
     yield columns, Model(columns.collect())
     columns.unpersist()
 
