@@ -124,3 +124,26 @@ def blocks(texels: DataFrame, height: int, width: int, keys: list[str], value: s
     at = F.struct((F.col("vy") % 4).alias("y"), (F.col("vx") % 4).alias("x"), F.col(value).alias("v"))
     grouped = grown.groupBy(*keys, F.shiftright("vy", 2).alias("by"), F.shiftright("vx", 2).alias("bx")).agg(F.array_sort(F.collect_list(at)).alias("p"))
     return grouped.select(*keys, "by", "bx", F.transform("p", lambda s: s["v"].cast("double")).alias("pixels"))
+
+
+def encode_volume(texels: DataFrame, height: int, width: int, keys: list[str], value: str = "density") -> DataFrame:
+    """Texels as encoded blocks (by, bx, content of eight bytes).
+
+    Sides are padded with their edge. A block that lacks texels, has one twice, or holds null or NaN is
+    an error that names the block, as is a volume without height or width.
+    """
+    if height < 1 or width < 1:
+        raise ValueError(f"a volume needs sides of at least 1, not {height} x {width}")
+    cut = blocks(texels, height, width, keys, value)
+    odd = F.exists("pixels", lambda v: v.isNull() | F.isnan(v))
+    fault = F.when((F.size("pixels") != 16) | odd, F.raise_error(F.format_string("block %d, %d has %d texels or values that are no numbers", "by", "bx", F.size("pixels"))))
+    checked = cut.withColumn("pixels", F.coalesce(fault.cast("array<double>"), "pixels"))
+    normal = checked.withColumn("pixels", F.transform("pixels", lambda v: normalised(v)))
+    return normal.withColumn("_e", encode("pixels")).select(*keys, "by", "bx", block_bytes("_e").alias("content"))
+
+
+def decode_volume(encoded: DataFrame, height: int, width: int, keys: list[str]) -> DataFrame:
+    """Encoded blocks as texels (vy, vx, value) between 0 and 1. Only whole blocks within the sides are read, so a side below 4 gives none."""
+    inside = encoded.filter((F.col("by") < height // 4) & (F.col("bx") < width // 4)).withColumn("_b", from_bytes("content"))
+    each = inside.select(*keys, "by", "bx", F.posexplode(decode("_b.r0", "_b.r1", "_b.bits")).alias("_i", "value"))
+    return each.select(*keys, (F.col("by") * 4 + F.floor(F.col("_i") / 4)).cast("int").alias("vy"), (F.col("bx") * 4 + F.col("_i") % 4).cast("int").alias("vx"), "value")

@@ -330,3 +330,8 @@ def completed(maintenance: DataFrame, tilesets: DataFrame, now) -> DataFrame:
 
     head = F.concat("label", F.lit(" Maintenance completed after "), minutes, F.lit(" min:"))
     return rows.withColumn("summary", F.concat_ws("\n", head, *[line(n) for n in ("added", "purged", "renewed", "failed")]))
+
+
+def first_valid(rows: DataFrame, keys: list[str], order: str, value: str, valid, default=None) -> DataFrame:
+    """Per key the value of the first row, by `order`, that is valid; the default where none is."""
+    return rows.groupBy(*keys).agg(F.coalesce(F.min_by(F.when(valid, F.col(value)), F.when(valid, F.col(order))), F.lit(default)).alias(value))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -121,3 +123,42 @@ def exported_layer(canvas: DataFrame, value: str = "value") -> DataFrame:
     most = canvas.agg(F.sqrt(F.max(value)).alias("_most"))
     scaled = F.coalesce(F.try_divide(F.sqrt(F.greatest(F.col(value), F.lit(0.0))), F.col("_most")), F.lit(0.0))
     return canvas.join(F.broadcast(most)).withColumn("grey", F.floor(F.least(F.greatest(scaled, F.lit(0.0)), F.lit(1.0)) * 255).cast("int")).drop("_most")
+
+
+#: The types of level that an inventory of a file's structure looks for.
+LEVEL_TYPES = ("surface", "heightAboveGround", "atmosphere", "isobaricInhPa", "nominalTop")
+
+
+def structure(messages: DataFrame, types: tuple[str, ...] = LEVEL_TYPES) -> DataFrame:
+    """Decoded messages (short_name, type_of_level, level) by type of level: each variable with the size of its axis of levels; other types are left out."""
+    shapes = messages.filter(F.col("type_of_level").isin(*types)).groupBy("type_of_level", "short_name").agg(F.count_distinct("level").alias("n_levels"))
+    return shapes.groupBy("type_of_level").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("short_name", "n_levels"))).alias("variables"))
+
+
+def shrunk_side(height: int, width: int, most: int) -> tuple[int, int]:
+    """Height and width of a picture that is shrunk to fit a square, its proportions kept; smaller ones stay."""
+    if max(height, width) <= most:
+        return height, width
+    fit = lambda a, b: max(1, round(most * a / b))
+    return (most, fit(width, height)) if height > width else (fit(height, width), most)
+
+
+def shrunk(picture: DataFrame, height: int, width: int, most: int, value: str = "grey") -> DataFrame:
+    """An 8-bit picture (py, px, value) shrunk to fit a square of `most`, by the Lanczos kernel of three lobes.
+
+    One axis after the other, rounded to 8 bits in between; weights of pixels beyond the edge are left
+    out and the rest sums to one. A pixel goes to the few outputs that it counts for, which are summed
+    before the shuffle.
+    """
+    h, w = shrunk_side(height, width, most)
+    out = picture.select("py", "px", value)
+    for axis, other, old, new in (("px", "py", width, w), ("py", "px", height, h)):
+        if new == old:
+            continue
+        scale, at = old / new, F.col(axis) + 0.5
+        reach = F.sequence(F.greatest(F.floor(at / scale - 3.5), F.lit(0)).cast("int"), F.least(F.ceil(at / scale + 2.5), F.lit(new - 1)).cast("int"))
+        far = out.select(other, value, at.alias("_at"), F.explode(reach).alias(axis)).withColumn("_d", (F.col("_at") / scale - F.col(axis) - 0.5) * F.lit(math.pi)).filter(F.abs("_d") < 3 * math.pi)
+        weight = F.when(F.col("_d") == 0, 1.0).otherwise(F.sin("_d") * F.sin(F.col("_d") / 3) * 3 / F.col("_d") / F.col("_d"))
+        mean = F.sum(F.col(value) * weight) / F.sum(weight)
+        out = far.groupBy(other, axis).agg(F.least(F.greatest(F.floor(F.round(mean, 6) + 0.5), F.lit(0)), F.lit(255)).cast("int").alias(value))
+    return out.select("py", "px", value)

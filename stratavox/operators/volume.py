@@ -185,3 +185,10 @@ def strided(voxels: DataFrame, step: int) -> DataFrame:
 def third_channel(texels: DataFrame) -> DataFrame:
     """Two channels and a third of zeros."""
     return texels.withColumn("b", F.lit(0).cast(texels.schema["r"].dataType))
+
+
+def every_voxel(tiles: DataFrame, nz: int, ny: int, nx: int) -> DataFrame:
+    """All voxels (vz, vy, vx) of each row of `tiles`, whose columns stay."""
+    i = F.col("_i")
+    cells = tiles.withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(nz * ny * nx - 1))))
+    return cells.select(*tiles.columns, F.floor(i / (ny * nx)).cast("int").alias("vz"), (F.floor(i / nx) % ny).cast("int").alias("vy"), (i % nx).cast("int").alias("vx"))

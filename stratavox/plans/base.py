@@ -82,7 +82,9 @@ GRID_SQL = """grid AS (
 
 def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All tiles laid over each other: one dense volume of 8 x 16 x 16."""
-    cells = spark.range(LEVELS * PIXELS * PIXELS).select(F.floor(F.col("id") / 256).cast("int").alias("vz"), (F.floor(F.col("id") / 16) % 16).cast("int").alias("vy"), (F.col("id") % 16).cast("int").alias("vx"))
+    from ..operators.volume import every_voxel
+
+    cells = every_voxel(spark.range(1).select(), LEVELS, PIXELS, PIXELS)
     sums = voxels(spark, sf_dir).groupBy("vz", "vy", "vx").agg(F.sum("density").alias("density"))
     return cells.join(sums, ["vz", "vy", "vx"], "left").select("vz", "vy", "vx", F.coalesce("density", F.lit(0.0)).alias("density"))
 

@@ -207,6 +207,12 @@ def active_count(spark, sf):
     return C.count_status(catalog(spark, sf), "pending", "fetching")
 
 
+@query("first_valid", "target_str:s folder:s", f"WITH {TILESETS_SQL} SELECT target_str, coalesce(min_by(folder, seq) FILTER (status = 'ready' AND size % 2 = 1), 'none') AS folder FROM tilesets GROUP BY target_str")
+def first_valid(spark, sf):
+    """For each target the first set that is ready and of odd size, if there is one."""
+    return C.first_valid(tilesets(spark, sf), ["target_str"], "seq", "folder", F.expr("status = 'ready' and size % 2 = 1"), "none")
+
+
 @query("active_by_maintenance", "maintenance_id:i n_active:i", f"{K} SELECT maintenance_id, count(*) AS n_active FROM catalog WHERE status IN ('pending', 'fetching') AND maintenance_id IS NOT NULL GROUP BY ALL")
 def active_by_maintenance(spark, sf):
     return C.active_by_maintenance(catalog(spark, sf))

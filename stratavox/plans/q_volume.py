@@ -433,6 +433,45 @@ def exported_layer(spark, sf):
     return stats.exported_layer(_canvas(spark, sf))
 
 
+_MOSAIC = f"""WITH {VOXELS_SQL}, raw AS (SELECT ty * 16 + vy AS py, tx * 16 + vx AS px, sum(density) AS value FROM voxels GROUP BY ALL),
+px0 AS (SELECT py, px, CAST(floor(least(greatest(sqrt(greatest(value, 0)) / (SELECT sqrt(max(value)) FROM raw), 0), 1) * 255) AS INT) AS grey FROM raw),
+px1 AS (SELECT y AS py, x AS px, coalesce(grey, 0) AS grey FROM range(64) a(y), range(64) b(x) LEFT JOIN px0 ON py = y AND px = x)"""
+
+
+def _lanczos_sql(source: str, axis: str, other: str) -> str:
+    d = f"(({axis} + 0.5::DOUBLE) / (64::DOUBLE / 24) - o - 0.5::DOUBLE) * pi()"
+    return f"""SELECT {other}, o AS {axis}, CAST(least(greatest(floor(round(sum(grey * w) / sum(w), 6) + 0.5), 0), 255) AS INT) AS grey
+  FROM (SELECT {other}, o, grey, CASE WHEN d = 0 THEN 1.0 ELSE sin(d) * sin(d / 3) * 3 / d / d END AS w FROM (SELECT {other}, o, grey, {d} AS d FROM {source}, range(24) r(o)) WHERE abs(d) < 3 * pi()) GROUP BY ALL"""
+
+
+@query("shrunk_layer", "py:i px:i grey:i", f"{_MOSAIC}, px2 AS ({_lanczos_sql('px1', 'px', 'py')}) {_lanczos_sql('px2', 'py', 'px')}")
+def shrunk_layer(spark, sf):
+    """The mosaic of all tiles as an 8-bit picture of 64 x 64, shrunk to 24 x 24."""
+    at = [(F.col("ty") * PIXELS + F.col("vy")).alias("py"), (F.col("tx") * PIXELS + F.col("vx")).alias("px")]
+    grey = stats.exported_layer(voxels(spark, sf).groupBy(*at).agg(F.sum("density").alias("value")))
+    every = volume.every_voxel(spark.range(1).select(), 1, 64, 64).select(F.col("vy").alias("py"), F.col("vx").alias("px"))
+    whole = every.join(grey, ["py", "px"], "left").select("py", "px", F.coalesce("grey", F.lit(0)).alias("grey"))
+    return stats.shrunk(whole, 64, 64, 24)
+
+
+_KINDS = "['surface', 'heightAboveGround', 'atmosphere', 'isobaricInhPa', 'nominalTop', 'generalVertical']"
+
+
+@query("message_structure", "type_of_level:s n:i variables:s", f"SELECT t AS type_of_level, count(*) AS n, string_agg(v || ':' || c, ',' ORDER BY v) AS variables FROM (SELECT {_KINDS}[p_partkey % 6 + 1] AS t, p_brand AS v, count(DISTINCT p_size) AS c FROM part GROUP BY ALL) WHERE t <> 'generalVertical' GROUP BY t")
+def message_structure(spark, sf):
+    kinds = F.array(*[F.lit(k) for k in (*stats.LEVEL_TYPES, "generalVertical")])
+    m = table(spark, sf, "part").select(F.col("p_brand").alias("short_name"), F.get(kinds, (F.col("p_partkey") % 6).cast("int")).alias("type_of_level"), F.col("p_size").alias("level"))
+    shapes = F.transform("variables", lambda s: F.concat(s["short_name"], F.lit(":"), s["n_levels"]))
+    return stats.structure(m).withColumn("variables", F.array_join(shapes, ","))
+
+
+@query("every_voxel", "tx:i ty:i vz:i vy:i vx:i density:d", f"WITH {VOXELS_SQL} SELECT t.tx, t.ty, CAST(i // 256 AS INT) AS vz, CAST((i // 16) % 16 AS INT) AS vy, CAST(i % 16 AS INT) AS vx, coalesce(v.density, 0) AS density FROM (SELECT DISTINCT tx, ty FROM voxels) t, range(2048) r(i) LEFT JOIN voxels v ON v.tx = t.tx AND v.ty = t.ty AND v.vz = i // 256 AND v.vy = (i // 16) % 16 AND v.vx = i % 16")
+def every_voxel(spark, sf):
+    v = voxels(spark, sf)
+    dense = volume.every_voxel(v.select("tx", "ty").distinct(), LEVELS, PIXELS, PIXELS)
+    return dense.join(v, ["tx", "ty", "vz", "vy", "vx"], "left").withColumn("density", F.coalesce("density", F.lit(0.0)))
+
+
 # --- codecs ---------------------------------------------------------------------------------------------
 
 _BLOCKS = f"""{G}, px AS (SELECT vz, vy // 4 AS "by", vx // 4 AS bx, (vy % 4) * 4 + vx % 4 AS i, least(greatest(density / 32.0, 0.0), 1.0) AS v FROM grid),
@@ -477,6 +516,13 @@ def bc4_decode(spark, sf):
     return packed.select("vz", "by", "bx", F.posexplode(bc4.decode("b.r0", "b.r1", "b.bits")).alias("i", "v"))
 
 
+@query("bc4_volume", "vz:i vy:i vx:i v:d", f"{_INDEX} SELECT vz, \"by\" * 4 + i // 4 AS vy, bx * 4 + i % 4 AS vx, CASE WHEN r0 > r1 THEN CASE x WHEN 0 THEN r0 / 255.0 WHEN 1 THEN r1 / 255.0 ELSE r1 / 255.0 + (r0 - r1) / 255.0 * (8 - x) / 7.0 END ELSE r0 / 255.0 END AS v FROM im")
+def bc4_volume(spark, sf):
+    """A whole volume to encoded blocks and back to texels."""
+    packed = bc4.encode_volume(grid(spark, sf), PIXELS, PIXELS, ["vz"])
+    return bc4.decode_volume(packed, PIXELS, PIXELS, ["vz"]).withColumnRenamed("value", "v")
+
+
 _HALF = """half AS (SELECT tx, ty, vz, vy, vx, CASE WHEN density = 0 THEN 0 ELSE round_even(density / u, 0) * u END AS density FROM (SELECT *, greatest(pow(2.0, floor(log2(nullif(density, 0))) - 10), pow(2.0, -24)) AS u FROM voxels))"""
 
 

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stratavox.functions import geo, interp, text
+from stratavox.operators import bc4, catalog, stats
 from stratavox.sources import cube
 from stratavox.streaming import progress
 
@@ -71,3 +72,35 @@ def test_maintenance_closes_once_its_sets_are_done(spark, tmp_path):
     progress.close_maintenance(finished, lambda: (maintenance, tilesets), lambda df: saved.extend(df.collect()), lambda: now, str(tmp_path / "state")).start().awaitTermination()
     assert [(r.id, r.completed_at) for r in saved] == [(1, now)]
     assert "90.0 min" in saved[0].summary and "failed (x)" in saved[0].summary
+
+
+def test_volumes_of_blocks_are_checked_and_read_by_whole_blocks(spark):
+    """Sides are padded when written; only whole blocks are read; gaps, repeats and values that are no numbers are errors."""
+    texels = [(0, y, x, float((y * 7 + x * 3) % 5) * 8) for y in range(6) for x in range(9)]
+    schema = "z int, vy int, vx int, density double"
+    packed = bc4.encode_volume(spark.createDataFrame(texels, schema), 6, 9, ["z"])
+    assert {(r.by, r.bx, len(r.content)) for r in packed.collect()} == {(y, x, 8) for y in range(2) for x in range(3)}
+    back = {(r.vy, r.vx): r.value for r in bc4.decode_volume(packed, 6, 9, ["z"]).collect()}
+    assert set(back) == {(y, x) for y in range(4) for x in range(8)}
+    assert all(abs(back[y, x] - v / 32) < 0.08 for _, y, x, v in texels if (y, x) in back)
+    assert bc4.decode_volume(packed, 3, 9, ["z"]).count() == 0
+    for bad in (texels[1:], [*texels, texels[0]], [(0, 0, 0, float("nan")), *texels[1:]], [(0, 0, 0, None), *texels[1:]]):
+        with pytest.raises(Exception, match="block"):
+            bc4.encode_volume(spark.createDataFrame(bad, schema), 6, 9, ["z"]).collect()
+    with pytest.raises(ValueError, match="sides"):
+        bc4.encode_volume(spark.createDataFrame(texels, schema), 0, 9, ["z"])
+
+
+def test_pictures_are_shrunk_in_proportion(spark):
+    assert [stats.shrunk_side(*x, 100) for x in ((80, 100), (400, 200), (200, 400), (1, 1000))] == [(80, 100), (100, 50), (50, 100), (1, 100)]
+    flat = spark.range(40 * 20).selectExpr("cast(id div 20 as int) py", "cast(id % 20 as int) px", "117 grey")
+    small = stats.shrunk(flat, 40, 20, 10).collect()
+    assert {(r.py, r.px) for r in small} == {(y, x) for y in range(10) for x in range(5)} and {r.grey for r in small} == {117}
+    assert stats.shrunk(flat, 40, 20, 40).count() == 800
+
+
+def test_first_valid_and_structure(spark):
+    rows = spark.createDataFrame([(1, 3, "c", True), (1, 1, "a", False), (1, 2, None, True), (2, 1, "x", False)], "k int, i int, v string, ok boolean")
+    assert {r.k: r.v for r in catalog.first_valid(rows, ["k"], "i", "v", F.col("ok") & F.col("v").isNotNull(), "-").collect()} == {1: "c", 2: "-"}
+    messages = spark.createDataFrame([("t", "surface", 0), ("t", "surface", 0), ("u", "surface", 1), ("t", "other", 1)], "short_name string, type_of_level string, level int")
+    assert [(r.type_of_level, r.n, [tuple(v) for v in r.variables]) for r in stats.structure(messages).collect()] == [("surface", 2, [("t", 1), ("u", 1)])]
