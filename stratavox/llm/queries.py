@@ -16,6 +16,7 @@ _OPS = {
     "op8_suffix_dedup": "suffix_dedup",
     "op9_packing": "packing",
     "op10_exact_dedup": "exact_dedup",
+    "op11_conversation_repair": "conversations",
 }
 
 
