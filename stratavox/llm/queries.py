@@ -17,6 +17,7 @@ _OPS = {
     "op9_packing": "packing",
     "op10_exact_dedup": "exact_dedup",
     "op11_conversation_repair": "conversations",
+    "op12_html_extraction": "html",
     "op13_periodic_runs": "periodic",
 }
 
