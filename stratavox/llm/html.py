@@ -421,7 +421,8 @@ def fit(pages: list[str]) -> list[float]:
 
 
 def train(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> list[float]:
-    """Weights fitted on the TRAINING pages with the least hashes of their id, by one task; only ids are read to choose them, and only weights come to the driver."""
+    """Weights fitted on the TRAINING pages with the least hashes of their id, by one task; only ids are
+    read to choose them, all tasks look for their rows, and only weights come to the driver."""
     ship(pages.sparkSession)
     short = pages.filter(F.length(col(html_col)) <= TRAINING_CHARS)
     ids = [r[0] for r in pages.select(col(id_col).alias("i")).filter("i IS NOT NULL").distinct().orderBy(F.xxhash64("i"), "i").limit(TRAINING).collect()]
@@ -431,7 +432,7 @@ def train(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") ->
         yield pa.RecordBatch.from_arrays([pa.array([fit(labelled(texts))], pa.list_(pa.float64()))], ["weights"])
 
     chosen = short.filter(col(id_col).isin(ids)).select(col(html_col).cast("string").alias("html"))
-    got = chosen.coalesce(1).mapInArrow(run, "weights array<double>").first() if ids else None
+    got = chosen.repartition(1).mapInArrow(run, "weights array<double>").first() if ids else None
     return list(got[0]) if got else fit(labelled([]))
 
 
