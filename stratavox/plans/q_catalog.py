@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..operators import catalog as C
 from ..schemas import JOB_VARIABLES, VARIABLES, variables
-from ..sources import logs
+from ..sources import listings, logs, sinks
+from ..storage import scratch
 from ..streaming import progress
 from .base import CATALOG_SQL, DISK_SQL, NOW, POLICY_SQL, STAMP, TODAY, TILESETS_SQL, catalog, disk, policy, query, stamp, table, tilesets
 
@@ -33,6 +34,22 @@ def listed_steps(spark, sf):
     return C.listed_steps(pages)
 
 
+@query("listing_source", "run_str:s step:i error:b", """WITH p AS (SELECT p_partkey % 24 * 3 AS h, p_size % 49 AS s, p_partkey % 5 > 0 AS good FROM part), r AS (SELECT strftime(TIMESTAMP '1995-06-13 00:00:00' + i * INTERVAL 3 HOUR, '%Y%m%d%H') AS run_str, i * 3 % 24 AS hh, i * 3 AS h FROM range(24) t(i))
+SELECT DISTINCT r.run_str, p.s AS step, false AS error FROM r JOIN p ON p.h = r.h AND good WHERE hh <> 21 AND run_str >= '1995061400' UNION ALL SELECT run_str, NULL, true FROM r WHERE hh = 21 AND run_str >= '1995061400'""")
+def listing_source(spark, sf):
+    """Listings of every hour, written from part, and read by the data source: a partition per run, days from a filter. One hour has no listing."""
+    c = F.col("p_partkey")
+    run = text.run_text(F.lit("1995-06-13 00:00:00").cast("timestamp") + F.make_dt_interval(hours=(c % 24 * 3).cast("int")))
+    step = F.lpad((F.col("p_size") % 49).cast("string"), 3, "0")
+    line = F.concat(F.lit('<a href="m_model-level_'), run, F.lit("_"), F.when(c % 5 > 0, step).otherwise("x"), F.lit('_1_clc.grib2.bz2">'))
+    hours = table(spark, sf, "part").select(F.substring(run, 9, 2).alias("hour"), line.alias("line")).filter("hour <> '21'").distinct()
+    pages = hours.groupBy("hour").agg(F.array_join(F.collect_list("line"), "\n").cast("binary").alias("content")).withColumn("path", F.concat("hour", F.lit("/clc/index.html")))
+    at = scratch(spark, "listings")
+    sinks.write_files(pages, at).write.format("noop").mode("overwrite").save()
+    found = listings.read(spark, at + "/{hour}/clc/index.html", "1995061300", "1995061521", retries=0, once=True)
+    return found.filter("run_str >= '1995061400'").select("run_str", "step", F.col("error").isNotNull().alias("error"))
+
+
 @query("latest_run", "event_id:i run:s", "SELECT event_id, strftime(date_trunc('day', s) + (hour(s) // 3 * 3) * INTERVAL 1 HOUR, '%Y-%m-%d %H:%M:%S') AS run FROM (SELECT event_id, ts - INTERVAL '2 hours 15 minutes' AS s FROM events)")
 def latest_run(spark, sf):
     return table(spark, sf, "events").select("event_id", stamp(C.latest_run("ts")).alias("run"))
