@@ -35,7 +35,7 @@ def _error(pixels: Column, low: Column, high: Column) -> Column:
 
 
 def end_points(pixels: Column) -> Column:
-    """Struct of low, high: the best of five pairs around the extremes; the first of equals wins."""
+    """Struct of low, high: the best of five pairs around the extremes; the first of equals, to twelve decimals, wins."""
 
     def search(ends):
         pairs = []
@@ -44,7 +44,7 @@ def end_points(pixels: Column) -> Column:
             high = F.least(F.greatest(ends["high"] + STEP * up, F.lit(0.0)), F.lit(1.0))
             high = F.when(low >= high, low + 0.0001).otherwise(high)
             pairs.append(F.struct(F.lit(i).alias("i"), low.alias("low"), high.alias("high")))
-        scored = F.transform(F.array(*pairs), lambda p: F.struct(_error(pixels, p["low"], p["high"]).alias("err"), p["i"].alias("i"), p["low"].alias("low"), p["high"].alias("high")))
+        scored = F.transform(F.array(*pairs), lambda p: F.struct(F.round(_error(pixels, p["low"], p["high"]), 12).alias("err"), p["i"].alias("i"), p["low"].alias("low"), p["high"].alias("high")))
         return F.array_min(scored)
 
     ends = F.struct(F.least(F.array_min(pixels), F.lit(1.0)).alias("low"), F.greatest(F.array_max(pixels), F.lit(0.0)).alias("high"))
@@ -113,14 +113,19 @@ def decode(r0, r1, bits) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(15)), at)
 
 
-def blocks(texels: DataFrame, height: int, width: int, keys: list[str], value: str = "density") -> DataFrame:
-    """Texels (keys, vy, vx) as blocks (by, bx) with an array of 16 in row order; sides are padded with their edge."""
+def padded(texels: DataFrame, height: int, width: int) -> DataFrame:
+    """Texels (vy, vx) with their last line and column repeated up to sides that blocks divide."""
     h4, w4 = -(-height // 4) * 4, -(-width // 4) * 4
-    grown = texels
     for axis, size, full in (("vy", height, h4), ("vx", width, w4)):
         if full > size:
-            edge = grown.filter(F.col(axis) == size - 1).withColumn(axis, F.explode(F.sequence(F.lit(size), F.lit(full - 1))))
-            grown = grown.unionByName(edge)
+            edge = texels.filter(F.col(axis) == size - 1).withColumn(axis, F.explode(F.sequence(F.lit(size), F.lit(full - 1))))
+            texels = texels.unionByName(edge)
+    return texels
+
+
+def blocks(texels: DataFrame, height: int, width: int, keys: list[str], value: str = "density") -> DataFrame:
+    """Texels (keys, vy, vx) as blocks (by, bx) with an array of 16 in row order; sides are padded with their edge."""
+    grown = padded(texels, height, width)
     at = F.struct((F.col("vy") % 4).alias("y"), (F.col("vx") % 4).alias("x"), F.col(value).alias("v"))
     grouped = grown.groupBy(*keys, F.shiftright("vy", 2).alias("by"), F.shiftright("vx", 2).alias("bx")).agg(F.array_sort(F.collect_list(at)).alias("p"))
     return grouped.select(*keys, "by", "bx", F.transform("p", lambda s: s["v"].cast("double")).alias("pixels"))

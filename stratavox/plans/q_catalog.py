@@ -35,7 +35,7 @@ def listed_steps(spark, sf):
 
 
 @query("listing_source", "run_str:s step:i error:b", """WITH p AS (SELECT p_partkey % 24 * 3 AS h, p_size % 49 AS s, p_partkey % 5 > 0 AS good FROM part), r AS (SELECT strftime(TIMESTAMP '1995-06-13 00:00:00' + i * INTERVAL 3 HOUR, '%Y%m%d%H') AS run_str, i * 3 % 24 AS hh, i * 3 AS h FROM range(24) t(i))
-SELECT DISTINCT r.run_str, p.s AS step, false AS error FROM r JOIN p ON p.h = r.h AND good WHERE hh <> 21 AND run_str >= '1995061400' UNION ALL SELECT run_str, NULL, true FROM r WHERE hh = 21 AND run_str >= '1995061400'""")
+SELECT DISTINCT r.run_str, p.s AS step, false AS error FROM r JOIN p ON p.h = r.h AND good WHERE hh <> 21 AND run_str >= '1995061400' UNION ALL SELECT run_str, -1, true FROM r WHERE hh = 21 AND run_str >= '1995061400'""")
 def listing_source(spark, sf):
     """Listings of every hour, written from part, and read by the data source: a partition per run, days from a filter. One hour has no listing."""
     c = F.col("p_partkey")
@@ -47,7 +47,7 @@ def listing_source(spark, sf):
     at = scratch(spark, "listings")
     sinks.write_files(pages, at).write.format("noop").mode("overwrite").save()
     found = listings.read(spark, at + "/{hour}/clc/index.html", "1995061300", "1995061521", retries=0, once=True)
-    return found.filter("run_str >= '1995061400'").select("run_str", "step", F.col("error").isNotNull().alias("error"))
+    return found.filter("run_str >= '1995061400'").select("run_str", F.coalesce("step", F.lit(-1)).alias("step"), F.col("error").isNotNull().alias("error"))
 
 
 @query("latest_run", "event_id:i run:s", "SELECT event_id, strftime(date_trunc('day', s) + (hour(s) // 3 * 3) * INTERVAL 1 HOUR, '%Y-%m-%d %H:%M:%S') AS run FROM (SELECT event_id, ts - INTERVAL '2 hours 15 minutes' AS s FROM events)")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
@@ -576,39 +578,83 @@ def raw_tile_files(spark, sf):
     return raw_tiles.voxels(raw_tiles.read(spark, at), PIXELS, PIXELS).filter("density > 0")
 
 
+def _mips_sql() -> str:
+    """All mips of all tiles of the pyramid as texels, lines from the south, absent ones 0."""
+    sizes = volume.mip_sizes(LEVELS, PIXELS, PIXELS)
+    out = [f"t AS (SELECT zoom, tx, ty, vz, vy, vx, density FROM voxels UNION ALL {_TREE})", "m0 AS (SELECT zoom, tx, ty, vz, 15 - vy AS vy, vx, density FROM t)"]
+    out += [f"m{k} AS (SELECT zoom, tx, ty, vz // 2 AS vz, vy // 2 AS vy, vx // 2 AS vx, sum(density) / 8 AS density FROM m{k - 1} GROUP BY ALL)" for k in range(1, len(sizes))]
+    dense = " UNION ALL ".join(
+        f"SELECT a.zoom, a.tx, a.ty, {k} AS level, a.vz, a.vy, a.vx, coalesce(m.density, 0) AS density FROM (SELECT zoom, tx, ty, CAST(i // {y * x} AS INT) AS vz, CAST(i // {x} % {y} AS INT) AS vy, CAST(i % {x} AS INT) AS vx FROM (SELECT DISTINCT zoom, tx, ty FROM t), range({z * y * x}) r(i)) a LEFT JOIN m{k} m USING (zoom, tx, ty, vz, vy, vx)"
+        for k, (z, y, x) in enumerate(sizes)
+    )
+    return f"{V}, {', '.join(out)}, texels AS ({dense})"
+
+
+def _coded_sql(keys: str) -> str:
+    """The BC4 steps of `_BLOCKS` and `_INDEX` over `texels` with more keys, up to the decoded value of each texel."""
+    steps = (_BLOCKS.split(", px AS", 1)[1], _INDEX.removeprefix(_BLOCKS))
+    coded = "px AS" + "".join(steps).replace("FROM grid", "FROM texels")
+    return coded.replace('vz, "by", bx', f'{keys}, vz, "by", bx').replace('SELECT vz, vy // 4 AS "by"', f'SELECT {keys}, vz, vy // 4 AS "by"')
+
+
+_LOD_KEYS = "zoom, tx, ty, level"
+
+
 @query(
-    "lod_tile_files", "zoom:i x:i row:i levels:i scale:s filled:i places:i",
-    f"{V}, t AS (SELECT zoom, tx, ty, vz, vy, vx, density FROM voxels UNION ALL {_TREE}) SELECT zoom, tx AS x, CAST(pow(2, zoom) AS INT) - 1 - ty AS row, 3 AS levels, '32.0' AS scale, count(*) FILTER (density / 32 * 255 > 0.5) AS filled, coalesce(sum(vz * 256 + (15 - vy) * 16 + vx) FILTER (density / 32 * 255 > 0.5), 0) AS places FROM t GROUP BY ALL",
+    "lod_tile_files", "zoom:i x:i row:i level:i vz:i vy:i vx:i v:d res:s scale:s codec:s tile:s",
+    f"""{_mips_sql()}, {_coded_sql(_LOD_KEYS)} SELECT zoom, tx AS x, CAST(pow(2, zoom) AS INT) - 1 - ty AS row, level, vz, "by" * 4 + i // 4 AS vy, bx * 4 + i % 4 AS vx,
+CASE WHEN r0 > r1 THEN CASE x WHEN 0 THEN r0 / 255.0 WHEN 1 THEN r1 / 255.0 ELSE r1 / 255.0 + (r0 - r1) / 255.0 * (8 - x) / 7.0 END ELSE r0 / 255.0 END AS v,
+CASE zoom WHEN 10 THEN '2.5' WHEN 9 THEN '5.0' ELSE '10.0' END AS res, '32.0' AS scale, 'BC4' AS codec, zoom || '/' || tx || '/' || (CAST(pow(2, zoom) AS INT) - 1 - ty) AS tile FROM im""",
 )
 def lod_tile_files(spark, sf):
-    """Tiles of a pyramid written as containers with mips, rows and lines from the south, and read again."""
+    """Tiles of a pyramid committed as containers of BC4 mips, and every texel of every mip read again."""
     at = scratch(spark, "lod")
-    sinks.lod_tile_files(volume.pyramid(voxels(spark, sf), ZOOM - 2, ZOOM, PIXELS), at, LEVELS, PIXELS, 218.75).write.format("noop").mode("overwrite").save()
+    sinks.lod_tile_files(volume.pyramid(voxels(spark, sf), ZOOM - 2, ZOOM, PIXELS), at, LEVELS, PIXELS, (2.5, 2.5, 218.75), ZOOM)
+    sizes = volume.mip_sizes(LEVELS, PIXELS, PIXELS)
+    part = lambda i: F.element_at(F.split(F.regexp_replace("path", r"\.ktx2$", ""), "/"), i).cast("int")
+    m = F.col("metadata")
+    place = F.concat_ws("/", m["tile_z"], m["tile_x"], m["tile_y"])
+    levels = ktx2.read(spark, at).filter("format = 'BC4_UNORM_BLOCK' AND scheme = 2").select(part(-3).alias("zoom"), part(-2).alias("x"), part(-1).alias("row"), m["phys_res_x"].alias("res"), m["val_scale"].alias("scale"), m["compression"].alias("codec"), place.alias("tile"), F.posexplode("mips").alias("level", "payload"))
+    wide = F.get(F.array(*[F.lit(x // 4) for _, _, x in sizes]), F.col("level"))
+    high = F.get(F.array(*[F.lit(y // 4) for _, y, _ in sizes]), F.col("level"))
+    blocks = levels.withColumn("i", F.explode(F.sequence(F.lit(0), (F.length("payload") / 8).cast("int") - 1))).withColumn("b", bc4.from_bytes(F.substring(F.col("payload"), F.col("i") * 8 + 1, F.lit(8))))
+    texels = blocks.select("*", wide.alias("w"), high.alias("h"), F.posexplode(bc4.decode("b.r0", "b.r1", "b.bits")).alias("k", "v"))
+    return texels.withColumn("vz", F.floor(F.col("i") / (F.col("w") * F.col("h")))).withColumn("vy", F.floor(F.col("i") / F.col("w")) % F.col("h") * 4 + F.floor(F.col("k") / 4)).withColumn("vx", F.col("i") % F.col("w") * 4 + F.col("k") % 4)
 
-    @F.pandas_udf("filled int, places long")
-    def texels(first: pd.Series) -> pd.DataFrame:
-        found = [np.flatnonzero(np.frombuffer(bytes(x), np.uint8)) for x in first]
-        return pd.DataFrame({"filled": [len(x) for x in found], "places": [int(x.sum()) for x in found]})
 
-    part = lambda i: F.element_at(F.split(F.regexp_replace("path", r"\.ktx2$", ""), "/"), i).cast("int")
-    return ktx2.read(spark, at).select(part(-3).alias("zoom"), part(-2).alias("x"), part(-1).alias("row"), "levels", F.col("metadata")["val_scale"].alias("scale"), texels(F.col("mips")[0]).alias("t")).select("*", "t.*")
+#: A region that cuts into the tiles at the top left of the map and reaches beyond them; its pixels by plain arithmetic.
+_REGION = (-179.8, 84.9, -178.1, 85.03)
+
+
+def _region_pixels() -> tuple[int, int, int, int, int, int]:
+    """x0, x1, y0, y1 of the region, and width and height of its canvas."""
+    west, south, east, north = _REGION
+    px = lambda lon: (lon + 180) / 360 * 1024 * 16
+    py = lambda lat: (1 - math.asinh(math.tan(math.radians(lat))) / math.pi) / 2 * 1024 * 16
+    return math.floor(px(west)), math.ceil(px(east)), math.floor(py(north)), math.ceil(py(south)), (math.floor(px(east) / 16) + 1) * 16, (math.floor(py(south) / 16) + 1) * 16
+
+
+_X0, _X1, _Y0, _Y1, _WIDE, _HIGH = _region_pixels()
+_HALF_OF = "CASE WHEN {0} = 0 THEN 0 ELSE round_even({0} / greatest(pow(2.0, floor(log2(nullif({0}, 0))) - 10), pow(2.0, -24)), 0) * greatest(pow(2.0, floor(log2(nullif({0}, 0))) - 10), pow(2.0, -24)) END"
 
 
 @query(
-    "shadow_map_file", "px:i py:i steps:i",
-    f"{_shadow_sql('vz')}, c AS (SELECT (tx - (SELECT min(tx) FROM h)) * 16 + vx AS px, (ty - (SELECT min(ty) FROM h)) * 16 + vy AS py, CAST(round(height * 8) AS INT) AS steps FROM h), g AS (SELECT x AS px, y AS py FROM range(8, 40) a(x), range(4, 60) b(y)) SELECT px, py, coalesce(steps, 0) AS steps FROM g LEFT JOIN c USING (px, py)",
+    "shadow_map_file", "px:i py:i shadow:d",
+    f"""{_shadow_sql('vz')}, tiles AS (SELECT DISTINCT tx, ty FROM voxels), e AS (SELECT tx, ty, vy, vx, exp(4.0 * height) AS e FROM h),
+canvas AS (SELECT CAST(x AS INT) AS px, CAST(y AS INT) AS py, CASE WHEN t.tx IS NULL THEN 0.0 WHEN e.e IS NULL THEN 1.0 ELSE {_HALF_OF.format('e.e')} END AS value FROM range({_WIDE}) a(x), range({_HIGH}) b(y) LEFT JOIN tiles t ON t.tx = x // 16 AND t.ty = y // 16 LEFT JOIN e ON e.tx = x // 16 AND e.ty = y // 16 AND e.vx = x % 16 AND e.vy = y % 16),
+{_gauss_sql('canvas', 'py', 'px', _HIGH, 'gy')}, {_gauss_sql('gy', 'px', 'py', _WIDE, 'gx')} SELECT px, py, {_HALF_OF.format('value')} AS shadow FROM gx WHERE px >= {_X0} AND px < {_X1} AND py >= {_Y0} AND py < {_Y1}""",
 )
 def shadow_map_file(spark, sf):
-    """The shadow canvas cut to a box, written as one container and read again; `steps` are its heights in eighths."""
+    """The shadow map of a region, blurred, cut and written in bands as one container, and read again."""
     at = scratch(spark, "shadow")
-    sinks.shadow_map_file(voxels(spark, sf), at, "shadow.ktx2", LEVELS, PIXELS, (8, 4, 40, 60)).write.format("noop").mode("overwrite").save()
+    sinks.shadow_map_file(voxels(spark, sf), at, "shadow.ktx2", LEVELS, PIXELS, ZOOM, _REGION, band_pixels=_WIDE * 12)
 
     @F.pandas_udf("array<float>")
     def values(first: pd.Series) -> pd.Series:
         return pd.Series([np.frombuffer(bytes(x), "<f2").astype(np.float32) for x in first])
 
-    texels = ktx2.read(spark, at).select(values(F.col("mips")[0]).alias("v"), "width").select("width", F.posexplode("v").alias("i", "v"))
-    return texels.select((F.col("i") % F.col("width") + 8).alias("px"), (F.floor(F.col("i") / F.col("width")) + 4).alias("py"), F.round(2 * F.log("v")).cast("int").alias("steps"))
+    texels = ktx2.read(spark, at).select(values(F.col("mips")[0]).alias("v"), "width").select("width", F.posexplode("v").alias("i", "shadow"))
+    return texels.select((F.col("i") % F.col("width") + _X0).alias("px"), (F.floor(F.col("i") / F.col("width")) + _Y0).alias("py"), "shadow")
 
 
 # --- components ------------------------------------------------------------------------------------------

@@ -126,22 +126,13 @@ def parse_pairs(block: bytes) -> dict:
     return out
 
 
-def encode(levels: list, name: str, size: tuple[int, int, int], metadata: dict | None = None, flat: bool = False, compress: bool = False, level: int = 3) -> bytes:
-    """A container of mip levels, largest first; arrays, or bytes of blocks. `size` is width, height, depth; `flat` textures have depth 0."""
-    if not levels:
-        raise ValueError("no levels")
+def preamble(name: str, size: tuple[int, int, int], lengths: list[tuple[int, int]], metadata: dict | None = None, flat: bool = False, compress: bool = False) -> tuple[bytes, list[int]]:
+    """Everything before the payloads, and how many zeros go before each payload; payloads follow smallest first. `lengths` are (stored, full) bytes of the levels, largest first."""
     f, (w, h, d) = FORMATS[name], size
-    raw = []
-    for i, data in enumerate(levels):
-        if f["block"]:
-            raw.append(block_payload(data, mip_side(w, i), mip_side(h, i), 1 if flat else mip_side(d, i), name))
-        else:
-            raw.append(texels(data, name).tobytes())
-    packed = [zstandard.ZstdCompressor(level=level).compress(r) for r in raw] if compress else raw
     unit = 1 if compress else math.lcm(f["block"] or np.dtype(f["kind"]).itemsize * f["channels"], 4)
     first = math.lcm(ALIGN, unit)
     descriptor = _descriptor(name)
-    at_descriptor = HEADER_BYTES + INDEX_BYTES * len(levels)
+    at_descriptor = HEADER_BYTES + INDEX_BYTES * len(lengths)
     at_pairs = at_descriptor + len(descriptor)
     pairs = _pairs(metadata or {})
     if gap := -(at_pairs + len(pairs)) % first:
@@ -149,15 +140,30 @@ def encode(levels: list, name: str, size: tuple[int, int, int], metadata: dict |
         grow = gap
         while (at_pairs + len(pairs := _pairs(metadata or {}, grow))) % first:
             grow += 1
-    at, index, body = at_pairs + len(pairs), [(0, 0, 0)] * len(levels), b""
-    for i in reversed(range(len(levels))):
-        pad = -at % (first if i == len(levels) - 1 else unit)
-        body += b"\0" * pad + packed[i]
-        index[i] = (at + pad, len(packed[i]), len(raw[i]))
-        at += pad + len(packed[i])
-    head = IDENTIFIER + struct.pack("<9I", f["id"], 1 if f["block"] else np.dtype(f["kind"]).itemsize, w, h, 0 if flat else d, 0, 1, len(levels), ZSTD if compress else PLAIN)
+    at, index, pads = at_pairs + len(pairs), [(0, 0, 0)] * len(lengths), [0] * len(lengths)
+    for i in reversed(range(len(lengths))):
+        pads[i] = -at % (first if i == len(lengths) - 1 else unit)
+        index[i] = (at + pads[i], *lengths[i])
+        at += pads[i] + lengths[i][0]
+    head = IDENTIFIER + struct.pack("<9I", f["id"], 1 if f["block"] else np.dtype(f["kind"]).itemsize, w, h, 0 if flat else d, 0, 1, len(lengths), ZSTD if compress else PLAIN)
     head += struct.pack("<4I2Q", at_descriptor, len(descriptor), at_pairs, len(pairs), 0, 0)
-    return head + b"".join(struct.pack("<3Q", *x) for x in index) + descriptor + pairs + body
+    return head + b"".join(struct.pack("<3Q", *x) for x in index) + descriptor + pairs, pads
+
+
+def encode(levels: list, name: str, size: tuple[int, int, int], metadata: dict | None = None, flat: bool = False, compress: bool = False, level: int = 3) -> bytes:
+    """A container of mip levels, largest first; arrays, or bytes of blocks. `size` is width, height, depth; `flat` textures have depth 0."""
+    if not levels:
+        raise ValueError("no levels")
+    f, (w, h, d) = FORMATS[name], size
+    raw = []
+    for i, data in enumerate(levels):
+        if f["block"]:
+            raw.append(block_payload(data, mip_side(w, i), mip_side(h, i), 1 if flat else mip_side(d, i), name))
+        else:
+            raw.append(texels(data, name).tobytes())
+    packed = [zstandard.ZstdCompressor(level=level).compress(r) for r in raw] if compress else raw
+    head, pads = preamble(name, size, [(len(p), len(r)) for p, r in zip(packed, raw, strict=True)], metadata, flat, compress)
+    return head + b"".join(b"\0" * pads[i] + packed[i] for i in reversed(range(len(packed))))
 
 
 def decode(data: bytes) -> tuple[dict, list[bytes], dict]:
@@ -171,7 +177,7 @@ def decode(data: bytes) -> tuple[dict, list[bytes], dict]:
     for i in range(max(1, head["levels"])):
         at, n, full = struct.unpack_from("<3Q", data, HEADER_BYTES + INDEX_BYTES * i)
         body = data[at : at + n]
-        out.append(zstandard.ZstdDecompressor().decompress(body, max_output_size=full) if head["scheme"] == ZSTD else body)
+        out.append(zstandard.ZstdDecompressor().stream_reader(body, read_across_frames=True).read(full) if head["scheme"] == ZSTD else body)
     return head | {"format": NAMES.get(head["format_id"])}, out, parse_pairs(data[at_pairs : at_pairs + n_pairs])
 
 

@@ -1,23 +1,27 @@
 """File sinks: tasks write their rows' content as files; a file gets its name when it is whole.
 
-Raw tiles, containers of pyramid tiles and of shadow maps are composed here from volumes.
+Raw tiles, containers of pyramid tiles and of shadow maps are composed here from volumes. Pyramids are
+committed as a whole by `tile_store`.
 """
 
 from __future__ import annotations
 
 import uuid
+from typing import Any
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from ..operators import volume
+from ..operators import lod, stencil, volume
 from ..session import ship
-from . import ktx2, raw_tiles
+from ..storage import written
+from . import ktx2, raw_tiles, tile_store
 
 _WRITTEN = "path string, bytes long"
 
@@ -47,9 +51,9 @@ def write_files(rows: DataFrame, uri: str) -> DataFrame:
 
 
 def dense(voxels: DataFrame, nz: int, pixels: int, value: str = "density") -> DataFrame:
-    """One row per tile (zoom, tx, ty) with `values`, its nz * pixels * pixels values in order z, y, x; absent voxels are 0.
+    """One row per tile (zoom, tx, ty) with `values`, its nz * pixels * pixels values as doubles in order z, y, x; absent voxels are 0.
 
-    Voxels of a tile and level meet first, then levels: no row is larger than a tile.
+    Voxels of a tile and level meet first and become bytes, then levels: no row is larger than a tile.
     """
     ship(voxels.sparkSession)
 
@@ -57,14 +61,14 @@ def dense(voxels: DataFrame, nz: int, pixels: int, value: str = "density") -> Da
     def filled(places: pd.Series, values: pd.Series) -> pd.Series:
         out = []
         for at, v in zip(places, values, strict=True):
-            whole = np.zeros(nz * pixels * pixels, "<f8")
+            whole = np.zeros(pixels * pixels, "<f8")
             whole[np.asarray(at, np.int64)] = np.asarray(v, np.float64)
             out.append(whole.tobytes())
         return pd.Series(out)
 
-    place = (F.col("vz") * pixels + F.col("vy")) * pixels + F.col("vx")
-    tiles = voxels.groupBy("zoom", "tx", "ty").agg(F.collect_list(F.struct(place.alias("i"), F.col(value).alias("v"))).alias("cells"))
-    return tiles.select("zoom", "tx", "ty", filled("cells.i", "cells.v").alias("values"))
+    cell = F.struct((F.col("vy") * pixels + F.col("vx")).alias("i"), F.col(value).alias("v"))
+    levels = voxels.groupBy(*lod.TILE, "vz").agg(F.collect_list(cell).alias("cells"))
+    return lod.joined(levels.select(*lod.TILE, "vz", filled("cells.i", "cells.v").alias("values")), nz, pixels * pixels * 8, "vz", "values")
 
 
 def raw_tile_files(voxels: DataFrame, uri: str, nz: int, pixels: int, resolution: tuple[float, float, float]) -> DataFrame:
@@ -79,62 +83,130 @@ def raw_tile_files(voxels: DataFrame, uri: str, nz: int, pixels: int, resolution
     return write_files(tiles.select(F.format_string("tile_%d_%d_%d.raw.zst", "zoom", "tx", "ty").alias("path"), packed("zoom", "tx", "ty", "values").alias("content")), uri)
 
 
-def halved(values: np.ndarray) -> np.ndarray:
-    """Mean of 2 x 2 x 2 cells; a side of 1 stays, an odd last layer is cut off."""
-    for axis, n in enumerate(values.shape):
-        if n > 1:
-            even = np.take(values, range(n // 2 * 2), axis)
-            values = (np.take(even, range(0, n // 2 * 2, 2), axis) + np.take(even, range(1, n // 2 * 2, 2), axis)) / 2
-    return values
+def lod_tile_files(voxels: DataFrame, uri: str, nz: int, pixels: int, resolution: tuple[float, float, float], leaf_zoom: int, most: float = 32.0, least: int = 4, mode: str = "append") -> None:
+    """Writes a container `{zoom}/{x}/{row}.ktx2` for each tile of a pyramid, all or none: rows count from the south, lines too.
 
-
-def lod_tile_files(voxels: DataFrame, uri: str, nz: int, pixels: int, phys_res_z: float, most: float = 32.0, least: int = 4) -> DataFrame:
-    """Writes a container `{zoom}/{x}/{row}.ktx2` for each tile of a pyramid: rows count from the south, lines too.
-
-    Values are divided by `most`, clipped to 0..1 and kept as 8-bit texels with all mips down to a side of `least`.
+    BC4 blocks with all mips down to a side of `least`, compressed; 1 stands for `most`. `resolution`
+    is metres of a voxel at `leaf_zoom`; x and y double with each zoom above.
     """
-    sizes = volume.mip_sizes(nz, pixels, pixels, least)
-
-    @F.pandas_udf("array<binary>")
-    def mips(values: pd.Series) -> pd.Series:
-        out = []
-        for v in values:
-            level = np.frombuffer(v, "<f8").reshape(nz, pixels, pixels)[:, ::-1]
-            levels = []
-            for k in range(len(sizes)):
-                level = halved(level) if k else level
-                levels.append(np.rint(np.clip(level / most, 0, 1) * 255).astype(np.uint8).tobytes())
-            out.append(levels)
-        return pd.Series(out)
-
-    tiles = dense(voxels, nz, pixels).withColumn("row", geo.flip_row("ty", "zoom"))
-    pairs = F.create_map(F.lit("val_scale"), F.lit(str(most)), F.lit("phys_res_z"), F.lit(str(phys_res_z)))
-    built = ktx2.containers(tiles.select("zoom", "tx", "row", mips("values").alias("mips"), pairs.alias("metadata")), "R8_UNORM", pixels, pixels, nz)
-    return write_files(built.select(F.format_string("%d/%d/%d.ktx2", "zoom", "tx", "row").alias("path"), "content"), uri)
-
-
-def shadow_map_file(voxels: DataFrame, uri: str, name: str, nz: int, pixels: int, box: tuple[int, int, int, int], threshold: float = 2.0, sharpness: float = 4.0) -> DataFrame:
-    """Writes the shadow canvas of all tiles, cut to the pixels [x0, x1) and [y0, y1) of `box`, as one flat container of half floats.
-
-    One picture is one file: its lines are made apart, and meet as compact rows in the task that writes it.
+    tiles = lod.encoded_tiles(voxels, nz, pixels, least, most).withColumn("row", geo.flip_row("ty", "zoom"))
+    wider = F.pow(F.lit(2.0), F.lit(leaf_zoom) - F.col("zoom"))
+    values = {
+        "val_scale": F.lit(float(most)), "phys_res_x": resolution[0] * wider, "phys_res_y": resolution[1] * wider, "phys_res_z": F.lit(float(resolution[2])),
+        "tile_z": F.col("zoom"), "tile_x": F.col("tx"), "tile_y": F.col("row"), "compression": F.lit("BC4"),
+    }
+    pairs = F.create_map(*[x for k, v in values.items() for x in (F.lit(k), v.cast("string"))])
+    built = ktx2.containers(tiles.select("zoom", "tx", "row", "mips", pairs.alias("metadata")), "BC4_UNORM_BLOCK", pixels, pixels, nz)
+    tile_store.save(built.select(F.format_string("%d/%d/%d.ktx2", "zoom", "tx", "row").alias("path"), "content"), uri, mode)
+
+
+def blurred_strip(strip: np.ndarray, sigma: float) -> np.ndarray:
+    """Gaussian blur of a strip that already has the lines it needs above and below; columns are reflected at the ends. The lines needed are cut off."""
+    taps = stencil.gauss_weights(sigma) if sigma > 0 else [(0, 1.0)]
+    r = taps[-1][0]
+    high = strip.shape[0] - 2 * r
+    down = sum(w * strip[r + o : r + o + high] for o, w in taps)
+    wide = down.shape[1]
+    at = np.arange(-r, wide + r) % (2 * wide)
+    held = down[:, np.minimum(at, 2 * wide - 1 - at)]
+    return sum(w * held[:, r + o : r + o + wide] for o, w in taps)
+
+
+def shadow_map_file(voxels: DataFrame, uri: str, name: str, nz: int, pixels: int, zoom: int, region: tuple[float, float, float, float], threshold: float = 2.0, sharpness: float = 4.0, sigma: float = 1.0, band_pixels: int = 1 << 22) -> DataFrame:
+    """Writes the shadow map of a region (west, south, east, north) as one flat container of half floats; one row (path, bytes).
+
+    The canvas covers all tiles of the region; a tile without any voxel is 0, a column without is lit.
+    It is blurred, then cut to the region. Each task makes a band of about `band_pixels`, blurs it with
+    the lines around it and writes it as a compressed part; one last task puts the parts behind the
+    header, as they are. The parts go when it is done.
     """
-    ship(voxels.sparkSession)
-    x0, y0, x1, y1 = box
-    shade = volume.on_canvas(volume.shadow_map(voxels, nz, threshold, sharpness).select("tx", "ty", "vy", "vx", "shadow"), pixels, south_up=False)
-    inside = shade.filter(F.col("px").between(x0, x1 - 1) & F.col("py").between(y0, y1 - 1))
+    spark = voxels.sparkSession
+    ship(spark)
+    west, south, east, north = region
+    if west >= east or south >= north:
+        raise ValueError(f"the region {region} has no pixel")
+    box = spark.range(1).select(geo.tile_range(F.lit(west), F.lit(south), F.lit(east), F.lit(north), F.lit(zoom)).alias("t"), geo.tile_width(F.lit(zoom)).alias("w"), *[f(F.lit(v)).alias(c) for c, f, v in (("l", geo.merc_x, west), ("r", geo.merc_x, east), ("b", geo.merc_y, south), ("u", geo.merc_y, north))])
+    tx0, ty0, tx1, ty1 = (F.col(f"t.{c}") for c in ("x0", "y0", "x1", "y1"))
+    corner = geo.tile_bounds(tx0, ty0, F.lit(zoom))
+    sized = box.withColumn("c", corner).select("*", (F.col("w") / pixels).alias("res"), ((tx1 - tx0 + 1) * pixels).alias("wide"), ((ty1 - ty0 + 1) * pixels).alias("high")).first()
+    wide, high, t = sized.wide, sized.high, sized.t
+    cut = spark.range(1).select(geo.crop_pixels(*(F.lit(sized[c]) for c in ("l", "b", "r", "u")), F.lit(sized.c.left), F.lit(sized.c.top), F.lit(sized.res), wide, high).alias("p"))
+    cut = cut.select("p.*", geo.pixel_metres("p.px0", "p.py0", F.lit(sized.c.left), F.lit(sized.c.top), F.lit(sized.res)).alias("ul"), geo.pixel_metres("p.px1", "p.py1", F.lit(sized.c.left), F.lit(sized.c.top), F.lit(sized.res)).alias("lr")).first()
+    (x0, x1), (y0, y1) = (cut.px0, cut.px1), (cut.py0, cut.py1)
+    reach = stencil.gauss_weights(sigma)[-1][0] if sigma > 0 else 0
+    lines = max(1, band_pixels // wide)
+    n = -(-(y1 - y0) // lines)
+
+    inside = voxels.filter((F.col("zoom") == zoom) & F.col("tx").between(t.x0, t.x1) & F.col("ty").between(t.y0, t.y1))
+    shade = volume.shadow_map(inside, nz, threshold, sharpness).select(F.col("tx"), F.col("ty"), F.struct((F.col("vy") * pixels + F.col("vx")).alias("i"), F.col("shadow").alias("v")).alias("c"))
 
     @F.pandas_udf("binary")
-    def line(px: pd.Series, values: pd.Series) -> pd.Series:
+    def lit(places: pd.Series, values: pd.Series) -> pd.Series:
         out = []
-        for at, v in zip(px, values, strict=True):
-            whole = np.ones(x1 - x0, "<f2")
-            whole[np.asarray(at, np.int64) - x0] = np.asarray(v, np.float64)
-            out.append(whole.tobytes())
+        for at, v in zip(places, values, strict=True):
+            tile = np.ones(pixels * pixels, "<f2")
+            tile[np.asarray(at, np.int64)] = np.asarray(v, np.float64)
+            out.append(tile.tobytes())
         return pd.Series(out)
 
-    lines = inside.groupBy("py").agg(F.collect_list(F.struct("px", "shadow")).alias("c")).select("py", line("c.px", "c.shadow").alias("texels"))
-    # lines without a tile are lit: exp(0) = 1
-    blank = np.ones(x1 - x0, "<f2").tobytes()
-    every = voxels.sparkSession.range(y0, y1).toDF("py").join(lines, "py", "left").select("py", F.coalesce("texels", F.lit(blank)).alias("texels"))
-    ordered = every.agg(F.array_sort(F.collect_list(F.struct("py", "texels"))).alias("c")).select(F.array(F.expr("aggregate(c.texels, X'', (a, x) -> concat(a, x))")).alias("mips"), F.create_map(F.lit("sharpness"), F.lit(str(sharpness))).alias("metadata"))
-    return write_files(ktx2.containers(ordered, "R16_SFLOAT", x1 - x0, y1 - y0, 1, flat=True).select(F.lit(name).alias("path"), "content"), uri)
+    tiles = shade.groupBy("tx", "ty").agg(F.collect_list("c").alias("c")).select("tx", "ty", lit("c.i", "c.v").alias("texels"))
+    # A tile goes to each band that has one of its lines, or needs one for the blur; reflected lines are within reach of the edge too.
+    top = (F.col("ty") - t.y0) * pixels
+    first, last = (F.floor((top - reach - y0) / lines), F.floor((top + pixels - 1 + reach - y0) / lines))
+    near = tiles.filter((last >= 0) & (first < n))
+    sent = near.select("*", F.explode(F.sequence(F.greatest(first, F.lit(0)), F.least(last, F.lit(n - 1)))).alias("band"))
+    every = spark.range(n).select(F.lit(None).cast("int").alias("tx"), F.lit(None).cast("int").alias("ty"), F.lit(None).cast("binary").alias("texels"), F.col("id").alias("band"))
+    parts_at = f"{uri.rstrip('/')}/_parts-{uuid.uuid4().hex}"
+
+    def band(key: tuple[Any, ...], rows: pd.DataFrame) -> pd.DataFrame:
+        b = int(key[0])
+        low, up = y0 + b * lines, min(y0 + (b + 1) * lines, y1)
+        want = np.arange(low - reach, up + reach) % (2 * high)
+        want = np.minimum(want, 2 * high - 1 - want)
+        start, stop = want.min(), want.max() + 1
+        canvas = np.zeros((stop - start, wide))
+        for tx, ty, texels in zip(rows["tx"], rows["ty"], rows["texels"], strict=True):
+            if texels is None:
+                continue
+            tile = np.frombuffer(texels, "<f2").reshape(pixels, pixels)
+            y, x = (int(ty) - t.y0) * pixels, (int(tx) - t.x0) * pixels
+            a, z = max(start, y), min(stop, y + pixels)
+            if a < z:
+                canvas[a - start : z - start, x : x + pixels] = tile[a - y : z - y]
+        raw = blurred_strip(canvas[want - start], sigma)[:, x0:x1].astype("<f2").tobytes()
+        packed = zstandard.ZstdCompressor(level=3).compress(raw)
+        store, root = fs.FileSystem.from_uri(parts_at)
+        store.create_dir(root, recursive=True)
+        part = f"{root}/{b}-{uuid.uuid4().hex}"
+        with store.open_output_stream(part) as out:
+            out.write(packed)
+        return pd.DataFrame([(b, part, len(packed), len(raw))], columns=["band", "part", "packed", "full"])
+
+    parts = sent.select("tx", "ty", "texels", F.col("band").cast("long")).unionByName(every).groupBy("band").applyInPandas(band, "band long, part string, packed long, full long")
+    pairs = {"sharpness": sharpness, "min_x": cut.ul.x, "max_y": cut.ul.y, "max_x": cut.lr.x, "min_y": cut.lr.y}
+
+    def join(batches):
+        found = sorted((r for batch in batches for r in batch.to_pylist()), key=lambda r: r["band"])
+        if not found:
+            return
+        store, root = fs.FileSystem.from_uri(uri)
+        head, pads = ktx2.preamble("R16_SFLOAT", (x1 - x0, y1 - y0, 1), [(sum(r["packed"] for r in found), sum(r["full"] for r in found))], pairs, flat=True, compress=True)
+        made = f"{root}/_part-{uuid.uuid4().hex}"
+        store.create_dir(root, recursive=True)
+        size = 0
+        with store.open_output_stream(made) as out:
+            out.write(head + b"\0" * pads[0])
+            for r in found:
+                with store.open_input_stream(r["part"]) as piece:
+                    while chunk := piece.read(1 << 20):
+                        out.write(chunk)
+            size = out.tell()
+        store.create_dir(f"{root}/{name}".rsplit("/", 1)[0], recursive=True)
+        store.move(made, f"{root}/{name}")
+        yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([size], pa.int64())], ["path", "bytes"])
+
+    done = written(parts, "bands").repartition(1).mapInArrow(join, _WRITTEN)
+    out = written(done, "shadow")
+    store, root = fs.FileSystem.from_uri(parts_at)
+    store.delete_dir(root)
+    return out
