@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from datetime import datetime
 
 import numpy as np
 import pandas as pd
@@ -12,7 +13,7 @@ from ..functions import physics
 from ..operators import bc4, components, sample, stats, stencil, volume
 from ..schemas import VARIABLES, variables
 from ..session import ship
-from ..sources import ktx2, raw_tiles, sinks
+from ..sources import grib2, ktx2, raw_tiles, sinks, tile_store
 from ..storage import scratch
 from .base import CELLS_SQL, COLUMNS_SQL, GRID_SQL, LEVELS, PIXELS, POINTS_SQL, SAMPLES_SQL, VOXELS_SQL, ZOOM, cells, columns, full_levels, grid, half_levels, points, query, samples, shape, table, voxels
 from .q_functions import PCHIP_SQL
@@ -657,6 +658,71 @@ def shadow_map_file(spark, sf):
     return texels.select((F.col("i") % F.col("width") + _X0).alias("px"), (F.floor(F.col("i") / F.col("width")) + _Y0).alias("py"), "shadow")
 
 
+# --- messages --------------------------------------------------------------------------------------------
+
+_GRIB_NAMES = ("t", "qv", "clc")
+_GRIB_WIDE = 16
+_GRIB = f"""g AS (SELECT ['t', 'qv', 'clc'][p_partkey % 3 + 1] AS var, p_size AS level, CAST(p_partkey // 3 // {_GRIB_WIDE} AS INT) AS iy, CAST(p_partkey // 3 % {_GRIB_WIDE} AS INT) AS ix, p_retailprice AS value FROM part)"""
+
+
+def _grib_files(spark, sf) -> str:
+    """Prices of parts as GRIB2 files, one per variable, a message per level on a grid 16 wide that grows with part; cells of other levels have no value."""
+    at = scratch(spark, "grib")
+    p = table(spark, sf, "part")
+    high = p.agg(F.max("p_partkey")).first()[0] // 3 // _GRIB_WIDE + 1
+    run = datetime(1995, 6, 13, 6)
+
+    @F.pandas_udf("binary")
+    def message(var: pd.Series, level: pd.Series, places: pd.Series, values: pd.Series) -> pd.Series:
+        out = []
+        for n, lv, i, v in zip(var, level, places, values, strict=True):
+            rows = np.full(high * _GRIB_WIDE, np.nan)
+            rows[np.asarray(i, np.int64)] = v
+            out.append(grib2.encode(rows.reshape(high, _GRIB_WIDE), n, "generalVertical", int(lv), run, 180, (43.0, 9.5), (0.02, 0.02), 24, 2))
+        return pd.Series(out)
+
+    @F.pandas_udf("binary")
+    def together(messages: pd.Series) -> pd.Series:
+        return pd.Series([b"".join(m) for m in messages])
+
+    ship(spark)
+    k = F.col("p_partkey")
+    cells = p.select(F.get(F.array(*[F.lit(n) for n in _GRIB_NAMES]), (k % 3).cast("int")).alias("var"), F.col("p_size").alias("level"), F.struct(F.floor(k / 3).cast("int").alias("i"), F.col("p_retailprice").alias("v")).alias("c"))
+    messages = cells.groupBy("var", "level").agg(F.collect_list("c").alias("c")).select("var", "level", message("var", "level", "c.i", "c.v").alias("m"))
+    files = messages.groupBy("var").agg(F.array_sort(F.collect_list(F.struct("level", "m"))).alias("m")).select(F.concat("var", F.lit(".grib2")).alias("path"), together("m.m").alias("content"))
+    tile_store.save(files, at)
+    return at
+
+
+@query("grib_fields", "var:s level:i iy:i ix:i value:d", f"WITH {_GRIB} SELECT * FROM g")
+def grib_fields(spark, sf):
+    """Messages packed from part and decoded again, each by its own range of its file."""
+    return grib2.cube(grib2.fields(grib2.inventory(spark, _grib_files(spark, sf)))).withColumn("value", F.round("value", 2))
+
+
+@query(
+    "grib_region", "var:s level:i iy:i ix:i value:d",
+    f"WITH {_GRIB} SELECT var, level, iy - 1 AS iy, ix - 2 AS ix, value FROM g WHERE var <> 'qv' AND level BETWEEN 10 AND 30 AND iy BETWEEN 1 AND 3 AND ix BETWEEN 2 AND 11",
+)
+def grib_region(spark, sf):
+    """Some variables and levels, chosen from headers, cut to a box of coordinates that includes both ends."""
+    found = grib2.inventory(spark, _grib_files(spark, sf)).filter("short_name <> 'qv' AND level BETWEEN 10 AND 30")
+    return grib2.cube(grib2.fields(found, (43.02, 9.54, 43.06, 9.72))).withColumn("value", F.round("value", 2))
+
+
+@query(
+    "grib_inventory", "short_name:s type_of_level:s n:i least:i most:i points:i cells:i run:s minutes:i bits:i",
+    f"WITH {_GRIB} SELECT var AS short_name, 'generalVertical' AS type_of_level, count(DISTINCT level) AS n, min(level) AS least, max(level) AS most, count(*) AS points, count(DISTINCT level) * (SELECT (max(p_partkey) // 3 // {_GRIB_WIDE} + 1) * {_GRIB_WIDE} FROM part) AS cells, '1995-06-13 06:00:00' AS run, 180 AS minutes, 24 AS bits FROM g GROUP BY var",
+)
+def grib_inventory(spark, sf):
+    """The inventory of the same files from headers alone."""
+    found = grib2.inventory(spark, _grib_files(spark, sf)).filter("error IS NULL")
+    return found.groupBy("short_name", "type_of_level").agg(
+        F.count("*").alias("n"), F.min("level").alias("least"), F.max("level").alias("most"), F.sum("points").alias("points"), F.sum(F.col("ni") * F.col("nj")).alias("cells"),
+        F.date_format(F.max("run_ts"), "yyyy-MM-dd HH:mm:ss").alias("run"), F.max("step_minutes").alias("minutes"), F.max("bits").alias("bits"),
+    )
+
+
 # --- components ------------------------------------------------------------------------------------------
 
 
