@@ -6,10 +6,13 @@ Every occurrence of an anchor that two documents share brings the 8 words to its
 right. In the anchor's group all occurrences are extended at once, a word at a time and both ways:
 those that agree so far stay in one class, so a match is never written as a pair, however many
 documents share it. Where a class has reached 13 words, its smallest doc_id stays and the others lose
-the window; windows that follow each other make the maximal repeats that are cut.
+the window; windows that follow each other make the maximal repeats that are cut. An anchor at more
+than HOT places would gather too many surroundings: there the 13 words themselves are the key, so a
+window is one entry per block and no group holds what stands around a common phrase. Both ways decide
+alike, by equal windows and the smallest doc_id.
 
 Anchors and flanks are exchanged between blocks as hashes: 64 bits of an anchor, 48 of each word
-beside it.
+beside it; windows of hot anchors by 64 bits.
 """
 
 from __future__ import annotations
@@ -26,9 +29,13 @@ from .common import lean, lean_cogroup, lean_group, written
 
 WINDOW = 13
 ANCHOR = 5
+#: Places of an anchor beyond which its windows are dealt one by one.
+HOT = 1 << 14
 #: Words that a match is extended by, to the left and to the right.
 REACH = WINDOW - ANCHOR
-_BASE = 0xD6E8FEB86659FD93
+_BASE, _WHOLE = 0xD6E8FEB86659FD93, 0xA0761D6478BD642F
+#: In the value of an anchor, where the number of its places begins; the bits below tell documents apart.
+_PLACES = 32
 #: Bits of a word beside an anchor that are dropped; 0 stands for a place outside the document.
 _DROP = 16
 
@@ -53,22 +60,43 @@ class _Block:
         self.doc = np.repeat(np.arange(len(names)), self.counts)[at]
 
     def anchors(self) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct anchors, sorted, and whether two documents of the block have them."""
+        """Distinct anchors, sorted, and the value of each: 2 if two documents of the block have it, else 1, and its places."""
         new = np.ones(len(self.anchor), bool)
         new[1:] = (self.anchor[1:] != self.anchor[:-1]) | (self.doc[1:] != self.doc[:-1])
-        key, doc = self.anchor[new], self.ids[self.doc[new]]
+        if not len(new):
+            return self.anchor, np.zeros(0, np.int64)
+        key, doc, places = self.anchor[new], self.ids[self.doc[new]], np.diff(np.flatnonzero(new), append=len(new))
         order = np.lexsort((doc, key))
-        key, doc = key[order], doc[order]
+        key, doc, places = key[order], doc[order], places[order]
         first = np.ones(len(key), bool)
         first[1:] = key[1:] != key[:-1]
         several = np.zeros(len(key), bool)
         several[1:] = ~first[1:] & (doc[1:] != doc[:-1])
         at = np.flatnonzero(first)
-        return key[at], np.add.reduceat(several, at) > 0 if len(at) else np.zeros(0, bool)
-
-    def seeds(self, shared: np.ndarray, anchors: np.ndarray):
-        """Occurrences of shared anchors: their places, documents, and `Seeds` with the number of each occurrence there."""
-        mine = np.flatnonzero(shared[np.searchsorted(anchors, self.anchor)]) if len(anchors) else np.zeros(0, np.int64)
+        return key[at], 1 + (np.add.reduceat(several, at) > 0) + (np.add.reduceat(places, at) << _PLACES)
+
+    def whole(self, told: np.ndarray, anchors: np.ndarray):
+        """Windows with a hot anchor: their starts, documents, the number of each among the distinct ones, and those: sorted hashes and least documents."""
+        hot = np.flatnonzero(told[np.searchsorted(anchors, self.anchor)] == 2) if len(anchors) else np.zeros(0, np.int64)
+        low, high = (self.ends - self.counts)[self.doc[hot]], self.ends[self.doc[hot]]
+        starts = [(self.at[hot] - i)[(self.at[hot] - i >= low) & (self.at[hot] - i + WINDOW <= high)] for i in range(REACH + 1)]
+        start = np.unique(np.concatenate(starts))
+        doc = self.ids[np.searchsorted(self.ends, start, "right")]
+        if not len(start):
+            return start, doc, start, np.zeros(0, np.uint64), doc
+        key = np.zeros(len(start), np.uint64)
+        for j in range(WINDOW):
+            key = B.mix(key ^ self.hashes[start + j], _WHOLE + j)
+        order = np.lexsort((doc, key))
+        new = np.ones(len(key), bool)
+        new[1:] = key[order][1:] != key[order][:-1]
+        at = np.empty(len(key), np.int64)
+        at[order] = np.cumsum(new) - 1
+        return start, doc, at, key[order][new], doc[order][new]
+
+    def seeds(self, told: np.ndarray, anchors: np.ndarray):
+        """Occurrences of shared anchors that aren't hot: their places, documents, and `Seeds` with the number of each occurrence there."""
+        mine = np.flatnonzero(told[np.searchsorted(anchors, self.anchor)] == 1) if len(anchors) else np.zeros(0, np.int64)
         at, of = self.at[mine], self.doc[mine]
         low, high = (self.ends - self.counts)[of], self.ends[of]
         word = np.maximum(self.hashes >> np.uint64(_DROP), np.uint64(1))
@@ -186,13 +214,41 @@ def _extension(digit: int) -> B.Exchange:
     return B.Exchange(answer, merge, passed)
 
 
+def _told(hot: int, digit: int) -> B.Exchange:
+    """For each anchor asked: 0 if one document has it, 1 if several have, 2 if it is hot besides."""
+    low = (1 << _PLACES) - 1
+    return B.tally(np.add, lambda total, own: ((total & low) >= 2) * (1 + (total >> _PLACES > hot).astype(np.int64)), digit=digit)
+
+
+def _both(digit: int) -> B.Exchange:
+    """Seeds (bodies that begin with 0) and whole windows (with 1); a group holds only one of them."""
+    kinds = (_extension(digit), B.tally(np.minimum, lambda total, own: total < own, lambda answer, total, own: answer | (total < own), digit=digit))
+
+    def of(bodies):
+        return kinds[bodies[0][0]], [b[1:] for b in bodies]
+
+    def answer(bodies):
+        kind, plain = of(bodies)
+        return kind.answer(plain)
+
+    def merge(bodies, level):
+        kind, plain = of(bodies)
+        return [(q, bodies[0][:1] + body) for q, body in kind.merge(plain, level)]
+
+    def passed(bodies, answers, level):
+        kind, plain = of(bodies)
+        return kind.passed(plain, answers, level)
+
+    return B.Exchange(answer, merge, passed)
+
+
 def _ask_anchors(digit: int):
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):
                 for block, names, texts in B.opened(batch.slice(i, 1)):
-                    keys, several = _Block(names, texts).anchors()
-                    yield B.batch_of([(0, block, q, body) for q, body in B.keyed_messages(keys, several + 1, digit=digit)], B.MESSAGES)
+                    keys, values = _Block(names, texts).anchors()
+                    yield B.batch_of([(0, block, q, body) for q, body in B.keyed_messages(keys, values, digit=digit)], B.MESSAGES)
 
     return lean(run)
 
@@ -202,8 +258,11 @@ def _ask_seeds(digit: int):
         out = []
         for block, names, texts in B.opened(blocks):
             mine = _Block(names, texts)
-            _, _, _, key, flank, doc = mine.seeds(B.answers_of(answers).astype(bool), mine.anchors()[0])
-            out += [(0, block, q, body) for q, body in _bodies(key, flank, doc, 0, digit)]
+            told, anchors = B.answers_of(answers), mine.anchors()[0]
+            _, _, _, key, flank, doc = mine.seeds(told, anchors)
+            out += [(0, block, q, b"\0" + body) for q, body in _bodies(key, flank, doc, 0, digit)]
+            *_, key, least = mine.whole(told, anchors)
+            out += [(1, block, q, b"\1" + body) for q, body in B.keyed_messages(key, least, digit=digit)]
         return B.table_of(out, B.MESSAGES)
 
     return lean_cogroup(run)
@@ -219,12 +278,14 @@ _SHARED = 1 << 20
 def _cut(with_text: bool):
     def run(blocks: pa.Table, answers: pa.Table) -> pa.Table:
         out = []
-        kind = np.array(answers.column("bucket").to_pylist(), np.int64) >= _SHARED
-        shared = answers.filter(pa.array(kind))
-        masks = answers.filter(pa.array(~kind))
+        kind, prefix = (np.array(answers.column(c).to_pylist(), np.int64) for c in ("bucket", "prefix"))
+        shared = answers.filter(pa.array(kind >= _SHARED))
+        masks = answers.filter(pa.array((kind < _SHARED) & (prefix == 0)))
+        again = answers.filter(pa.array((kind < _SHARED) & (prefix == 1)))
         for _, names, texts in B.opened(blocks):
             mine = _Block(names, texts)
-            at, doc, of, _, flank, least = mine.seeds(B.answers_of(shared).astype(bool), mine.anchors()[0])
+            told, anchors = B.answers_of(shared), mine.anchors()[0]
+            at, doc, of, _, flank, least = mine.seeds(told, anchors)
             change = np.zeros(len(mine.words) + 1, np.int32)
             if len(at):
                 gone = np.where(doc > least[of], inside(flank)[of], _mask_of(B.in_order(masks))[of])
@@ -232,6 +293,11 @@ def _cut(with_text: bool):
                     start = at[gone >> i & 1 > 0] - i
                     np.add.at(change, start, 1)
                     np.add.at(change, start + WINDOW, -1)
+            start, doc, of, _, least = mine.whole(told, anchors)
+            if len(start):
+                start = start[(doc > least[of]) | B.answers_of(again).astype(bool)[of]]
+                np.add.at(change, start, 1)
+                np.add.at(change, start + WINDOW, -1)
             removed = np.cumsum(change[:-1]) > 0
             for name, a, b in zip(names, (mine.ends - mine.counts).tolist(), mine.ends.tolist(), strict=True):
                 off = removed[a:b]
@@ -244,19 +310,20 @@ def _cut(with_text: bool):
     return lean_cogroup(run)
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, block_bytes: int = 4 << 20, digit: int = B.DIGIT, most: int = B.MOST) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, block_bytes: int = 4 << 20, digit: int = B.DIGIT, most: int = B.MOST, hot: int = HOT) -> DataFrame:
     """One row per input row: n_words, n_removed, n_spans (maximal removed runs), SHA-256 of the kept words joined by one space.
 
     A word goes when a window of 13 words that covers it also starts in a document with a smaller
     doc_id. A null or empty text has no words. Rows that repeat an id don't remove each other; rows
     without an id come last and don't either. Other columns are ignored; an empty table gives no rows.
-    `with_text` adds the kept words as kept_text. `digit` and `most` are those of the block exchange.
+    `with_text` adds the kept words as kept_text. `digit` and `most` are those of the block exchange;
+    the result is the same for every `hot`.
     """
     table = B.pack_blocks(docs, id_col, text_col, block_bytes, "substring")
     n = table.count()
-    shared = written(B.exchanged(table.mapInArrow(_ask_anchors(digit), B.MESSAGES), B.shared(digit), n, digit, most), "shared")
+    shared = written(B.exchanged(table.mapInArrow(_ask_anchors(digit), B.MESSAGES), _told(hot, digit), n, digit, most), "shared")
     asked = table.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(_ask_seeds(digit), B.MESSAGES)
-    found = B.exchanged(asked, _extension(digit), n, digit, most, wrap=lean_group, wrap_two=lean_cogroup)
+    found = B.exchanged(asked, _both(digit), n, digit, most, wrap=lean_group, wrap_two=lean_cogroup)
     both = found.union(shared.selectExpr("prefix", "block", f"bucket + {_SHARED} as bucket", "body"))
     out = table.groupBy("block").cogroup(both.groupBy("block")).applyInArrow(_cut(with_text), _OUT)
     return out if with_text else out.drop("kept_text")

@@ -58,8 +58,9 @@ def test_operators_on_repeated_rows_and_rows_without_id(spark, ranks):
             assert sorted(str(x.doc_id) for x in out.collect()) == ids
         assert sum(x.length for x in packing.pack_documents(dealt, ranks, tokenizers_files.PATTERN).collect() if x.doc_id in (1, None)) == sum(x.doc_tokens for x in packing.pack_documents(dealt, ranks, tokenizers_files.PATTERN).collect() if x.start == 0 and x.doc_id in (1, None))
         # copies of one id don't remove each other; rows without an id come last
-        words = sorted((str(x.doc_id), x.n_removed) for x in substring_dedup.remove_repeats(dealt, block_bytes=400).collect())
-        assert words == [("1", 0), ("1", 0), ("2", 50), ("3", 0), ("None", 0), ("None", 50), ("None", 50)]
+        for hot in (0, substring_dedup.HOT):
+            words = sorted((str(x.doc_id), x.n_removed) for x in substring_dedup.remove_repeats(dealt, block_bytes=400, hot=hot).collect())
+            assert words == [("1", 0), ("1", 0), ("2", 50), ("3", 0), ("None", 0), ("None", 50), ("None", 50)]
         n = len(text)
         for hot in (0, suffix_dedup.HOT):
             gone = sorted((str(x.doc_id), x.n_removed) for x in suffix_dedup.remove_repeated_bytes(dealt, block_bytes=400, hot=hot).collect())
@@ -75,8 +76,9 @@ def test_a_text_larger_than_a_block_and_several_levels_of_the_exchange(spark, ra
     rows.append((40, rows[0][1].upper()[:50_000] + rows[0][1][50_000:]))
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     small = {"block_bytes": 2000, "digit": 2, "most": 3}
-    got = {x.doc_id: (x.n_words, x.n_removed, x.kept_sha256) for x in substring_dedup.remove_repeats(docs, **small).collect()}
-    assert got == ref.word_repeats(rows)
+    for hot in (0, 30, substring_dedup.HOT):
+        got = {x.doc_id: (x.n_words, x.n_removed, x.kept_sha256) for x in substring_dedup.remove_repeats(docs, **small, hot=hot).collect()}
+        assert got == ref.word_repeats(rows)
     for hot in (30, suffix_dedup.HOT):
         got = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in suffix_dedup.remove_repeated_bytes(docs, **small, hot=hot).collect()}
         assert got == ref.byte_repeats(rows)
@@ -140,3 +142,29 @@ def test_private_data_in_time_that_grows_with_the_text(piece):
 def test_cues_in_any_case():
     anchors = pii.automaton()
     assert pii.redact("IbAn DE89 3704 0044 0532 0130 00 aCCount 12345678 İ SSN 123-45-6789", anchors) == "IbAn [ACCOUNT] aCCount [ACCOUNT] İ SSN [ACCOUNT]"
+
+
+def test_a_phrase_in_many_unlike_texts_gathers_nothing(spark):
+    """One five-word phrase is an anchor of very many texts: its surroundings must not meet in one group."""
+    from collections import Counter
+
+    from stratavox.llm import blocks
+
+    r = random.Random(21)
+    phrase = "all rights are reserved here"
+    rows = [(i, f"{prose(r, 30, 5000)} {phrase} {prose(r, 30, 5000)}") for i in range(20_000)]
+    rows += [(20_000 + i, rows[i * 7][1]) for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    table = blocks.pack_blocks(docs, "doc_id", "text", 1 << 18, "probe")
+    for hot, least, most in ((1 << 30, 1500, 1 << 30), (500, 0, 500)):
+        told = blocks.exchanged(table.mapInArrow(substring_dedup._ask_anchors(6), blocks.MESSAGES), substring_dedup._told(hot, 6), 512)
+        asked = table.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(substring_dedup._ask_seeds(6), blocks.MESSAGES)
+        at, windows = Counter(), 0
+        for x in asked.collect():
+            if x.prefix == 0:
+                at.update(substring_dedup._read([bytes(x.body)[1:]])[0].tolist())
+            else:
+                windows += len(bytes(x.body))
+        assert least <= max(at.values()) <= most and (windows > 0) == (hot == 500)
+    got = {x.doc_id: (x.n_words, x.n_removed, x.kept_sha256) for x in substring_dedup.remove_repeats(docs, block_bytes=1 << 18, hot=500).collect()}
+    assert got == ref.word_repeats(rows)
