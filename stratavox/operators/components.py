@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -75,15 +76,87 @@ def components(edges: DataFrame) -> DataFrame:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def grid_components(cells: DataFrame, nx: int, ny: int) -> DataFrame:
-    """Cells (z, y, x) with the least index of their 6-neighbour component as `root`; index counts x, then y, then z."""
+#: Cells that are labelled together, and at least one level of them.
+SLAB = 1 << 20
+
+
+def labels(index: np.ndarray, nx: int, ny: int) -> np.ndarray:
+    """Least index of the 6-neighbour component of each cell; cells are sorted indices.
+
+    Neighbours are found by binary search; roots point at their least neighbour, then all cells at the
+    root of their root, until nothing changes: a few passes over arrays.
+    """
+    n = len(index)
+    x, y = index % nx, index // nx % ny
+    pairs = []
+    for step, inside in ((1, x < nx - 1), (nx, y < ny - 1), (nx * ny, None)):
+        from_ = np.arange(n) if inside is None else np.flatnonzero(inside)
+        at = np.searchsorted(index, index[from_] + step)
+        hit = at < n
+        hit[hit] = index[at[hit]] == index[from_[hit]] + step
+        pairs.append((from_[hit], at[hit]))
+    u, v = (np.concatenate(p) for p in zip(*pairs, strict=True))
+    root = np.arange(n)
+    while len(u):
+        a, b = root[u], root[v]
+        apart = a != b
+        u, v, a, b = u[apart], v[apart], a[apart], b[apart]
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while not np.array_equal(up := root[root], root):
+            root = up
+    return index[root]
+
+
+def _slabs(nx: int, ny: int, slab: int):
+    """Cells in order of their index to cells with the label of their slab, its number, and whether they lie at a face of it."""
+    plane = nx * ny
+
+    def done(index: np.ndarray) -> pa.RecordBatch:
+        index = index[np.diff(index, prepend=index[0] - 1) > 0]
+        z = index // plane
+        return pa.RecordBatch.from_arrays([pa.array(index), pa.array(labels(index, nx, ny)), pa.array(np.full(len(index), z[0])), pa.array((z == z[0]) | (z == z[-1]))], ["index", "label", "slab", "face"])
+
+    def run(batches):
+        held: list[np.ndarray] = []
+        size = 0
+        for batch in batches:
+            held.append(batch.column(0).to_numpy())
+            size += len(held[-1])
+            if size < 2 * slab:
+                continue
+            whole = np.concatenate(held)
+            # Cut between levels, the last of which may go on in the next batch.
+            ends = np.flatnonzero(np.diff(whole // plane)) + 1
+            at = 0
+            while (far := ends[ends >= at + slab]).size:
+                yield done(whole[at : far[0]])
+                at = int(far[0])
+            held, size = [whole[at:]], len(whole) - at
+        if size:
+            yield done(np.concatenate(held))
+
+    return run
+
+
+def grid_components(cells: DataFrame, nx: int, ny: int, slab: int = SLAB) -> DataFrame:
+    """Cells (z, y, x) with the least index of their 6-neighbour component as `root`; index counts x, then y, then z.
+
+    Cells are dealt by ranges of z and labelled slab by slab, with no shuffle of edges. Only faces of
+    slabs meet, as pairs of labels, and only those are components of a graph; the roots come back to
+    the labels. Repeated cells are one.
+    """
+    ship(cells.sparkSession)
     index = ((F.col("z") * ny + F.col("y")) * nx + F.col("x")).cast("long")
-    named = cells.withColumn("index", index)
-    steps = F.array(*[F.struct(F.lit(dz).alias("dz"), F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dz, dy, dx in ((1, 0, 0), (0, 1, 0), (0, 0, 1))])
-    ahead = named.select(F.col("index").alias("u"), "z", "y", "x", F.explode(steps).alias("s"))
-    ahead = ahead.select("u", (F.col("z") + F.col("s.dz")).alias("z"), (F.col("y") + F.col("s.dy")).alias("y"), (F.col("x") + F.col("s.dx")).alias("x"))
-    edges = ahead.join(named.select("z", "y", "x", F.col("index").alias("v")), ["z", "y", "x"]).select("u", "v")
-    return named.join(components(edges).withColumnRenamed("node", "index"), "index", "left").withColumn("root", F.coalesce("root", "index"))
+    dealt = cells.select(index.alias("index")).withColumn("_z", F.floor(F.col("index") / (nx * ny)))
+    ordered = dealt.repartitionByRange("_z").sortWithinPartitions("index").select("index")
+    labelled = written(ordered.mapInArrow(_slabs(nx, ny, slab), "index long, label long, slab long, face boolean"), "slabs")
+    face = labelled.filter("face")
+    above = face.select((F.col("index") - nx * ny).alias("index"), F.col("label").alias("v"), F.col("slab").alias("other"))
+    edges = face.join(above, "index").filter("slab <> other").select(F.col("label").alias("u"), "v").distinct()
+    roots = components(edges).withColumnRenamed("node", "label")
+    i = F.col("index")
+    placed = labelled.join(roots, "label", "left").select("index", F.coalesce("root", "label").alias("root"))
+    return placed.select(F.floor(i / (nx * ny)).alias("z"), (F.floor(i / nx) % ny).alias("y"), (i % nx).alias("x"), "index", "root")
 
 
 def cloud_figures(cells: DataFrame, split: float = 7000.0) -> DataFrame:
