@@ -9,7 +9,7 @@ from ..operators import catalog as C
 from ..schemas import JOB_VARIABLES, VARIABLES, variables
 from ..sources import listings, logs, sinks
 from ..storage import scratch
-from ..streaming import progress
+from ..streaming import progress, stateful
 from .base import CATALOG_SQL, DISK_SQL, NOW, POLICY_SQL, STAMP, TODAY, TILESETS_SQL, catalog, disk, policy, query, stamp, table, tilesets
 
 K = f"WITH {CATALOG_SQL}"
@@ -413,3 +413,28 @@ def stream_progress(spark, sf):
     q = stream.writeStream.outputMode("complete").foreachBatch(replace).option("checkpointLocation", state).trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(at)
+
+
+_QUEUE = """q AS (SELECT CAST(user_id AS VARCHAR) AS folder, event_id AS seq, CASE event_id % 7 WHEN 5 THEN 'finished' WHEN 6 THEN 'failed' WHEN 4 THEN 'failed' ELSE 'queued' END AS kind FROM events),
+n AS (SELECT *, row_number() OVER (PARTITION BY folder ORDER BY seq) AS i FROM q)"""
+
+
+@query(
+    "claim_stream", "folder:s seq:i attempt:i",
+    f"""WITH RECURSIVE {_QUEUE}, s AS (SELECT folder, CAST(0 AS BIGINT) AS seq, CAST(0 AS BIGINT) AS i, 'free' AS status, CAST(0 AS BIGINT) AS attempt, false AS took FROM (SELECT DISTINCT folder FROM q)
+UNION ALL SELECT n.folder, n.seq, n.i, CASE WHEN s.status = 'free' AND kind = 'queued' THEN 'claimed' WHEN s.status = 'claimed' AND kind = 'finished' THEN 'ready' WHEN s.status = 'claimed' AND kind = 'failed' THEN 'free' ELSE s.status END, s.attempt + CASE WHEN s.status = 'free' AND kind = 'queued' THEN 1 ELSE 0 END, s.status = 'free' AND kind = 'queued' FROM s JOIN n ON n.folder = s.folder AND n.i = s.i + 1)
+SELECT folder, seq, attempt FROM s WHERE took""",
+)
+def claim_stream(spark, sf):
+    """Queue events through a stream in two parts, stopped between them: claims by keyed state."""
+    source, state, at = (scratch(spark, name) for name in ("queue", "state", "claims"))
+    e = table(spark, sf, "events")
+    kind = F.when(F.col("event_id") % 7 == 5, "finished").when(F.col("event_id") % 7 == 6, "failed").when(F.col("event_id") % 7 == 4, "failed").otherwise("queued")
+    queue = e.select(F.col("user_id").cast("string").alias("folder"), F.col("event_id").alias("seq"), kind.alias("kind"))
+    half = queue.agg(F.expr("(min(seq) + max(seq)) div 2").alias("half"))
+    for early in (True, False):
+        part = queue.join(F.broadcast(half)).filter((F.col("seq") <= F.col("half")) == early).drop("half")
+        part.write.mode("append").parquet(source)
+        stream = spark.readStream.schema("folder string, seq long, kind string").parquet(source)
+        stateful.started(stateful.claims(stream), at, state).awaitTermination()
+    return spark.read.schema("folder string, seq long, attempt long").parquet(at)
