@@ -15,6 +15,8 @@ from ..functions.geo import col, day_offset
 FETCH_MODES = ("fetch_and_purge", "fetch_only")
 #: Lower bound, in days, of the first retention rule.
 OPEN_END = -9999
+#: Fixed value: the path that a tile is served at, with folder, zoom, x and row.
+TILE_PATH = r"(\d{10}_\d{3})/tiles/(\d+)/(\d+)/(\d+)\.ktx2"
 #: Hours between model runs.
 CADENCE = 3
 
@@ -272,7 +274,7 @@ def as_json(df: DataFrame) -> DataFrame:
 
 def servable(paths: DataFrame) -> DataFrame:
     """Paths that the service may answer, with folder, zoom, x, y; shadow maps have no tile."""
-    tile = r"^(\d{10}_\d{3})/tiles/(\d+)/(\d+)/(\d+)\.ktx2$"
+    tile = f"^{TILE_PATH}$"
     shadow = r"^(\d{10}_\d{3})/shadow_map\.ktx2$"
     good = paths.filter(F.col("path").rlike(tile) | F.col("path").rlike(shadow))
     part = lambda i: F.regexp_extract("path", tile, i).try_cast("int")

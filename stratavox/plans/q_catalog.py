@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..operators import catalog as C
 from ..schemas import JOB_VARIABLES, VARIABLES, variables
-from ..sources import listings, logs, sinks
+from ..sources import listings, logs, sinks, tile_table
 from ..storage import scratch
 from ..streaming import progress, stateful
 from .base import CATALOG_SQL, DISK_SQL, NOW, POLICY_SQL, STAMP, TODAY, TILESETS_SQL, catalog, disk, policy, query, stamp, table, tilesets
@@ -438,3 +438,22 @@ def claim_stream(spark, sf):
         stream = spark.readStream.schema("folder string, seq long, kind string").parquet(source)
         stateful.started(stateful.claims(stream), at, state).awaitTermination()
     return spark.read.schema("folder string, seq long, attempt long").parquet(at)
+
+
+_TILES = "t AS (SELECT '19950613' || lpad(CAST(p_partkey % 3 * 6 AS VARCHAR), 2, '0') || '_003' AS folder, 9 + p_partkey % 2 AS zoom, p_size % 8 AS x, p_partkey AS row, p_name AS name FROM part)"
+
+
+@query(
+    "tile_lookup", "path:s content:s",
+    f"WITH {_TILES}, r AS (SELECT '19950613' || lpad(CAST(o_custkey % 4 * 6 AS VARCHAR), 2, '0') || '_003/tiles/' || (9 + o_custkey % 2) || '/' || (o_orderkey % 8) || '/' || o_custkey || CASE WHEN o_orderkey % 5 = 0 THEN '.png' ELSE '.ktx2' END AS path FROM orders) SELECT path, name AS content FROM r LEFT JOIN t ON path = folder || '/tiles/' || zoom || '/' || x || '/' || row || '.ktx2'",
+)
+def tile_lookup(spark, sf):
+    """A table of tiles by folder, zoom and x, part of it written again, and what each requested path finds."""
+    at = scratch(spark, "tiles")
+    k, hour = F.col("p_partkey"), lambda c: F.lpad((c * 6).cast("string"), 2, "0")
+    tiles = table(spark, sf, "part").select(F.concat(F.lit("19950613"), hour(k % 3), F.lit("_003")).alias("folder"), (9 + k % 2).alias("zoom"), (F.col("p_size") % 8).alias("x"), k.alias("row"), F.col("p_name").cast("binary").alias("content"))
+    tile_table.save(tiles.withColumn("content", F.when(F.col("x") < 4, F.lit(b"old")).otherwise(F.col("content"))), at)
+    tile_table.save(tiles.filter("x < 4"), at)
+    o, c = F.col("o_orderkey"), F.col("o_custkey")
+    path = F.concat(F.lit("19950613"), hour(c % 4), F.lit("_003/tiles/"), 9 + c % 2, F.lit("/"), o % 8, F.lit("/"), c, F.when(o % 5 == 0, ".png").otherwise(".ktx2"))
+    return tile_table.many(table(spark, sf, "orders").select(path.alias("path")), at).select("path", F.col("content").cast("string").alias("content"))
