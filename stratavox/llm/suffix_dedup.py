@@ -411,14 +411,15 @@ def _marks(every: list[list[tuple]], first: dict, marks: dict) -> list[bytes]:
 def _repeats(bodies: list[bytes]) -> list[bytes]:
     """For each surroundings asked: the byte 1 if all its windows repeat earlier ones, else 0 and the windows that do as bits."""
     every, first = _distinct(bodies)
-    groups: dict[int, list[bytes]] = {}
+    # Grams of one hash that differ are apart: a group's surroundings hold the same bytes at their gram.
+    groups: dict[tuple[int, bytes], list[bytes]] = {}
     marks = {}
-    for key, context in first:
+    for (key, context), place in first.items():
         if len(context) < WINDOW:
             marks[key, context] = b"\0"  # a window of a hot gram, of which the first one stays
         else:
-            groups.setdefault(key, []).append(context)
-    for key, contexts in groups.items():
+            groups.setdefault((key, context[place[2] : place[2] + GRAM]), []).append(context)
+    for (key, _), contexts in groups.items():
         places = [first[key, c] for c in contexts]
         found = repeated_windows(contexts, [(p[0], p[1]) for p in places], [p[2] for p in places])
         for c, m in zip(contexts, found, strict=True):

@@ -168,3 +168,18 @@ def test_a_phrase_in_many_unlike_texts_gathers_nothing(spark):
         assert least <= max(at.values()) <= most and (windows > 0) == (hot == 500)
     got = {x.doc_id: (x.n_words, x.n_removed, x.kept_sha256) for x in substring_dedup.remove_repeats(docs, block_bytes=1 << 18, hot=500).collect()}
     assert got == ref.word_repeats(rows)
+
+
+def test_grams_of_one_hash_are_told_apart():
+    """Two grams whose hashes clash, followed by the same bytes, and two equal ones beside them."""
+    import zstandard
+
+    from stratavox.llm import blocks
+
+    tail = bytes(range(100, 168))
+    a, b = b"A" * suffix_dedup.GRAM + tail, b"B" * suffix_dedup.GRAM + tail
+    same = b"xyz" + a
+    ((_, body),) = suffix_dedup._messages([(5, a, 1, 0, 0), (5, b, 2, 0, 0), (5, same, 3, 0, 3)], 0, 6)
+    (answer,) = suffix_dedup._repeats([body])
+    marks = blocks.split_body(zstandard.ZstdDecompressor().decompress(answer))
+    assert marks[:2] == [b"\0", b"\0"] and marks[2][0] == 0 and marks[2][1:] == bytes([0b00010000])
