@@ -697,7 +697,7 @@ def _grib_files(spark, sf) -> str:
 @query("grib_fields", "var:s level:i iy:i ix:i value:d", f"WITH {_GRIB} SELECT * FROM g")
 def grib_fields(spark, sf):
     """Messages packed from part and decoded again, each by its own range of its file."""
-    return grib2.cube(grib2.fields(grib2.inventory(spark, _grib_files(spark, sf)))).withColumn("value", F.round("value", 2))
+    return grib2.cube(grib2.fields(grib2.inventory(spark, _grib_files(spark, sf)))).withColumn("value", F.round(F.col("value").cast("double"), 2))
 
 
 @query(
@@ -707,7 +707,7 @@ def grib_fields(spark, sf):
 def grib_region(spark, sf):
     """Some variables and levels, chosen from headers, cut to a box of coordinates that includes both ends."""
     found = grib2.inventory(spark, _grib_files(spark, sf)).filter("short_name <> 'qv' AND level BETWEEN 10 AND 30")
-    return grib2.cube(grib2.fields(found, (43.02, 9.54, 43.06, 9.72))).withColumn("value", F.round("value", 2))
+    return grib2.cube(grib2.fields(found, (43.02, 9.54, 43.06, 9.72))).withColumn("value", F.round(F.col("value").cast("double"), 2))
 
 
 @query(
