@@ -27,13 +27,16 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 #: Addresses with a user part, and identifiers that follow their cue.
 _URL = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*://[^\s/@:]+(?::[^\s/@]*)?@[A-Za-z0-9.-]+")
 _SCHEME = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+.-")
-_NUMBER = re.compile(r"""(?:\x20?(?:number|no\.?|id|#))?["']?\x20?[:=#]?\x20?["']?([A-Za-z]{0,2}[0-9][A-Za-z0-9]*(?:[ -][A-Za-z0-9]*[0-9][A-Za-z0-9]*)*)""", re.I)
+_NUMBER = re.compile(r"""(?:\x20?(?:number|no\.?|id|#))?["']?\x20?[:=#]?\x20?["']?([A-Za-z]{0,2}[0-9])""", re.I | re.A)
 _IBAN = re.compile(r"""(?:\x20?(?:number|no\.?|id|#))?["']?\x20?[:=#]?\x20?["']?([A-Za-z]{2}[0-9]{2})""", re.I | re.A)
 _GROUP = re.compile(r"[ -]?([A-Za-z0-9]{1,35})")
 #: The longest IBAN.
 IBAN_CHARS = 34
-#: Cues of identifiers, in lower case, with the least number of digits that follow.
-CUES = {"iban": 10, "account": 6, "acct": 6, "passport": 6, "ssn": 9, "social security": 9, "tax id": 8}
+#: A part of an account number: its first, or a further one, which is digits and at most a letter and no date, decimal or time.
+_FIRST = re.compile(r"[A-Za-z]{0,2}[0-9][A-Za-z0-9]{0,34}(?![A-Za-z0-9])")
+_FURTHER = re.compile(r"([ -])(?!(?<= )[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9]))([0-9]{1,18}[A-Za-z]?)(?![A-Za-z0-9]|[.,:/][0-9])")
+#: Cues of identifiers, in lower case, with the least and the greatest number of digits that follow.
+CUES = {"iban": (10, 34), "account": (6, 18), "acct": (6, 18), "passport": (6, 9), "ssn": (9, 9), "social security": (9, 9), "tax id": (8, 13)}
 
 
 def luhn(digits: str) -> bool:
@@ -65,6 +68,24 @@ def iban_end(text: str, start: int) -> int:
     return next((e for e in reversed(ends) if iban_valid(text[start:e])), 0)
 
 
+def number_end(text: str, start: int, least: int, most: int) -> int:
+    """The end of the number that starts here, if it has from `least` to `most` digits, or 0.
+
+    Parts behind hyphens belong to it, up to `most` digits. Parts behind spaces do while digits are
+    lacking; beyond that only those as long as the first, so that dates and counts that follow stay.
+    """
+    m = _FIRST.match(text, start)
+    if not m:
+        return 0
+    first, digits, end = len(m[0]), sum("0" <= c <= "9" for c in m[0]), m.end()
+    while m := _FURTHER.match(text, end):
+        more = digits + sum("0" <= c <= "9" for c in m[2])
+        if more > most or (m[1] == " " and digits >= least and len(m[2]) != first):
+            break
+        digits, end = more, m.end()
+    return end if least <= digits <= most else 0
+
+
 def automaton() -> ahocorasick.Automaton:
     found = ahocorasick.Automaton()
     for d in "0123456789":
@@ -131,9 +152,9 @@ def spans_of(text: str, anchors: ahocorasick.Automaton) -> list[tuple[int, int,
         elif at + 1 >= account_end:
             m = (_IBAN if kind == "iban" else _NUMBER).match(text, at + 1)
             if m:
-                start = m.start(1)
-                end = iban_end(text, start) if kind == "iban" else m.end(1)
-                if sum("0" <= c <= "9" for c in text[start:end]) >= CUES[kind]:
+                start, (least, most) = m.start(1), CUES[kind]
+                end = iban_end(text, start) if kind == "iban" else number_end(text, start, least, most)
+                if sum("0" <= c <= "9" for c in text[start:end]) >= least:
                     account_end = end
                     out.append((start, end, "account"))
     return out

@@ -38,6 +38,18 @@ def test_ibans_with_letters_and_what_follows():
     assert pii.redact("IBAN NL91 ABNA 0417 1643 00.", anchors) == "IBAN [ACCOUNT]."
 
 
+def test_accounts_end_where_their_digits_do():
+    anchors = pii.automaton()
+    for cue, number, after in [
+        ("SSN: ", "123-45-6789", " 2024-01-02 10"), ("ssn ", "123-45-6789", " 10 20 30"), ("Social Security number: ", "123 45 6789", " 100"), ("passport ", "AB1234567", " 10 20"), ("passport no. ", "C01X00T47", "."),
+        ("account ", "1234 5678 9012", " 10"), ("account number: ", "12345678", " 2024-01-02"), ("acct# ", "0123-4567-89", "-0123456789 12"), ("account ", "1234 5678", " 2024-01-02"), ("account ", "12 34 56", " 10:30"), ("tax id ", "12-3456789", ", 3"),
+    ]:
+        text = cue + number + after
+        assert [s for s in pii.spans_of(text, anchors) if s[2] == "account"] == [(len(cue), len(cue + number), "account")], text
+    for text in ("ssn 123-45-67890", "passport 123456789012", "account 12345", "tax id 12 345"):
+        assert "account" not in [s[2] for s in pii.spans_of(text, anchors)], text
+
+
 def test_addresses_glued_to_other_characters():
     anchors = pii.automaton()
     for before in ("", "1", ".", "-", "2.-"):
