@@ -7,19 +7,34 @@ removed, and a document that loses more than half of its words is rejected.
 from __future__ import annotations
 
 import re
-from collections import Counter
+from functools import cache
 
+import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import SPACE, mapped, texts
 
-#: Phrases of page furniture, matched in any case within a line of at most 40 words.
-BOILERPLATE = re.compile(
-    rb"all rights reserved|privacy policy|cookie policy|uses? cookies|accept (?:all )?cookies|terms of (?:use|service)"
-    rb"|enable javascript|subscribe to our|sign up for our|click here to|follow us on|skip to (?:main )?content|back to top",
-    re.I,
-)
+#: Phrases of page furniture, by language, in lower case; they count in any case within a line of at most 40 words.
+PHRASES = {
+    "en": (
+        "all rights reserved", "privacy policy", "cookie policy", "use cookies", "uses cookies", "accept cookies", "accept all cookies", "terms of use", "terms of service", "enable javascript",
+        "subscribe to our", "sign up for our", "click here to", "follow us on", "skip to content", "skip to main content", "back to top", "share this article", "share this page",
+    ),
+    "de": (
+        "alle rechte vorbehalten", "datenschutzerklärung", "cookie-richtlinie", "verwendet cookies", "verwenden cookies", "cookies akzeptieren", "cookies zulassen", "nutzungsbedingungen",
+        "aktivieren sie javascript", "newsletter abonnieren", "klicken sie hier", "folgen sie uns", "zum inhalt springen", "zum hauptinhalt springen", "zurück nach oben", "diesen artikel teilen",
+    ),
+    "fr": (
+        "tous droits réservés", "politique de confidentialité", "politique de cookies", "utilise des cookies", "utilisons des cookies", "accepter les cookies", "accepter tous les cookies",
+        "conditions d'utilisation", "conditions générales d'utilisation", "activer javascript", "abonnez-vous à", "cliquez ici", "suivez-nous sur", "aller au contenu", "haut de page", "partager cet article",
+    ),
+    "es": (
+        "todos los derechos reservados", "política de privacidad", "política de cookies", "utiliza cookies", "utilizamos cookies", "aceptar cookies", "aceptar todas las cookies", "términos de uso",
+        "condiciones de uso", "habilite javascript", "suscríbete a", "haga clic aquí", "síguenos en", "saltar al contenido", "volver arriba", "compartir este artículo",
+    ),
+}
 _SEPARATORS = (b"|", b">", b"\xc2\xbb", b"\xe2\x80\xba", b"\xc2\xb7", b"\xe2\x80\xa2")
 _ENDS = re.compile(rb"[.!?;:]|\xe2\x80\xa6|\xe3\x80\x82|\xd8\x9f|\xef\xbc\x81|\xef\xbc\x9f")
 _SYMBOLS = b"#*$%&|<>"
@@ -29,15 +44,33 @@ LONG_LINE = 30
 WINDOW = 5
 
 
-def line_fails(line: bytes) -> bool:
-    """Whether one line is navigation, boilerplate or lacks the punctuation of prose; a blank line never fails."""
+@cache
+def _phrases() -> ahocorasick.Automaton:
+    found = ahocorasick.Automaton()
+    for phrases in PHRASES.values():
+        for phrase in phrases:
+            found.add_word(phrase, phrase)
+    found.make_automaton()
+    return found
+
+
+def has_furniture(text: bytes) -> bool:
+    """Whether a phrase of page furniture is in the text, in any case."""
+    return next(_phrases().iter(text.decode("utf-8", "replace").lower()), None) is not None
+
+
+def line_fails(line: bytes, furniture: bool = True) -> bool:
+    """Whether one line is navigation, boilerplate or lacks the punctuation of prose; a blank line never fails.
+
+    Without `furniture` the text around it is known to have no phrase of it.
+    """
     words = line.split()
     if not words:
         return False
     n = len(words)
     if sum(map(words.count, _SEPARATORS)) >= max(2, n // 5):
         return True
-    if n <= 40 and BOILERPLATE.search(line):
+    if furniture and n <= 40 and has_furniture(line):
         return True
     symbols = len(line) - len(line.translate(None, _DROP_SYMBOLS))
     return symbols * 5 > len(line) or (n >= LONG_LINE and not _ENDS.search(line))
@@ -46,28 +79,41 @@ def line_fails(line: bytes) -> bool:
 def clean_lines(text: bytes) -> tuple[bytes, int, int]:
     """The text without failing lines, the number of those lines and of their words."""
     lines = text.split(b"\n")
-    failed = [line_fails(x) for x in lines]
+    furniture = has_furniture(text)
+    failed = [line_fails(x, furniture) for x in lines]
     if not any(failed):
         return text, 0, 0
     gone = [x for x, f in zip(lines, failed, strict=True) if f]
     return b"\n".join(x for x, f in zip(lines, failed, strict=True) if not f), len(gone), sum(len(x.split()) for x in gone)
 
 
+def _ranked(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A number for each pair, equal for equal pairs."""
+    return np.unique(a * (b.max() + 1) + b, return_inverse=True)[1]
+
+
+def repeat_words(ids: np.ndarray) -> int:
+    """Words, given by their numbers, in windows found twice or more: windows are numbered by the numbers of their parts."""
+    if len(ids) <= WINDOW:
+        return 0
+    two = _ranked(ids[:-1], ids[1:])
+    if two.max() + 1 == len(two):
+        return 0
+    five = _ranked(_ranked(two[:-2], two[2:])[:-1], ids[4:])
+    starts = np.flatnonzero(np.bincount(five)[five] > 1)
+    return int(np.minimum(np.diff(starts, append=len(ids)), WINDOW).sum())
+
+
 def figures(text: bytes) -> tuple:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, n_lines_removed, n_words_removed."""
-    words = text.split()
-    n = len(words)
+    seen: dict[bytes, int] = {}
+    lines = text.split(b"\n")
+    ids = np.fromiter((seen.setdefault(w, len(seen)) for x in lines for w in x.split()), np.int64)
+    n = len(ids)
     chars = len(text.decode("utf-8", "replace")) - sum(text.count(c) for c in SPACE)
     symbols = len(text) - len(text.translate(None, _DROP_SYMBOLS))
-    lines = [x for x in text.split(b"\n") if x.strip()]
-    repeats = 0
-    grams = list(zip(*(words[i:] for i in range(WINDOW)), strict=False))
-    if len(set(grams)) < len(grams):
-        counts, until = Counter(grams), 0
-        for i, g in enumerate(grams):
-            if counts[g] > 1:
-                repeats += i + WINDOW - max(i, until)
-                until = i + WINDOW
+    lines = [x for x in lines if x.strip()]
+    repeats = repeat_words(ids)
     failed = n < 10 or 100 * repeats > 20 * n
     _, n_lines, lost = clean_lines(text)
     return n, chars, symbols, len(lines) - len(set(lines)), repeats, failed, not failed and 2 * lost <= n, n_lines, lost

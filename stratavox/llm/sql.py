@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from .quality import PHRASES
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+_PHRASES = "|".join(x.replace("'", "''") for phrases in PHRASES.values() for x in phrases)
 
 EXACT_DEDUP = r"""
 WITH d AS (
@@ -35,7 +38,7 @@ lines AS (SELECT doc_id, l, {_WORDS.format("l")} AS w FROM (SELECT doc_id, unnes
 dup AS (SELECT doc_id, count(*) - count(DISTINCT l) AS n FROM lines WHERE len(w) > 0 GROUP BY doc_id),
 bad AS (SELECT doc_id, count(*) AS n_lines, sum(len(w)) AS n FROM lines WHERE len(w) > 0 AND (
     len(list_filter(w, lambda x: x IN ('|', '>', '»', '›', '·', '•'))) >= greatest(2, len(w) // 5)
-    OR (len(w) <= 40 AND regexp_matches(l, 'all rights reserved|privacy policy|cookie policy|uses? cookies|accept (all )?cookies|terms of (use|service)|enable javascript|subscribe to our|sign up for our|click here to|follow us on|skip to (main )?content|back to top', 'i'))
+    OR (len(w) <= 40 AND regexp_matches(lower(l), '{_PHRASES}'))
     OR 5 * (length(l) - length(regexp_replace(l, '[#*$%&|<>]', '', 'g'))) > strlen(l)
     OR (len(w) >= 30 AND NOT regexp_matches(l, '[.!?;:…。؟！？]'))) GROUP BY doc_id),
 f AS (SELECT w.doc_id, len(w) AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS word_chars,

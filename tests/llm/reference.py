@@ -120,3 +120,50 @@ def byte_repeats(docs, n=100):
         spans = sum(1 for j, g in enumerate(gone) if g and (j == 0 or not gone[j - 1]))
         out[i] = (len(b), sum(gone), spans, hashlib.sha256(bytes(x for x, g in zip(b, gone, strict=True) if not g)).hexdigest())
     return out
+
+
+def cleaned(text, phrases):
+    """The text without lines that are navigation, furniture, symbols or long without an end; None if more than half of its words go."""
+    kept, lost = [], 0
+    for line in (text or "").split("\n"):
+        w = re.findall(r"[^\x20\x09-\x0D]+", line)
+        bars = sum(x in ("|", ">", "»", "›", "·", "•") for x in w)
+        furniture = len(w) <= 40 and any(p in line.lower() for p in phrases)
+        symbols = 5 * len(re.findall(r"[#*$%&|<>]", line)) > len(line.encode())
+        endless = len(w) >= 30 and not re.search("[.!?;:…。؟！？]", line)
+        if w and (bars >= max(2, len(w) // 5) or furniture or symbols or endless):
+            lost += len(w)
+        else:
+            kept.append(line)
+    n, *_, failed = quality(text)
+    return None if failed or 2 * lost > n else "\n".join(kept)
+
+
+def iban_ok(text):
+    s = re.sub("[ -]", "", text).upper()
+    return 15 <= len(s) <= 34 and int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
+
+
+def redacted(text):
+    """Base kinds and addresses by regular expressions, account numbers by trying every end behind each cue."""
+    kinds = ["email", "ip", "card", "phone", "url", "account"]
+    spans = [(int(a), kinds.index(k), int(b)) for k, a, b in (x.split(":") for x in private(text))]
+    spans += [(m.start(), 4, m.end()) for m in re.finditer(r"[A-Za-z][A-Za-z0-9+.-]*://[^\s/@:]+(?::[^\s/@]*)?@[A-Za-z0-9.-]+", text)]
+    for m in re.finditer(r"(?i)(iban|account|acct|passport|ssn|social security|tax id)(?: ?(?:number|no\.?|id|#))?[\"']? ?[:=#]? ?[\"']?(?=[A-Z]{0,2}[0-9])", text):
+        least, most = {"iban": (15, 34), "passport": (6, 9), "ssn": (9, 9), "social security": (9, 9), "tax id": (8, 13)}.get(m[1].lower(), (6, 18))
+        for end in range(min(m.end() + 60, len(text)), m.end(), -1):
+            found = text[m.end() : end]
+            whole = re.fullmatch("[A-Za-z0-9]+(?:[ -][A-Za-z0-9]+)*", found) and not text[end : end + 1].isalnum()
+            if m[1].lower() == "iban":
+                good = whole and re.match("[A-Za-z]{2}[0-9]{2}", found) and iban_ok(found)
+            else:
+                good = whole and " " not in found and least <= sum(c.isdigit() for c in found) <= most
+            if good:
+                spans.append((m.end(), 5, end))
+                break
+    out, done = [], 0
+    for a, k, b in sorted(spans):
+        if a >= done:
+            out += [text[done:a], f"[{kinds[k].upper()}]"]
+        done = max(done, b)
+    return "".join([*out, text[done:]])
