@@ -6,10 +6,13 @@ search within a row and the join to columns is an equi-join on (iy, ix).
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import kernels, physics
+from ..functions import kernels, physics, shear
 from ..functions.interp import clamp_index, let, pchip
 from ..session import ship
 from .stencil import stencil_16
@@ -138,6 +141,70 @@ def synthesise(points: DataFrame, columns: DataFrame, nx: int, ny: int, keys: li
     return state.withColumn("factor", factor).select(*keys, F.when(F.col("cover") > 0, value).otherwise(0.0).alias("density"))
 
 
+def _with_neighbours(targets: DataFrame, columns: DataFrame, nx: int, ny: int, keys: list[str]) -> DataFrame:
+    """Target columns with their model columns in one array, 16 at most."""
+    near = stencil_16(targets, nx, ny).join(columns.select("iy", "ix", "hhl", *shear.FIELDS), ["iy", "ix"])
+    entry = F.struct("weight", "hhl", *shear.FIELDS)
+    return near.groupBy(*keys).agg(*[F.first(c).alias(c) for c in targets.columns if c not in keys], F.collect_list(entry).alias("near"))
+
+
+def _shear_rows(keys: list[str], density: bool):
+    """Batches of target columns as rows (keys, z, height and fields, or density)."""
+
+    def run(batches):
+        for batch in batches:
+            near, heights = batch.column("near"), batch.column("heights")
+            entries = near.flatten()
+            ends, tops = np.cumsum(pc.list_value_length(near).to_numpy(zero_copy_only=False)), np.cumsum(pc.list_value_length(heights).to_numpy(zero_copy_only=False))
+            starts, floors = np.concatenate([[0], ends[:-1]]), np.concatenate([[0], tops[:-1]])
+            whole = lambda name: pc.struct_field(entries, name).flatten().to_numpy(zero_copy_only=False).reshape(len(entries), -1)  # noqa: B023, E731
+            weight, hhl, w = pc.struct_field(entries, "weight").to_numpy(zero_copy_only=False), whole("hhl"), whole("w")
+            cells = np.stack([whole(name)[:, : hhl.shape[1] - 1] for name in shear.CELLS])
+            h = heights.flatten().to_numpy(zero_copy_only=False)
+            fields, du, dv = np.zeros((len(shear.FIELDS), len(h))), np.zeros(len(h)), np.zeros(len(h))
+            for a, b, c, d in zip(starts, ends, floors, tops, strict=True):
+                got = shear.sampled(h[c:d], weight[a:b], hhl[a:b], cells[:, a:b], w[a:b])
+                fields[:, c:d] = got
+                du[c:d], dv[c:d] = shear.shear(h[c:d], got[shear.FIELDS.index("u")], got[shear.FIELDS.index("v")])
+            row = np.repeat(np.arange(batch.num_rows), tops - floors)
+            out = {k: batch.column(k).take(pa.array(row)) for k in keys} | {"z": pa.array(np.arange(len(h)) - floors[row], pa.int32())}
+            if density:
+                x, y = (batch.column(c).to_numpy(zero_copy_only=False)[row] for c in ("world_x", "world_y"))
+                out["density"] = pa.array(shear.voxels(x, y, h, du, dv, fields))
+            else:
+                out |= {"height": pa.array(h)} | {name: pa.array(v) for name, v in zip(shear.FIELDS, fields, strict=True)}
+            yield pa.RecordBatch.from_pydict(out)
+
+    return run
+
+
+def _sheared(targets: DataFrame, columns: DataFrame, nx: int, ny: int, keys: list[str], values: list[str]) -> DataFrame:
+    ship(targets.sparkSession)
+    rows = _with_neighbours(targets.filter("size(heights) > 0"), columns, nx, ny, keys)
+    schema = ", ".join([f"`{k}` {targets.schema[k].dataType.simpleString()}" for k in keys] + ["z int"] + [f"{v} double" for v in values])
+    return rows.mapInArrow(_shear_rows(keys, values == ["density"]), schema)
+
+
+def sample_older(targets: DataFrame, columns: DataFrame, nx: int, ny: int, keys: list[str]) -> DataFrame:
+    """Fields of the older kernel up whole target columns: a row (keys, z, height, fields) for each height.
+
+    Targets carry keys, src_x, src_y and `heights`, in ascending order. Columns hold arrays of equal
+    lengths, w and hhl one longer than cells; values come back as held. Weights aren't made up to 1, neighbours that
+    are missing or don't span a height add nothing. A target without heights or without any model column gives no rows. A
+    column's neighbours are met once for all its heights, so the join grows with columns, not with voxels.
+    """
+    return _sheared(targets, columns, nx, ny, keys, ["height", *shear.FIELDS])
+
+
+def synthesise_shear(targets: DataFrame, columns: DataFrame, nx: int, ny: int, keys: list[str]) -> DataFrame:
+    """Voxels of the older kernel: sampled up each column, sheared from the sample below, billowed, stirred, eroded.
+
+    As `sample_older`, with world_x and world_y; p is in kPa, other fields in their own units. Density is the
+    extinction per metre, 0 without cover.
+    """
+    return _sheared(targets, columns, nx, ny, keys, ["density"])
+
+
 def slice_at_altitude(cube: DataFrame, altitude: float, staggered: bool = False) -> DataFrame:
     """Values of a horizontal cut through columns (iy, ix, hhl array, values array).
 

@@ -177,6 +177,18 @@ def columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return columns_of(cube)
 
 
+def wind_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns with winds, as the older kernel takes them: fields as they are, p in kPa."""
+    from ..operators.sample import columns_of
+
+    iy, ix, lv = F.col("iy"), F.col("ix"), F.col("level")
+    winds = {"u": ((iy + lv) % 9) * 25.0 - 80.0, "v": ((2 * ix + lv) % 7) * 20.0 - 50.0, "p": F.col("p") / 1000.0}
+    half = half_levels(spark, sf_dir).withColumn("w", ((2 * iy + ix + lv) % 7) * 0.5 - 0.5)
+    full = full_levels(spark, sf_dir).withColumns(winds)
+    long = lambda df: df.unpivot(["level", "iy", "ix"], [c for c in df.columns if c not in ("level", "iy", "ix")], "var", "value")
+    return columns_of(long(half).unionByName(long(full)), ("hhl", "clc", "qc", "qi", "qv", "t", "p", "u", "v", "tke", "w"))
+
+
 SAMPLES_SQL = """samples AS (
   SELECT c_custkey AS k, ((c_custkey * 37) % 1000) / 100.0 + 0.5 AS src_x, ((c_custkey * 91) % 1000) / 1000.0 + c_custkey // 16 AS src_y,
     ((c_custkey * 53) % 1100) * 10.0 + 3.0 AS height FROM customer)"""

@@ -15,7 +15,7 @@ from ..schemas import VARIABLES, variables
 from ..session import ship
 from ..sources import grib2, ktx2, raw_tiles, sinks, tile_store
 from ..storage import scratch
-from .base import CELLS_SQL, COLUMNS_SQL, GRID_SQL, LEVELS, PIXELS, POINTS_SQL, SAMPLES_SQL, VOXELS_SQL, ZOOM, cells, columns, full_levels, grid, half_levels, points, query, samples, shape, table, voxels
+from .base import CELLS_SQL, COLUMNS_SQL, GRID_SQL, LEVELS, PIXELS, POINTS_SQL, SAMPLES_SQL, VOXELS_SQL, ZOOM, cells, columns, full_levels, grid, half_levels, points, query, samples, shape, table, voxels, wind_columns
 from .q_functions import PCHIP_SQL
 
 V = f"WITH {VOXELS_SQL}"
@@ -309,6 +309,35 @@ def synthesise(spark, sf):
     return sample.synthesise(at, columns(spark, sf), *shape(spark, sf), ["k"])
 
 
+_RISING = SAMPLES_SQL.replace("samples AS", "places AS", 1) + ", samples AS (SELECT k * 4 + z AS k, src_x, src_y, height * (z + 1) / 4 AS height FROM places, range(4) u(z))"
+_OLDER = f"""WITH {COLUMNS_SQL}, {_RISING}, {_STENCIL},
+j0 AS (SELECT *, greatest(len(list_filter([(hhl[g] + hhl[g + 1]) / 2 FOR g IN range(1, 11)], lambda c: c >= height)) - 1, 0) AS k0, [((2 * iy + ix + l) % 7) * 0.5 - 0.5 FOR l IN range(11)] AS w_l FROM near JOIN hcol USING (iy, ix) JOIN fcol USING (iy, ix)),"""
+_OLDER_END = "coalesce(sum(value * w) FILTER (height < hhl[1] AND height > hhl[11]), 0) AS v FROM done GROUP BY k"
+_OLDER_T = f"""{_OLDER} j AS (SELECT *, k0 AS kk FROM j0),
+{_nodes_sql([f"({_EDGE('hhl', f'kk + {d}', 11)} + {_EDGE('hhl', f'kk + {d + 1}', 11)}) / 2" for d in (-1, 0, 1, 2)], [_EDGE('t_l', f'kk + {d}', 10) for d in (-1, 0, 1, 2)], 'height', 'j')}
+SELECT k, {_OLDER_END}"""
+_OLDER_W = f"""{_OLDER} j AS (SELECT *, k0 + CASE WHEN height >= {_EDGE('hhl', 'k0 + 1', 11)} THEN 0 ELSE 1 END AS kk FROM j0),
+{_nodes_sql([_EDGE('hhl', f'kk + {d}', 11) for d in (-1, 0, 1, 2)], [_EDGE('w_l', f'kk + {d}', 11) for d in (-1, 0, 1, 2)], 'height', 'j')}
+SELECT k, {_OLDER_END}"""
+
+
+def _rising(spark, sf):
+    """Target columns of four heights each."""
+    h, k = F.col("height"), F.col("k")
+    return samples(spark, sf).select("k", "src_x", "src_y", F.transform(F.sequence(F.lit(1), F.lit(4)), lambda i: h * i / 4).alias("heights"), (k * 211.0).alias("world_x"), (k * 97.0).alias("world_y"))
+
+
+@query("sample_older", "k:i z:i t:d w:d", f"SELECT k // 4 AS k, k % 4 AS z, t.v AS t, w.v AS w FROM ({_OLDER_T}) t JOIN ({_OLDER_W}) w USING (k)")
+def sample_older(spark, sf):
+    return sample.sample_older(_rising(spark, sf), wind_columns(spark, sf), *shape(spark, sf), ["k"])
+
+
+@query("synthesise_shear", "k:i z:i density:d")
+def synthesise_shear(spark, sf):
+    """No SQL, for the noise at many scales; tests compare it with plain arithmetic, voxel by voxel."""
+    return sample.synthesise_shear(_rising(spark, sf), wind_columns(spark, sf), *shape(spark, sf), ["k"])
+
+
 _SLICE = f"WITH {COLUMNS_SQL}, h AS (SELECT iy, ix, level, hhl, lead(hhl) OVER (PARTITION BY iy, ix ORDER BY level) AS low FROM half_levels)"
 
 

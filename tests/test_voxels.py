@@ -7,9 +7,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from stratavox.functions import kernels, physics
+from stratavox.functions import kernels, physics, shear
 from stratavox.operators import bc4, sample
-from stratavox.plans.base import columns as model_columns
+from stratavox.plans.base import columns as model_columns, wind_columns
 from stratavox.plans.q_functions import SCALES
 from stratavox.session import ship
 from stratavox.sources import ktx2
@@ -218,6 +218,73 @@ def test_shear_density_and_its_extinction(spark):
     assert seen > 5
 
 
+def test_shear_kernel_up_whole_columns(spark, small):
+    """Sampling, shear, billows, displacement, density and extinction of the older kernel, voxel by voxel."""
+    columns = wind_columns(spark, small).filter("iy < 12")
+    cols = Model(columns.collect())
+    rng = np.random.default_rng(13)
+    rows = [(i, float(x), float(y), [float(v) for v in np.linspace(0, 11500, 12) + rng.uniform(0, 300)], i * 311.0, i * -97.0) for i, (x, y) in enumerate(rng.uniform(0, 11, (12, 2)))]
+    rows += [(90, 5.5, 5.5, [500.0, 500.2, 900.0], 1.0, 2.0), (91, 3.0, 3.0, [], 1.0, 2.0), (92, -3.0, 14.0, [700.0], 5.0, 6.0)]
+    targets = spark.createDataFrame(rows, "k int, src_x double, src_y double, heights array<double>, world_x double, world_y double")
+    sampled = {(r.k, r.z): r for r in sample.sample_older(targets, columns, N, N, ["k"]).collect()}
+    got = {(r.k, r.z): r.density for r in sample.synthesise_shear(targets, columns, N, N, ["k"]).collect()}
+    assert set(got) == set(sampled) == {(r[0], z) for r in rows for z in range(len(r[3]))}
+    at = lambda noise, p, xy, v, n: octaves(noise, p[0] / xy, p[1] / xy, p[2] / v, n)
+    seen = moved_ = 0
+    for k, sx, sy, heights, wx, wy in rows:
+        before = None
+        for z, h in enumerate(heights):
+            f = dict.fromkeys(shear.FIELDS, 0.0)
+            for c, weight in cols.stencil(sx, sy):
+                if not c.hhl[-1] < h < c.hhl[0]:
+                    continue
+                n = len(c.hhl) - 2
+                while n > 0 and h > (c.hhl[n] + c.hhl[n + 1]) / 2:
+                    n -= 1
+                mid = [(a + b) / 2 for a, b in zip(nodes(c.hhl, n), nodes(c.hhl, n + 1), strict=True)]
+                for name in shear.CELLS:
+                    f[name] += weight * pchip(mid, nodes(c[name][: len(c.hhl) - 1], n), h)
+                low = n if h >= c.hhl[n + 1] else n + 1
+                f["w"] += weight * pchip(nodes(c.hhl, low), nodes(c.w, low), h)
+            for name in shear.FIELDS:
+                assert sampled[k, z][name] == pytest.approx(f[name], rel=1e-9, abs=1e-12), (k, z, name)
+            du = dv = 0.0
+            if before:
+                dz = max(h - before[0], 1.0)
+                du, dv = (f["u"] - before[1]) / dz, (f["v"] - before[2]) / dz
+            before = h, f["u"], f["v"]
+            want, clc = 0.0, clip(f["clc"])
+            if clc > 0:
+                m = {q: max(f[q], 0.0) for q in ("qc", "qi", "qv", "t", "tke")} | {"p": f["p"] * 1000}
+                p, size = [wx, wy, h], math.hypot(du, dv)
+                if size > 1e-4:
+                    strength = clip((0.25 - 1 / (1 + m["tke"] * size * 100)) / 0.25)
+                    length = 7.07 * clip(math.sqrt(2 * m["tke"]) / size, 50, 500)
+                    angle, reach = 2 * math.pi * (wx * du + wy * dv) / size / length, strength * 0.3 * length
+                    p = [wx + math.sin(angle) * reach * du / size, wy + math.sin(angle) * reach * dv / size, h + math.cos(angle) * reach]
+                    moved_ += reach > 0
+                sigma = math.sqrt(m["tke"] * 2 / 3)
+                if sigma > 0.01:
+                    far = clip(sigma / math.sqrt(10 / 3)) * 150
+                    q = [v / 600 for v in p]
+                    p[0] += (octaves(kernels.perlin, q[0] + 17.3, q[1], q[2], 2) - 0.5) * far
+                    p[1] += (octaves(kernels.perlin, q[0], q[1] + 31.7, q[2], 2) - 0.5) * far
+                width = mix(600, 3200, ramp(0, 0.8, clc))
+                pair = ((600, 400), (1400, 1400)) if width < 1400 else ((1400, 1400), (3200, 4000))
+                cells = mix(*[at(kernels.worley_saturating, p, *s, 2) for s in pair], (width - pair[0][0]) / (pair[1][0] - pair[0][0]))
+                shape = mix(0.5 + 0.5 * at(kernels.perlin, p, 2000, 1000, 2), cells, ramp(0, 2, f["w"]))
+                bar = 1 - clc + (0.35 - at(kernels.worley_saturating, p, 3000, 2000, 2)) * 0.2 * ramp(0, 0.2, clc)
+                worn = clip(m["tke"] * 0.2)
+                if worn > 0.01:
+                    shape, bar = shape - worn * at(kernels.worley_saturating, p, 400, 300, 3), bar - worn / 2
+                share = clip((shape - bar) / max(clc, 0.15))
+                want = share * extinct(m, clc, 1.0, 1.0, False) if share > 0 else 0.0
+            seen += want > 0
+            assert got[k, z] == pytest.approx(want, rel=1e-7, abs=1e-9), (k, z)
+    assert seen > 20 and moved_ > 20
+    assert sample.synthesise_shear(targets.limit(0), columns, N, N, ["k"]).count() == 0
+
+
 def test_blocks_of_odd_sides_repeat_the_edge(spark):
     """Sides of 5 and 6 are filled up to 8 with the last row and column."""
     canvas = np.arange(30).reshape(5, 6) / 30
