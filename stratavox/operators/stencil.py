@@ -25,13 +25,13 @@ def smooth(voxels: DataFrame, value: str = "density", keys: tuple = ()) -> DataF
     return voxels
 
 
-def smooth_direct(voxels: DataFrame, nz: int, ny: int, nx: int, value: str = "density") -> DataFrame:
+def smooth_direct(voxels: DataFrame, nz: int, ny: int, nx: int, value: str = "density", keys: tuple = ()) -> DataFrame:
     """The same by 27 weighted neighbours: each voxel is sent to the 27 that need it; for checks of `smooth`."""
     offsets = F.array(*[F.struct(F.lit(a).alias("dz"), F.lit(b).alias("dy"), F.lit(c).alias("dx"), F.lit((2 - abs(a)) * (2 - abs(b)) * (2 - abs(c)) / 64).alias("w")) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1)])
-    wanted = voxels.select("vz", "vy", "vx", F.explode(offsets).alias("o"))
-    wanted = wanted.select("vz", "vy", "vx", "o.w", clamp_index(F.col("vz") + F.col("o.dz"), F.lit(nz)).alias("sz"), clamp_index(F.col("vy") + F.col("o.dy"), F.lit(ny)).alias("sy"), clamp_index(F.col("vx") + F.col("o.dx"), F.lit(nx)).alias("sx"))
-    source = voxels.select(F.col("vz").alias("sz"), F.col("vy").alias("sy"), F.col("vx").alias("sx"), value)
-    return wanted.join(source, ["sz", "sy", "sx"]).groupBy("vz", "vy", "vx").agg(F.sum(F.col("w") * F.col(value)).alias(value))
+    wanted = voxels.select(*keys, "vz", "vy", "vx", F.explode(offsets).alias("o"))
+    wanted = wanted.select(*keys, "vz", "vy", "vx", "o.w", clamp_index(F.col("vz") + F.col("o.dz"), F.lit(nz)).alias("sz"), clamp_index(F.col("vy") + F.col("o.dy"), F.lit(ny)).alias("sy"), clamp_index(F.col("vx") + F.col("o.dx"), F.lit(nx)).alias("sx"))
+    source = voxels.select(*keys, F.col("vz").alias("sz"), F.col("vy").alias("sy"), F.col("vx").alias("sx"), value)
+    return wanted.join(source, [*keys, "sz", "sy", "sx"]).groupBy(*keys, "vz", "vy", "vx").agg(F.sum(F.col("w") * F.col(value)).alias(value))
 
 
 def gauss_weights(sigma: float = 1.0, truncate: float = 4.0) -> list[tuple[int, float]]:
@@ -63,9 +63,9 @@ def gauss(grid: DataFrame, axis: str, size: int, keys: list[str], value: str = "
     return line.select(*keys, F.explode(F.transform(F.sequence(F.lit(0), F.lit(size - 1)), blurred)).alias("c")).select(*keys, f"c.{axis}", f"c.{value}")
 
 
-def gauss_2d(canvas: DataFrame, height: int, width: int, value: str = "value", sigma: float = 1.0) -> DataFrame:
-    """Gaussian blur of a dense canvas (py, px), along both axes."""
-    return gauss(gauss(canvas, "px", width, ["py"], value, sigma), "py", height, ["px"], value, sigma)
+def gauss_2d(canvas: DataFrame, height: int, width: int, value: str = "value", sigma: float = 1.0, keys: tuple = ()) -> DataFrame:
+    """Gaussian blur of dense canvases (keys, py, px), along both axes."""
+    return gauss(gauss(canvas, "px", width, [*keys, "py"], value, sigma), "py", height, [*keys, "px"], value, sigma)
 
 
 def stencil_16(points: DataFrame, nx: int, ny: int, x: str = "src_x", y: str = "src_y") -> DataFrame:

@@ -50,10 +50,10 @@ def pyramid(leaves: DataFrame, to_zoom: int, from_zoom: int, pixels: int = 256)
     return reduce(DataFrame.union, levels)
 
 
-def halve(voxels: DataFrame, nz: int, ny: int, nx: int) -> DataFrame:
-    """Mean of 2 x 2 x 2 voxels of a dense volume (vz, vy, vx, density); an odd last layer is cut off."""
+def halve(voxels: DataFrame, nz: int, ny: int, nx: int, keys: tuple = ()) -> DataFrame:
+    """Mean of 2 x 2 x 2 voxels of dense volumes (keys, vz, vy, vx, density); an odd last layer is cut off."""
     whole = voxels.filter((F.col("vz") < nz // 2 * 2) & (F.col("vy") < ny // 2 * 2) & (F.col("vx") < nx // 2 * 2))
-    return whole.groupBy(_half("vz").alias("vz"), _half("vy").alias("vy"), _half("vx").alias("vx")).agg(F.avg("density").alias("density"))
+    return whole.groupBy(*keys, _half("vz").alias("vz"), _half("vy").alias("vy"), _half("vx").alias("vx")).agg(F.avg("density").alias("density"))
 
 
 def mip_sizes(nz: int, ny: int, nx: int, least: int = 4) -> list[tuple[int, int, int]]:
@@ -64,15 +64,15 @@ def mip_sizes(nz: int, ny: int, nx: int, least: int = 4) -> list[tuple[int, int,
     return out
 
 
-def mip_chain(voxels: DataFrame, nz: int, ny: int, nx: int, least: int = 4) -> DataFrame:
-    """All mips of a dense volume with sides that are powers of two: level, vz, vy, vx, density.
+def mip_chain(voxels: DataFrame, nz: int, ny: int, nx: int, least: int = 4, keys: tuple = ()) -> DataFrame:
+    """All mips of dense volumes with sides that are powers of two: level, keys, vz, vy, vx, density.
 
     Each mip is averaged from the one before it, which is written.
     """
-    sizes, mips = mip_sizes(nz, ny, nx, least), [voxels.select("vz", "vy", "vx", "density")]
+    sizes, mips = mip_sizes(nz, ny, nx, least), [voxels.select(*keys, "vz", "vy", "vx", "density")]
     for large, small in zip(sizes, sizes[1:], strict=False):
         at = [(_half(c) if b < a else F.col(c)).alias(c) for c, a, b in zip(("vz", "vy", "vx"), large, small, strict=True)]
-        mips.append(written(mips[-1].groupBy(*at).agg(F.avg("density").alias("density")), "mip"))
+        mips.append(written(mips[-1].groupBy(*keys, *at).agg(F.avg("density").alias("density")), "mip"))
     return reduce(DataFrame.union, [m.select(F.lit(level).alias("level"), "*") for level, m in enumerate(mips)])
 
 
@@ -93,10 +93,10 @@ def layers(voxels: DataFrame, n: int, nz: int, keys: tuple = ("zoom", "tx", "ty"
     return voxels.groupBy(*keys, band.alias("layer"), "vy", "vx").agg(F.sum("density").alias("density"))
 
 
-def nan_figures(voxels: DataFrame, value: str = "density") -> DataFrame:
+def nan_figures(voxels: DataFrame, value: str = "density", keys: tuple = ()) -> DataFrame:
     """Sum, least and largest of each column without NaN."""
     v = F.when(~F.isnan(value), F.col(value))
-    return voxels.groupBy("vy", "vx").agg(F.coalesce(F.sum(v), F.lit(0.0)).alias("total"), F.min(v).alias("least"), F.max(v).alias("most"))
+    return voxels.groupBy(*keys, "vy", "vx").agg(F.coalesce(F.sum(v), F.lit(0.0)).alias("total"), F.min(v).alias("least"), F.max(v).alias("most"))
 
 
 def shadow_height(voxels: DataFrame, nz: int, threshold: float, keys: tuple = ("zoom", "tx", "ty"), upward: bool = True) -> DataFrame:

@@ -53,40 +53,53 @@ STAMP = "strftime({}, '%Y-%m-%d %H:%M:%S')"
 #: "Now" of all queries that need one.
 NOW, TODAY = "1995-06-15 13:40:00", "1995-06-15"
 PIXELS, LEVELS, ZOOM = 16, 8, 10
+#: Parts of a column of tiles.
+PARTS = 64
+#: Sides, all odd, of the volumes that are halved and padded.
+ODD = (7, 15, 13)
 
 # --- voxels ------------------------------------------------------------------------------------
 
 VOXELS_SQL = """voxels AS (
-  SELECT 10 AS zoom, CAST((l_partkey % 64) // 16 AS INT) AS tx, CAST((l_suppkey % 64) // 16 AS INT) AS ty,
-    CAST((l_orderkey + l_linenumber) % 8 AS INT) AS vz, CAST(l_suppkey % 16 AS INT) AS vy, CAST(l_partkey % 16 AS INT) AS vx,
-    sum(CAST(l_quantity AS BIGINT) * CAST(round(l_discount * 100) AS BIGINT)) / 100.0 AS density
+  SELECT 10 AS zoom, CAST(l_partkey // 64 AS INT) AS tx, CAST((l_suppkey % 64) // 16 AS INT) AS ty,
+    CAST((l_orderkey + l_linenumber) % 8 AS INT) AS vz, CAST(l_suppkey % 16 AS INT) AS vy, CAST(l_partkey % 64 // 4 AS INT) AS vx,
+    sum(CAST(l_quantity AS BIGINT) * CAST(round(l_discount * 100) AS BIGINT)) / 16.0 AS density
   FROM lineitem GROUP BY ALL)"""
 
 
 def voxels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A sparse volume of 4 x 4 tiles of 16 x 16 x 8 voxels at zoom 10."""
+    """A sparse volume of tiles of 16 x 16 x 8 voxels at zoom 10: four high, and as many abreast as there are 64 parts.
+
+    Densities are sixteenths, so their sums and means are exact in any order.
+    """
     li = table(spark, sf_dir, "lineitem")
     amount = F.col("l_quantity").cast("long") * F.round(F.col("l_discount") * 100).cast("long")
     keys = [
-        F.lit(ZOOM).alias("zoom"), F.floor((F.col("l_partkey") % 64) / 16).cast("int").alias("tx"), F.floor((F.col("l_suppkey") % 64) / 16).cast("int").alias("ty"),
-        ((F.col("l_orderkey") + F.col("l_linenumber")) % 8).cast("int").alias("vz"), (F.col("l_suppkey") % 16).cast("int").alias("vy"), (F.col("l_partkey") % 16).cast("int").alias("vx"),
+        F.lit(ZOOM).alias("zoom"), F.floor(F.col("l_partkey") / PARTS).cast("int").alias("tx"), F.floor((F.col("l_suppkey") % 64) / 16).cast("int").alias("ty"),
+        ((F.col("l_orderkey") + F.col("l_linenumber")) % 8).cast("int").alias("vz"), (F.col("l_suppkey") % 16).cast("int").alias("vy"), F.floor(F.col("l_partkey") % PARTS / 4).cast("int").alias("vx"),
     ]
-    return li.groupBy(*keys).agg((F.sum(amount) / 100.0).alias("density"))
+    return li.groupBy(*keys).agg((F.sum(amount) / 16.0).alias("density"))
+
+
+
+def grid_sql(nz: int, ny: int, nx: int) -> str:
+    return f"""grid AS (
+  SELECT g.tx, g.vz, g.vy, g.vx, coalesce(s.density, 0.0) AS density FROM
+    (SELECT tx, CAST(i // {ny * nx} AS INT) AS vz, CAST((i // {nx}) % {ny} AS INT) AS vy, CAST(i % {nx} AS INT) AS vx FROM (SELECT DISTINCT CAST(p_partkey // 64 AS INT) AS tx FROM part), range({nz * ny * nx}) t(i)) g
+    LEFT JOIN (SELECT tx, vz % {nz} AS vz, vy % {ny} AS vy, vx % {nx} AS vx, sum(density) AS density FROM voxels GROUP BY ALL) s USING (tx, vz, vy, vx))"""
 
 
-GRID_SQL = """grid AS (
-  SELECT g.vz, g.vy, g.vx, coalesce(s.density, 0.0) AS density FROM
-    (SELECT CAST(i // 256 AS INT) AS vz, CAST((i // 16) % 16 AS INT) AS vy, CAST(i % 16 AS INT) AS vx FROM range(2048) t(i)) g
-    LEFT JOIN (SELECT vz, vy, vx, sum(density) AS density FROM voxels GROUP BY ALL) s USING (vz, vy, vx))"""
+GRID_SQL = grid_sql(8, 16, 16)
 
 
-def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All tiles laid over each other: one dense volume of 8 x 16 x 16."""
+def grid(spark: SparkSession, sf_dir: str, nz: int = LEVELS, ny: int = PIXELS, nx: int = PIXELS) -> DataFrame:
+    """The tiles of a column (tx) laid over each other: a dense volume for each 64 parts. What lies beyond smaller sides comes in again at their start."""
     from ..operators.volume import every_voxel
 
-    cells = every_voxel(spark.range(1).select(), LEVELS, PIXELS, PIXELS)
-    sums = voxels(spark, sf_dir).groupBy("vz", "vy", "vx").agg(F.sum("density").alias("density"))
-    return cells.join(sums, ["vz", "vy", "vx"], "left").select("vz", "vy", "vx", F.coalesce("density", F.lit(0.0)).alias("density"))
+    tiles = table(spark, sf_dir, "part").select(F.floor(F.col("p_partkey") / PARTS).cast("int").alias("tx")).distinct()
+    at = [(F.col(c) % n).alias(c) for c, n in (("vz", nz), ("vy", ny), ("vx", nx))]
+    sums = voxels(spark, sf_dir).groupBy("tx", *at).agg(F.sum("density").alias("density"))
+    return every_voxel(tiles, nz, ny, nx).join(sums, ["tx", "vz", "vy", "vx"], "left").select("tx", "vz", "vy", "vx", F.coalesce("density", F.lit(0.0)).alias("density"))
 
 
 # --- points, cells and columns -------------------------------------------------------------------

@@ -15,11 +15,14 @@ from ..schemas import VARIABLES, variables
 from ..session import ship
 from ..sources import grib2, ktx2, raw_tiles, sinks, tile_store
 from ..storage import scratch
-from .base import CELLS_SQL, COLUMNS_SQL, GRID_SQL, LEVELS, PIXELS, POINTS_SQL, SAMPLES_SQL, VOXELS_SQL, ZOOM, cells, columns, full_levels, grid, half_levels, points, query, samples, shape, table, voxels, wind_columns
+from .base import CELLS_SQL, COLUMNS_SQL, GRID_SQL, LEVELS, ODD, PARTS, PIXELS, POINTS_SQL, SAMPLES_SQL, VOXELS_SQL, ZOOM, cells, columns, full_levels, grid, grid_sql, half_levels, points, query, samples, shape, table, voxels, wind_columns
 from .q_functions import PCHIP_SQL
 
 V = f"WITH {VOXELS_SQL}"
 G = f"WITH {VOXELS_SQL}, {GRID_SQL}"
+G_ODD = f"WITH {VOXELS_SQL}, {grid_sql(*ODD)}"
+#: The volumes of a grid are told apart by their column of tiles.
+TX = ("tx",)
 VOX = "zoom:i tx:i ty:i vz:i vy:i vx:i density:d"
 
 _PARENT = "parent AS (SELECT zoom - 1 AS zoom, tx // 2 AS tx, ty // 2 AS ty, vz, ((ty * 16 + vy) // 2) % 16 AS vy, ((tx * 16 + vx) // 2) % 16 AS vx, density FROM voxels)"
@@ -43,18 +46,17 @@ def lod_tree(spark, sf):
     return volume.pyramid(voxels(spark, sf), ZOOM - 2, ZOOM, PIXELS)
 
 
-@query("halve", "vz:i vy:i vx:i density:d", f"{G} SELECT vz // 2 AS vz, vy // 2 AS vy, vx // 2 AS vx, avg(density) AS density FROM grid WHERE vy < 14 AND vx < 16 AND vz < 6 GROUP BY ALL")
+@query("halve", "tx:i vz:i vy:i vx:i density:d", f"{G_ODD} SELECT tx, vz // 2 AS vz, vy // 2 AS vy, vx // 2 AS vx, avg(density) AS density FROM grid WHERE vz < 6 AND vy < 14 AND vx < 12 GROUP BY ALL")
 def halve(spark, sf):
-    cut = grid(spark, sf).filter("vy < 15 and vz < 7")
-    return volume.halve(cut, 7, 15, 16)
+    return volume.halve(grid(spark, sf, *ODD), *ODD, TX)
 
 
-_MIPS = "\nUNION ALL ".join(f"SELECT {k} AS level, vz // {min(2**k, 8)} AS vz, vy // {2**k} AS vy, vx // {2**k} AS vx, avg(density) AS density FROM grid GROUP BY ALL" for k in (0, 1, 2))
+_MIPS = "\nUNION ALL ".join(f"SELECT {k} AS level, tx, vz // {min(2**k, 8)} AS vz, vy // {2**k} AS vy, vx // {2**k} AS vx, avg(density) AS density FROM grid GROUP BY ALL" for k in (0, 1, 2))
 
 
-@query("mip_chain", "level:i vz:i vy:i vx:i density:d", f"{G} {_MIPS}")
+@query("mip_chain", "level:i tx:i vz:i vy:i vx:i density:d", f"{G} {_MIPS}")
 def mip_chain(spark, sf):
-    return volume.mip_chain(grid(spark, sf), LEVELS, PIXELS, PIXELS)
+    return volume.mip_chain(grid(spark, sf), LEVELS, PIXELS, PIXELS, keys=TX)
 
 
 @query("mip_sizes", "level:i nz:i ny:i nx:i", "SELECT l AS level, greatest(1, 64 >> l) AS nz, greatest(1, 256 >> l) AS ny, greatest(1, 256 >> l) AS nx FROM (SELECT CAST(i AS INT) AS l FROM range(7) t(i))")
@@ -67,27 +69,27 @@ def column_projection(spark, sf):
     return volume.column_sum(voxels(spark, sf), 2, 6)
 
 
-@query("axis_projection", "axis:s a:i b:i most:d mean:d", f"{G} SELECT 'vx' AS axis, vz AS a, vy AS b, max(density) AS most, avg(density) AS mean FROM grid GROUP BY ALL UNION ALL SELECT 'vz', vy, vx, max(density), avg(density) FROM grid GROUP BY ALL")
+@query("axis_projection", "tx:i axis:s a:i b:i most:d mean:d", f"{G} SELECT tx, 'vx' AS axis, vz AS a, vy AS b, max(density) AS most, avg(density) AS mean FROM grid GROUP BY ALL UNION ALL SELECT tx, 'vz', vy, vx, max(density), avg(density) FROM grid GROUP BY ALL")
 def axis_projection(spark, sf):
     g = grid(spark, sf)
     out = None
     for axis, a, b in (("vx", "vz", "vy"), ("vz", "vy", "vx")):
-        both = volume.project(g, axis, "max").withColumnRenamed("density", "most").join(volume.project(g, axis, "mean").withColumnRenamed("density", "mean"), [a, b])
-        part = both.select(F.lit(axis).alias("axis"), F.col(a).alias("a"), F.col(b).alias("b"), "most", "mean")
+        both = volume.project(g, axis, "max", keys=TX).withColumnRenamed("density", "most").join(volume.project(g, axis, "mean", keys=TX).withColumnRenamed("density", "mean"), [*TX, a, b])
+        part = both.select("tx", F.lit(axis).alias("axis"), F.col(a).alias("a"), F.col(b).alias("b"), "most", "mean")
         out = part if out is None else out.union(part)
     return out
 
 
-@query("layer_composite", "layer:i vy:i vx:i density:d total:d", f"{G}, l AS (SELECT least(vz // 2, 2) AS layer, vy, vx, sum(density) AS density FROM grid GROUP BY ALL) SELECT layer, vy, vx, density, sum(density) OVER (PARTITION BY vy, vx) AS total FROM l")
+@query("layer_composite", "tx:i layer:i vy:i vx:i density:d total:d", f"{G}, l AS (SELECT tx, least(vz // 2, 2) AS layer, vy, vx, sum(density) AS density FROM grid GROUP BY ALL) SELECT tx, layer, vy, vx, density, sum(density) OVER (PARTITION BY tx, vy, vx) AS total FROM l")
 def layer_composite(spark, sf):
-    bands = volume.layers(grid(spark, sf), 3, 6, ())
-    total = bands.groupBy("vy", "vx").agg(F.sum("density").alias("total"))
-    return bands.join(total, ["vy", "vx"])
+    bands = volume.layers(grid(spark, sf), 3, 6, TX)
+    total = bands.groupBy(*TX, "vy", "vx").agg(F.sum("density").alias("total"))
+    return bands.join(total, [*TX, "vy", "vx"])
 
 
-@query("nan_figures", "vy:i vx:i total:d least:d most:d", f"{G} SELECT vy, vx, coalesce(sum(density) FILTER (vz % 3 > 0), 0) AS total, min(density) FILTER (vz % 3 > 0) AS least, max(density) FILTER (vz % 3 > 0) AS most FROM grid GROUP BY ALL")
+@query("nan_figures", "tx:i vy:i vx:i total:d least:d most:d", f"{G} SELECT tx, vy, vx, coalesce(sum(density) FILTER (vz % 3 > 0), 0) AS total, min(density) FILTER (vz % 3 > 0) AS least, max(density) FILTER (vz % 3 > 0) AS most FROM grid GROUP BY ALL")
 def nan_figures(spark, sf):
-    return volume.nan_figures(grid(spark, sf).withColumn("density", F.when(F.col("vz") % 3 == 0, F.lit(float("nan"))).otherwise(F.col("density"))))
+    return volume.nan_figures(grid(spark, sf).withColumn("density", F.when(F.col("vz") % 3 == 0, F.lit(float("nan"))).otherwise(F.col("density"))), keys=TX)
 
 
 def _shadow_sql(z: str) -> str:
@@ -104,9 +106,9 @@ def shadow_esm(spark, sf):
     return volume.shadow_map(voxels(spark, sf), LEVELS)
 
 
-@query("canvas_place", "px:i py:i density:d", f"{V}, p AS (SELECT tx, ty, vy, vx, sum(density) AS density FROM voxels WHERE tx > 0 GROUP BY ALL) SELECT (tx - 1) * 16 + vx AS px, ((SELECT max(ty) FROM p) - ty) * 16 + vy AS py, density FROM p")
+@query("canvas_place", "px:i py:i density:d", f"{V}, p AS (SELECT tx, ty, vy, vx, sum(density) AS density FROM voxels GROUP BY ALL) SELECT (tx - (SELECT min(tx) FROM p)) * 16 + vx AS px, ((SELECT max(ty) FROM p) - ty) * 16 + vy AS py, density FROM p")
 def canvas_place(spark, sf):
-    flat = voxels(spark, sf).filter("tx > 0").groupBy("tx", "ty", "vy", "vx").agg(F.sum("density").alias("density"))
+    flat = voxels(spark, sf).groupBy("tx", "ty", "vy", "vx").agg(F.sum("density").alias("density"))
     return volume.on_canvas(flat, PIXELS)
 
 
@@ -158,7 +160,7 @@ def covering_tiles(spark, sf):
     return volume.covering_tiles(boxes, 8).groupBy("x", "y").agg(F.count("*").alias("boxes"))
 
 
-@query("flipped_plane", "vz:i vx:i density:d", f"{G} SELECT vz, vx, density FROM grid WHERE 15 - vy = 5")
+@query("flipped_plane", "tx:i vz:i vx:i density:d", f"{G} SELECT tx, vz, vx, density FROM grid WHERE 15 - vy = 5")
 def flipped_plane(spark, sf):
     return volume.plane(volume.flip(grid(spark, sf), "vy", PIXELS), "vy", 5)
 
@@ -176,42 +178,43 @@ def third_channel(spark, sf):
 # --- stencils -----------------------------------------------------------------------------------
 
 
-def _gauss_sql(source: str, axis: str, other: str, size: int, out: str) -> str:
+def _gauss_sql(source: str, axis: str, other: str, size: int, out: str, key: str = "") -> str:
     total = sum(w for _, w in [(i, 2.718281828459045 ** (-0.5 * i * i)) for i in range(-4, 5)])
     at = f"(({axis} + o) % {2 * size} + {2 * size}) % {2 * size}"
-    return f"{out} AS (SELECT g.{axis}, g.{other}, sum(exp(-0.5 * o * o) / {total!r} * s.value) AS value FROM (SELECT {axis}, {other}, o, least({at}, {2 * size - 1} - {at}) AS i FROM {source}, (SELECT CAST(i - 4 AS INT) AS o FROM range(9) t(i))) g JOIN {source} s ON s.{axis} = g.i AND s.{other} = g.{other} GROUP BY ALL)"
+    more, same = (f"g.{key}, ", f" AND s.{key} = g.{key}") if key else ("", "")
+    return f"{out} AS (SELECT {more}g.{axis}, g.{other}, sum(exp(-0.5 * o * o) / {total!r} * s.value) AS value FROM (SELECT {more.removeprefix('g.')}{axis}, {other}, o, least({at}, {2 * size - 1} - {at}) AS i FROM {source}, (SELECT CAST(i - 4 AS INT) AS o FROM range(9) t(i))) g JOIN {source} s ON s.{axis} = g.i AND s.{other} = g.{other}{same} GROUP BY ALL)"
 
 
-_CANVAS = "canvas AS (SELECT vy AS py, vx AS px, sum(density) AS value FROM grid GROUP BY ALL)"
+_CANVAS = "canvas AS (SELECT tx, vy AS py, vx AS px, sum(density) AS value FROM grid GROUP BY ALL)"
 
 
 def _canvas(spark, sf):
-    return volume.project(grid(spark, sf), "vz", "sum").select(F.col("vy").alias("py"), F.col("vx").alias("px"), F.col("density").alias("value"))
+    return volume.project(grid(spark, sf), "vz", "sum", keys=TX).select("tx", F.col("vy").alias("py"), F.col("vx").alias("px"), F.col("density").alias("value"))
 
 
-@query("gauss_x", "py:i px:i value:d", f"{G}, {_CANVAS}, {_gauss_sql('canvas', 'px', 'py', 16, 'gx')} SELECT * FROM gx")
+@query("gauss_x", "tx:i py:i px:i value:d", f"{G}, {_CANVAS}, {_gauss_sql('canvas', 'px', 'py', 16, 'gx', 'tx')} SELECT * FROM gx")
 def gauss_x(spark, sf):
-    return stencil.gauss(_canvas(spark, sf), "px", PIXELS, ["py"])
+    return stencil.gauss(_canvas(spark, sf), "px", PIXELS, [*TX, "py"])
 
 
-@query("gauss_2d", "py:i px:i value:d", f"{G}, {_CANVAS}, {_gauss_sql('canvas', 'px', 'py', 16, 'gx')}, {_gauss_sql('gx', 'py', 'px', 16, 'gy')} SELECT * FROM gy")
+@query("gauss_2d", "tx:i py:i px:i value:d", f"{G}, {_CANVAS}, {_gauss_sql('canvas', 'px', 'py', 16, 'gx', 'tx')}, {_gauss_sql('gx', 'py', 'px', 16, 'gy', 'tx')} SELECT * FROM gy")
 def gauss_2d(spark, sf):
-    return stencil.gauss_2d(_canvas(spark, sf), PIXELS, PIXELS)
+    return stencil.gauss_2d(_canvas(spark, sf), PIXELS, PIXELS, keys=TX)
 
 
 _SMOOTH = f"""{G}, o AS (SELECT CAST(i // 9 - 1 AS INT) AS dz, CAST((i // 3) % 3 - 1 AS INT) AS dy, CAST(i % 3 - 1 AS INT) AS dx FROM range(27) t(i))
-SELECT g.vz, g.vy, g.vx, sum((2 - abs(dz)) * (2 - abs(dy)) * (2 - abs(dx)) / 64.0 * s.density) AS density FROM grid g, o
-JOIN grid s ON s.vz = least(greatest(g.vz + dz, 0), 7) AND s.vy = least(greatest(g.vy + dy, 0), 15) AND s.vx = least(greatest(g.vx + dx, 0), 15) GROUP BY ALL"""
+SELECT g.tx, g.vz, g.vy, g.vx, sum((2 - abs(dz)) * (2 - abs(dy)) * (2 - abs(dx)) / 64.0 * s.density) AS density FROM grid g CROSS JOIN o
+JOIN grid s ON s.tx = g.tx AND s.vz = least(greatest(g.vz + dz, 0), 7) AND s.vy = least(greatest(g.vy + dy, 0), 15) AND s.vx = least(greatest(g.vx + dx, 0), 15) GROUP BY ALL"""
 
 
-@query("smooth_3x3x3", "vz:i vy:i vx:i density:d", _SMOOTH)
+@query("smooth_3x3x3", "tx:i vz:i vy:i vx:i density:d", _SMOOTH)
 def smooth(spark, sf):
-    return stencil.smooth(grid(spark, sf))
+    return stencil.smooth(grid(spark, sf), keys=TX)
 
 
-@query("smooth_27", "vz:i vy:i vx:i density:d", _SMOOTH)
+@query("smooth_27", "tx:i vz:i vy:i vx:i density:d", _SMOOTH)
 def smooth_27(spark, sf):
-    return stencil.smooth_direct(grid(spark, sf), LEVELS, PIXELS, PIXELS)
+    return stencil.smooth_direct(grid(spark, sf), LEVELS, PIXELS, PIXELS, keys=TX)
 
 
 @query("layer_geometry", "iy:i ix:i level:i h_mid:d dz:d", f"WITH {COLUMNS_SQL} SELECT iy, ix, level, (hhl + n) / 2 AS h_mid, hhl - n AS dz FROM (SELECT *, lead(hhl) OVER (PARTITION BY iy, ix ORDER BY level) AS n FROM half_levels) WHERE n IS NOT NULL")
@@ -219,10 +222,10 @@ def layer_geometry(spark, sf):
     return stencil.layer_geometry(half_levels(spark, sf), ["iy", "ix"])
 
 
-@query("wind_shear", "vy:i vx:i vz:i du_dz:d dv_dz:d", f"{G} SELECT vy, vx, vz, coalesce((u - lag(u) OVER w) / greatest(h - lag(h) OVER w, 1.0), 0) AS du_dz, coalesce((v - lag(v) OVER w) / greatest(h - lag(h) OVER w, 1.0), 0) AS dv_dz FROM (SELECT *, density AS u, density * 0.5 + vz AS v, vz * vz * 0.7 AS h FROM grid) WINDOW w AS (PARTITION BY vy, vx ORDER BY vz)")
+@query("wind_shear", "tx:i vy:i vx:i vz:i du_dz:d dv_dz:d", f"{G} SELECT tx, vy, vx, vz, coalesce((u - lag(u) OVER w) / greatest(h - lag(h) OVER w, 1.0), 0) AS du_dz, coalesce((v - lag(v) OVER w) / greatest(h - lag(h) OVER w, 1.0), 0) AS dv_dz FROM (SELECT *, density AS u, density * 0.5 + vz AS v, vz * vz * 0.7 AS h FROM grid) WINDOW w AS (PARTITION BY tx, vy, vx ORDER BY vz)")
 def wind_shear(spark, sf):
-    g = grid(spark, sf).select("vy", "vx", "vz", F.col("density").alias("u"), (F.col("density") * 0.5 + F.col("vz")).alias("v"), (F.col("vz") * F.col("vz") * 0.7).alias("h"))
-    return stencil.wind_shear(g, ["vy", "vx"])
+    g = grid(spark, sf).select("tx", "vy", "vx", "vz", F.col("density").alias("u"), (F.col("density") * 0.5 + F.col("vz")).alias("v"), (F.col("vz") * F.col("vz") * 0.7).alias("h"))
+    return stencil.wind_shear(g, [*TX, "vy", "vx"])
 
 
 @query("four_nodes", "iy:i ix:i level:i t_0:d t_1:d t_2:d t_3:d", f"WITH {COLUMNS_SQL} SELECT iy, ix, level, coalesce(lag(t) OVER w, t) AS t_0, t AS t_1, coalesce(lead(t) OVER w, t) AS t_2, coalesce(lead(t, 2) OVER w, lead(t) OVER w, t) AS t_3 FROM full_levels WINDOW w AS (PARTITION BY iy, ix ORDER BY level)")
@@ -460,30 +463,32 @@ def percentiles(spark, sf):
     return stats.density_percentiles(cells(spark, sf).select((F.col("clc") * 100).alias("clc"), "qc"))
 
 
-@query("exported_layer", "py:i px:i grey:i", f"{G}, {_CANVAS} SELECT py, px, floor(least(greatest(sqrt(greatest(value, 0)) / (SELECT sqrt(max(value)) FROM canvas), 0), 1) * 255) AS grey FROM canvas")
+@query("exported_layer", "tx:i py:i px:i grey:i", f"{G}, {_CANVAS} SELECT tx, py, px, floor(least(greatest(sqrt(greatest(value, 0)) / (SELECT sqrt(max(value)) FROM canvas), 0), 1) * 255) AS grey FROM canvas")
 def exported_layer(spark, sf):
     return stats.exported_layer(_canvas(spark, sf))
 
 
 _MOSAIC = f"""WITH {VOXELS_SQL}, raw AS (SELECT ty * 16 + vy AS py, tx * 16 + vx AS px, sum(density) AS value FROM voxels GROUP BY ALL),
 px0 AS (SELECT py, px, CAST(floor(least(greatest(sqrt(greatest(value, 0)) / (SELECT sqrt(max(value)) FROM raw), 0), 1) * 255) AS INT) AS grey FROM raw),
-px1 AS (SELECT y AS py, x AS px, coalesce(grey, 0) AS grey FROM range(64) a(y), range(64) b(x) LEFT JOIN px0 ON py = y AND px = x)"""
+wide AS (SELECT (max(p_partkey) // 64 + 1) * 16 AS w FROM part),
+px1 AS (SELECT y AS py, x AS px, coalesce(grey, 0) AS grey FROM range(64) a(y), (SELECT unnest(range(w)) AS x FROM wide) b LEFT JOIN px0 ON py = y AND px = x)"""
 
 
-def _lanczos_sql(source: str, axis: str, other: str) -> str:
+def _lanczos_sql(source: str, axis: str, other: str, outs: str) -> str:
     d = f"(({axis} + 0.5::DOUBLE) / (64::DOUBLE / 24) - o - 0.5::DOUBLE) * pi()"
     return f"""SELECT {other}, o AS {axis}, CAST(least(greatest(floor(round(sum(grey * w) / sum(w), 6) + 0.5), 0), 255) AS INT) AS grey
-  FROM (SELECT {other}, o, grey, CASE WHEN d = 0 THEN 1.0 ELSE sin(d) * sin(d / 3) * 3 / d / d END AS w FROM (SELECT {other}, o, grey, {d} AS d FROM {source}, range(24) r(o)) WHERE abs(d) < 3 * pi()) GROUP BY ALL"""
+  FROM (SELECT {other}, o, grey, CASE WHEN d = 0 THEN 1.0 ELSE sin(d) * sin(d / 3) * 3 / d / d END AS w FROM (SELECT {other}, o, grey, {d} AS d FROM {source}, {outs} r(o)) WHERE abs(d) < 3 * pi()) GROUP BY ALL"""
 
 
-@query("shrunk_layer", "py:i px:i grey:i", f"{_MOSAIC}, px2 AS ({_lanczos_sql('px1', 'px', 'py')}) {_lanczos_sql('px2', 'py', 'px')}")
+@query("shrunk_layer", "py:i px:i grey:i", f"{_MOSAIC}, px2 AS ({_lanczos_sql('px1', 'px', 'py', '(SELECT unnest(range(w * 3 // 8)) FROM wide)')}) {_lanczos_sql('px2', 'py', 'px', 'range(24)')}")
 def shrunk_layer(spark, sf):
-    """The mosaic of all tiles as an 8-bit picture of 64 x 64, shrunk to 24 x 24."""
+    """The mosaic of all tiles as an 8-bit picture, 64 high and as wide as there are tiles, shrunk to three eighths."""
+    wide = (table(spark, sf, "part").agg(F.max("p_partkey")).first()[0] // PARTS + 1) * PIXELS
     at = [(F.col("ty") * PIXELS + F.col("vy")).alias("py"), (F.col("tx") * PIXELS + F.col("vx")).alias("px")]
     grey = stats.exported_layer(voxels(spark, sf).groupBy(*at).agg(F.sum("density").alias("value")))
-    every = volume.every_voxel(spark.range(1).select(), 1, 64, 64).select(F.col("vy").alias("py"), F.col("vx").alias("px"))
+    every = spark.range(64 * wide).select(F.floor(F.col("id") / wide).cast("int").alias("py"), (F.col("id") % wide).cast("int").alias("px"))
     whole = every.join(grey, ["py", "px"], "left").select("py", "px", F.coalesce("grey", F.lit(0)).alias("grey"))
-    return stats.shrunk(whole, 64, 64, 24)
+    return stats.shrunk(whole, 64, wide, wide * 3 // 8)
 
 
 _KINDS = "['surface', 'heightAboveGround', 'atmosphere', 'isobaricInhPa', 'nominalTop', 'generalVertical']"
@@ -506,7 +511,7 @@ def every_voxel(spark, sf):
 
 # --- codecs ---------------------------------------------------------------------------------------------
 
-_BLOCKS = f"""{G}, px AS (SELECT vz, vy // 4 AS "by", vx // 4 AS bx, (vy % 4) * 4 + vx % 4 AS i, least(greatest(density / 32.0, 0.0), 1.0) AS v FROM grid),
+_PLAIN_BLOCKS = f"""{G}, px AS (SELECT vz, vy // 4 AS "by", vx // 4 AS bx, (vy % 4) * 4 + vx % 4 AS i, least(greatest(density / 32.0, 0.0), 1.0) AS v FROM grid),
 ext AS (SELECT vz, "by", bx, least(min(v), 1.0) AS lo, greatest(max(v), 0.0) AS hi, max(v) AS top FROM px GROUP BY ALL),
 cand AS (SELECT vz, "by", bx, top, c, least(greatest(lo + 0.004 * d, 0.0), 1.0) AS lo, least(greatest(hi + 0.004 * u, 0.0), 1.0) AS hi FROM ext, (VALUES (0, 0, 0), (1, 1, -1), (2, 1, 0), (3, 0, -1), (4, -1, 1)) o(c, d, u)),
 fixed AS (SELECT vz, "by", bx, top, c, lo, CASE WHEN lo >= hi THEN lo + 0.0001 ELSE hi END AS hi FROM cand),
@@ -517,52 +522,58 @@ q0 AS (SELECT vz, "by", bx, top, CAST(round_even(hi * 255, 0) AS INT) AS h, CAST
 q AS (SELECT vz, "by", bx, CASE WHEN top > 0 AND h = 0 THEN 1 ELSE h END AS r0, CASE WHEN top > 0 AND h = 0 THEN 0 ELSE l END AS r1 FROM q0)"""
 
 
+def _keyed(sql: str, keys: str) -> str:
+    """BC4 steps with more keys of a block."""
+    return sql.replace('vz, "by", bx', f'{keys}, vz, "by", bx').replace('SELECT vz, vy // 4 AS "by"', f'SELECT {keys}, vz, vy // 4 AS "by"')
+
+
+_BLOCKS = _keyed(_PLAIN_BLOCKS, "tx")
+
+
 def _blocks(spark, sf):
     g = grid(spark, sf).withColumn("density", bc4.normalised("density"))
-    return bc4.blocks(g, PIXELS, PIXELS, ["vz"]).withColumn("e", bc4.encode("pixels"))
+    return bc4.blocks(g, PIXELS, PIXELS, [*TX, "vz"]).withColumn("e", bc4.encode("pixels"))
 
 
-@query("bc4_blocks", "vz:i by:i bx:i n:i total:d", f"{G} SELECT vz, vy // 4 AS \"by\", vx // 4 AS bx, 16 AS n, sum(CASE WHEN vx = 13 THEN 3 ELSE 1 END * CASE WHEN vy = 14 THEN 2 ELSE 1 END * density) AS total FROM grid WHERE vx < 14 AND vy < 15 GROUP BY ALL")
+@query("bc4_blocks", "tx:i vz:i by:i bx:i n:i total:d", f"{G_ODD} SELECT tx, vz, vy // 4 AS \"by\", vx // 4 AS bx, 16 AS n, sum(CASE WHEN vx = 12 THEN 4 ELSE 1 END * CASE WHEN vy = 14 THEN 2 ELSE 1 END * density) AS total FROM grid GROUP BY ALL")
 def bc4_blocks(spark, sf):
-    cut = grid(spark, sf).filter("vx < 14 and vy < 15")
-    return bc4.blocks(cut, 15, 14, ["vz"]).select("vz", "by", "bx", F.size("pixels").alias("n"), F.aggregate("pixels", F.lit(0.0), lambda a, v: a + v).alias("total"))
+    return bc4.blocks(grid(spark, sf, *ODD), *ODD[1:], [*TX, "vz"]).select("tx", "vz", "by", "bx", F.size("pixels").alias("n"), F.aggregate("pixels", F.lit(0.0), lambda a, v: a + v).alias("total"))
 
 
-@query("bc4_endpoints", "vz:i by:i bx:i r0:i r1:i", f"{_BLOCKS} SELECT vz, \"by\", bx, r0, r1 FROM q")
+@query("bc4_endpoints", "tx:i vz:i by:i bx:i r0:i r1:i", f"{_BLOCKS} SELECT tx, vz, \"by\", bx, r0, r1 FROM q")
 def bc4_endpoints(spark, sf):
-    return _blocks(spark, sf).select("vz", "by", "bx", "e.r0", "e.r1")
+    return _blocks(spark, sf).select("tx", "vz", "by", "bx", "e.r0", "e.r1")
 
 
-_INDEX = f"""{_BLOCKS}, ix AS (SELECT vz, "by", bx, i, v, r0, r1, CASE WHEN r0 <= r1 THEN 0 ELSE CAST(7 - round_even(least(greatest((v - r1 / 255.0) / (r0 / 255.0 - r1 / 255.0), 0.0), 1.0) * 7, 0) AS INT) END AS a FROM px JOIN q USING (vz, "by", bx)),
+_PLAIN_INDEX = f"""{_PLAIN_BLOCKS}, ix AS (SELECT vz, "by", bx, i, v, r0, r1, CASE WHEN r0 <= r1 THEN 0 ELSE CAST(7 - round_even(least(greatest((v - r1 / 255.0) / (r0 / 255.0 - r1 / 255.0), 0.0), 1.0) * 7, 0) AS INT) END AS a FROM px JOIN q USING (vz, "by", bx)),
 im AS (SELECT *, CASE WHEN r0 <= r1 OR a = 0 THEN 0 WHEN a = 7 THEN CASE WHEN v > 0 AND r1 = 0 THEN 7 ELSE 1 END ELSE a + 1 END AS x FROM ix)"""
+_INDEX = _keyed(_PLAIN_INDEX, "tx")
 
 
-@query("bc4_encode", "vz:i by:i bx:i bits:i", f"{_INDEX} SELECT vz, \"by\", bx, sum(CAST(x AS BIGINT) << (3 * i)) AS bits FROM im GROUP BY ALL")
+@query("bc4_encode", "tx:i vz:i by:i bx:i bits:i", f"{_INDEX} SELECT tx, vz, \"by\", bx, sum(CAST(x AS BIGINT) << (3 * i)) AS bits FROM im GROUP BY ALL")
 def bc4_encode(spark, sf):
-    return _blocks(spark, sf).select("vz", "by", "bx", "e.bits")
+    return _blocks(spark, sf).select("tx", "vz", "by", "bx", "e.bits")
 
 
-@query("bc4_decode", "vz:i by:i bx:i i:i v:d", f"{_INDEX} SELECT vz, \"by\", bx, i, CASE WHEN r0 > r1 THEN CASE x WHEN 0 THEN r0 / 255.0 WHEN 1 THEN r1 / 255.0 ELSE r1 / 255.0 + (r0 - r1) / 255.0 * (8 - x) / 7.0 END ELSE r0 / 255.0 END AS v FROM im")
+@query("bc4_decode", "tx:i vz:i by:i bx:i i:i v:d", f"{_INDEX} SELECT tx, vz, \"by\", bx, i, CASE WHEN r0 > r1 THEN CASE x WHEN 0 THEN r0 / 255.0 WHEN 1 THEN r1 / 255.0 ELSE r1 / 255.0 + (r0 - r1) / 255.0 * (8 - x) / 7.0 END ELSE r0 / 255.0 END AS v FROM im")
 def bc4_decode(spark, sf):
     packed = _blocks(spark, sf).withColumn("b", bc4.from_bytes(bc4.block_bytes("e")))
-    return packed.select("vz", "by", "bx", F.posexplode(bc4.decode("b.r0", "b.r1", "b.bits")).alias("i", "v"))
+    return packed.select("tx", "vz", "by", "bx", F.posexplode(bc4.decode("b.r0", "b.r1", "b.bits")).alias("i", "v"))
 
 
-@query("bc4_volume", "vz:i vy:i vx:i v:d", f"{_INDEX} SELECT vz, \"by\" * 4 + i // 4 AS vy, bx * 4 + i % 4 AS vx, CASE WHEN r0 > r1 THEN CASE x WHEN 0 THEN r0 / 255.0 WHEN 1 THEN r1 / 255.0 ELSE r1 / 255.0 + (r0 - r1) / 255.0 * (8 - x) / 7.0 END ELSE r0 / 255.0 END AS v FROM im")
+@query("bc4_volume", "tx:i vz:i vy:i vx:i v:d", f"{_INDEX} SELECT tx, vz, \"by\" * 4 + i // 4 AS vy, bx * 4 + i % 4 AS vx, CASE WHEN r0 > r1 THEN CASE x WHEN 0 THEN r0 / 255.0 WHEN 1 THEN r1 / 255.0 ELSE r1 / 255.0 + (r0 - r1) / 255.0 * (8 - x) / 7.0 END ELSE r0 / 255.0 END AS v FROM im")
 def bc4_volume(spark, sf):
-    """A whole volume to encoded blocks and back to texels."""
-    packed = bc4.encode_volume(grid(spark, sf), PIXELS, PIXELS, ["vz"])
-    return bc4.decode_volume(packed, PIXELS, PIXELS, ["vz"]).withColumnRenamed("value", "v")
+    """Whole volumes to encoded blocks and back to texels."""
+    packed = bc4.encode_volume(grid(spark, sf), PIXELS, PIXELS, [*TX, "vz"])
+    return bc4.decode_volume(packed, PIXELS, PIXELS, [*TX, "vz"]).withColumnRenamed("value", "v")
 
 
 _HALF = """half AS (SELECT tx, ty, vz, vy, vx, CASE WHEN density = 0 THEN 0 ELSE round_even(density / u, 0) * u END AS density FROM (SELECT *, greatest(pow(2.0, floor(log2(nullif(density, 0))) - 10), pow(2.0, -24)) AS u FROM voxels))"""
 
 
 def _dense_tiles(spark, sf):
-    """One row per tile with its 8 x 16 x 16 values in order; absent ones are 0."""
-    cell = F.struct(((F.col("vz") * PIXELS + F.col("vy")) * PIXELS + F.col("vx")).alias("i"), "density")
-    tiles = voxels(spark, sf).groupBy("tx", "ty").agg(F.map_from_entries(F.collect_list(cell)).alias("m"))
-    return tiles.select("tx", "ty", F.transform(F.sequence(F.lit(0), F.lit(LEVELS * PIXELS * PIXELS - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0))).alias("values"))
+    """One row per tile with its 8 x 16 x 16 values in order, as bytes of doubles; absent ones are 0."""
+    return sinks.dense(voxels(spark, sf), LEVELS, PIXELS).select("tx", "ty", "values")
 
 
 @query("raw_tile_roundtrip", "tx:i ty:i i:i density:d zoom:i", f"{V}, {_HALF} SELECT tx, ty, (vz * 16 + vy) * 16 + vx AS i, density, 10 AS zoom FROM half WHERE density > 0")
@@ -572,7 +583,7 @@ def raw_tile_roundtrip(spark, sf):
 
     @F.pandas_udf("zoom int, density array<double>")
     def again(values: pd.Series) -> pd.DataFrame:
-        out = [raw_tiles.decode(raw_tiles.encode(dict.fromkeys(raw_tiles.FIELDS, 1.0) | {"tile_z": ZOOM}, np.asarray(v))) for v in values]
+        out = [raw_tiles.decode(raw_tiles.encode(dict.fromkeys(raw_tiles.FIELDS, 1.0) | {"tile_z": ZOOM}, np.frombuffer(v, "<f8"))) for v in values]
         return pd.DataFrame({"zoom": [h["tile_z"] for h, _ in out], "density": [v.astype(np.float64) for _, v in out]})
 
     tiles = _dense_tiles(spark, sf).select("tx", "ty", again("values").alias("t"))
@@ -586,7 +597,7 @@ def ktx2_roundtrip(spark, sf):
 
     @F.pandas_udf("array<binary>")
     def mips(values: pd.Series) -> pd.Series:
-        return pd.Series([[np.asarray(v).astype("<f2").tobytes()] for v in values])
+        return pd.Series([[np.frombuffer(v, "<f8").astype("<f2").tobytes()] for v in values])
 
     @F.pandas_udf("format string, levels int, scheme int, depth int, res string, total double")
     def again(content: pd.Series) -> pd.DataFrame:
@@ -622,9 +633,7 @@ def _mips_sql() -> str:
 
 def _coded_sql(keys: str) -> str:
     """The BC4 steps of `_BLOCKS` and `_INDEX` over `texels` with more keys, up to the decoded value of each texel."""
-    steps = (_BLOCKS.split(", px AS", 1)[1], _INDEX.removeprefix(_BLOCKS))
-    coded = "px AS" + "".join(steps).replace("FROM grid", "FROM texels")
-    return coded.replace('vz, "by", bx', f'{keys}, vz, "by", bx').replace('SELECT vz, vy // 4 AS "by"', f'SELECT {keys}, vz, vy // 4 AS "by"')
+    return _keyed("px AS" + _PLAIN_INDEX.split(", px AS", 1)[1].replace("FROM grid", "FROM texels"), keys)
 
 
 _LOD_KEYS = "zoom, tx, ty, level"
