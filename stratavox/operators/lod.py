@@ -47,20 +47,47 @@ def joined(parts: DataFrame, count: int, size: int, index: str, content: str, ke
 
 
 def payloads(voxels: DataFrame, size: tuple[int, int, int], most: float = bc4.MAX_DENSITY) -> DataFrame:
-    """One row per tile: the BC4 blocks of all its levels, in order. Blocks without a voxel are zeros.
+    """One row per tile: the BC4 blocks of all its levels, in order. Absent voxels are 0.
 
-    Blocks are encoded where they meet, joined by level, then levels by tile, always as bytes: no row is larger than a tile.
+    Voxels of a tile and level meet and become blocks, then levels are joined by tile, as bytes: no row is larger than a tile.
     """
+    ship(voxels.sparkSession)
     nz, ny, nx = size
     normal = voxels.withColumn("density", bc4.normalised("density", most))
-    grown = bc4.padded(normal, ny, nx)
-    cell = F.struct((F.col("vy") % 4 * 4 + F.col("vx") % 4).alias("i"), "density")
-    blocks = grown.groupBy(*TILE, "vz", F.shiftright("vy", 2).alias("by"), F.shiftright("vx", 2).alias("bx")).agg(F.map_from_entries(F.collect_list(cell)).alias("m"))
-    pixels = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)))
-    wide, high = -(-nx // 4), -(-ny // 4)
-    each = blocks.select(*TILE, "vz", (F.col("by") * wide + F.col("bx")).alias("at"), pixels.alias("pixels")).withColumn("e", bc4.encode("pixels"))
-    levels = joined(each.select(*TILE, "vz", "at", bc4.block_bytes("e").alias("content")), wide * high, 8, "at", "content", [*TILE, "vz"])
-    return joined(levels, nz, wide * high * 8, "vz", "content")
+
+    @F.pandas_udf("binary")
+    def blocks(places: pd.Series, values: pd.Series) -> pd.Series:
+        out = []
+        for at, v in zip(places, values, strict=True):
+            plane = np.zeros(ny * nx)
+            plane[np.asarray(at, np.int64)] = np.asarray(v, np.float64)
+            out.append(bc4.encode_plane(plane.reshape(ny, nx)))
+        return pd.Series(out)
+
+    cell = F.struct((F.col("vy") * nx + F.col("vx")).alias("i"), F.col("density").alias("v"))
+    levels = normal.groupBy(*TILE, "vz").agg(F.collect_list(cell).alias("c")).select(*TILE, "vz", blocks("c.i", "c.v").alias("content"))
+    return joined(levels, nz, -(-nx // 4) * -(-ny // 4) * 8, "vz", "content")
+
+
+def texels(tiles: DataFrame, nz: int, pixels: int, least: int = 4) -> DataFrame:
+    """The values 0..1 of encoded tiles: their other columns, level, vz, vy, vx, value. A plane of a mip is decoded at a time."""
+    ship(tiles.sparkSession)
+    sizes = volume.mip_sizes(nz, pixels, pixels, least)
+
+    @F.pandas_udf("array<double>")
+    def values(content: pd.Series, level: pd.Series) -> pd.Series:
+        cut = [bc4.decode_plane(bytes(c), -(-sizes[i][2] // 4))[: sizes[i][1], : sizes[i][2]] for c, i in zip(content, level, strict=True)]
+        return pd.Series([x.ravel() for x in cut])
+
+    rest = [c for c in tiles.columns if c != "mips"]
+    high = F.get(F.array(*[F.lit(z) for z, _, _ in sizes]), F.col("level"))
+    wide = F.get(F.array(*[F.lit(x) for _, _, x in sizes]), F.col("level"))
+    size = (F.length("payload") / F.col("high")).cast("int")
+    mips = tiles.select(*rest, F.posexplode("mips").alias("level", "payload")).withColumn("high", high)
+    planes = mips.select(*rest, "level", size.alias("size"), "payload", F.explode(F.sequence(F.lit(0), F.col("high") - 1)).alias("vz"))
+    cut = planes.select(*rest, "level", "vz", values(F.substring(F.col("payload"), F.col("vz") * F.col("size") + 1, F.col("size")), "level").alias("v"))
+    each = cut.select(*rest, "level", "vz", wide.alias("wide"), F.posexplode("v").alias("i", "value"))
+    return each.select(*rest, "level", "vz", F.floor(F.col("i") / F.col("wide")).cast("int").alias("vy"), (F.col("i") % F.col("wide")).alias("vx"), "value")
 
 
 def encoded_tiles(voxels: DataFrame, nz: int, pixels: int, least: int = 4, most: float = bc4.MAX_DENSITY) -> DataFrame:

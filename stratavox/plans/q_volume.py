@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions import physics
-from ..operators import bc4, components, sample, stats, stencil, volume
+from ..operators import bc4, components, lod, sample, stats, stencil, volume
 from ..schemas import VARIABLES, variables
 from ..session import ship
 from ..sources import grib2, ktx2, raw_tiles, sinks, tile_store
@@ -202,9 +202,9 @@ def gauss_2d(spark, sf):
     return stencil.gauss_2d(_canvas(spark, sf), PIXELS, PIXELS, keys=TX)
 
 
-_SMOOTH = f"""{G}, o AS (SELECT CAST(i // 9 - 1 AS INT) AS dz, CAST((i // 3) % 3 - 1 AS INT) AS dy, CAST(i % 3 - 1 AS INT) AS dx FROM range(27) t(i))
-SELECT g.tx, g.vz, g.vy, g.vx, sum((2 - abs(dz)) * (2 - abs(dy)) * (2 - abs(dx)) / 64.0 * s.density) AS density FROM grid g CROSS JOIN o
-JOIN grid s ON s.tx = g.tx AND s.vz = least(greatest(g.vz + dz, 0), 7) AND s.vy = least(greatest(g.vy + dy, 0), 15) AND s.vx = least(greatest(g.vx + dx, 0), 15) GROUP BY ALL"""
+_SMOOTH = f"""{G}, o AS (SELECT CAST(i // 9 - 1 AS INT) AS dz, CAST((i // 3) % 3 - 1 AS INT) AS dy, CAST(i % 3 - 1 AS INT) AS dx FROM range(27) t(i)),
+n AS MATERIALIZED (SELECT tx, vz, vy, vx, (2 - abs(dz)) * (2 - abs(dy)) * (2 - abs(dx)) / 64.0 AS w, least(greatest(vz + dz, 0), 7) AS sz, least(greatest(vy + dy, 0), 15) AS sy, least(greatest(vx + dx, 0), 15) AS sx FROM grid, o)
+SELECT n.tx, n.vz, n.vy, n.vx, sum(n.w * s.density) AS density FROM n JOIN grid s ON s.tx = n.tx AND s.vz = sz AND s.vy = sy AND s.vx = sx GROUP BY ALL"""
 
 
 @query("smooth_3x3x3", "tx:i vz:i vy:i vx:i density:d", _SMOOTH)
@@ -552,7 +552,8 @@ _INDEX = _keyed(_PLAIN_INDEX, "tx")
 
 @query("bc4_encode", "tx:i vz:i by:i bx:i bits:i", f"{_INDEX} SELECT tx, vz, \"by\", bx, sum(CAST(x AS BIGINT) << (3 * i)) AS bits FROM im GROUP BY ALL")
 def bc4_encode(spark, sf):
-    return _blocks(spark, sf).select("tx", "vz", "by", "bx", "e.bits")
+    packed = bc4.encode_volume(grid(spark, sf), PIXELS, PIXELS, [*TX, "vz"])
+    return packed.select("tx", "vz", "by", "bx", bc4.from_bytes("content")["bits"].alias("bits"))
 
 
 @query("bc4_decode", "tx:i vz:i by:i bx:i i:i v:d", f"{_INDEX} SELECT tx, vz, \"by\", bx, i, CASE WHEN r0 > r1 THEN CASE x WHEN 0 THEN r0 / 255.0 WHEN 1 THEN r1 / 255.0 ELSE r1 / 255.0 + (r0 - r1) / 255.0 * (8 - x) / 7.0 END ELSE r0 / 255.0 END AS v FROM im")
@@ -649,16 +650,11 @@ def lod_tile_files(spark, sf):
     """Tiles of a pyramid committed as containers of BC4 mips, and every texel of every mip read again."""
     at = scratch(spark, "lod")
     sinks.lod_tile_files(volume.pyramid(voxels(spark, sf), ZOOM - 2, ZOOM, PIXELS), at, LEVELS, PIXELS, (2.5, 2.5, 218.75), ZOOM)
-    sizes = volume.mip_sizes(LEVELS, PIXELS, PIXELS)
     part = lambda i: F.element_at(F.split(F.regexp_replace("path", r"\.ktx2$", ""), "/"), i).cast("int")
     m = F.col("metadata")
     place = F.concat_ws("/", m["tile_z"], m["tile_x"], m["tile_y"])
-    levels = ktx2.read(spark, at).filter("format = 'BC4_UNORM_BLOCK' AND scheme = 2").select(part(-3).alias("zoom"), part(-2).alias("x"), part(-1).alias("row"), m["phys_res_x"].alias("res"), m["val_scale"].alias("scale"), m["compression"].alias("codec"), place.alias("tile"), F.posexplode("mips").alias("level", "payload"))
-    wide = F.get(F.array(*[F.lit(x // 4) for _, _, x in sizes]), F.col("level"))
-    high = F.get(F.array(*[F.lit(y // 4) for _, y, _ in sizes]), F.col("level"))
-    blocks = levels.withColumn("i", F.explode(F.sequence(F.lit(0), (F.length("payload") / 8).cast("int") - 1))).withColumn("b", bc4.from_bytes(F.substring(F.col("payload"), F.col("i") * 8 + 1, F.lit(8))))
-    texels = blocks.select("*", wide.alias("w"), high.alias("h"), F.posexplode(bc4.decode("b.r0", "b.r1", "b.bits")).alias("k", "v"))
-    return texels.withColumn("vz", F.floor(F.col("i") / (F.col("w") * F.col("h")))).withColumn("vy", F.floor(F.col("i") / F.col("w")) % F.col("h") * 4 + F.floor(F.col("k") / 4)).withColumn("vx", F.col("i") % F.col("w") * 4 + F.col("k") % 4)
+    tiles = ktx2.read(spark, at).filter("format = 'BC4_UNORM_BLOCK' AND scheme = 2").select(part(-3).alias("zoom"), part(-2).alias("x"), part(-1).alias("row"), m["phys_res_x"].alias("res"), m["val_scale"].alias("scale"), m["compression"].alias("codec"), place.alias("tile"), "mips")
+    return lod.texels(tiles, LEVELS, PIXELS).withColumnRenamed("value", "v")
 
 
 #: A region that cuts into the tiles at the top left of the map and reaches beyond them; its pixels by plain arithmetic.

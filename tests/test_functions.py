@@ -159,3 +159,19 @@ def test_quantiles_match_numpy(spark, kind):
     for name, q in points.items():
         assert r[0][name] == (pytest.approx(float(np.quantile(values, q)), rel=1e-12) if len(values) else None)
     assert r[0].most == (values.max() if len(values) else None)
+
+
+def test_bc4_kernels_equal_the_columns(spark):
+    rng = np.random.default_rng(11)
+    sparse = np.where(rng.random((60, 16)) < 0.8, 0.0, rng.random((60, 16)) * 0.01)
+    pixels = np.concatenate([rng.random((60, 16)), sparse, np.zeros((1, 16)), np.ones((1, 16)), np.full((1, 16), 0.5), np.eye(16) * 1e-6])
+    df = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(pixels)], "i int, pixels array<double>").withColumn("e", bc4.encode("pixels"))
+    rows = df.select("i", bc4.block_bytes("e").alias("b"), bc4.decode("e.r0", "e.r1", "e.bits").alias("v")).orderBy("i").collect()
+    content = bc4.encode_blocks(pixels)
+    assert [bytes(r.b) for r in rows] == [x.tobytes() for x in content]
+    assert np.allclose(bc4.decode_blocks(content), [r.v for r in rows], atol=1e-15)
+    six = spark.createDataFrame([(3, 200, int("76543210" * 2, 8))], "r0 int, r1 int, bits long").select(bc4.decode("r0", "r1", "bits").alias("v")).first().v
+    raw = np.frombuffer(bytes([3, 200]) + int("76543210" * 2, 8).to_bytes(6, "little"), np.uint8)
+    assert np.allclose(bc4.decode_blocks(raw[None]), [six], atol=1e-15)
+    plane = rng.random((7, 10))
+    assert np.abs(bc4.decode_plane(bc4.encode_plane(plane), 3)[:7, :10] - plane).max() < 0.1
