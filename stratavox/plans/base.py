@@ -215,28 +215,35 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- the catalogue ---------------------------------------------------------------------------------
 
-#: Tile sets from orders: a run every three hours and steps up to 45, so that targets meet.
+#: Tile sets from orders: a run every three hours and steps up to 45, so that targets meet; every further 1,500 orders have
+#: runs of three days before. Each 1,500 orders have twelve maintenance jobs of their own, and some jobs have no active sets.
 TILESETS_SQL = """tilesets AS (
   SELECT o_orderkey AS seq, strftime(run_ts, '%Y%m%d%H') || '_' || lpad(CAST(step AS VARCHAR), 3, '0') AS folder, strftime(run_ts, '%Y%m%d%H') AS run_str,
     step, strftime(run_ts + step * INTERVAL 1 HOUR, '%Y%m%d%H') AS target_str, run_ts, run_ts + step * INTERVAL 1 HOUR AS target_ts,
-    CASE o_orderkey % 5 WHEN 0 THEN 'pending' WHEN 1 THEN 'fetching' WHEN 2 THEN 'failed' ELSE 'ready' END AS status,
-    CAST(floor(o_totalprice) AS BIGINT) AS size, CASE WHEN o_custkey % 3 > 0 THEN o_custkey % 10 END AS maintenance_id, o_orderkey % 7 > 2 AS timed
+    CASE WHEN o_custkey % 3 > 0 AND o_custkey % 10 < 4 AND o_orderkey % 5 < 2 THEN 'ready' WHEN o_orderkey % 5 = 0 THEN 'pending' WHEN o_orderkey % 5 = 1 THEN 'fetching' WHEN o_orderkey % 5 = 2 THEN 'failed' ELSE 'ready' END AS status,
+    CAST(floor(o_totalprice) AS BIGINT) AS size, CASE WHEN o_custkey % 3 > 0 THEN o_custkey % 10 + 12 * (o_orderkey // 1500) END AS maintenance_id, o_orderkey % 7 > 2 AS timed
   FROM (SELECT *, CAST(o_custkey % 16 * 3 AS INT) AS step,
-    TIMESTAMP '1995-06-13 00:00:00' + ((o_orderkey % 24) * 3) * INTERVAL 1 HOUR AS run_ts FROM orders))"""
+    TIMESTAMP '1995-06-13 00:00:00' + ((o_orderkey % 24 - 24 * (o_orderkey // 1500)) * 3) * INTERVAL 1 HOUR AS run_ts FROM orders))"""
+
+
+#: Orders of three days of runs.
+ERA = 1500
 
 
 def tilesets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..functions import text
 
     o = table(spark, sf_dir, "orders")
-    run = F.lit("1995-06-13 00:00:00").cast("timestamp") + F.make_dt_interval(hours=((F.col("o_orderkey") % 24) * 3).cast("int"))
-    status = F.when(F.col("o_orderkey") % 5 == 0, "pending").when(F.col("o_orderkey") % 5 == 1, "fetching").when(F.col("o_orderkey") % 5 == 2, "failed").otherwise("ready")
+    era = F.floor(F.col("o_orderkey") / ERA)
+    run = F.lit("1995-06-13 00:00:00").cast("timestamp") + F.make_dt_interval(hours=((F.col("o_orderkey") % 24 - 24 * era) * 3).cast("int"))
+    over = (F.col("o_custkey") % 3 > 0) & (F.col("o_custkey") % 10 < 4) & (F.col("o_orderkey") % 5 < 2)
+    status = F.when(over, "ready").when(F.col("o_orderkey") % 5 == 0, "pending").when(F.col("o_orderkey") % 5 == 1, "fetching").when(F.col("o_orderkey") % 5 == 2, "failed").otherwise("ready")
     named = o.withColumn("run_ts", run).withColumn("step", (F.col("o_custkey") % 16 * 3).cast("int"))
     target = text.target_time("run_ts", "step")
     return named.select(
         F.col("o_orderkey").alias("seq"), text.folder(text.run_text("run_ts"), "step").alias("folder"), text.run_text("run_ts").alias("run_str"), "step",
         text.run_text(target).alias("target_str"), "run_ts", target.alias("target_ts"), status.alias("status"), F.col("o_totalprice").cast("long").alias("size"),
-        F.when(F.col("o_custkey") % 3 > 0, F.col("o_custkey") % 10).alias("maintenance_id"),
+        F.when(F.col("o_custkey") % 3 > 0, F.col("o_custkey") % 10 + 12 * era).alias("maintenance_id"),
         F.when(F.col("o_orderkey") % 7 > 2, F.create_map(F.lit("download"), F.lit(1.0))).alias("step_timings"),
     )
 
@@ -252,10 +259,10 @@ def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("folder").agg(F.min_by(F.struct(*cols), "seq").alias("r")).select("folder", *[F.col(f"r.{c}").alias(c) for c in cols])
 
 
-#: Folders on disk, one per event user and hour.
+#: Folders on disk, one per event user and hour; every further 1,000 events have runs of three days before.
 DISK_SQL = """disk AS (
   SELECT strftime(run_ts, '%Y%m%d%H') || '_' || lpad(CAST(step AS VARCHAR), 3, '0') AS folder, run_ts, step, max(event_id) % 3 > 0 AS ready
-  FROM (SELECT event_id, CAST(user_id % 16 * 3 AS INT) AS step, TIMESTAMP '1995-06-13 00:00:00' + ((event_id % 24) * 3) * INTERVAL 1 HOUR AS run_ts FROM events)
+  FROM (SELECT event_id, CAST(user_id % 16 * 3 AS INT) AS step, TIMESTAMP '1995-06-13 00:00:00' + ((event_id % 24 - 24 * (event_id // 1000)) * 3) * INTERVAL 1 HOUR AS run_ts FROM events)
   GROUP BY ALL)"""
 
 
@@ -263,7 +270,7 @@ def disk(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..functions import text
 
     e = table(spark, sf_dir, "events")
-    run = F.lit("1995-06-13 00:00:00").cast("timestamp") + F.make_dt_interval(hours=((F.col("event_id") % 24) * 3).cast("int"))
+    run = F.lit("1995-06-13 00:00:00").cast("timestamp") + F.make_dt_interval(hours=((F.col("event_id") % 24 - 24 * F.floor(F.col("event_id") / 1000)) * 3).cast("int"))
     named = e.select("event_id", run.alias("run_ts"), (F.col("user_id") % 16 * 3).cast("int").alias("step"))
     folders = named.groupBy("run_ts", "step").agg((F.max("event_id") % 3 > 0).alias("ready"))
     return folders.select(text.folder(text.run_text("run_ts"), "step").alias("folder"), "run_ts", "step", "ready")

@@ -10,7 +10,7 @@ from ..schemas import JOB_VARIABLES, VARIABLES, variables
 from ..sources import listings, logs, sinks, tile_table
 from ..storage import scratch
 from ..streaming import progress, stateful
-from .base import CATALOG_SQL, DISK_SQL, NOW, POLICY_SQL, STAMP, TODAY, TILESETS_SQL, catalog, disk, policy, query, stamp, table, tilesets
+from .base import CATALOG_SQL, DISK_SQL, ERA, NOW, POLICY_SQL, STAMP, TODAY, TILESETS_SQL, catalog, disk, policy, query, stamp, table, tilesets
 
 K = f"WITH {CATALOG_SQL}"
 
@@ -198,10 +198,10 @@ def autobuild_actions(spark, sf):
     return C.build_actions(named, c, c.filter("seq % 11 = 0").select("run_str", "step").distinct())
 
 
-@query("stale_siblings", "folder:s new_folder:s", f"{K}, d AS (SELECT folder AS new_folder, target_ts FROM catalog WHERE seq % 13 = 0) SELECT c.folder, d.new_folder FROM catalog c JOIN d USING (target_ts) WHERE c.folder <> d.new_folder")
+@query("stale_siblings", "folder:s new_folder:s", f"{K}, d AS (SELECT folder AS new_folder, target_ts FROM catalog WHERE status = 'ready') SELECT c.folder, d.new_folder FROM catalog c JOIN d USING (target_ts) WHERE c.folder <> d.new_folder")
 def stale_siblings(spark, sf):
     c = catalog(spark, sf).select("folder", "run_str", "step", "seq")
-    return C.stale_siblings(c, c.filter("seq % 13 = 0").select("folder"))
+    return C.stale_siblings(c, c.filter("status = 'ready'").select("folder"))
 
 
 @query("leftovers", "name:s n:i", "SELECT name, count(*) AS n FROM (SELECT CASE p_partkey % 4 WHEN 0 THEN 'latest.log' WHEN 1 THEN 'invalid' ELSE 'tile_' || (p_partkey % 30) END AS name FROM part) WHERE name NOT IN ('latest.log', 'invalid') GROUP BY name")
@@ -308,13 +308,15 @@ def deleted_rows(spark, sf):
     return C.deleted(c, c.filter("seq % 3 = 0").select("folder"), "folder")
 
 
-_MAINT = "maintenance AS (SELECT CAST(i AS BIGINT) AS id, 'job ' || i AS label, TIMESTAMP '1995-06-15 12:00:00' + i * INTERVAL 7 MINUTE AS started_at, CASE WHEN i % 4 = 0 THEN TIMESTAMP '1995-06-15 13:00:00' END AS completed_at, CASE WHEN i % 2 = 0 THEN ['a' || i, 'b'] ELSE [] END AS added FROM range(12) t(i))"
+_MAINT = "maintenance AS (SELECT CAST(i AS BIGINT) AS id, 'job ' || i AS label, TIMESTAMP '1995-06-15 12:00:00' + i % 12 * INTERVAL 7 MINUTE AS started_at, CASE WHEN i % 4 = 0 THEN TIMESTAMP '1995-06-15 13:00:00' END AS completed_at, CASE WHEN i % 2 = 0 THEN ['a' || i, 'b'] ELSE [] END AS added FROM (SELECT DISTINCT o_orderkey // 1500 * 12 + j AS i FROM orders, range(12) r(j)))"
 
 
-def _maintenance(spark):
+def _maintenance(spark, sf):
+    """Twelve jobs for each 1,500 orders."""
     i = F.col("id")
-    m = spark.range(12).select(
-        "id", F.concat(F.lit("job "), i).alias("label"), (F.lit("1995-06-15 12:00:00").cast("timestamp") + F.make_dt_interval(mins=(i * 7).cast("int"))).alias("started_at"),
+    jobs = table(spark, sf, "orders").select(F.floor(F.col("o_orderkey") / ERA).alias("era")).distinct()
+    m = jobs.select(F.explode(F.sequence(F.col("era") * 12, F.col("era") * 12 + 11)).alias("id")).select(
+        "id", F.concat(F.lit("job "), i).alias("label"), (F.lit("1995-06-15 12:00:00").cast("timestamp") + F.make_dt_interval(mins=(i % 12 * 7).cast("int"))).alias("started_at"),
         F.when(i % 4 == 0, F.lit("1995-06-15 13:00:00").cast("timestamp")).alias("completed_at"), F.when(i % 2 == 0, F.array(F.concat(F.lit("a"), i), F.lit("b"))).otherwise(F.array().cast("array<string>")).alias("added"),
     )
     return m.withColumns({"purged": F.array().cast("array<string>"), "renewed": F.array(F.lit("r0"))})
@@ -322,29 +324,29 @@ def _maintenance(spark):
 
 @query("incomplete_maintenance", "id:i label:s", f"WITH {_MAINT} SELECT id, label FROM maintenance WHERE completed_at IS NULL")
 def incomplete_maintenance(spark, sf):
-    return C.incomplete(_maintenance(spark))
+    return C.incomplete(_maintenance(spark, sf))
 
 
 @query("failed_by_maintenance", "maintenance_id:i label:s folder:s", f"WITH {CATALOG_SQL}, {_MAINT} SELECT m.id AS maintenance_id, label, folder FROM maintenance m JOIN catalog c ON c.maintenance_id = m.id WHERE status = 'failed'")
 def failed_by_maintenance(spark, sf):
-    return C.failed_by_maintenance(catalog(spark, sf), _maintenance(spark))
+    return C.failed_by_maintenance(catalog(spark, sf), _maintenance(spark, sf))
 
 
-@query("add_renewed", "id:i renewed:s", f"WITH {CATALOG_SQL}, {_MAINT}, a AS (SELECT maintenance_id, string_agg(folder, ',' ORDER BY seq) AS f FROM catalog WHERE seq % 17 = 0 GROUP BY ALL) SELECT id, 'r0' || coalesce(',' || f, '') AS renewed FROM maintenance LEFT JOIN a ON a.maintenance_id = id")
+@query("add_renewed", "id:i renewed:s", f"WITH {CATALOG_SQL}, {_MAINT}, a AS (SELECT maintenance_id, string_agg(folder, ',' ORDER BY seq) AS f FROM catalog WHERE status = 'ready' GROUP BY ALL) SELECT id, 'r0' || coalesce(',' || f, '') AS renewed FROM maintenance LEFT JOIN a ON a.maintenance_id = id")
 def add_renewed(spark, sf):
-    r = catalog(spark, sf).filter("seq % 17 = 0 and maintenance_id is not null").select("maintenance_id", "seq", "folder")
-    return C.add_renewed(_maintenance(spark), r).select("id", F.array_join("renewed", ",").alias("renewed"))
+    r = catalog(spark, sf).filter("status = 'ready' and maintenance_id is not null").select("maintenance_id", "seq", "folder")
+    return C.add_renewed(_maintenance(spark, sf), r).select("id", F.array_join("renewed", ",").alias("renewed"))
 
 
-_DONE = f"""WITH {CATALOG_SQL}, {_MAINT}, c AS (SELECT * FROM catalog WHERE maintenance_id < 7), active AS (SELECT DISTINCT maintenance_id AS id FROM c WHERE status = 'fetching' AND seq % 2 = 0 AND maintenance_id % 2 = 1)
-SELECT id, label || ' Maintenance completed after ' || printf('%.1f', round((epoch(TIMESTAMP '{NOW}') - epoch(started_at)) / 60.0, 1)) || ' min:' || CASE WHEN len(added) > 0 THEN chr(10) || ' - ' || len(added) || ' added (' || array_to_string(added, ', ') || ')' ELSE '' END || chr(10) || ' - 1 renewed (r0)' AS summary
-FROM maintenance ANTI JOIN active USING (id) WHERE completed_at IS NULL"""
+_DONE = f"""WITH {CATALOG_SQL}, {_MAINT}, active AS (SELECT DISTINCT maintenance_id AS id FROM catalog WHERE status IN ('pending', 'fetching') AND maintenance_id IS NOT NULL),
+f AS (SELECT maintenance_id AS id, chr(10) || ' - ' || count(*) || ' failed (' || string_agg(folder, ', ' ORDER BY folder) || ')' AS failed FROM catalog WHERE status = 'failed' GROUP BY ALL)
+SELECT id, label || ' Maintenance completed after ' || printf('%.1f', round((epoch(TIMESTAMP '{NOW}') - epoch(started_at)) / 60.0, 1)) || ' min:' || CASE WHEN len(added) > 0 THEN chr(10) || ' - ' || len(added) || ' added (' || array_to_string(added, ', ') || ')' ELSE '' END || chr(10) || ' - 1 renewed (r0)' || coalesce(f.failed, '') AS summary
+FROM (SELECT * FROM maintenance ANTI JOIN active USING (id)) LEFT JOIN f USING (id) WHERE completed_at IS NULL"""
 
 
 @query("completed_maintenance", "id:i summary:s", _DONE)
 def completed_maintenance(spark, sf):
-    sets = catalog(spark, sf).filter("maintenance_id < 7 and status = 'fetching' and seq % 2 = 0 and maintenance_id % 2 = 1")
-    return C.completed(_maintenance(spark), sets, now())
+    return C.completed(_maintenance(spark, sf), catalog(spark, sf), now())
 
 
 # --- logs and progress -----------------------------------------------------------------------------------
