@@ -1,6 +1,6 @@
 """The older voxel kernel on whole columns of air: sampling without make-up weights, wind shear, billows and density.
 
-Works on batches of target columns. Each has its heights and up to 16 model columns with weights, so
+Works on batches of target columns, whose samples lie one column after the other (see `levels`), so
 what the kernel carries up a column is a difference along an array.
 """
 
@@ -28,8 +28,8 @@ def _tangent(h0, h1, s0, s1) -> np.ndarray:
         return np.where(s0 * s1 > 0.0, (a + b) / (a / s0 + b / s1), 0.0)
 
 
-def pchip(z: np.ndarray, v: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Monotone cubic between the second and third of four nodes on the last axis, heights falling; no guard for an inner interval without width."""
+def pchip(z: np.ndarray, v: np.ndarray, at: np.ndarray, guard: bool = False) -> np.ndarray:
+    """Monotone cubic between the second and third of four nodes on the last axis, heights falling; an inner interval without width gives its upper value only with `guard`."""
     with np.errstate(all="ignore"):
         h = z[..., :-1] - z[..., 1:]
         s = (v[..., :-1] - v[..., 1:]) / h
@@ -40,33 +40,14 @@ def pchip(z: np.ndarray, v: np.ndarray, at: np.ndarray) -> np.ndarray:
         limit = np.where((inner > 1e-10) & (steep > 3.0 * inner), 3.0 * inner / steep, 1.0)
         t = (z[..., 1] - at) / h[..., 1]
         u = 1.0 - t
-        return u * u * (1.0 + 2.0 * t) * v[..., 1] + t * t * (3.0 - 2.0 * t) * v[..., 2] - h[..., 1] * limit * (t * u * u * up - t * t * u * down)
-
-
-def sampled(heights: np.ndarray, weight: np.ndarray, hhl: np.ndarray, cells: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """FIELDS at `heights` from neighbours: weight (n), hhl and w (n, levels + 1), cells (fields, n, levels).
-
-    Neighbours whose column doesn't span a height, both ends excluded, add nothing, and the other
-    weights aren't made up to 1. w lies on half levels and takes the interval of these that holds the height.
-    """
-    levels = cells.shape[2]
-    centres = (hhl[:, :-1] + hhl[:, 1:]) / 2
-    k = np.maximum((centres[:, :, None] >= heights).sum(axis=1) - 1, 0)
-    rows = np.arange(len(weight))[:, None, None]
-    node = k[..., None] + np.arange(-1, 3)
-    half = lambda i: hhl[rows, np.clip(i, 0, levels)]
-    z = (half(node) + half(node + 1)) / 2
-    values = pchip(z, cells[:, rows, np.clip(node, 0, levels - 1)], heights)
-    beside = np.clip(node + (heights < half(k[..., None] + 1)[..., 0])[..., None], 0, levels)
-    lifted = pchip(hhl[rows, beside], w[rows, beside], heights)
-    valid = (heights < hhl[:, :1]) & (heights > hhl[:, -1:])
-    return np.where(valid, np.concatenate([values, lifted[None]]) * weight[:, None], 0.0).sum(axis=1)
-
-
-def shear(heights: np.ndarray, u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """du/dz and dv/dz from the sample below, over a metre at least; 0 at the first."""
-    dz = np.maximum(np.diff(heights), 1.0)
-    return tuple(np.concatenate([np.zeros(min(1, len(heights))), np.diff(a) / dz]) for a in (u, v))
+        value = u * u * (1.0 + 2.0 * t) * v[..., 1] + t * t * (3.0 - 2.0 * t) * v[..., 2] - h[..., 1] * limit * (t * u * u * up - t * t * u * down)
+        return np.where(np.abs(h[..., 1]) < 1e-3, v[..., 1], value) if guard else value
+
+
+def shear(heights: np.ndarray, u: np.ndarray, v: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """du/dz and dv/dz from the sample below, over a metre at least; 0 at the first of each column."""
+    dz = np.maximum(np.diff(heights, prepend=heights[:1]), 1.0)
+    return tuple(np.where(first, 0.0, np.diff(a, prepend=a[:1]) / dz) for a in (u, v))
 
 
 def billowed(x, y, z, du, dv, tke) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

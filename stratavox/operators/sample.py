@@ -1,7 +1,8 @@
 """Sampling model columns at points: as-of joins in height, and the voxel kernels.
 
 A model column is one row (iy, ix) with arrays over levels, so that a lookup in height is an array
-search within a row and the join to columns is an equi-join on (iy, ix).
+search within a row. Points meet their 16 columns by tiles of the grid: each point is sent once, each
+column to the tiles that reach it, and a tile's points pass by its columns batch by batch.
 """
 
 from __future__ import annotations
@@ -11,25 +12,22 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from ..functions import kernels, physics, shear
-from ..functions.interp import clamp_index, let, pchip
+from ..functions import kernels, levels, physics, shear
+from ..functions.interp import clamp_index, let
 from ..session import ship
-from .stencil import stencil_16
 
 FIELDS = ("clc", "qc", "qi", "qv", "t", "p")
+#: Model columns along each side of a tile, and heights that are sampled at once.
+TILE, AT_ONCE = 64, 1024
 
 
 def columns_of(cube: DataFrame, fields: tuple = ("hhl", *FIELDS, "tke")) -> DataFrame:
     """The long cube (var, level, iy, ix, value) as one row per column, arrays in order of level, top first."""
-    by_level = F.array_sort(F.collect_list(F.when(F.col("var").isNotNull(), F.struct("level", "value"))))
-    rows = cube.filter(F.col("var").isin(*fields)).groupBy("iy", "ix", "var").agg(F.transform(by_level, lambda s: s["value"].cast("double")).alias("v"))
-    return rows.groupBy("iy", "ix").pivot("var", list(fields)).agg(F.first("v"))
-
-
-def _at(values: Column, i: Column) -> Column:
-    """values[i], the index held inside."""
-    return F.element_at(values, (clamp_index(i, F.size(values)) + 1).cast("int"))
+    level = lambda f: F.array_sort(F.collect_list(F.when(F.col("var") == f, F.struct("level", "value"))))
+    held = {f: F.when(F.max(F.col("var") == f), F.transform(level(f), lambda s: s["value"].cast("double"))) for f in fields}
+    return cube.filter(F.col("var").isin(*fields)).groupBy("iy", "ix").agg(*[v.alias(f) for f, v in held.items()])
 
 
 def full_level(hhl: Column, height: Column) -> Column:
@@ -49,9 +47,89 @@ def asof_level(points: DataFrame, columns: DataFrame) -> DataFrame:
     return points.join(columns.select("iy", "ix", "hhl"), ["iy", "ix"]).withColumn("k", full_level(F.col("hhl"), F.col("height"))).drop("hhl")
 
 
-def _interpolated(values: Column, heights: Column, k: Column, height: Column) -> Column:
-    """pchip over nodes k-1..k+2 of arrays."""
-    return pchip([_at(heights, k + i) for i in (-1, 0, 1, 2)], [_at(values, k + i) for i in (-1, 0, 1, 2)], height)
+def _by_tile(points: DataFrame, columns: DataFrame, nx: int, ny: int, fields: list[str], run, schema: StructType) -> DataFrame:
+    """Rows that `run` makes of points and the columns of their tile: it gets `levels.Columns` and points as a struct array.
+
+    A partition is in order of tiles, columns before points, so a task holds the columns of one tile and one batch,
+    however many points meet there. Points without a place are left out.
+    """
+    ship(points.sparkSession)
+    tile = lambda c, n: F.floor(clamp_index(F.floor(c), F.lit(n)) / TILE).cast("int")
+    reach = lambda c, n: F.explode(F.sequence(F.floor(F.greatest(F.col(c) - 2, F.lit(0)) / TILE).cast("int"), F.floor(F.least(F.col(c) + 1, F.lit(n - 1)) / TILE).cast("int")))
+    asked = points.filter("src_x IS NOT NULL AND src_y IS NOT NULL").select(tile("src_y", ny).alias("_ty"), tile("src_x", nx).alias("_tx"), F.lit(True).alias("_asks"), F.struct(*points.columns).alias("_p"))
+    inside = columns.filter(F.col("iy").between(0, ny - 1) & F.col("ix").between(0, nx - 1)).select(F.col("iy").cast("int").alias("iy"), F.col("ix").cast("int").alias("ix"), *fields)
+    lent = inside.withColumn("_ty", reach("iy", ny)).withColumn("_tx", reach("ix", nx)).select("_ty", "_tx", F.lit(False).alias("_asks"), F.struct("iy", "ix", *fields).alias("_c"))
+    rows = lent.unionByName(asked, allowMissingColumns=True).repartition("_ty", "_tx").sortWithinPartitions("_ty", "_tx", "_asks")
+
+    def stream(batches):
+        here, parts, held = None, [], None
+        for batch in batches:
+            keys = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("_ty", "_tx", "_asks")])
+            ends = np.flatnonzero(np.append((np.diff(keys) != 0).any(0), batch.num_rows > 0)) + 1
+            for a, b in zip(np.concatenate([[0], ends[:-1]]).tolist(), ends.tolist(), strict=True):
+                ty, tx, asks = keys[:, a].tolist()
+                if (ty, tx) != here:
+                    here, parts, held = (ty, tx), [], None
+                if not asks:
+                    parts.append(batch.column("_c").slice(a, b - a))
+                elif parts or held:
+                    if held is None:
+                        held, parts = levels.Columns(pa.concat_arrays(parts), fields, ty * TILE - 1, tx * TILE - 1, TILE + 3), []
+                    yield from run(held, batch.column("_p").slice(a, b - a))
+
+    return rows.select("_ty", "_tx", "_asks", "_c", "_p").mapInArrow(stream, schema)
+
+
+def _numbers(rows: pa.StructArray, *names: str) -> list[np.ndarray]:
+    return [pc.struct_field(rows, n).cast(pa.float64()).to_numpy(zero_copy_only=False) for n in names]
+
+
+def _sampled(points: DataFrame, columns: DataFrame, nx: int, ny: int, fields: list[str], kernel, names: list[str]) -> DataFrame:
+    """Points that have any model column, with columns `names` that `kernel` (columns, rows, weights, x, y, height) gives; a column of points with such a name is replaced."""
+    kept = [c for c in points.columns if c not in names]
+
+    def run(held, rows):
+        for i in range(0, len(rows), AT_ONCE):
+            part = rows.slice(i, AT_ONCE)
+            x, y, h = _numbers(part, "src_x", "src_y", "height")
+            row, weight = held.near(x, y, nx, ny)
+            got = kernel(held, row, weight, x, y, h)
+            out = {c: pc.struct_field(part, c) for c in kept} | {n: pa.array(got[n]) for n in names}
+            yield pa.RecordBatch.from_pydict(out).filter(pa.array((row >= 0).any(1)))
+
+    schema = StructType([points.schema[c] for c in kept] + [StructField(n, DoubleType()) for n in names])
+    return _by_tile(points, columns, nx, ny, fields, run, schema)
+
+
+def _with_material(points: DataFrame, columns: DataFrame, nx: int, ny: int, ground: bool = False) -> DataFrame:
+    """Points with FIELDS, and with `ground` if asked for."""
+
+    def kernel(held, row, weight, x, y, h):
+        sums = levels.material(held, row, weight, h, FIELDS)
+        inside = (x >= 0) & (x <= nx - 1) & (y >= 0) & (y <= ny - 1) & (h > 0)
+        share = np.where(sums["w"] > 1e-5, sums["w"], 1.0)
+        out = {}
+        for f in FIELDS:
+            v = sums[f] / physics.STORED.get(f, 1.0)
+            out[f] = np.where(inside, (v if f in ("clc", "p") else np.maximum(v, 0.0)) / share, 0.0)
+        out["clc"] = np.clip(out["clc"], 0.0, 1.0)
+        return out | ({"ground": levels.ground(held, row, weight)} if ground else {})
+
+    return _sampled(points, columns, nx, ny, ["hhl", *FIELDS], kernel, [*FIELDS, *["ground"] * ground])
+
+
+def _with_environment(points: DataFrame, columns: DataFrame, nx: int, ny: int) -> DataFrame:
+    """Points with `tke` and `ground`."""
+
+    def kernel(held, row, weight, x, y, h):
+        sums = levels.turbulence(held, row, weight, h)
+        return {"tke": np.maximum(sums["tke"] / np.where(sums["w"] > 1e-5, sums["w"], 1.0), 0.0), "ground": levels.ground(held, row, weight)}
+
+    return _sampled(points, columns, nx, ny, ["hhl", "tke"], kernel, ["tke", "ground"])
+
+
+def _places(points: DataFrame, keys: list[str]) -> DataFrame:
+    return points.select(*dict.fromkeys([*keys, "src_x", "src_y", "height"]))
 
 
 def sample_material(points: DataFrame, columns: DataFrame, nx: int, ny: int, keys: list[str]) -> DataFrame:
@@ -61,25 +139,7 @@ def sample_material(points: DataFrame, columns: DataFrame, nx: int, ny: int, key
     up to 1. Points off the grid or at height 0 and below give zeros. qc, qi, qv come back unscaled and
     p in pascal, as storage scales them.
     """
-    near = stencil_16(points, nx, ny).join(columns.select("iy", "ix", "hhl", *FIELDS), ["iy", "ix"])
-    h, hhl = F.col("height"), F.col("hhl")
-    near = near.withColumn("_level", full_level(hhl, h))
-    # centres beyond either end come from half levels that repeat, as clamped reads do
-    k = F.col("_level")
-    centre = lambda i: (_at(hhl, k + i) + _at(hhl, k + i + 1)) / 2
-    near = near.withColumn("centres", F.array(*[centre(i) for i in (-1, 0, 1, 2)]))
-    valid = (h < _at(hhl, F.lit(0))) & (h >= _at(hhl, F.size(hhl) - 1))
-    z = [F.col("centres")[i] for i in range(4)]
-    weighted = {f: F.when(valid, pchip(z, [_at(F.col(f), k + i) for i in (-1, 0, 1, 2)], h) * F.col("weight")).otherwise(0.0) for f in FIELDS}
-    inside = (F.col("src_x") >= 0) & (F.col("src_x") <= nx - 1) & (F.col("src_y") >= 0) & (F.col("src_y") <= ny - 1) & (h > 0)
-    total = near.select(*keys, inside.alias("inside"), F.when(valid, F.col("weight")).otherwise(0.0).alias("w"), *[v.alias(f) for f, v in weighted.items()])
-    sums = total.groupBy(*keys).agg(F.first("inside").alias("inside"), F.sum("w").alias("w"), *[F.sum(f).alias(f) for f in FIELDS])
-    unscaled = {f: F.col(f) / physics.STORED.get(f, 1.0) for f in FIELDS}
-    raised = {f: v if f in ("clc", "p") else F.greatest(v, F.lit(0.0)) for f, v in unscaled.items()}
-    part = lambda v: F.when(F.col("w") > 1e-5, v / F.col("w")).otherwise(v)
-    out = {f: F.when(F.col("inside"), part(v)).otherwise(0.0) for f, v in raised.items()}
-    out["clc"] = F.least(F.greatest(out["clc"], F.lit(0.0)), F.lit(1.0))
-    return sums.select(*keys, *[v.alias(f) for f, v in out.items()])
+    return _with_material(_places(points, keys), columns, nx, ny).select(*keys, *FIELDS)
 
 
 def sample_environment(points: DataFrame, columns: DataFrame, nx: int, ny: int, keys: list[str]) -> DataFrame:
@@ -88,15 +148,7 @@ def sample_environment(points: DataFrame, columns: DataFrame, nx: int, ny: int,
     tke comes from half levels, the height held above the ground; columns whose top is below are left
     out. The ground is the weighted height of the lowest half level; its weights are not made up to 1.
     """
-    near = stencil_16(points, nx, ny).join(columns.select("iy", "ix", "hhl", "tke"), ["iy", "ix"])
-    h, hhl, w = F.col("height"), F.col("hhl"), F.col("weight")
-    lowest = F.element_at(hhl, -1)
-    near = near.withColumn("_level", half_level(hhl, h)).withColumn("asked", F.greatest(h, lowest))
-    valid = h < _at(hhl, F.lit(0))
-    value = _interpolated(F.col("tke"), hhl, F.col("_level"), F.col("asked"))
-    sums = near.groupBy(*keys).agg(F.sum(F.when(valid, value * w).otherwise(0.0)).alias("tke"), F.sum(F.when(valid, w).otherwise(0.0)).alias("w"), F.sum(w * lowest).alias("ground"))
-    tke = F.greatest(F.when(F.col("w") > 1e-5, F.col("tke") / F.col("w")).otherwise(F.col("tke")), F.lit(0.0))
-    return sums.select(*keys, tke.alias("tke"), "ground")
+    return _with_environment(_places(points, keys), columns, nx, ny).select(*keys, "tke", "ground")
 
 
 def sample_turbulence(points: DataFrame, columns: DataFrame, nx: int, ny: int, keys: list[str]) -> DataFrame:
@@ -106,8 +158,8 @@ def sample_turbulence(points: DataFrame, columns: DataFrame, nx: int, ny: int, k
 
 def ground_height(points: DataFrame, columns: DataFrame, nx: int, ny: int, keys: list[str]) -> DataFrame:
     """Weighted height of the lowest half level; weights are not made up to 1."""
-    near = stencil_16(points, nx, ny).join(columns.select("iy", "ix", F.element_at("hhl", -1).alias("lowest")), ["iy", "ix"])
-    return near.groupBy(*keys).agg(F.sum(F.col("weight") * F.col("lowest")).alias("ground"))
+    ground = lambda held, row, weight, x, y, h: {"ground": levels.ground(held, row, weight)}
+    return _sampled(_places(points, keys), columns, nx, ny, ["hhl"], ground, ["ground"]).select(*keys, "ground")
 
 
 def _state(material: DataFrame) -> DataFrame:
@@ -119,7 +171,7 @@ def _state(material: DataFrame) -> DataFrame:
 
 def synthesise_plain(points: DataFrame, columns: DataFrame, nx: int, ny: int, keys: list[str]) -> DataFrame:
     """Voxels without noise: extinction by cover, faded over the terrain. Points carry keys, src_x, src_y, height."""
-    state = _state(sample_material(points, columns, nx, ny, keys)).join(ground_height(points, columns, nx, ny, keys), keys).join(points.select(*keys, "height"), keys)
+    state = _state(_with_material(_places(points, keys), columns, nx, ny, True))
     beta = physics.extinction("qc", "qi", "qv", "t", "p", "cover")
     return state.select(*keys, F.when(F.col("cover") > 0, physics.voxel_plain(beta, "cover", "height", "ground")).otherwise(0.0).alias("density"))
 
@@ -130,59 +182,47 @@ def synthesise(points: DataFrame, columns: DataFrame, nx: int, ny: int, keys: li
     Points carry keys, src_x, src_y, height, world_x, world_y and to_src_x, to_src_y (texels a metre).
     """
     ship(points.sparkSession)
-    calm = points.join(sample_environment(points, columns, nx, ny, keys), keys)
-    moved = calm.withColumn("d", kernels.displacement("world_x", "world_y", "height", "tke"))
-    at = moved.select(*keys, (F.col("src_x") + F.col("d.dx") * F.col("to_src_x")).alias("src_x"), (F.col("src_y") - F.col("d.dy") * F.col("to_src_y")).alias("src_y"), (F.col("height") + F.col("d.dz")).alias("height"))
-    where = moved.select(*keys, "tke", "ground", "height", (F.col("world_x") + F.col("d.dx")).alias("wx"), (F.col("world_y") + F.col("d.dy")).alias("wy"), (F.col("height") + F.col("d.dz")).alias("wz"))
-    state = _state(sample_material(at, columns, nx, ny, keys)).join(where, keys)
+    moved = _with_environment(points, columns, nx, ny).withColumn("d", kernels.displacement("world_x", "world_y", "height", "tke"))
+    place = {"src_x": F.col("src_x") + F.col("d.dx") * F.col("to_src_x"), "src_y": F.col("src_y") - F.col("d.dy") * F.col("to_src_y"), "height": F.col("height") + F.col("d.dz")}
+    world = {"tke": F.col("tke"), "ground": F.col("ground"), "asked": F.col("height"), "wx": F.col("world_x") + F.col("d.dx"), "wy": F.col("world_y") + F.col("d.dy")}
+    state = _state(_with_material(moved.select(*keys, *[v.alias(c) for c, v in (place | world).items()]), columns, nx, ny))
     beta = physics.extinction("qc", "qi", "qv", "t", "p", "cover")
-    factor = kernels.density_factor("wx", "wy", "wz", "cover", "tke")
-    value = let(F.col("factor"), lambda f: F.when(f > 0, physics.voxel(beta, f, "height", "ground")).otherwise(0.0))
+    factor = kernels.density_factor("wx", "wy", "height", "cover", "tke")
+    value = let(F.col("factor"), lambda f: F.when(f > 0, physics.voxel(beta, f, "asked", "ground")).otherwise(0.0))
     return state.withColumn("factor", factor).select(*keys, F.when(F.col("cover") > 0, value).otherwise(0.0).alias("density"))
 
 
-def _with_neighbours(targets: DataFrame, columns: DataFrame, nx: int, ny: int, keys: list[str]) -> DataFrame:
-    """Target columns with their model columns in one array, 16 at most."""
-    near = stencil_16(targets, nx, ny).join(columns.select("iy", "ix", "hhl", *shear.FIELDS), ["iy", "ix"])
-    entry = F.struct("weight", "hhl", *shear.FIELDS)
-    return near.groupBy(*keys).agg(*[F.first(c).alias(c) for c in targets.columns if c not in keys], F.collect_list(entry).alias("near"))
-
-
-def _shear_rows(keys: list[str], density: bool):
-    """Batches of target columns as rows (keys, z, height and fields, or density)."""
-
-    def run(batches):
-        for batch in batches:
-            near, heights = batch.column("near"), batch.column("heights")
-            entries = near.flatten()
-            ends, tops = np.cumsum(pc.list_value_length(near).to_numpy(zero_copy_only=False)), np.cumsum(pc.list_value_length(heights).to_numpy(zero_copy_only=False))
-            starts, floors = np.concatenate([[0], ends[:-1]]), np.concatenate([[0], tops[:-1]])
-            whole = lambda name: pc.struct_field(entries, name).flatten().to_numpy(zero_copy_only=False).reshape(len(entries), -1)  # noqa: B023, E731
-            weight, hhl, w = pc.struct_field(entries, "weight").to_numpy(zero_copy_only=False), whole("hhl"), whole("w")
-            cells = np.stack([whole(name)[:, : hhl.shape[1] - 1] for name in shear.CELLS])
-            h = heights.flatten().to_numpy(zero_copy_only=False)
-            fields, du, dv = np.zeros((len(shear.FIELDS), len(h))), np.zeros(len(h)), np.zeros(len(h))
-            for a, b, c, d in zip(starts, ends, floors, tops, strict=True):
-                got = shear.sampled(h[c:d], weight[a:b], hhl[a:b], cells[:, a:b], w[a:b])
-                fields[:, c:d] = got
-                du[c:d], dv[c:d] = shear.shear(h[c:d], got[shear.FIELDS.index("u")], got[shear.FIELDS.index("v")])
-            row = np.repeat(np.arange(batch.num_rows), tops - floors)
-            out = {k: batch.column(k).take(pa.array(row)) for k in keys} | {"z": pa.array(np.arange(len(h)) - floors[row], pa.int32())}
+def _sheared(targets: DataFrame, columns: DataFrame, nx: int, ny: int, keys: list[str], values: list[str]) -> DataFrame:
+    """Rows (keys, z, values) of target columns: height and fields, or density."""
+    density = values == ["density"]
+
+    def run(held, rows):
+        most = pc.max(pc.list_value_length(pc.struct_field(rows, "heights"))).as_py()
+        for i in range(0, len(rows), step := max(1, AT_ONCE // most)):
+            part = rows.slice(i, step)
+            x, y = _numbers(part, "src_x", "src_y")
+            near, weight = held.near(x, y, nx, ny)
+            known = (near >= 0).any(1)
+            part, near, weight = part.filter(pa.array(known)), near[known], weight[known]
+            if not len(part):
+                continue
+            heights = pc.struct_field(part, "heights")
+            n = pc.list_value_length(heights).to_numpy(zero_copy_only=False)
+            h = heights.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(len(part)), n)
+            z = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
+            fields = levels.older(held, near[row], weight[row], h)
+            out = {k: pc.struct_field(part, k).take(pa.array(row)) for k in keys} | {"z": pa.array(z, pa.int32())}
             if density:
-                x, y = (batch.column(c).to_numpy(zero_copy_only=False)[row] for c in ("world_x", "world_y"))
-                out["density"] = pa.array(shear.voxels(x, y, h, du, dv, fields))
+                du, dv = shear.shear(h, fields[shear.FIELDS.index("u")], fields[shear.FIELDS.index("v")], z == 0)
+                east, north = _numbers(part, "world_x", "world_y")
+                out["density"] = pa.array(shear.voxels(east[row], north[row], h, du, dv, fields))
             else:
                 out |= {"height": pa.array(h)} | {name: pa.array(v) for name, v in zip(shear.FIELDS, fields, strict=True)}
             yield pa.RecordBatch.from_pydict(out)
 
-    return run
-
-
-def _sheared(targets: DataFrame, columns: DataFrame, nx: int, ny: int, keys: list[str], values: list[str]) -> DataFrame:
-    ship(targets.sparkSession)
-    rows = _with_neighbours(targets.filter("size(heights) > 0"), columns, nx, ny, keys)
-    schema = ", ".join([f"`{k}` {targets.schema[k].dataType.simpleString()}" for k in keys] + ["z int"] + [f"{v} double" for v in values])
-    return rows.mapInArrow(_shear_rows(keys, values == ["density"]), schema)
+    schema = StructType([targets.schema[k] for k in keys] + [StructField("z", IntegerType())] + [StructField(v, DoubleType()) for v in values])
+    return _by_tile(targets.filter("size(heights) > 0"), columns, nx, ny, ["hhl", *shear.FIELDS], run, schema)
 
 
 def sample_older(targets: DataFrame, columns: DataFrame, nx: int, ny: int, keys: list[str]) -> DataFrame:
@@ -191,7 +231,7 @@ def sample_older(targets: DataFrame, columns: DataFrame, nx: int, ny: int, keys:
     Targets carry keys, src_x, src_y and `heights`, in ascending order. Columns hold arrays of equal
     lengths, w and hhl one longer than cells; values come back as held. Weights aren't made up to 1, neighbours that
     are missing or don't span a height add nothing. A target without heights or without any model column gives no rows. A
-    column's neighbours are met once for all its heights, so the join grows with columns, not with voxels.
+    column's neighbours are met once for all its heights, so what is sent grows with columns, not with voxels.
     """
     return _sheared(targets, columns, nx, ny, keys, ["height", *shear.FIELDS])
 

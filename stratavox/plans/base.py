@@ -175,19 +175,19 @@ def full_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The columns as arrays by level, fields scaled as stored."""
+def columns(spark: SparkSession, sf_dir: str, fields: tuple = ("hhl", "tke", "clc", "qc", "qi", "qv", "t", "p")) -> DataFrame:
+    """The columns as arrays by level, fields scaled as stored; only `fields` of them are made."""
     from ..functions.physics import scale_stored
     from ..operators.sample import columns_of
 
     def long(df, names):
         return [df.select(F.lit(n).alias("var"), "level", "iy", "ix", scale_stored(n, n).alias("value")) for n in names]
 
-    parts = long(half_levels(spark, sf_dir), ["hhl", "tke"]) + long(full_levels(spark, sf_dir), ["clc", "qc", "qi", "qv", "t", "p"])
+    parts = long(half_levels(spark, sf_dir), [f for f in ("hhl", "tke") if f in fields]) + long(full_levels(spark, sf_dir), [f for f in ("clc", "qc", "qi", "qv", "t", "p") if f in fields])
     cube = parts[0]
     for p in parts[1:]:
         cube = cube.union(p)
-    return columns_of(cube)
+    return columns_of(cube, fields)
 
 
 def wind_columns(spark: SparkSession, sf_dir: str) -> DataFrame:

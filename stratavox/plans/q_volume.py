@@ -274,12 +274,12 @@ SELECT k, greatest(CASE WHEN sum(w) FILTER (height < hhl[1]) > 1e-5 THEN sum(val
 
 @query("sample_turbulence", "k:i tke:d", _TKE)
 def sample_turbulence(spark, sf):
-    return sample.sample_turbulence(samples(spark, sf), columns(spark, sf), *shape(spark, sf), ["k"])
+    return sample.sample_turbulence(samples(spark, sf), columns(spark, sf, ("hhl", "tke")), *shape(spark, sf), ["k"])
 
 
 @query("ground_height", "k:i ground:d", f"WITH {COLUMNS_SQL}, {SAMPLES_SQL}, {_STENCIL} SELECT k, sum(w * hhl[11]) AS ground FROM near JOIN hcol USING (iy, ix) GROUP BY k")
 def ground_height(spark, sf):
-    return sample.ground_height(samples(spark, sf), columns(spark, sf), *shape(spark, sf), ["k"])
+    return sample.ground_height(samples(spark, sf), columns(spark, sf, ("hhl",)), *shape(spark, sf), ["k"])
 
 
 _MATERIAL_ONE = lambda f: f"""WITH {COLUMNS_SQL}, {SAMPLES_SQL}, {_STENCIL},
