@@ -163,6 +163,21 @@ def encode_plane(plane: np.ndarray) -> bytes:
     return encode_blocks(grown.reshape(high, 4, wide, 4).swapaxes(1, 2).reshape(-1, 16)).tobytes()
 
 
+def encode_volumes(values: np.ndarray) -> np.ndarray:
+    """Planes of many volumes (volumes, nz, ny, nx) with values in 0..1 as rows of bytes, a row for each volume."""
+    grown = np.pad(values, [(0, 0), (0, 0), *((0, -n % 4) for n in values.shape[2:])], "edge")
+    n, nz, high, wide = grown.shape
+    return encode_blocks(grown.reshape(n * nz, high // 4, 4, wide // 4, 4).swapaxes(2, 3).reshape(-1, 16)).reshape(n, -1)
+
+
+def decode_volumes(content: np.ndarray, size: tuple[int, int, int]) -> np.ndarray:
+    """Rows of bytes as volumes (volumes, nz, ny, nx)."""
+    nz, ny, nx = size
+    high, wide = -(-ny // 4), -(-nx // 4)
+    values = decode_blocks(content.reshape(-1, 8)).reshape(-1, nz, high, wide, 4, 4).swapaxes(3, 4)
+    return values.reshape(-1, nz, high * 4, wide * 4)[:, :, :ny, :nx]
+
+
 def decode_plane(content: bytes, wide: int) -> np.ndarray:
     """The values of a plane whose lines hold `wide` blocks."""
     values = decode_blocks(np.frombuffer(content, np.uint8).reshape(-1, 8))
@@ -211,6 +226,17 @@ def encode_volume(texels: DataFrame, height: int, width: int, keys: list[str], v
 
 def decode_volume(encoded: DataFrame, height: int, width: int, keys: list[str]) -> DataFrame:
     """Encoded blocks as texels (vy, vx, value) between 0 and 1. Only whole blocks within the sides are read, so a side below 4 gives none."""
-    inside = encoded.filter((F.col("by") < height // 4) & (F.col("bx") < width // 4)).withColumn("_b", from_bytes("content"))
-    each = inside.select(*keys, "by", "bx", F.posexplode(decode("_b.r0", "_b.r1", "_b.bits")).alias("_i", "value"))
+    ship(encoded.sparkSession)
+    inside = encoded.filter((F.col("by") < height // 4) & (F.col("bx") < width // 4))
+    each = inside.select(*keys, "by", "bx", F.posexplode(texels_of("content")).alias("_i", "value"))
     return each.select(*keys, (F.col("by") * 4 + F.floor(F.col("_i") / 4)).cast("int").alias("vy"), (F.col("bx") * 4 + F.col("_i") % 4).cast("int").alias("vx"), "value")
+
+
+def texels_of(content) -> Column:
+    """The 16 values of eight bytes, by batches; `decode` does the same on columns."""
+
+    @F.pandas_udf("array<double>")
+    def values(content: pd.Series) -> pd.Series:
+        return pd.Series(list(decode_blocks(np.frombuffer(b"".join(content), np.uint8).reshape(-1, 8))), dtype=object)
+
+    return values(col(content))

@@ -1,13 +1,14 @@
-"""Encoded tiles of a pyramid: mips of sparse tiles, BC4 blocks and the payload of each mip."""
+"""Tiles of a pyramid as arrays, some at a time: mips of sparse tiles, their BC4 payloads, and texels read again."""
 
 from __future__ import annotations
 
 from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from ..session import ship
 from ..storage import written
@@ -16,6 +17,40 @@ from . import bc4, volume
 TILE = ["zoom", "tx", "ty"]
 
 
+#: Values of tiles that are made or read at once, and at least one tile.
+AT_ONCE = 1 << 18
+
+
+def by_tile(voxels: DataFrame, nz: int, pixels: int, run, schema, value: str = "density") -> DataFrame:
+    """Record batches that `run` makes of some tiles at once: it gets TILE as rows of whole numbers, and values (tiles, nz, pixels, pixels).
+
+    Absent voxels are 0. A partition is in order of tiles, so a task holds one batch of voxels and AT_ONCE values,
+    however many tiles it has.
+    """
+    ship(voxels.sparkSession)
+    size = nz * pixels * pixels
+    most = max(1, AT_ONCE // size)
+    rows = voxels.select(*TILE, ((F.col("vz") * pixels + F.col("vy")) * pixels + F.col("vx")).cast("long").alias("_i"), F.col(value).cast("double").alias("_v"))
+
+    def stream(batches):
+        names, whole = [], np.zeros((most, size))
+        for batch in batches:
+            keys = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in TILE], 1)
+            place, values = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("_i", "_v"))
+            ends = np.flatnonzero(np.append((np.diff(keys, axis=0) != 0).any(1), len(keys) > 0)) + 1
+            for a, b in zip(np.concatenate([[0], ends[:-1]]).tolist(), ends.tolist(), strict=True):
+                if not names or (keys[a] != names[-1]).any():
+                    if len(names) == most:
+                        yield from run(np.array(names), whole.reshape(most, nz, pixels, pixels))
+                        names, whole = [], np.zeros((most, size))
+                    names.append(keys[a])
+                whole[len(names) - 1, place[a:b]] = values[a:b]
+        if names:
+            yield from run(np.array(names), whole[: len(names)].reshape(-1, nz, pixels, pixels))
+
+    return rows.repartition(*TILE).sortWithinPartitions(*TILE).mapInArrow(stream, schema)
+
+
 def tile_mips(voxels: DataFrame, nz: int, pixels: int, least: int = 4) -> list[tuple[tuple[int, int, int], DataFrame]]:
     """(size, voxels) of each mip of all tiles, absent voxels 0: means of 2 x 2 x 2, an odd last layer cut off. Each is made from the one before, which is written."""
     sizes = volume.mip_sizes(nz, pixels, pixels, least)
@@ -28,75 +63,50 @@ def tile_mips(voxels: DataFrame, nz: int, pixels: int, least: int = 4) -> list[t
     return list(zip(sizes, out, strict=True))
 
 
-def joined(parts: DataFrame, count: int, size: int, index: str, content: str, keys: list[str] = TILE) -> DataFrame:
-    """Parts of `size` bytes (keys, index, content) side by side, one row per key: parts that are absent are zeros."""
-    ship(parts.sparkSession)
-
-    @F.pandas_udf("binary")
-    def whole(places: pd.Series, contents: pd.Series) -> pd.Series:
-        out = []
-        for at, data in zip(places, contents, strict=True):
-            all_ = np.zeros((count, size), np.uint8)
-            for i, x in zip(at, data, strict=True):
-                all_[i] = np.frombuffer(x, np.uint8)
-            out.append(all_.tobytes())
-        return pd.Series(out)
-
-    together = parts.groupBy(*keys).agg(F.collect_list(F.struct(F.col(index).alias("i"), F.col(content).alias("c"))).alias("p"))
-    return together.select(*keys, whole("p.i", "p.c").alias(content))
-
-
-def payloads(voxels: DataFrame, size: tuple[int, int, int], most: float = bc4.MAX_DENSITY) -> DataFrame:
-    """One row per tile: the BC4 blocks of all its levels, in order. Absent voxels are 0.
-
-    Voxels of a tile and level meet and become blocks, then levels are joined by tile, as bytes: no row is larger than a tile.
-    """
-    ship(voxels.sparkSession)
-    nz, ny, nx = size
-    normal = voxels.withColumn("density", bc4.normalised("density", most))
-
-    @F.pandas_udf("binary")
-    def blocks(places: pd.Series, values: pd.Series) -> pd.Series:
-        out = []
-        for at, v in zip(places, values, strict=True):
-            plane = np.zeros(ny * nx)
-            plane[np.asarray(at, np.int64)] = np.asarray(v, np.float64)
-            out.append(bc4.encode_plane(plane.reshape(ny, nx)))
-        return pd.Series(out)
-
-    cell = F.struct((F.col("vy") * nx + F.col("vx")).alias("i"), F.col("density").alias("v"))
-    levels = normal.groupBy(*TILE, "vz").agg(F.collect_list(cell).alias("c")).select(*TILE, "vz", blocks("c.i", "c.v").alias("content"))
-    return joined(levels, nz, -(-nx // 4) * -(-ny // 4) * 8, "vz", "content")
+def mips_of(values: np.ndarray, least: int = 4) -> list[np.ndarray]:
+    """All mips of volumes (volumes, nz, ny, nx), largest first: means of 2 x 2 x 2, an odd last layer cut off, sides of 1 stay."""
+    sizes = volume.mip_sizes(*values.shape[1:], least)
+    out = [values]
+    for large, small in zip(sizes, sizes[1:], strict=False):
+        v = out[-1]
+        for axis, (a, b) in enumerate(zip(large, small, strict=True), 1):
+            if b < a:
+                v = v.take(range(0, 2 * b, 2), axis) + v.take(range(1, 2 * b, 2), axis)
+        out.append(v / 2 ** sum(b < a for a, b in zip(large, small, strict=True)))
+    return out
 
 
 def texels(tiles: DataFrame, nz: int, pixels: int, least: int = 4) -> DataFrame:
-    """The values 0..1 of encoded tiles: their other columns, level, vz, vy, vx, value. A plane of a mip is decoded at a time."""
+    """The values 0..1 of encoded tiles: their other columns, level, vz, vy, vx, value. A mip of some tiles is decoded at a time."""
     ship(tiles.sparkSession)
     sizes = volume.mip_sizes(nz, pixels, pixels, least)
+    most = max(1, AT_ONCE // (nz * pixels * pixels))
+    rest = [c for c in tiles.columns if c != "mips"]
 
-    @F.pandas_udf("array<double>")
-    def values(content: pd.Series, level: pd.Series) -> pd.Series:
-        cut = [bc4.decode_plane(bytes(c), -(-sizes[i][2] // 4))[: sizes[i][1], : sizes[i][2]] for c, i in zip(content, level, strict=True)]
-        return pd.Series([x.ravel() for x in cut])
+    def run(batches):
+        for batch in batches:
+            for i in range(0, batch.num_rows, most):
+                part = batch.slice(i, most)
+                mips = part.column("mips").to_pylist()
+                for level, size in enumerate(sizes):
+                    values = bc4.decode_volumes(np.frombuffer(b"".join(m[level] for m in mips), np.uint8), size).reshape(len(mips), -1)
+                    row = pa.array(np.repeat(np.arange(len(mips)), values.shape[1]))
+                    z, y, x = (pa.array(np.tile(a.ravel(), len(mips)), pa.int32()) for a in np.indices(size))
+                    yield pa.RecordBatch.from_pydict({c: part.column(c).take(row) for c in rest} | {"level": pa.array(np.full(len(row), level), pa.int32()), "vz": z, "vy": y, "vx": x, "value": pa.array(values.ravel())})
 
-    rest = [c for c in tiles.columns if c != "mips"]
-    high = F.get(F.array(*[F.lit(z) for z, _, _ in sizes]), F.col("level"))
-    wide = F.get(F.array(*[F.lit(x) for _, _, x in sizes]), F.col("level"))
-    size = (F.length("payload") / F.col("high")).cast("int")
-    mips = tiles.select(*rest, F.posexplode("mips").alias("level", "payload")).withColumn("high", high)
-    planes = mips.select(*rest, "level", size.alias("size"), "payload", F.explode(F.sequence(F.lit(0), F.col("high") - 1)).alias("vz"))
-    cut = planes.select(*rest, "level", "vz", values(F.substring(F.col("payload"), F.col("vz") * F.col("size") + 1, F.col("size")), "level").alias("v"))
-    each = cut.select(*rest, "level", "vz", wide.alias("wide"), F.posexplode("v").alias("i", "value"))
-    return each.select(*rest, "level", "vz", F.floor(F.col("i") / F.col("wide")).cast("int").alias("vy"), (F.col("i") % F.col("wide")).alias("vx"), "value")
+    whole = [StructField(c, IntegerType()) for c in ("level", "vz", "vy", "vx")]
+    return tiles.select(*rest, "mips").mapInArrow(run, StructType([tiles.schema[c] for c in rest] + whole + [StructField("value", DoubleType())]))
 
 
 def encoded_tiles(voxels: DataFrame, nz: int, pixels: int, least: int = 4, most: float = bc4.MAX_DENSITY) -> DataFrame:
-    """One row per tile with `mips`, the BC4 payload of each mip, largest first. Lines count from the south."""
-    south_up = volume.flip(voxels, "vy", pixels)
-    mips = tile_mips(south_up, nz, pixels, least)
-    parts = reduce(DataFrame.unionByName, [payloads(v, size, most).withColumn("level", F.lit(i)) for i, (size, v) in enumerate(mips)])
-    sizes = [-(-ny // 4) * -(-nx // 4) * 8 * z for (z, ny, nx), _ in mips]
-    zeros = F.array(*[F.expr(f"unhex(repeat('00', {n}))") for n in sizes])
-    by_level = F.map_from_entries(F.collect_list(F.struct("level", "content")))
-    tiles = parts.groupBy(*TILE).agg(by_level.alias("m"))
-    return tiles.select(*TILE, F.transform(F.sequence(F.lit(0), F.lit(len(sizes) - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.get(zeros, i))).alias("mips"))
+    """One row per tile with `mips`, the BC4 payload of each mip, largest first. Lines count from the south.
+
+    Voxels are sent once, to their tile; its mips are made and encoded there.
+    """
+
+    def run(names, values):
+        mips = [bc4.encode_volumes(np.clip(m / most, 0.0, 1.0)) for m in mips_of(values[:, :, ::-1], least)]
+        payloads = pa.array([[m[i].tobytes() for m in mips] for i in range(len(names))], pa.list_(pa.binary()))
+        yield pa.RecordBatch.from_arrays([*[pa.array(names[:, i], pa.int32()) for i in range(3)], payloads], [*TILE, "mips"])
+
+    return by_tile(voxels, nz, pixels, run, "zoom int, tx int, ty int, mips array<binary>")

@@ -7,6 +7,7 @@ from datetime import datetime
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ..functions import physics
@@ -531,8 +532,7 @@ _BLOCKS = _keyed(_PLAIN_BLOCKS, "tx")
 
 
 def _blocks(spark, sf):
-    g = grid(spark, sf).withColumn("density", bc4.normalised("density"))
-    return bc4.blocks(g, PIXELS, PIXELS, [*TX, "vz"]).withColumn("e", bc4.encode("pixels"))
+    return bc4.encode_volume(grid(spark, sf), PIXELS, PIXELS, [*TX, "vz"])
 
 
 @query("bc4_blocks", "tx:i vz:i by:i bx:i n:i total:d", f"{G_ODD} SELECT tx, vz, vy // 4 AS \"by\", vx // 4 AS bx, 16 AS n, sum(CASE WHEN vx = 12 THEN 4 ELSE 1 END * CASE WHEN vy = 14 THEN 2 ELSE 1 END * density) AS total FROM grid GROUP BY ALL")
@@ -542,7 +542,8 @@ def bc4_blocks(spark, sf):
 
 @query("bc4_endpoints", "tx:i vz:i by:i bx:i r0:i r1:i", f"{_BLOCKS} SELECT tx, vz, \"by\", bx, r0, r1 FROM q")
 def bc4_endpoints(spark, sf):
-    return _blocks(spark, sf).select("tx", "vz", "by", "bx", "e.r0", "e.r1")
+    ends = _blocks(spark, sf).withColumn("e", bc4.from_bytes("content"))
+    return ends.select("tx", "vz", "by", "bx", "e.r0", "e.r1")
 
 
 _PLAIN_INDEX = f"""{_PLAIN_BLOCKS}, ix AS (SELECT vz, "by", bx, i, v, r0, r1, CASE WHEN r0 <= r1 THEN 0 ELSE CAST(7 - round_even(least(greatest((v - r1 / 255.0) / (r0 / 255.0 - r1 / 255.0), 0.0), 1.0) * 7, 0) AS INT) END AS a FROM px JOIN q USING (vz, "by", bx)),
@@ -552,14 +553,13 @@ _INDEX = _keyed(_PLAIN_INDEX, "tx")
 
 @query("bc4_encode", "tx:i vz:i by:i bx:i bits:i", f"{_INDEX} SELECT tx, vz, \"by\", bx, sum(CAST(x AS BIGINT) << (3 * i)) AS bits FROM im GROUP BY ALL")
 def bc4_encode(spark, sf):
-    packed = bc4.encode_volume(grid(spark, sf), PIXELS, PIXELS, [*TX, "vz"])
+    packed = _blocks(spark, sf)
     return packed.select("tx", "vz", "by", "bx", bc4.from_bytes("content")["bits"].alias("bits"))
 
 
 @query("bc4_decode", "tx:i vz:i by:i bx:i i:i v:d", f"{_INDEX} SELECT tx, vz, \"by\", bx, i, CASE WHEN r0 > r1 THEN CASE x WHEN 0 THEN r0 / 255.0 WHEN 1 THEN r1 / 255.0 ELSE r1 / 255.0 + (r0 - r1) / 255.0 * (8 - x) / 7.0 END ELSE r0 / 255.0 END AS v FROM im")
 def bc4_decode(spark, sf):
-    packed = _blocks(spark, sf).withColumn("b", bc4.from_bytes(bc4.block_bytes("e")))
-    return packed.select("tx", "vz", "by", "bx", F.posexplode(bc4.decode("b.r0", "b.r1", "b.bits")).alias("i", "v"))
+    return _blocks(spark, sf).select("tx", "vz", "by", "bx", F.posexplode(bc4.texels_of("content")).alias("i", "v"))
 
 
 @query("bc4_volume", "tx:i vz:i vy:i vx:i v:d", f"{_INDEX} SELECT tx, vz, \"by\" * 4 + i // 4 AS vy, bx * 4 + i % 4 AS vx, CASE WHEN r0 > r1 THEN CASE x WHEN 0 THEN r0 / 255.0 WHEN 1 THEN r1 / 255.0 ELSE r1 / 255.0 + (r0 - r1) / 255.0 * (8 - x) / 7.0 END ELSE r0 / 255.0 END AS v FROM im")
@@ -572,23 +572,19 @@ def bc4_volume(spark, sf):
 _HALF = """half AS (SELECT tx, ty, vz, vy, vx, CASE WHEN density = 0 THEN 0 ELSE round_even(density / u, 0) * u END AS density FROM (SELECT *, greatest(pow(2.0, floor(log2(nullif(density, 0))) - 10), pow(2.0, -24)) AS u FROM voxels))"""
 
 
-def _dense_tiles(spark, sf):
-    """One row per tile with its 8 x 16 x 16 values in order, as bytes of doubles; absent ones are 0."""
-    return sinks.dense(voxels(spark, sf), LEVELS, PIXELS).select("tx", "ty", "values")
-
-
 @query("raw_tile_roundtrip", "tx:i ty:i i:i density:d zoom:i", f"{V}, {_HALF} SELECT tx, ty, (vz * 16 + vy) * 16 + vx AS i, density, 10 AS zoom FROM half WHERE density > 0")
 def raw_tile_roundtrip(spark, sf):
     """Raw tiles made and read again: half floats behind a JSON header in a zstd stream."""
-    ship(spark)
 
-    @F.pandas_udf("zoom int, density array<double>")
-    def again(values: pd.Series) -> pd.DataFrame:
-        out = [raw_tiles.decode(raw_tiles.encode(dict.fromkeys(raw_tiles.FIELDS, 1.0) | {"tile_z": ZOOM}, np.frombuffer(v, "<f8"))) for v in values]
-        return pd.DataFrame({"zoom": [h["tile_z"] for h, _ in out], "density": [v.astype(np.float64) for _, v in out]})
+    def again(names, values):
+        out = [raw_tiles.decode(raw_tiles.encode(dict.fromkeys(raw_tiles.FIELDS, 1.0) | {"tile_z": z}, v)) for (z, _, _), v in zip(names.tolist(), values, strict=True)]
+        density = np.concatenate([v for _, v in out]).astype(np.float64)
+        size = len(density) // len(out)
+        row = np.repeat(np.arange(len(out)), size)
+        places = [pa.array(names[row, c], pa.int32()) for c in (1, 2)]
+        yield pa.RecordBatch.from_arrays([*places, pa.array(np.array([h["tile_z"] for h, _ in out])[row], pa.int32()), pa.array(np.tile(np.arange(size), len(out)), pa.int32()), pa.array(density)], ["tx", "ty", "zoom", "i", "density"])
 
-    tiles = _dense_tiles(spark, sf).select("tx", "ty", again("values").alias("t"))
-    return tiles.select("tx", "ty", "t.zoom", F.posexplode("t.density").alias("i", "density")).filter("density > 0")
+    return lod.by_tile(voxels(spark, sf), LEVELS, PIXELS, again, "tx int, ty int, zoom int, i int, density double").filter("density > 0")
 
 
 @query("ktx2_roundtrip", "tx:i ty:i format:s levels:i scheme:i depth:i res:s total:d", f"{V}, {_HALF} SELECT tx, ty, 'R16_SFLOAT' AS format, 1 AS levels, 2 AS scheme, 8 AS depth, '218.75' AS res, sum(density) AS total FROM half GROUP BY ALL")
@@ -596,9 +592,9 @@ def ktx2_roundtrip(spark, sf):
     """Containers of half-float tiles made and read again."""
     ship(spark)
 
-    @F.pandas_udf("array<binary>")
-    def mips(values: pd.Series) -> pd.Series:
-        return pd.Series([[np.frombuffer(v, "<f8").astype("<f2").tobytes()] for v in values])
+    def halves(names, values):
+        mips = pa.array([[v.tobytes()] for v in values.astype("<f2")], pa.list_(pa.binary()))
+        yield pa.RecordBatch.from_arrays([*[pa.array(names[:, i], pa.int32()) for i in (1, 2)], mips], ["tx", "ty", "mips"])
 
     @F.pandas_udf("format string, levels int, scheme int, depth int, res string, total double")
     def again(content: pd.Series) -> pd.DataFrame:
@@ -608,7 +604,7 @@ def ktx2_roundtrip(spark, sf):
             rows.append((head["format"], head["levels"], head["scheme"], head["depth"], pairs["phys_res_z"], float(np.frombuffer(levels[0], "<f2").astype(np.float64).sum())))
         return pd.DataFrame(rows, columns=["format", "levels", "scheme", "depth", "res", "total"])
 
-    tiles = _dense_tiles(spark, sf).select("tx", "ty", mips("values").alias("mips"), F.create_map(F.lit("phys_res_z"), F.lit("218.75")).alias("metadata"))
+    tiles = lod.by_tile(voxels(spark, sf), LEVELS, PIXELS, halves, "tx int, ty int, mips array<binary>").withColumn("metadata", F.create_map(F.lit("phys_res_z"), F.lit("218.75")))
     return ktx2.containers(tiles, "R16_SFLOAT", PIXELS, PIXELS, LEVELS).select("tx", "ty", again("content").alias("c")).select("tx", "ty", "c.*")
 
 

@@ -50,37 +50,16 @@ def write_files(rows: DataFrame, uri: str) -> DataFrame:
     return rows.select("path", "content").mapInArrow(run, _WRITTEN)
 
 
-def dense(voxels: DataFrame, nz: int, pixels: int, value: str = "density") -> DataFrame:
-    """One row per tile (zoom, tx, ty) with `values`, its nz * pixels * pixels values as doubles in order z, y, x; absent voxels are 0.
-
-    Voxels of a tile and level meet first and become bytes, then levels: no row is larger than a tile.
-    """
-    ship(voxels.sparkSession)
-
-    @F.pandas_udf("binary")
-    def filled(places: pd.Series, values: pd.Series) -> pd.Series:
-        out = []
-        for at, v in zip(places, values, strict=True):
-            whole = np.zeros(pixels * pixels, "<f8")
-            whole[np.asarray(at, np.int64)] = np.asarray(v, np.float64)
-            out.append(whole.tobytes())
-        return pd.Series(out)
-
-    cell = F.struct((F.col("vy") * pixels + F.col("vx")).alias("i"), F.col(value).alias("v"))
-    levels = voxels.groupBy(*lod.TILE, "vz").agg(F.collect_list(cell).alias("cells"))
-    return lod.joined(levels.select(*lod.TILE, "vz", filled("cells.i", "cells.v").alias("values")), nz, pixels * pixels * 8, "vz", "values")
-
-
 def raw_tile_files(voxels: DataFrame, uri: str, nz: int, pixels: int, resolution: tuple[float, float, float]) -> DataFrame:
     """Writes `tile_{zoom}_{x}_{y}.raw.zst` for each tile: half floats behind the header of `resolution` and place."""
+    head = dict(zip(raw_tiles.FIELDS[:3], resolution, strict=True))
 
-    @F.pandas_udf("binary")
-    def packed(zoom: pd.Series, tx: pd.Series, ty: pd.Series, values: pd.Series) -> pd.Series:
-        head = dict(zip(raw_tiles.FIELDS[:3], resolution, strict=True))
-        return pd.Series([raw_tiles.encode(head | {"tile_z": int(z), "tile_x": int(x), "tile_y": int(y)}, np.frombuffer(v, "<f8")) for z, x, y, v in zip(zoom, tx, ty, values, strict=True)])
+    def packed(names, values):
+        paths = [f"tile_{z}_{x}_{y}.raw.zst" for z, x, y in names.tolist()]
+        contents = [raw_tiles.encode(head | dict(zip(raw_tiles.FIELDS[3:], n, strict=True)), v) for n, v in zip(names.tolist(), values, strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(paths), pa.array(contents, pa.binary())], ["path", "content"])
 
-    tiles = dense(voxels, nz, pixels)
-    return write_files(tiles.select(F.format_string("tile_%d_%d_%d.raw.zst", "zoom", "tx", "ty").alias("path"), packed("zoom", "tx", "ty", "values").alias("content")), uri)
+    return write_files(lod.by_tile(voxels, nz, pixels, packed, "path string, content binary"), uri)
 
 
 def lod_tile_files(voxels: DataFrame, uri: str, nz: int, pixels: int, resolution: tuple[float, float, float], leaf_zoom: int, most: float = 32.0, least: int = 4, mode: str = "append") -> None:
