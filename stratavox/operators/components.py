@@ -77,7 +77,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 #: Cells that are labelled together, and at least one level of them.
-SLAB = 1 << 20
+SLAB = 1 << 18
 
 
 def labels(index: np.ndarray, nx: int, ny: int) -> np.ndarray:
