@@ -8,6 +8,7 @@ from datetime import datetime
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import physics
@@ -84,8 +85,7 @@ def axis_projection(spark, sf):
 @query("layer_composite", "tx:i layer:i vy:i vx:i density:d total:d", f"{G}, l AS (SELECT tx, least(vz // 2, 2) AS layer, vy, vx, sum(density) AS density FROM grid GROUP BY ALL) SELECT tx, layer, vy, vx, density, sum(density) OVER (PARTITION BY tx, vy, vx) AS total FROM l")
 def layer_composite(spark, sf):
     bands = volume.layers(grid(spark, sf), 3, 6, TX)
-    total = bands.groupBy(*TX, "vy", "vx").agg(F.sum("density").alias("total"))
-    return bands.join(total, [*TX, "vy", "vx"])
+    return bands.withColumn("total", F.sum("density").over(Window.partitionBy(*TX, "vy", "vx")))
 
 
 @query("nan_figures", "tx:i vy:i vx:i total:d least:d most:d", f"{G} SELECT tx, vy, vx, coalesce(sum(density) FILTER (vz % 3 > 0), 0) AS total, min(density) FILTER (vz % 3 > 0) AS least, max(density) FILTER (vz % 3 > 0) AS most FROM grid GROUP BY ALL")

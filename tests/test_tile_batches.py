@@ -49,3 +49,9 @@ def test_no_tile_of_collected_cells(spark, small, name):
 def test_slabs_are_small():
     """A task holds two slabs of indices, labels and pairs at most."""
     assert components.SLAB <= 1 << 18
+
+
+def test_bands_are_made_once(spark, small):
+    """The total of a pixel comes from its bands in one pass; a join made the grid and the bands twice."""
+    plan = plans.queries()["layer_composite"](spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Join") == 1 and plan.count("lineitem.parquet") == 1
